@@ -1,12 +1,16 @@
 """The registered queries of this subpackage, and the SQL for those that SQL can express."""
 
-from omicspark.llm import linededup, secrets
+from omicspark.llm import decontaminate, linededup, mixing, secrets, simhash
 
 QUERIES = {
+    "op2_decontaminate": decontaminate.op2_decontaminate,
     "op6_secrets": secrets.op6_secrets,
+    "op7_simhash": simhash.op7_simhash,
     "op8_linededup": linededup.op8_linededup,
+    "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {
+    "op2_decontaminate": decontaminate.ORACLE,
     "op6_secrets": secrets.ORACLE,
     "op8_linededup": linededup.ORACLE,
 }
