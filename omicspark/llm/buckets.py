@@ -19,7 +19,9 @@ MOST_BLOCKS = 64
 
 def blocked(rows: DataFrame, columns: list[str]) -> DataFrame:
     """rows: key, node and columns, different (key, node). Leaves out buckets of one row, and cuts large ones: adds
-    block (a number for the pair of blocks, 0 in small buckets) so that all pairs of a bucket meet in some (key, block).
+    block (a number for the pair of blocks, 0 in small buckets) so that all pairs of a bucket meet in some (key, block),
+    side (the row's own block) and diagonal (whether block is a block with itself, or a whole bucket). Rows of the same
+    side meet in each of their blocks, and once on the diagonal.
 
     Sizes are partial aggregates; only keys of more than one row are kept, and only large buckets are repeated."""
     sizes = saved(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
@@ -28,7 +30,9 @@ def blocked(rows: DataFrame, columns: list[str]) -> DataFrame:
     own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("b")).cast("int")
     few = few.withColumn("b", blocks).withColumn("own", own)
     pairs = F.when(F.col("b") == 1, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("b") - 1), lambda x: F.least(x, F.col("own")) * F.col("b") + F.greatest(x, F.col("own"))))
-    return few.select("key", F.explode(pairs).alias("block"), "node", *columns)
+    few = few.withColumn("block", F.explode(pairs))
+    diagonal = F.expr("block div b = block % b")
+    return few.select("key", "block", F.col("own").alias("side"), diagonal.alias("diagonal"), "node", *columns)
 
 
 def groups(rows: Iterator[pa.RecordBatch], keys: list[str], most_rows: int = 1 << 16) -> Iterator[dict[str, np.ndarray]]:
@@ -101,5 +105,5 @@ def components_in_buckets(rows: DataFrame, linked: Callable[..., np.ndarray]) ->
             one, other = compare(piece, linked, ["code"])
             yield pa.RecordBatch.from_arrays([pa.array(piece["node"][one]), pa.array(piece["node"][other])], names=["a", "b"])
 
-    dealt = blocked(rows, []).repartition("key", "block").sortWithinPartitions("key", "block")
+    dealt = blocked(rows, []).select("key", "block", "node").repartition("key", "block").sortWithinPartitions("key", "block")
     return dealt.mapInArrow(link, "a bigint, b bigint").distinct()
