@@ -1,10 +1,11 @@
 """The registered queries of this subpackage, and the SQL for those that SQL can express."""
 
-from omicspark.llm import decontaminate, embeddings, linededup, mixing, secrets, simhash
+from omicspark.llm import decontaminate, embeddings, linededup, mixing, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_embeddings": embeddings.op1_embeddings,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_secrets": secrets.op6_secrets,
     "op7_simhash": simhash.op7_simhash,
     "op8_linededup": linededup.op8_linededup,

@@ -32,8 +32,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(29))
 
 
-def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = ALNUM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of lower-cased data: start, end, text number and 64-bit hash of each word (a longest run of kind within a text)."""
+def bounds(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = ALNUM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of lower-cased data: start, end and text number of each word (a longest run of kind within a text)."""
     n = len(data)
     inside = kind[data]
     starts, ends = inside.copy(), inside.copy()
@@ -43,11 +43,13 @@ def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = ALNUM) -> tu
     starts[edge] |= inside[edge]
     ends[edge - 1] |= inside[edge - 1]
     start, end = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    text = np.searchsorted(offsets, start, "right") - 1
-    up, down = _powers(max(16, int(n).bit_length()))
-    sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
-    return start, end, text, mixed((sums[end] - sums[start]) * down[start])
+    return start, end, np.searchsorted(offsets, start, "right") - 1
+
+
+def words(data: np.ndarray, offsets: np.ndarray, kind: np.ndarray = ALNUM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """bounds(), and the 64-bit hash of each word."""
+    start, end, text = bounds(data, offsets, kind)
+    return start, end, text, span_hashes(data, start, end)
 
 
 def grams(hashes: np.ndarray, k: int) -> np.ndarray:
@@ -71,3 +73,28 @@ def window_minima(values: np.ndarray, w: int) -> np.ndarray:
     for j in range(1, w):
         np.minimum(out, values[j : j + n], out=out)
     return out
+
+
+def cut(start: np.ndarray, end: np.ndarray, text: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Words of more than `most` bytes as consecutive parts of at most that many; the others as they are."""
+    parts = -(-(end - start) // most)
+    at = np.repeat(np.arange(len(start)), parts)
+    no = np.arange(len(at)) - np.repeat(np.cumsum(parts) - parts, parts)
+    first = start[at] + no * most
+    return first, np.minimum(first + most, end[at]), text[at]
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, most: int = 1 << 21) -> np.ndarray:
+    """The 64-bit hash of each span of bytes, equal for equal bytes; spans are in order and don't overlap. Worked in
+    parts of about `most` bytes, as each byte takes several numbers of 8."""
+    out = np.empty(len(start), np.uint64)
+    i = 0
+    while i < len(start):
+        j = max(i + 1, int(np.searchsorted(start, start[i] + most)))
+        low, high = int(start[i]), int(end[j - 1])
+        up, down = _powers(max(16, (high - low).bit_length()))
+        sums = np.zeros(high - low + 1, np.uint64)
+        np.cumsum((data[low:high].astype(np.uint64) + np.uint64(1)) * up[: high - low], out=sums[1:])
+        out[i:j] = mixed((sums[end[i:j] - low] - sums[start[i:j] - low]) * down[start[i:j] - low])
+        i = j
+    return out
