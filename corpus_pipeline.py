@@ -1,8 +1,65 @@
 """The corpus pipeline: stages over documents, each written as Parquet and read again as the next one's input."""
 
-STAGES: list = []
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from omicspark.llm import decontaminate, linededup, mixing, simhash, toxicity
+from omicspark.llm.common import saved
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves out documents that score toxicity.THRESHOLD or more; null and empty texts are scored like others. The
+    network learns from the labelled documents of the input outside the held-out fold."""
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model, out_col="_toxicity").where(F.col("_toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Takes the lines that ten documents or more share out of every text; all documents stay, some of them shorter (a
+    null text becomes empty). n_chars follows the text."""
+    out = linededup.drop_common_lines(docs)
+    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps of each group of near duplicates the document with the smallest doc_id, once. Documents without a doc_id
+    can't be told apart and stay."""
+    found = saved(simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id"))
+    once = found.distinct()
+    kept = docs.join(once, "doc_id", "left_semi").select(*docs.columns)
+    if found.count() > once.count():  # repeated ids
+        kept = kept.dropDuplicates(["doc_id"])
+    return kept.union(docs.where("doc_id is null"))
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Leaves out documents in which a window of a benchmark item occurs."""
+    out = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return out.where(F.size("hit_spans") == 0).select(*docs.columns)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, source, size, source_size, target and taken of every document: the words that the mix takes of it."""
+    return mixing.mix(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_lines),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix_sources),
+]
+
+#: A trained network and a graph's components have no SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; each one's rows are written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        docs = saved(stage(spark, docs, sf_dir))
+    return docs

@@ -1,14 +1,17 @@
 """The registered queries of this subpackage, and the SQL for those that SQL can express."""
 
-from omicspark.llm import decontaminate, embeddings, linededup, mixing, secrets, simhash, toxicity
+from omicspark.llm import decontaminate, embeddings, licenses, linededup, lmscore, mixing, quality, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_embeddings": embeddings.op1_embeddings,
     "op2_decontaminate": decontaminate.op2_decontaminate,
+    "op3_lmscore": lmscore.op3_lmscore,
+    "op4_quality": quality.op4_quality,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_secrets": secrets.op6_secrets,
     "op7_simhash": simhash.op7_simhash,
     "op8_linededup": linededup.op8_linededup,
+    "op9_licenses": licenses.op9_licenses,
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {
