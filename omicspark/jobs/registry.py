@@ -1,4 +1,10 @@
 """All registered queries of the library and the SQL that gives the same rows."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+import importlib
+
+from omicspark.jobs.query import ORACLES, QUERIES
+
+for _name in ("popgen", "relatedness"):
+    importlib.import_module(f"omicspark.jobs.{_name}")
+
+__all__ = ["ORACLES", "QUERIES"]
