@@ -31,15 +31,15 @@ SELECT gene, n0, n1, u, round((u - n0 * n1 / 2) / sqrt(n0 * n1 / 12 * (n0 + n1 +
 )
 _P = "(gene * 7919 % 1009) / 1009.0"
 query(
-    "win1_bh", "counts", lambda c: _r(X.benjamini_hochberg(c.where("sample_id < 4").withColumn("p", F.when(F.col("gene") % 50 == 0, None).otherwise(F.expr("cast((gene * 7919 + sample_id * 31) % 1009 as double) / 1009"))), "p", ["sample_id"], ["gene"]).select("gene", "sample_id", "padj"), "padj"),
-    """WITH x AS (SELECT gene, sample_id, CASE WHEN gene % 50 = 0 THEN NULL ELSE ((gene * 7919 + sample_id * 31) % 1009)::DOUBLE / 1009 END AS p FROM counts WHERE sample_id < 4),
+    "win1_bh", "counts", lambda c: _r(X.benjamini_hochberg(c.withColumn("p", F.when(F.col("gene") % 50 == 0, None).otherwise(F.expr("cast((gene * 7919 + sample_id * 31) % 1009 as double) / 1009"))), "p", ["sample_id"], ["gene"]).select("gene", "sample_id", "padj"), "padj"),
+    """WITH x AS (SELECT gene, sample_id, CASE WHEN gene % 50 = 0 THEN NULL ELSE ((gene * 7919 + sample_id * 31) % 1009)::DOUBLE / 1009 END AS p FROM counts),
 r AS (SELECT *, row_number() OVER (PARTITION BY sample_id ORDER BY p NULLS LAST, gene) AS k, count(*) OVER (PARTITION BY sample_id) AS n FROM x),
 a AS (SELECT *, min(coalesce(p * n / k, 1)) OVER (PARTITION BY sample_id ORDER BY k DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m FROM r)
 SELECT gene, sample_id, round(CASE WHEN p IS NULL THEN 1 ELSE least(1, m) END, 6) AS padj FROM a""",
 )
 query(
-    "fil10_significance", "counts", lambda c: X.significance(c.where("sample_id = 0").select("gene", F.expr("case gene % 4 when 0 then null when 1 then double('nan') when 2 then 0.0 else 0.2 end").alias("padj"), (F.col("gene") % 7 - 3).cast("double").alias("lfc")), "padj", "lfc").select("gene", "safe_p", "label"),
-    "WITH x AS (SELECT gene, CASE gene % 4 WHEN 2 THEN 1e-300 WHEN 3 THEN 0.2 ELSE 1 END AS safe_p, gene % 7 - 3 AS lfc FROM counts WHERE sample_id = 0) SELECT gene, safe_p::DOUBLE AS safe_p, CASE WHEN safe_p <= 0.05 AND lfc >= 1 THEN 'up' WHEN safe_p <= 0.05 AND lfc <= -1 THEN 'down' ELSE 'unchanged' END AS label FROM x",
+    "fil10_significance", "counts", lambda c: X.significance(c.select("gene", "sample_id", F.expr("case gene % 4 when 0 then null when 1 then double('nan') when 2 then 0.0 else 0.2 end").alias("padj"), (F.col("gene") % 7 - 3).cast("double").alias("lfc")), "padj", "lfc").select("gene", "sample_id", "safe_p", "label"),
+    "WITH x AS (SELECT gene, sample_id, CASE gene % 4 WHEN 2 THEN 1e-300 WHEN 3 THEN 0.2 ELSE 1 END AS safe_p, gene % 7 - 3 AS lfc FROM counts) SELECT gene, sample_id, safe_p::DOUBLE AS safe_p, CASE WHEN safe_p <= 0.05 AND lfc >= 1 THEN 'up' WHEN safe_p <= 0.05 AND lfc <= -1 THEN 'down' ELSE 'unchanged' END AS label FROM x",
 )
 _LFC = f"{_MOM}, d AS (SELECT gene, round(m1 - m0, 6) AS lfc FROM m)"
 query("agg26_top_genes", "counts", lambda c: X.top_k(X.differential_expression(c).select("gene", F.round("lfc", 6).alias("lfc")).withColumn("direction", F.when(F.col("lfc") > 0, "up").otherwise("down")), ["direction"], [F.abs("lfc").desc(), F.col("gene")], 10), f"WITH {_LFC}, e AS (SELECT *, CASE WHEN lfc > 0 THEN 'up' ELSE 'down' END AS direction FROM d) SELECT gene, lfc, direction, row_number() OVER (PARTITION BY direction ORDER BY abs(lfc) DESC, gene) AS rank FROM e QUALIFY rank <= 10")
@@ -53,18 +53,18 @@ _PRO = "x AS (SELECT gene, sample_id, CASE WHEN count = 0 THEN NULL ELSE count E
 query("fil8_protein_filter", "counts", lambda c: c.where("gene % 40 <> 0").select("gene", "sample_id", F.expr("nullif(count, 0)").alias("value")).groupBy("gene").agg(F.count("value").alias("n_values"), F.sum("value").alias("total")).where("n_values > 0"), f"WITH {_PRO} SELECT gene, count(v) AS n_values, sum(v)::BIGINT AS total FROM x WHERE NOT contaminant GROUP BY gene HAVING count(v) > 0")
 query("fil6_warn_samples", "counts", lambda c: c.join(c.where("count = 0").select("gene").distinct(), "gene", "left_anti").groupBy("gene").agg(F.sum("count").alias("total")), "SELECT gene, sum(count)::BIGINT AS total FROM counts WHERE gene NOT IN (SELECT gene FROM counts WHERE count = 0) GROUP BY gene")
 query("fil7_log10_positive", "counts", lambda c: c.where("grp = 1 and batch <> 2").select("gene", "sample_id", F.round(F.log10(F.expr("nullif(count, 0)")), 6).alias("log10_rfu")), "SELECT gene, sample_id, round(log10(nullif(count, 0)), 6) AS log10_rfu FROM counts WHERE grp = 1 AND batch <> 2")
-query("agg31_npx", "counts", lambda c: c.where("sample_id < 6").groupBy("gene").pivot("sample_id", list(range(6))).agg(F.first("count")).select("gene", *[F.col(str(i)).alias(f"s{i}") for i in range(6)]).join(c.groupBy("gene").agg(F.round(100 * F.count_if(F.col("count") > 50) / F.count("*"), 6).alias("above_lod_pct")), "gene"), f"SELECT gene, {', '.join(f'(max(count) FILTER (sample_id = {i}))::BIGINT AS s{i}' for i in range(6))}, round(100 * count(*) FILTER (count > 50) / count(*), 6) AS above_lod_pct FROM counts GROUP BY gene")
+query("agg31_npx", "counts", lambda c: c.groupBy("gene").pivot("sample_id", list(range(20))).agg(F.first("count")).select("gene", *[F.col(str(i)).alias(f"s{i}") for i in range(20)]).join(c.groupBy("gene").agg(F.round(100 * F.count_if(F.col("count") > 50) / F.count("*"), 6).alias("above_lod_pct")), "gene"), f"SELECT gene, {', '.join(f'(max(count) FILTER (sample_id = {i}))::BIGINT AS s{i}' for i in range(20))}, round(100 * count(*) FILTER (count > 50) / count(*), 6) AS above_lod_pct FROM counts GROUP BY gene")
 query("jon9_metadata", "counts", lambda c: c.join(c.select("sample_id", "grp").distinct().where("sample_id % 7 <> 0"), ["sample_id", "grp"], "left_anti").groupBy("sample_id").agg(F.count("*").alias("n_unmatched")), "SELECT sample_id, count(*) AS n_unmatched FROM counts WHERE sample_id % 7 = 0 GROUP BY sample_id")
 query(
     "jon12_paired_delta", "counts", lambda c: c.where("sample_id % 2 = 0").select("gene", (F.col("sample_id") / 2).cast("bigint").alias("subject"), F.col("count").alias("before")).join(c.where("sample_id % 2 = 1").select("gene", ((F.col("sample_id") - 1) / 2).cast("bigint").alias("subject"), F.col("count").alias("after")), ["gene", "subject"]).select("gene", "subject", (F.col("after") - F.col("before")).alias("delta")),
     "SELECT a.gene, a.sample_id // 2 AS subject, b.count - a.count AS delta FROM counts a JOIN counts b ON a.gene = b.gene AND b.sample_id = a.sample_id + 1 WHERE a.sample_id % 2 = 0",
 )
-query("jon20_outlier_panel", "counts", lambda c: c.where("sample_id = 1").join(F.broadcast(c.where("gene % 10 = 0 and sample_id = 0").select("gene", F.lit("panel").alias("mechanism"))), "gene", "left").select("gene", F.coalesce("mechanism", F.lit("none")).alias("mechanism")), "SELECT gene, CASE WHEN gene % 10 = 0 THEN 'panel' ELSE 'none' END AS mechanism FROM counts WHERE sample_id = 1")
+query("jon20_outlier_panel", "counts", lambda c: c.join(F.broadcast(c.where("gene % 10 = 0 and sample_id = 0").select("gene", F.lit("panel").alias("mechanism"))), "gene", "left").select("gene", "sample_id", F.coalesce("mechanism", F.lit("none")).alias("mechanism")), "SELECT gene, sample_id, CASE WHEN gene % 10 = 0 THEN 'panel' ELSE 'none' END AS mechanism FROM counts")
 query("agg46_correlation", "counts", lambda c: c.alias("a").join(c.alias("b"), (F.col("a.gene") == F.col("b.gene")) & (F.col("a.sample_id") < F.col("b.sample_id"))).groupBy(F.col("a.sample_id").alias("sample_1"), F.col("b.sample_id").alias("sample_2")).agg(F.round(F.corr("a.count", "b.count"), 6).alias("r")), "SELECT a.sample_id AS sample_1, b.sample_id AS sample_2, round(corr(a.count, b.count), 6) AS r FROM counts a JOIN counts b ON a.gene = b.gene AND a.sample_id < b.sample_id GROUP BY ALL")
-query("agg45_organ_clock", "counts", lambda c: c.where("gene % 25 = 0 and count > 0").withColumn("organ", F.col("gene") % 4).groupBy("sample_id", "organ").agg(F.round(30 + F.sum((F.col("gene") % 11 - 5) * F.log2(F.col("count") + 1)), 6).alias("age"), F.count("*").alias("n_used")), "SELECT sample_id, gene % 4 AS organ, round(30 + sum((gene % 11 - 5) * log2(count + 1)), 6) AS age, count(*) AS n_used FROM counts WHERE gene % 25 = 0 AND count > 0 GROUP BY ALL")
+query("agg45_organ_clock", "counts", lambda c: c.where("count > 0").withColumn("organ", F.col("gene") % 4).groupBy("sample_id", "organ").agg(F.round(30 + F.sum((F.col("gene") % 11 - 5) * F.log2(F.col("count") + 1)), 6).alias("age"), F.count("*").alias("n_used")), "SELECT sample_id, gene % 4 AS organ, round(30 + sum((gene % 11 - 5) * log2(count + 1)), 6) AS age, count(*) AS n_used FROM counts WHERE count > 0 GROUP BY ALL")
 query("agg52_probes", "counts", lambda c: c.groupBy((F.floor(F.col("gene") / 10)).alias("prefix"), "sample_id").agg(F.round(F.avg("count"), 6).alias("mean")), "SELECT gene // 10 AS prefix, sample_id, round(avg(count), 6) AS mean FROM counts GROUP BY ALL")
 query("win14_display_cap", "counts", lambda c: c.groupBy("sample_id").agg(F.round(F.greatest(F.percentile("count", F.lit(0.995)), F.lit(4.0)), 6).alias("cap")), "SELECT sample_id, round(greatest(quantile_cont(count::DOUBLE, 0.995), 4), 6) AS cap FROM counts GROUP BY sample_id")
-query("win15_even_sample", "counts", lambda c: X.evenly_spaced(c.where("sample_id < 3"), ["sample_id"], ["gene"], 48).select("sample_id", "gene"), "WITH x AS (SELECT sample_id, gene, row_number() OVER (PARTITION BY sample_id ORDER BY gene) - 1 AS i, count(*) OVER (PARTITION BY sample_id) AS n FROM counts WHERE sample_id < 3) SELECT sample_id, gene FROM x WHERE n <= 48 OR i = 0 OR (i * 47) // (n - 1) > ((i - 1) * 47) // (n - 1)")
+query("win15_even_sample", "counts", lambda c: X.evenly_spaced(c, ["sample_id"], ["gene"], 48).select("sample_id", "gene"), "WITH x AS (SELECT sample_id, gene, row_number() OVER (PARTITION BY sample_id ORDER BY gene) - 1 AS i, count(*) OVER (PARTITION BY sample_id) AS n FROM counts) SELECT sample_id, gene FROM x WHERE n <= 48 OR i = 0 OR (i * 47) // (n - 1) > ((i - 1) * 47) // (n - 1)")
 query("srt3_de_order", "counts", lambda c: X.differential_expression(c).select("gene", F.round("lfc", 6).alias("lfc")).orderBy(F.col("lfc").desc(), "gene").limit(25), f"WITH {_LFC} SELECT gene, lfc FROM d ORDER BY lfc DESC, gene LIMIT 25")
 query("fil11_base_mean", "counts", lambda c: c.groupBy("gene").agg(F.avg("count").alias("base")).withColumn("n_ok", F.count_if(F.col("base") >= 100).over(W.partitionBy(F.lit(1)))).where("n_ok = 0 or base >= 100").select("gene", F.round("base", 6).alias("base")), "WITH b AS (SELECT gene, avg(count) AS base FROM counts GROUP BY gene) SELECT gene, round(base, 6) AS base FROM b WHERE base >= 100 OR (SELECT count(*) FROM b WHERE base >= 100) = 0")
 query("agg27_majority", "obs", lambda o: _r(X.majority(o), "support", "confidence"), "WITH n AS (SELECT cluster, label, count(*) AS n, avg(confidence) AS c FROM obs GROUP BY ALL) SELECT cluster, label, n, (sum(n) OVER (PARTITION BY cluster))::BIGINT AS total, round(n / sum(n) OVER (PARTITION BY cluster), 6) AS support, round(c, 6) AS confidence FROM n QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, label) = 1")
@@ -82,8 +82,8 @@ SELECT cell, gene, count FROM k WHERE gene IN (SELECT gene FROM k WHERE count >
 )
 query("num10_variable_genes", "cells", lambda c: _r(X.variable_genes(c, F.lit(1000.0)), "z"))
 query(
-    "agg29_batch_mixing", "obs", lambda o: _r(X.batch_mixing(o.where("cell % 20 = 0").alias("a").join(o.where("cell % 20 < 4").alias("b"), (F.col("a.cell") < F.col("b.cell")) & (F.col("b.cell") <= F.col("a.cell") + 60)).select(F.col("a.cell").alias("cell"), F.col("a.batch").alias("batch"), F.col("b.batch").alias("other_batch"))), "cross", "entropy"),
-    """WITH e AS (SELECT a.cell, a.batch, b.batch AS ob, count(*) AS c FROM obs a JOIN obs b ON a.cell < b.cell AND b.cell <= a.cell + 60 WHERE a.cell % 20 = 0 AND b.cell % 20 < 4 GROUP BY ALL), p AS (SELECT *, c / sum(c) OVER (PARTITION BY cell) AS p FROM e)
+    "agg29_batch_mixing", "obs", lambda o: _r(X.batch_mixing(o.select("cell", "batch", F.explode(F.sequence(F.col("cell") + 1, F.col("cell") + 4)).alias("other")).join(o.select(F.col("cell").alias("other"), F.col("batch").alias("other_batch")), "other")), "cross", "entropy"),
+    """WITH e AS (SELECT a.cell, a.batch, b.batch AS ob, count(*) AS c FROM obs a JOIN obs b ON b.cell IN (a.cell + 1, a.cell + 2, a.cell + 3, a.cell + 4) GROUP BY ALL), p AS (SELECT *, c / sum(c) OVER (PARTITION BY cell) AS p FROM e)
 SELECT cell, round(sum(CASE WHEN batch <> ob THEN p ELSE 0 END), 6) AS cross, round(-sum(p * ln(p)), 6) AS entropy FROM p GROUP BY cell""",
 )
 query("agg30_abundance", "counts", lambda c: c.withColumn("pct", F.round(100 * F.col("count") / F.sum("count").over(W.partitionBy("sample_id")), 6)).where("count > 0").select("gene", "sample_id", "pct"), "WITH x AS (SELECT gene, sample_id, count, round(100 * count / sum(count) OVER (PARTITION BY sample_id), 6) AS pct FROM counts) SELECT gene, sample_id, pct FROM x WHERE count > 0")

@@ -25,4 +25,5 @@ def query(name: str, views: str, job: Callable[..., DataFrame], sql: str | None
     if sql is not None:
         ctes = ", ".join(view_sql(n) for n in names)
         rest = sql.strip()
-        ORACLES[name] = f"WITH {ctes}{', ' + rest[5:] if rest.upper().startswith('WITH ') else ' ' + rest}"
+        start = "WITH RECURSIVE" if rest.startswith("WITH RECURSIVE") else "WITH"
+        ORACLES[name] = f"{start} {ctes}, {rest[len(start) :]}" if rest.startswith("WITH ") else f"WITH {ctes} {rest}"

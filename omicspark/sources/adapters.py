@@ -69,7 +69,7 @@ SELECT p_partkey AS variant_id, p_partkey % 22 + 1 AS chrom, p_partkey * 100 AS
 FROM {part}""",
     "cohort": """
 SELECT user_id AS patient_id, user_id % 90 AS age, concat(event_type, '_', regexp_extract(props, '[0-9]+', 0)) AS condition
-FROM {events} WHERE event_id % 10 = 0""",
+FROM {events}""",
     "cells": """
 SELECT l_orderkey AS cell, l_partkey % 200 AS gene, CAST(sum(l_quantity) AS BIGINT) AS count FROM {lineitem} GROUP BY l_orderkey, l_partkey % 200""",
     "obs": """
@@ -78,6 +78,8 @@ FROM {lineitem} GROUP BY l_orderkey""",
     "pedigree": """
 SELECT c_custkey AS id, CASE WHEN c_custkey >= 16 THEN c_custkey DIV 2 END AS father, CASE WHEN c_custkey >= 16 THEN c_custkey DIV 3 END AS mother,
   c_custkey % 2 AS sex, c_acctbal AS trait FROM {customer}""",
+    "breeders": "SELECT s_suppkey AS id, s_suppkey % 2 AS sex FROM {supplier}",
+    "items": "SELECT item_id, text FROM {benchmark}",
     "papers": "SELECT doc_id, text, source, lang FROM {documents}",
     "vectors": "SELECT vec_id, embedding, label FROM {embeddings}",
 }
