@@ -86,8 +86,13 @@ def read_vcf_dosages(spark: SparkSession, path: str, clip: bool = False) -> Data
 def read_vcf_alleles(spark: SparkSession, path: str) -> DataFrame:
     """One row per alternative allele: variant_id (chrom:pos:ref:alts where there is none), chrom, pos, ref, alt, qual,
     filter (array), info (map; a flag is "true")."""
-    pairs = F.transform(F.filter(F.split("info", ";"), lambda x: ~x.isin("", ".")), lambda x: F.struct(F.substring_index(x, "=", 1).alias("k"), F.when(x.contains("="), F.substring(x, F.instr(x, "=") + 1, F.length(x))).otherwise("true").alias("v")))
-    df = _vcf(spark, path).select(F.when(F.col("id") == ".", F.concat_ws(":", "chrom", "pos", "ref", "alt")).otherwise(F.col("id")).alias("variant_id"), "chrom", "pos", "ref", F.explode(F.split("alt", ",")).alias("alt"), "qual", F.filter(F.split("filter", ";"), lambda x: x != ".").alias("filter"), F.aggregate(pairs, F.create_map().cast("map<string,string>"), lambda m, p: F.map_concat(F.map_filter(m, lambda k, v: k != p["k"]), F.create_map(p["k"], p["v"]))).alias("info"))
+    # The first of fields that repeat a key stays.
+    fields = F.filter(F.split("info", ";"), lambda x: ~x.isin("", "."))
+    keys = F.transform(fields, lambda x: F.substring_index(x, "=", 1))
+    once = F.filter(fields, lambda x, i: F.array_position(keys, F.substring_index(x, "=", 1)) == i + 1)
+    info = F.transform_values(F.str_to_map(F.array_join(once, ";"), F.lit(";"), F.lit("=")), lambda k, v: F.coalesce(v, F.lit("true")))
+    info = F.when(F.size(fields) > 0, info).otherwise(F.create_map().cast("map<string,string>"))
+    df = _vcf(spark, path).select(F.when(F.col("id") == ".", F.concat_ws(":", "chrom", "pos", "ref", "alt")).otherwise(F.col("id")).alias("variant_id"), "chrom", "pos", "ref", F.explode(F.split("alt", ",")).alias("alt"), "qual", F.filter(F.split("filter", ";"), lambda x: x != ".").alias("filter"), info.alias("info"))
     return df
 
 
@@ -201,7 +206,7 @@ def read_10x_mtx(spark: SparkSession, folder: str) -> DataFrame:
     joined to the names by line number."""
 
     def names(stem: str, field: int) -> DataFrame:
-        df = spark.read.text(f"{folder}/{stem}.tsv*", wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\r?\n")).alias("i", "line"))
+        df = spark.read.text(f"{folder}/{stem}.tsv*", wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("i", "line")).where("line <> ''")
         return df.select((F.col("i") + 1).alias("i"), F.get(F.split("line", "\t"), F.lit(field)).alias("name"))
 
     f = F.split(F.trim("value"), r"\s+")
