@@ -66,6 +66,8 @@ class Tokens:
         self.prefix = (head * np.uint32(2246822519) >> np.uint32(32 - PREFIX_BITS)).astype(np.int64)
 
     def inputs(self, m: Model) -> np.ndarray:
+        if not len(self.word):
+            return np.zeros((1, 3 * EMBED), np.float32)  # for windows of no tokens
         out = np.empty((len(self.word), 3 * EMBED), np.float32)
         out[:, :EMBED] = m["word"][self.word]
         for i in range(0, len(out), 4096):
@@ -235,6 +237,8 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
     tok = Tokens(data, np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
     start, length, text = tok.windows()
     m = _start(tok, np.repeat(np.arange(len(raw)), tok.counts), label, rng)
+    if not len(tok.word):
+        return m  # nothing to learn from
     first = np.concatenate([[0], np.flatnonzero(np.diff(text)) + 1])
     hint = (m["word"][tok.word, 0] + m["prefix"][tok.prefix, 0])[tok.kind]
     score = np.array([hint[a : a + n].max(initial=-9) for a, n in zip(start.tolist(), length.tolist(), strict=True)])
