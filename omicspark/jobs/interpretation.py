@@ -5,11 +5,12 @@ from pyspark.sql import functions as F
 from omicspark.jobs.query import query
 from omicspark.operators import annotate as A
 
-_POP = F.create_map(F.lit("afr"), F.col("afr"), F.lit("eas"), F.col("eas"), F.lit("gnomad_nfe"), F.col("nfe"))
+def _pop():
+    return F.create_map(F.lit("afr"), F.col("afr"), F.lit("eas"), F.col("eas"), F.lit("gnomad_nfe"), F.col("nfe"))
 
 
 def _prioritised(a):
-    return A.prioritised(a.withColumn("outlier", A.frequency_fields(_POP)["outlier"]))
+    return A.prioritised(a.withColumn("outlier", A.frequency_fields(_pop())["outlier"]))
 
 
 _SEV = "CASE consequence " + " ".join(f"WHEN '{c}' THEN {i}" for i, c in enumerate(A.SEVERITY)) + " END"
@@ -29,7 +30,7 @@ query(
     f"WITH {_PRIO} SELECT CASE WHEN grouping(gene) = 0 THEN 'gene' WHEN grouping(consequence) = 0 THEN 'consequence' WHEN grouping(impact_tier) = 0 THEN 'impact_tier' WHEN grouping(bucket) = 0 THEN 'bucket' ELSE 'tier' END AS field, coalesce(gene, consequence, impact_tier, bucket, tier) AS value, count(*) AS n FROM r GROUP BY GROUPING SETS (gene, consequence, impact_tier, bucket, tier)",
 )
 query(
-    "fn7_frequency", "annotations", lambda a: a.select("variant_id", *[(F.round(c, 6) if k in ("gnomad_min", "max_af", "spread") else c).alias(k) for k, c in A.frequency_fields(_POP).items() if k != "summary"]),
+    "fn7_frequency", "annotations", lambda a: a.select("variant_id", *[(F.round(c, 6) if k in ("gnomad_min", "max_af", "spread") else c).alias(k) for k, c in A.frequency_fields(_pop()).items() if k != "summary"]),
     """SELECT variant_id, round(nfe, 6) AS gnomad_min, round(greatest(afr, eas, nfe), 6) AS max_af, round(greatest(afr, eas, nfe) - least(afr, eas, nfe), 6) AS spread, greatest(afr, eas, nfe) - least(afr, eas, nfe) >= 0.05 AS outlier,
   CASE WHEN afr >= eas AND afr >= nfe THEN 'afr' WHEN eas >= nfe THEN 'eas' ELSE 'gnomad_nfe' END AS top_population FROM annotations""",
 )
