@@ -97,7 +97,7 @@ def _rebuilt(rows: Iterator[pa.RecordBatch], schema: pa.Schema, text_col: str, h
         texts, total, gone = [], [], []
         for i in range(batch.num_rows):
             lines = data[offsets[i] : offsets[i + 1]].tobytes().split(b"\n")
-            drop = heavy if own is None else set(own[i] or ())
+            drop = heavy if own is None else {np.array([x["h1"], x["h2"]], np.int64).tobytes() for x in own[i] or ()}
             kept = [x for x in lines if _key(x) not in drop] if drop else lines
             texts.append(b"\n".join(kept).decode())
             total.append(len(lines))
@@ -133,7 +133,7 @@ def drop_common_lines(docs: DataFrame, least: int = 10, text_col: str = "text",
         table = np.ascontiguousarray(rows[["h1", "h2"]].to_numpy(np.int64))
         sent = spark.sparkContext.broadcast(frozenset(x.tobytes() for x in table))
         return docs.mapInArrow(lambda it: _rebuilt(it, arrow, text_col, sent.value), schema)
-    own = hashes.join(heavy, ["h1", "h2"], "left_semi").distinct().select(F.col("text_key").alias("_key"), F.concat(*[F.reverse(F.unhex(F.lpad(F.hex(h), 16, "0"))) for h in ("h1", "h2")]).alias("h"))
+    own = hashes.join(heavy, ["h1", "h2"], "left_semi").distinct().select(F.col("text_key").alias("_key"), F.struct("h1", "h2").alias("h"))
     own = saved(own.groupBy("_key").agg(F.collect_list("h").alias("_heavy")))
     joined = docs.withColumn("_key", F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))).join(own, "_key", "left").drop("_key")
     return joined.mapInArrow(lambda it: _rebuilt(it, arrow, text_col), schema)
