@@ -29,6 +29,7 @@ def _ld(s):
 
 
 query("num3_susie", "sumstats", lambda s: S.finemap_susie(s.select("locus", "variant_id", "z", F.lit(5000.0).alias("n")), _ld(s)).withColumns({"pip": F.round("pip", 5), "purity": F.round("purity", 5)}))
+query("num4_susie_inf", "sumstats", lambda s: S.finemap(s.select("locus", "variant_id", "z", F.lit(5000.0).alias("n")), _ld(s), "susie_inf").withColumn("pip", F.round("pip", 4)))
 query("fil4_ld_prune", "genotypes_dense", lambda g: S.ld_prune(_dense(g), most_r2=0.2))
 
 

@@ -116,9 +116,10 @@ def test_susie_finds_planted_effects(spark):
     res = np.array([np.std(y - b[j] * x[:, j]) / (np.std(x[:, j]) * np.sqrt(n)) for j in range(p)])
     st = spark.createDataFrame([(1, j, float(b[j] / res[j]), float(n)) for j in range(p)], "locus long, variant_id long, z double, n double")
     ld = spark.createDataFrame([(1, i, j, float(r[i, j])) for i in range(p) for j in range(i)], "locus long, i long, j long, r double")
-    got = {g.variant_id: g for g in solvers.finemap_susie(st, ld).collect()}
-    assert got[10].pip > 0.9 and got[30].pip > 0.9 and got[10].converged
-    assert got[10].credible_set != got[30].credible_set and got[20].pip < 0.2
+    for method in ("susie", "susie_inf"):
+        got = {g.variant_id: g for g in solvers.finemap(st, ld, method).collect()}
+        assert got[10].pip > 0.9 and got[30].pip > 0.9 and got[10].converged, method
+        assert got[10].credible_set != got[30].credible_set and got[20].pip < 0.2, method
 
 
 def test_ancestry_recovers_a_population(spark):
