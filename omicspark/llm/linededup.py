@@ -62,11 +62,13 @@ class SortedRuns:
         return [run for level in self.levels for run in level]
 
     def add(self, batch: DataFrame) -> None:
-        """batch: h1, h2, one row per document and line. Lines that a run already holds as often as `least` stay out of
-        the new run: they are heavy whatever comes. The rest is counted and becomes a sorted run."""
+        """batch: h1, h2, one row per document and line. Its lines are counted first, so that a frequent one is combined
+        before any shuffle. Lines that a run already holds as often as `least` stay out of the new run: they are heavy
+        whatever comes. The rest becomes a sorted run."""
+        counted = batch.groupBy("h1", "h2").agg(F.count("*").alias("n"))
         for run in self.runs():
-            batch = batch.join(run.where(F.col("n") >= self.least), ["h1", "h2"], "left_anti")
-        self._put(0, batch.groupBy("h1", "h2").agg(F.count("*").alias("n")))
+            counted = counted.join(run.where(F.col("n") >= self.least).select("h1", "h2"), ["h1", "h2"], "left_anti")
+        self._put(0, counted)
 
     def _put(self, level: int, run: DataFrame) -> None:
         while len(self.levels) <= level:

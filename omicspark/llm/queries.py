@@ -15,6 +15,7 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
 }
 ORACLES = {
+    "op1_embeddings": embeddings.ORACLE,
     "op2_decontaminate": decontaminate.ORACLE,
     "op6_secrets": secrets.ORACLE,
     "op8_linededup": linededup.ORACLE,
