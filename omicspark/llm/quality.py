@@ -117,7 +117,7 @@ def with_evidence(docs: DataFrame, model: dict[str, np.ndarray], text_col: str =
     return _each(docs, text_col, T.StructField("evidence", T.DoubleType()), ratio)
 
 
-def _strength(level: DataFrame, rate: str, prior: str) -> Column:
+def _strength(rate: str, prior: str) -> Column:
     """Prior strength from groups with n documents, their own rate and their prior's: mean m(1-m) over the variance
     between groups beyond that of sampling, less one."""
     p, q = F.col(rate), F.col(prior)
@@ -136,12 +136,12 @@ def posterior(evidence: DataFrame, prior_log_odds: float, host_col: str = "host"
     df = evidence.withColumn("p", p)
     paths = saved(df.groupBy(host_col, path_col).agg(F.count("*").alias("n"), F.sum("p").alias("s")))
     hosts = paths.groupBy(host_col).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
-    mean = hosts.agg((F.sum("s") / F.sum("n")).alias("mean"))
-    hosts = hosts.crossJoin(F.broadcast(mean)).withColumn("rate", F.col("s") / F.col("n"))  # one row
-    hosts = hosts.crossJoin(F.broadcast(hosts.agg(_strength(hosts, "rate", "mean").alias("k"))))
-    hosts = saved(hosts.select(F.col(host_col).alias("h"), ((F.col("s") + F.col("k") * F.col("mean")) / (F.col("n") + F.col("k"))).alias("host_posterior")))
+    mean = hosts.agg((F.sum("s") / F.sum("n")).alias("mean")).first()["mean"]  # one number, null without rows
+    hosts = hosts.withColumns({"mean": F.lit(mean).cast("double"), "rate": F.col("s") / F.col("n")})
+    k = hosts.agg(_strength("rate", "mean").alias("k")).first()["k"]
+    hosts = saved(hosts.select(F.col(host_col).alias("h"), ((F.col("s") + k * F.col("mean")) / (F.col("n") + k)).alias("host_posterior")))
     level = paths.join(hosts, paths[host_col].eqNullSafe(hosts["h"])).drop("h").withColumn("rate", F.col("s") / F.col("n"))
-    level = saved(level.crossJoin(F.broadcast(level.agg(_strength(level, "rate", "host_posterior").alias("k")))))
+    level = saved(level.withColumn("k", F.lit(level.agg(_strength("rate", "host_posterior").alias("k")).first()["k"])))
     level = level.select(F.col(host_col).alias("_h"), F.col(path_col).alias("_p"), "n", "s", "k", "host_posterior")
     out = df.join(level, df[host_col].eqNullSafe(level["_h"]) & df[path_col].eqNullSafe(level["_p"]))
     rest = (F.col("s") - F.col("p") + F.col("k") * F.col("host_posterior")) / (F.col("n") - 1 + F.col("k"))
