@@ -104,9 +104,9 @@ def score_against_truth(found: DataFrame, truth: DataFrame) -> DataFrame:
     """found: run, gene. truth: gene, tier (null for a negative). Per run: true and false positives, misses, unknown
     genes, precision, recall and F1. Counts come from joins with the truth, without driver loops."""
     known = found.distinct().join(truth, "gene", "left").withColumn("known", F.col("is_truth").isNotNull())
-    total = truth.where("tier is not null").agg(F.count("*").alias("n_truth"))
-    df = known.groupBy("run").agg(F.count_if(F.col("tier").isNotNull()).alias("tp"), F.count_if(F.col("known") & F.col("tier").isNull()).alias("fp"), F.count_if(~F.col("known")).alias("unknown"), F.coalesce(F.sum(F.expr("1.0D / tier")), F.lit(0.0)).alias("weighted")).crossJoin(F.broadcast(total))  # one row
-    p, r = F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.col("tp") / F.col("n_truth")
+    n_truth = truth.where("tier is not null").count()
+    df = known.groupBy("run").agg(F.count_if(F.col("tier").isNotNull()).alias("tp"), F.count_if(F.col("known") & F.col("tier").isNull()).alias("fp"), F.count_if(~F.col("known")).alias("unknown"), F.coalesce(F.sum(F.expr("1.0D / tier")), F.lit(0.0)).alias("weighted")).withColumn("n_truth", F.lit(n_truth))
+    p, r = F.try_divide(F.col("tp"), F.col("tp") + F.col("fp")), F.try_divide(F.col("tp"), F.col("n_truth"))
     return df.select("run", "tp", "fp", (F.col("n_truth") - F.col("tp")).alias("fn"), "unknown", F.round("weighted", 6).alias("weighted"), F.round(p, 6).alias("precision"), F.round(r, 6).alias("recall"), F.round(F.try_divide(2 * p * r, p + r), 6).alias("f1"))
 
 

@@ -84,11 +84,11 @@ def markers(cells: DataFrame, obs: DataFrame) -> DataFrame:
     """U of each gene's counts, each cluster against the rest, over all cells. Only non-zero counts are read and ranked;
     the zeros, which are the first tie of each gene, are put in by their number."""
     sizes = obs.groupBy("cluster").agg(F.count("*").alias("n1"))
-    total = obs.agg(F.count("*").alias("n"))
+    total = obs.count()
     df = cells.where("count > 0").join(obs.select("cell", "cluster"), "cell")
     by_value = df.groupBy("gene", "cluster", "count").agg(F.count("*").alias("c1"))
     w = W.partitionBy("gene").orderBy("count")
-    by_gene = by_value.groupBy("gene", "count").agg(F.sum("c1").alias("c")).crossJoin(F.broadcast(total))  # one row
+    by_gene = by_value.groupBy("gene", "count").agg(F.sum("c1").alias("c")).withColumn("n", F.lit(total))
     nz = F.sum("c").over(W.partitionBy("gene"))
     mids = by_gene.withColumn("mid", F.col("n") - nz + F.sum("c").over(w.rowsBetween(W.unboundedPreceding, 0)) - (F.col("c") - 1) / 2).withColumn("zeros", F.col("n") - nz)
     sums = by_value.join(mids.select("gene", "count", "mid", "zeros", "n"), ["gene", "count"]).groupBy("gene", "cluster").agg(F.sum(F.col("c1") * F.col("mid")).alias("r"), F.sum("c1").alias("nz1"), F.max("zeros").alias("zeros"), F.max("n").alias("n"))

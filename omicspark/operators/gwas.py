@@ -66,9 +66,9 @@ def genome_offsets(stats: DataFrame) -> DataFrame:
 
 def qq_table(stats: DataFrame, log10p: str = "log10p") -> DataFrame:
     """rank, expected and observed -log10 p, by falling observed value."""
-    n = stats.agg(F.count("*").alias("n_all"))
-    df = ranked(stats, [F.col(log10p).desc(), F.col("variant_id")]).crossJoin(F.broadcast(n))  # one row
-    return df.select("variant_id", "rank", F.round(-F.log10((F.col("rank") - 0.5) / F.col("n_all")), 6).alias("expected"), F.round(log10p, 6).alias("observed"))
+    n = stats.count()
+    df = ranked(stats, [F.col(log10p).desc(), F.col("variant_id")])
+    return df.select("variant_id", "rank", F.round(-F.log10((F.col("rank") - 0.5) / F.lit(n)), 6).alias("expected"), F.round(log10p, 6).alias("observed"))
 
 
 def abf(stats: DataFrame, prior: float = 0.04, group: str = "locus") -> DataFrame:

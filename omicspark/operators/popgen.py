@@ -73,9 +73,9 @@ def equity_score(dosages: DataFrame, weights: tuple[float, ...] = SCORE_WEIGHTS)
         raise ValueError("weights must not all be zero")
     w = [x / sum(weights) for x in weights]
     parts = representation(population_sizes(dosages))
-    het = heterozygosity(dosages).agg(F.least(F.lit(1.0), F.coalesce(F.avg("observed_het"), F.lit(0.0)) / 0.5).alias("heterozygosity_balance"))
-    n_fst = pairwise_fst(dosages).agg(F.count("fst").alias("n_fst"))
-    df = parts.crossJoin(F.broadcast(het)).crossJoin(F.broadcast(n_fst))  # single rows
+    het = heterozygosity(dosages).agg(F.avg("observed_het").alias("h")).first()["h"]
+    n_fst = pairwise_fst(dosages).where("fst is not null").count()
+    df = parts.withColumns({"heterozygosity_balance": F.lit(min(1.0, (het or 0.0) / 0.5)), "n_fst": F.lit(n_fst)})
     possible = F.col("n_populations") * (F.col("n_populations") - 1) / 2
     df = df.withColumn("fst_coverage", F.coalesce(F.least(F.lit(1.0), F.try_divide(F.col("n_fst"), possible)), F.lit(0.0)))
     score = 100 * (w[0] * F.coalesce("representation_index", F.lit(0.0)) + w[1] * F.col("heterozygosity_balance") + w[2] * F.col("fst_coverage") + w[3] * F.col("geographic_spread"))
