@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from omicspark.functions.stats import t_two_sided_p, two_sided_p
+from omicspark.operators.gwas import ranked
 
 
 def sample_qc(counts: DataFrame) -> DataFrame:
@@ -39,6 +40,21 @@ def benjamini_hochberg(df: DataFrame, p: str, group: list[str], tie: list[str],
     return df.withColumn(name, F.when(valid.isNull(), 1.0).otherwise(adj)).drop("_rank", "_n")
 
 
+def benjamini_hochberg_global(df: DataFrame, p: str, tie: list[str], name: str = "padj", slices: int = 64) -> DataFrame:
+    """benjamini_hochberg() of one group of any size: ranks go by ranges, each range takes its own least value from the
+    largest p down, and the least of the ranges after it is carried over (one row per range)."""
+    valid = F.when(~F.isnan(p), F.col(p))
+    n = df.count()
+    numbered = ranked(df.withColumn("_p", valid), [F.col("_p").asc_nulls_last(), *[F.col(c).asc() for c in tie]], "_rank", slices, keep_part=True)
+    numbered = numbered.withColumn("_raw", F.coalesce(F.col("_p") * n / F.col("_rank"), F.lit(1.0)))
+    least = numbered.groupBy("_part").agg(F.min("_raw").alias("_m"))
+    after = least.select("_part", F.min("_m").over(W.orderBy(F.col("_part").desc()).rowsBetween(W.unboundedPreceding, -1)).alias("_after"))
+    down = F.min("_raw").over(W.partitionBy("_part").orderBy(F.col("_rank").desc()).rowsBetween(W.unboundedPreceding, 0))
+    out = numbered.withColumn("_down", down).join(F.broadcast(after), "_part")
+    adj = F.least(F.lit(1.0), F.col("_down"), F.coalesce("_after", F.lit(1.0)))
+    return out.withColumn(name, F.when(F.col("_p").isNull(), 1.0).otherwise(adj)).drop("_p", "_part", "_rank", "_raw", "_down", "_after")
+
+
 def two_group_moments(values: DataFrame, value: str) -> DataFrame:
     """Per gene: n, mean and sample variance of groups 0 and 1."""
     aggs = []
@@ -54,7 +70,7 @@ def differential_expression(counts: DataFrame) -> DataFrame:
     m = two_group_moments(cpm(counts), "log2_cpm")
     se = F.sqrt((F.col("var0") + 1e-12) / F.col("n0") + (F.col("var1") + 1e-12) / F.col("n1"))
     df = m.select("gene", (F.col("mean1") - F.col("mean0")).alias("lfc"), ((F.col("mean1") - F.col("mean0")) / se).alias("z"))
-    return benjamini_hochberg(df.withColumn("p", two_sided_p(F.col("z"))).withColumn("_g", F.lit(0)), "p", ["_g"], ["gene"]).drop("_g")
+    return benjamini_hochberg_global(df.withColumn("p", two_sided_p(F.col("z"))), "p", ["gene"])
 
 
 def welch(values: DataFrame, value: str, least: int = 3, s0: float = 0.1) -> DataFrame:

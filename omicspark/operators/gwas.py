@@ -12,14 +12,21 @@ from omicspark.functions.stats import chi2_sf, two_sided_p
 SIGNIFICANT, SUGGESTIVE, CHI2_MEDIAN = 5e-8, 1e-5, 0.4549364
 
 
-def ranked(df: DataFrame, order: list[Column], name: str = "rank", slices: int = 64) -> DataFrame:
+def in_ranges(df: DataFrame, order: list[Column], slices: int = 64) -> DataFrame:
+    """df dealt by ranges of the order, with _part, the number of a row's range. Written to the checkpoint folder, so that
+    every later use sees the same ranges."""
+    dealt = df.repartitionByRange(slices, *order).withColumn("_part", F.spark_partition_id())
+    return dealt.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else dealt
+
+
+def ranked(df: DataFrame, order: list[Column], name: str = "rank", slices: int = 64, keep_part: bool = False) -> DataFrame:
     """df with the 1-based place of each row in one global order, without a single-task window: rows go to ranges, each
     range is numbered by itself, and the sizes of the ranges before are added (one row per range)."""
-    dealt = df.repartitionByRange(slices, *order).withColumn("_part", F.spark_partition_id())
+    dealt = in_ranges(df, order, slices)
     numbered = dealt.withColumn(name, F.row_number().over(W.partitionBy("_part").orderBy(*order)))
     sizes = numbered.groupBy("_part").agg(F.count("*").alias("_n"))
     before = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    return numbered.join(F.broadcast(before), "_part").withColumn(name, F.col(name) + F.col("_before")).drop("_part", "_before")
+    return numbered.join(F.broadcast(before), "_part").withColumn(name, F.col(name) + F.col("_before")).drop(*(["_before"] if keep_part else ["_part", "_before"]))
 
 
 def lambda_gc(stats: DataFrame, group: str) -> DataFrame:

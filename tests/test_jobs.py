@@ -99,6 +99,12 @@ def test_bh_with_nulls(spark):
     assert got == {1: 0.05, 2: 0.066667, 3: 0.066667, 4: 1.0, 5: 1.0}
 
 
+def test_bh_over_ranges_is_the_same(spark):
+    df = spark.range(500).select("id", F.when(F.col("id") % 50 == 3, None).otherwise((F.col("id") * 7919 % 1009) ** 2 / 1009.0**2).alias("p"), F.lit(0).alias("g"))
+    one = {r.id: round(r.padj, 9) for r in expression.benjamini_hochberg(df, "p", ["g"], ["id"]).collect()}
+    assert one == {r.id: round(r.padj, 9) for r in expression.benjamini_hochberg_global(df, "p", ["id"], slices=7).collect()}
+
+
 def test_segments_by_hand(spark):
     df = spark.createDataFrame([(1, 1, p, m, a) for p, (m, a) in enumerate([(0, 1), (1, 1), (2, 2), (1, 1), (1, 1), (0, 1)] + [(0, 2)] * 12)], "sample_id long, chrom long, pos long, modern int, archaic int")
     got = solvers.segments(df).collect()
