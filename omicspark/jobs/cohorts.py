@@ -22,7 +22,12 @@ query(
     "jon18_skill_gates", "pedigree", lambda p: C.gates_passed(_traits(p), p.sparkSession.sql("values ('a', 'trait0', 30), ('a', 'trait1', 50), ('b', 'trait2', 80), ('c', 'trait1', 10), ('c', 'trait3', 10) as g(skill, trait, least)")),
     f"WITH {_TRAITS}, g(skill, trait, least) AS (VALUES ('a', 'trait0', 30), ('a', 'trait1', 50), ('b', 'trait2', 80), ('c', 'trait1', 10), ('c', 'trait3', 10)) SELECT id, skill, bool_and(value >= least) AS unlocked, coalesce(string_agg(trait, ',' ORDER BY trait) FILTER (value < least), '') AS short FROM t JOIN g USING (trait) GROUP BY id, skill",
 )
-query("jon19_disease_status", "pedigree", lambda p: p.groupBy("id").agg(F.bool_or((F.col("id") * 7 % 3 == 2) & (F.col("id") * 5 % 4 >= 1)).alias("affected")), "SELECT id, id * 7 % 3 = 2 AND id * 5 % 4 >= 1 AS affected FROM pedigree")
+_NEEDS = "values ('d1', 3, 'alt/?'), ('d1', 8, 'ref/ref'), ('d2', 5, 'alt/alt'), ('d3', 7, 'alt/?'), ('d3', 11, 'alt/?'), ('d3', 19, 'alt/?')"
+query(
+    "jon19_disease_status", "genotypes_dense", lambda g: C.disease_status(g.select("sample_id", "variant_id", (F.length("genotype") - F.length(F.replace("genotype", F.lit("G"), F.lit("")))).alias("dosage")), g.sparkSession.sql(f"{_NEEDS} as t(disease, variant_id, need)")),
+    f"""WITH n(disease, variant_id, need) AS ({_NEEDS}), c AS (SELECT sample_id, disease, need, length(genotype) - length(replace(genotype, 'G', '')) AS d FROM genotypes_dense JOIN n USING (variant_id))
+SELECT sample_id, disease, count(*) FILTER ((need = 'alt/alt' AND d = 2) OR (need = 'alt/?' AND d >= 1) OR (need = 'ref/ref' AND d = 0)) = (SELECT count(*) FROM n WHERE n.disease = c.disease) AS affected FROM c GROUP BY sample_id, disease""",
+)
 query(
     "jon14_compatibility", "breeders", lambda p: C.compatibility(p.select("id", "sex", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("locus")).select("id", "sex", "locus", ((F.col("id") * F.col("locus") + F.floor(F.col("id") / 3)) % 3).alias("state"))),
     "WITH c AS (SELECT id, sex, l AS locus, (id * l + id // 3) % 3 AS state FROM breeders, range(1, 9) r(l)) SELECT f.id AS female, m.id AS male, count(*) AS n_loci, round(1 - count(*) FILTER (f.state > 0 AND m.state > 0) / count(*), 6) AS compatibility FROM c f JOIN c m ON f.locus = m.locus AND f.sex = 0 AND m.sex = 1 GROUP BY ALL",

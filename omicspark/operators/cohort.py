@@ -55,6 +55,16 @@ def gates_passed(traits: DataFrame, gates: DataFrame) -> DataFrame:
     return met.join(F.broadcast(need), "skill").select("id", "skill", (F.col("n_met") == F.col("n_gates")).alias("unlocked"), F.array_join("short", ",").alias("short"))
 
 
+def disease_status(calls: DataFrame, needs: DataFrame) -> DataFrame:
+    """calls: sample_id, variant_id, dosage. needs: disease, variant_id, need (alt/alt, alt/? or ref/ref; a constant list).
+    Per sample with any of a disease's loci: whether all of its genotypes are there; a locus without a call isn't met."""
+    total = needs.groupBy("disease").agg(F.count("*").alias("n"))
+    d, need = F.col("dosage"), F.col("need")
+    met = ((need == "alt/alt") & (d == 2)) | ((need == "alt/?") & (d >= 1)) | ((need == "ref/ref") & (d == 0))
+    df = calls.join(F.broadcast(needs), "variant_id").groupBy("sample_id", "disease").agg(F.count_if(met).alias("n_met"))
+    return df.join(F.broadcast(total), "disease").select("sample_id", "disease", (F.col("n_met") == F.col("n")).alias("affected"))
+
+
 def compatibility(calls: DataFrame) -> DataFrame:
     """calls: id, sex, locus, state (0/1/2). For all pairs of a female (0) and a male (1): the share of common loci at
     which not both carry the allele. The pairs meet by locus."""
