@@ -28,7 +28,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     can't be told apart and stay."""
     found = saved(simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id"))
     once = found.distinct()
-    kept = docs.join(once, "doc_id", "left_semi").select(*docs.columns)
+    # Sort-merge at every size: the ids grow with the documents, so that no small size may stand for them.
+    kept = docs.join(once.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
     if found.count() > once.count():  # repeated ids
         kept = kept.dropDuplicates(["doc_id"])
     return kept.union(docs.where("doc_id is null"))
