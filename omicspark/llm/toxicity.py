@@ -48,9 +48,10 @@ class Tokens:
         data = tokens.LOWER[data]
         start, end, text = tokens.bounds(data, offsets)
         start, end, text = tokens.cut(start, end, text, TOKEN)
-        hashes, first, self.kind = np.unique(tokens.span_hashes(data, start, end), return_index=True, return_inverse=True)
+        self.hashes, first, kind = np.unique(tokens.span_hashes(data, start, end), return_index=True, return_inverse=True)
+        self.kind = kind.astype(np.int32)
         self.counts = np.bincount(text, minlength=len(offsets) - 1)
-        self.word = (hashes >> np.uint64(64 - WORD_BITS)).astype(np.int64)
+        self.word = (self.hashes >> np.uint64(64 - WORD_BITS)).astype(np.int32)
         a, b = start[first], end[first]
         at = a[:, None] + np.arange(TOKEN)
         marked = np.zeros((len(a), TOKEN + 2), np.uint32)
@@ -59,11 +60,27 @@ class Tokens:
             marked[:, 1:-1] = np.where(at < b[:, None], data[np.minimum(at, len(data) - 1)], 0)
             marked[np.arange(len(a)), b - a + 1] = 2
         mixed = ((marked[:, :-2] << np.uint32(16)) | (marked[:, 1:-1] << np.uint32(8)) | marked[:, 2:]) * np.uint32(2654435761)
-        self.chars = (mixed >> np.uint32(32 - CHAR_BITS)).astype(np.int32)
-        self.valid = (np.arange(TOKEN) < (b - a)[:, None]).astype(np.float32)
-        self.valid /= np.maximum(self.valid.sum(axis=1, keepdims=True), 1)
+        self.chars = (mixed >> np.uint32(32 - CHAR_BITS)).astype(np.uint16)
+        self.length = (b - a).astype(np.uint8)
         head = (marked[:, 1] << np.uint32(24)) | (marked[:, 2] << np.uint32(16)) | (marked[:, 3] << np.uint32(8)) | marked[:, 4]
-        self.prefix = (head * np.uint32(2246822519) >> np.uint32(32 - PREFIX_BITS)).astype(np.int64)
+        self.prefix = (head * np.uint32(2246822519) >> np.uint32(32 - PREFIX_BITS)).astype(np.uint16)
+
+    @classmethod
+    def joined(cls, parts: list[Tokens]) -> Tokens:
+        """The tokens of all parts, in order: memory follows the different tokens and not all of them."""
+        out = cls.__new__(cls)
+        out.hashes, first, place = np.unique(np.concatenate([p.hashes for p in parts]), return_index=True, return_inverse=True)
+        place = np.split(place.astype(np.int32), np.cumsum([len(p.hashes) for p in parts])[:-1])
+        out.kind = np.concatenate([own[p.kind] for own, p in zip(place, parts, strict=True)])
+        for name in ("word", "chars", "length", "prefix"):
+            setattr(out, name, np.concatenate([getattr(p, name) for p in parts])[first])
+        out.counts = np.concatenate([p.counts for p in parts])
+        return out
+
+    def valid(self, at) -> np.ndarray:
+        """The weight of each character trigram of kinds of tokens."""
+        n = self.length[at].astype(np.int32)[:, None]
+        return (np.arange(TOKEN) < n).astype(np.float32) / np.maximum(n, 1).astype(np.float32)
 
     def inputs(self, m: Model) -> np.ndarray:
         if not len(self.word):
@@ -71,7 +88,7 @@ class Tokens:
         out = np.empty((len(self.word), 3 * EMBED), np.float32)
         out[:, :EMBED] = m["word"][self.word]
         for i in range(0, len(out), 4096):
-            out[i : i + 4096, EMBED : 2 * EMBED] = np.einsum("ncd,nc->nd", m["char"][self.chars[i : i + 4096]], self.valid[i : i + 4096])
+            out[i : i + 4096, EMBED : 2 * EMBED] = np.einsum("ncd,nc->nd", m["char"][self.chars[i : i + 4096]], self.valid(slice(i, i + 4096)))
         out[:, 2 * EMBED :] = m["prefix"][self.prefix]
         return out
 
@@ -177,7 +194,7 @@ def gradients(m: Model, tok: Tokens, x: np.ndarray, at: np.ndarray, length: np.n
     for name in ("word", "char", "prefix"):
         g[name] = np.zeros_like(m[name])
     np.add.at(g["word"], tok.word[kinds], dx[:, :EMBED])
-    np.add.at(g["char"], tok.chars[kinds], dx[:, None, EMBED : 2 * EMBED] * tok.valid[kinds][:, :, None])
+    np.add.at(g["char"], tok.chars[kinds], dx[:, None, EMBED : 2 * EMBED] * tok.valid(kinds)[:, :, None])
     np.add.at(g["prefix"], tok.prefix[kinds], dx[:, 2 * EMBED :])
     return g
 
@@ -191,14 +208,16 @@ def _start(tok: Tokens, text_of: np.ndarray, label: np.ndarray, rng: np.random.G
 
     n1, n0 = max(label.sum(), 1), max(len(label) - label.sum(), 1)
     m: Model = {}
-    pair = np.divmod(np.unique(text_of * max(len(tok.word), 1) + tok.kind), max(len(tok.word), 1))
     for name, bits in (("word", WORD_BITS), ("char", CHAR_BITS), ("prefix", PREFIX_BITS)):
         ids = getattr(tok, {"char": "chars"}.get(name, name))
-        if name == "char":
-            each = [np.unique((pair[0] * (1 << bits) + ids[pair[1], i])[tok.valid[pair[1], i] > 0]) for i in range(TOKEN)]
-            has = np.unique(np.concatenate(each))
-        else:
-            has = np.unique(pair[0] * (1 << bits) + ids[pair[1]])
+        has = np.zeros(0, np.int64)  # text and feature in one number
+        for i in range(0, len(tok.kind), 1 << 16):
+            text, kind = text_of[i : i + (1 << 16)] << bits, tok.kind[i : i + (1 << 16)]
+            if name == "char":
+                new = (text[:, None] + ids[kind])[np.arange(TOKEN) < tok.length[kind][:, None]]
+            else:
+                new = text + ids[kind]
+            has = np.union1d(has, new)
         toxic = label[has >> bits]
         c1, c0 = (np.bincount(has & ((1 << bits) - 1), weights=x, minlength=1 << bits) for x in (toxic, 1 - toxic))
         share = 2.0 / (n1 + n0)
@@ -233,10 +252,14 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
     rng = np.random.default_rng(seed)
     raw = [(t or "").encode() for t in texts] + [b""]  # a text of no tokens keeps every array from being empty
     label = np.array([*labels, 0], np.float64)
-    data = np.frombuffer(b"".join(raw) or b" ", np.uint8)
-    tok = Tokens(data, np.concatenate([[0], np.cumsum([len(x) for x in raw])]))
+    parts = []
+    for i in range(0, len(raw), 100):
+        own = raw[i : i + 100]
+        parts.append(Tokens(np.frombuffer(b"".join(own), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in own])])))
+    tok = Tokens.joined(parts)
+    del parts, raw[:-1]
     start, length, text = tok.windows()
-    m = _start(tok, np.repeat(np.arange(len(raw)), tok.counts), label, rng)
+    m = _start(tok, np.repeat(np.arange(len(label)), tok.counts), label, rng)
     if not len(tok.word):
         return m  # nothing to learn from
     first = np.concatenate([[0], np.flatnonzero(np.diff(text)) + 1])
@@ -244,7 +267,7 @@ def train(texts: list[str], labels: list[int], rounds: int = ROUNDS, seed: int =
     score = np.array([hint[a : a + n].max(initial=-9) for a, n in zip(start.tolist(), length.tolist(), strict=True)])
     moments = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in m.items()}
     step = 0
-    rounds = max(rounds, -(-STEPS * BATCH // (len(raw) + int((label == 0).sum()))))
+    rounds = max(rounds, -(-STEPS * BATCH // (len(label) + int((label == 0).sum()))))
     for round_ in range(rounds):
         if round_:
             score = _window_logits(m, tok, start, length)
