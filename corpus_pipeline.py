@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from omicspark.llm import decontaminate, linededup, mixing, simhash, toxicity
+from omicspark.llm import decontaminate, linededup, mixing, shingles, toxicity
 from omicspark.llm.common import saved
 
 
@@ -24,15 +24,16 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of near duplicates the document with the smallest doc_id, once. Documents without a doc_id
-    can't be told apart and stay."""
-    found = saved(simhash.near_duplicates(docs).where("doc_id = component_id").select("doc_id"))
-    once = found.distinct()
+    """Keeps of each group of near duplicates (chains of texts whose sets of five-word shingles have a Jaccard similarity
+    of at least 0.8) the row with the smallest doc_id, once. Rows that repeat both doc_id and text are one; different
+    texts with one doc_id are documents of their own. Documents without a doc_id can't be told apart and stay."""
+    once, repeated = shingles.first_rows(docs.where("doc_id is not null"))
     # Sort-merge at every size: the ids grow with the documents, so that no small size may stand for them.
-    kept = docs.join(once.hint("merge"), "doc_id", "left_semi").select(*docs.columns)
-    if found.count() > once.count():  # repeated ids
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept.union(docs.where("doc_id is null"))
+    marked = docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
+    kept = marked.join(once.withColumnRenamed("th", "_th").hint("merge"), ["doc_id", "_th"], "left_semi")
+    if repeated:
+        kept = kept.dropDuplicates(["doc_id", "_th"])
+    return kept.select(*docs.columns).union(docs.where("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
