@@ -78,7 +78,8 @@ def _canonical(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         d = x ^ y
         low = d & (~d + np.uint64(1))  # its lowest bit
         n = np.bitwise_count(d)
-        key = np.where(n == 2, (x & ~d) | low, x & y)
+        # Two bits apart they meet halfway: below both where each has one of the bits, else with one of them.
+        key = np.where((n == 2) & (np.bitwise_count(x & d) != 1), (x & ~d) | low, x & y)
         out = np.where((out < 0) & (n <= 2), (key.astype(np.int64) << 2) | s, out)
     return out
 
