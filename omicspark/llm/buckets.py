@@ -11,10 +11,10 @@ from pyspark.sql import functions as F
 
 from omicspark.llm.common import forest, saved
 
-#: Buckets of more rows are cut into blocks, and each pair of blocks becomes a bucket of its own.
-BLOCK = 256
-#: A bucket has at most so many blocks, so that a row is repeated at most so often; blocks grow beyond.
-MOST_BLOCKS = 64
+#: Buckets of more rows are cut into blocks, and each pair of blocks becomes a bucket of its own. A bucket of n rows has
+#: blocks of BLOCK rows, or of GROWTH * sqrt(n) where that is more: as n grows, a row is repeated sqrt(n) / GROWTH times,
+#: and the rows that a task holds at once grow no faster than that.
+BLOCK, GROWTH = 256, 4
 
 
 def blocked(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -26,7 +26,7 @@ def blocked(rows: DataFrame, columns: list[str]) -> DataFrame:
     Sizes are partial aggregates; only keys of more than one row are kept, and only large buckets are repeated."""
     sizes = saved(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     few = rows.join(sizes, "key")
-    blocks = F.least(F.ceil(F.col("n") / BLOCK), F.lit(MOST_BLOCKS)).cast("int")
+    blocks = F.ceil(F.col("n") / F.greatest(F.lit(BLOCK), GROWTH * F.sqrt("n"))).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("b")).cast("int")
     few = few.withColumn("b", blocks).withColumn("own", own)
     pairs = F.when(F.col("b") == 1, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("b") - 1), lambda x: F.least(x, F.col("own")) * F.col("b") + F.greatest(x, F.col("own"))))

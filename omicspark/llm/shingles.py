@@ -1,10 +1,13 @@
-"""Near-duplicate documents by the Jaccard similarity of their sets of word shingles, exact.
+"""Near duplicates by the Jaccard similarity of sets of word shingles, exact: the similarity mode of `simhash`.
 
-The least common shingle hash of two sets with similarity of at least 4/5 is among the smallest fifth (and one) of each
-set, so that the pair meets in the bucket of a hash of both prefixes. Pairs must pass an exact filter: their parity
-bitmaps differ in no more bits than the sets may differ in shingles. Only texts of pairs that pass are fetched again and
-compared in full. Buckets are settled in rounds. First every member is checked against its bucket's smallest one; what
-these links join needs no further check. Buckets that still hold several components are compared in blocks.
+A text's fingerprint here is the parity of its shingles in as many bits as it has shingles (a power of two; a longer
+fingerprint folds to a shorter one by XOR of its halves), because two such fingerprints never differ in more bits than
+the sets differ in shingles. Sets with a similarity of at least 4/5 share one of the smallest fifth (and one) of their
+shingle hashes, so that the pair meets in the bucket of that hash. There it must pass the sizes and the pigeonring of the
+fingerprints' segments, then the full Hamming check; only the sets of pairs that pass are fetched and compared.
+
+Buckets are settled in rounds. First every member is checked against its bucket's smallest one; what these links join
+needs no further check. Buckets that still hold several components are compared in blocks.
 """
 
 from __future__ import annotations
@@ -17,14 +20,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from omicspark.llm import tokens
-from omicspark.llm.buckets import blocked, compare, groups
+from omicspark.llm.buckets import blocked, groups
 from omicspark.llm.common import components, dropped, pieces, saved
 
 #: Words of a shingle. Sets link from a Jaccard similarity of 4/5: 9 x common >= 4 x (size + other size).
 WORDS = 5
-#: Rounds of checks against one member of each bucket, bits of a bitmap, and bits of a bucket's key (buckets of several
-#: hashes only have more pairs to check).
-ROUNDS, BITS, KEY = 2, 1024, 40
+#: Rounds of checks against one member of each bucket, and bits of a bucket's key (buckets of several hashes only have
+#: more pairs to check).
+ROUNDS, KEY = 2, 40
+#: Fewest and most bits of a fingerprint, and segments of its ring.
+LEAST_BITS, MOST_BITS, SEGMENTS = 256, 16_384, 4
 #: Texts to fetch that are broadcast as ids at most.
 BROADCAST_IDS = 1_000_000
 
@@ -62,10 +67,19 @@ def _nodes(found: np.ndarray, at: np.ndarray) -> np.ndarray:
     return tokens.mixed(sums[at[1:]] - sums[at[:-1]]).view(np.int64)
 
 
-def _bitmap(found: np.ndarray) -> np.ndarray:
-    """Parity of the set's hashes in each of BITS bits: bitmaps of two sets differ in at most as many bits as the sets
-    differ in hashes."""
-    return np.packbits((np.bincount((found & np.uint64(BITS - 1)).astype(np.int64), minlength=BITS) & 1).astype(bool)).view(np.int64)
+def n_words(size: np.ndarray) -> np.ndarray:
+    """64-bit words of the fingerprint of a set of that size."""
+    bits = 2.0 ** np.ceil(np.log2(np.maximum(size, 1)))
+    return np.clip(bits, LEAST_BITS, MOST_BITS).astype(np.int64) // 64
+
+
+def _parities(found: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words of all sets' fingerprints, and their offsets by set."""
+    words = n_words(np.diff(at))
+    to = np.concatenate([[0], np.cumsum(words)])
+    own = np.repeat(np.arange(len(words)), np.diff(at))
+    bit = to[own] * 64 + (found & (words[own] * 64 - 1).astype(np.uint64)).astype(np.int64)
+    return np.packbits((np.bincount(bit, minlength=to[-1] * 64) & 1).astype(bool), bitorder="little").view(np.uint64), to
 
 
 def with_prefixes(docs: DataFrame) -> DataFrame:
@@ -79,8 +93,8 @@ def with_prefixes(docs: DataFrame) -> DataFrame:
             to = np.concatenate([[0], np.cumsum(many)])
             own = (found[np.arange(to[-1]) + np.repeat(at[:-1] - to[:-1], many)] & np.uint64((1 << KEY) - 1)).view(np.int64)
             prefix = pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(own))
-            bits = np.concatenate([_bitmap(found[at[i] : at[i + 1]]) for i in range(batch.num_rows)])
-            bits = pa.ListArray.from_arrays(pa.array(np.arange(batch.num_rows + 1) * (BITS // 64), pa.int32()), pa.array(bits))
+            parity, ends = _parities(found, at)
+            bits = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(parity.view(np.int64)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_nodes(found, at)), pa.array(size), prefix, bits], names=["doc_id", "th", "node", "size", "prefix", "bits"])
 
     return docs.mapInArrow(add, f"doc_id {dict(docs.dtypes)['doc_id']}, th bigint, node bigint, size bigint, prefix array<bigint>, bits array<bigint>")
@@ -97,12 +111,68 @@ def with_sets(texts: DataFrame) -> DataFrame:
     return texts.select("node", "text").mapInArrow(add, "node bigint, shingles array<bigint>")
 
 
+def folded(flat: np.ndarray, start: np.ndarray, words: np.ndarray, to: int) -> np.ndarray:
+    """Fingerprints of `words` words from each start, folded to `to` words. All have the same number of words."""
+    out = flat[start[:, None] + np.arange(words[0])]
+    while out.shape[1] > to:
+        out = out[:, : out.shape[1] // 2] ^ out[:, out.shape[1] // 2 :]
+    return out
+
+
+def ring_passes(counts: np.ndarray, budget: np.ndarray) -> np.ndarray:
+    """counts: differing bits by pair and segment. Whether some start on the ring has only viable chains: the first l
+    segments from it differ in at most l / segments of the budget. Each pair within its budget passes."""
+    m = counts.shape[1]
+    ring = np.concatenate([counts, counts], axis=1)
+    sums = np.concatenate([np.zeros((len(counts), 1), np.int64), np.cumsum(ring, axis=1)], axis=1)
+    passes = np.zeros(len(counts), bool)
+    for start in range(m):
+        chain = sums[:, start + 1 : start + m + 1] - sums[:, start : start + 1]
+        passes |= (chain * m <= np.arange(1, m + 1) * budget[:, None]).all(axis=1)
+    return passes
+
+
+def may_link(size: np.ndarray, start: np.ndarray, flat: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs i, j of sets pass the sizes, the ring and the Hamming check. start: of each set's words in flat."""
+    ok = 5 * np.minimum(size[i], size[j]) >= 4 * np.maximum(size[i], size[j])
+    at = np.flatnonzero(ok & (size[i] > 0))
+    out = np.zeros(len(i), bool)
+    words = n_words(size)
+    kinds = np.stack([words[i[at]], words[j[at]]], axis=1)
+    for one, other in np.unique(kinds, axis=0) if len(at) else ():
+        own = at[(kinds[:, 0] == one) & (kinds[:, 1] == other)]
+        least, step = min(one, other), max(1, (1 << 18) // int(max(one, other)))
+        for k in range(0, len(own), step):
+            p = own[k : k + step]
+            a, b = (folded(flat, start[x[p]], words[x[p]], least) for x in (i, j))
+            counts = np.bitwise_count(a ^ b).reshape(len(p), SEGMENTS, -1).sum(axis=2, dtype=np.int64)
+            budget = (size[i[p]] + size[j[p]]) // 9
+            p, counts, budget = (x[ring_passes(counts, budget)] for x in (p, counts, budget))
+            out[p[counts.sum(axis=1) <= budget]] = True
+    return out
+
+
+def _flat(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """All words, and where each list starts."""
+    n = np.array([len(x) for x in lists], np.int64)
+    return (np.concatenate(lists) if len(lists) else np.zeros(0, np.int64)).view(np.uint64), np.cumsum(n) - n
+
+
 def passing(pairs: DataFrame, known: DataFrame) -> DataFrame:
-    """The pairs a, b that pass the filters of size and bitmap. known: node, size, bits."""
+    """The pairs a, b that pass the filters. known: node, size, bits."""
     one, other = (known.select(F.col("node").alias(c), F.col("size").alias(f"n_{c}"), F.col("bits").alias(f"s_{c}")) for c in "ab")
-    both = pairs.join(one, "a").join(other, "b").where("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
-    differ = F.aggregate(F.zip_with("s_a", "s_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    return both.where(9 * differ <= F.col("n_a") + F.col("n_b")).select("a", "b")
+    sized = pairs.join(one.drop("s_a"), "a").join(other.drop("s_b"), "b").where("5 * least(n_a, n_b) >= 4 * greatest(n_a, n_b)")
+    both = sized.drop("n_a", "n_b").join(one, "a").join(other, "b").select("a", "b", "n_a", "n_b", "s_a", "s_b")
+
+    def keep(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in rows:
+            n = batch.num_rows
+            size = np.concatenate([batch.column(c).to_numpy() for c in (2, 3)])
+            flat, start = _flat([x for c in (4, 5) for x in batch.column(c).to_numpy(zero_copy_only=False)])
+            ok = may_link(size, start, flat, np.arange(n), np.arange(n) + n)
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(ok)) for c in (0, 1)], names=["a", "b"])
+
+    return both.mapInArrow(keep, "a bigint, b bigint")
 
 
 def checked(pairs: DataFrame, full: DataFrame) -> DataFrame:
@@ -118,44 +188,20 @@ def unsettled(rows: DataFrame) -> DataFrame:
     return saved(rows.join(stat.select("key", "hub"), "key").select("key", "node", "root", "hub"))
 
 
-def _may(root: np.ndarray, root_: np.ndarray, size: np.ndarray, size_: np.ndarray, bits: np.ndarray, bits_: np.ndarray) -> np.ndarray:
-    at = np.flatnonzero((root != root_) & (5 * np.minimum(size, size_) >= 4 * np.maximum(size, size_)))
-    out = np.zeros(len(root), bool)
-    out[at[9 * np.bitwise_count(bits[at] ^ bits_[at]).sum(axis=1, dtype=np.int64) <= size[at] + size_[at]]] = True
-    return out
-
-
-def _links(root: np.ndarray, root_: np.ndarray, size: np.ndarray, size_: np.ndarray, bits: np.ndarray, bits_: np.ndarray, own: np.ndarray, own_: np.ndarray) -> np.ndarray:
-    out = _may(root, root_, size, size_, bits, bits_)
-    for i in np.flatnonzero(out):
-        out[i] = 9 * len(np.intersect1d(own[i], own_[i], assume_unique=True)) >= 4 * (size[i] + size_[i])
-    return out
-
-
-def _bits(piece: dict[str, np.ndarray]) -> np.ndarray:
-    return np.concatenate(piece["bits"]).view(np.uint64).reshape(-1, BITS // 64)
-
-
-def _marked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of a bucket with a partner of another root that passes the filter."""
-    for piece in groups(batches, ["key", "block"]):
-        piece["bits"] = _bits(piece)
-        marked = np.zeros(len(piece["key"]), bool)
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs of a bucket's members that have different roots and pass the filters."""
+    for piece in groups(batches, ["key", "block"], 1 << 13):
+        flat, start = _flat(list(piece["bits"]))
         group = np.concatenate([[0], np.cumsum((piece["key"][1:] != piece["key"][:-1]) | (piece["block"][1:] != piece["block"][:-1]))])
         end = np.searchsorted(group, group, "right")
         at, step = np.arange(len(group)), 1
         while len(at := at[at + step < end[at]]):
-            hit = at[_may(*[x for c in ("root", "size", "bits") for x in (piece[c][at], piece[c][at + step])])]
-            marked[hit] = marked[hit + step] = True
+            i = at[(piece["root"][at] != piece["root"][at + step])]
+            i = i[may_link(piece["size"], start, flat, i, i + step)]
+            if len(i):
+                a, b = piece["node"][i], piece["node"][i + step]
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
             step += 1
-        yield pa.RecordBatch.from_arrays([pa.array(piece["key"][marked]), pa.array(piece["node"][marked])], names=["key", "node"])
-
-
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for piece in groups(batches, ["key", "block"], 1 << 12):
-        piece["bits"] = _bits(piece)
-        one, other = compare(piece, _links, ["root", "size", "bits", "shingles"])
-        yield pa.RecordBatch.from_arrays([pa.array(piece["node"][one]), pa.array(piece["node"][other])], names=["a", "b"])
 
 
 def _dealt(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -163,9 +209,10 @@ def _dealt(rows: DataFrame, known: DataFrame) -> DataFrame:
     return met.repartition("key", "block").sortWithinPartitions("key", "block")
 
 
-def first_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, bool]:
-    """doc_id, th (xxhash64 of the text): of each component of linked texts the row with the smallest doc_id (of
-    different texts with that id, the one with the smallest th). Also tells whether some (doc_id, th) has several rows.
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, bool]:
+    """doc_id, th (xxhash64 of the text), component_id (the smallest doc_id of the texts that links join), first (of the
+    rows with that id the one with the smallest th): one row for each row of docs. Also tells whether some (doc_id, th)
+    has several rows.
 
     Equal sets are one node. Null and empty texts have the empty set, which links with itself only. docs must not have
     null ids."""
@@ -176,7 +223,9 @@ def first_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     repeated = bool(prints.groupBy("doc_id", "th").count().where("count > 1").limit(1).count())
     known = saved(wide.groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits")))
     owns = saved(prints.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("own")).select("node", "own.doc_id", "own.th"))
-    keys = wide.groupBy("node").agg(F.first("prefix").alias("prefix")).select(F.explode(F.array_distinct("prefix")).alias("key"), "node")
+    # Copies have the same prefix: the one of the first row is enough.
+    firsts = wide.join(owns.select("doc_id", "th", "node"), ["doc_id", "th", "node"], "left_semi") if not repeated else wide.dropDuplicates(["node"])
+    keys = firsts.select(F.explode(F.array_distinct("prefix")).alias("key"), "node")
     several = keys.groupBy("key").count().where("count > 1").select("key")
     shared = saved(keys.join(several, "key", "left_semi").select("key", "node", F.col("node").alias("root")))
     dropped(wide)
@@ -188,15 +237,21 @@ def first_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         # A list of ids of at most 24 MB is sent to the tasks; a longer one is joined by a shuffle.
         few = F.broadcast(needed) if needed.count() <= BROADCAST_IDS else needed
         texts = rows.join(few, ["doc_id", "th"])
-        return saved(with_sets(texts.dropDuplicates(["node"]) if repeated else texts))
+        out = saved(with_sets(texts.dropDuplicates(["node"]) if repeated else texts))
+        dropped(needed)
+        return out
 
-    links, roots = None, None
-    for _ in range(ROUNDS):
-        pairs = at.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-        pairs = saved(passing(pairs, known))
+    def linked(pairs: DataFrame) -> DataFrame:
+        pairs = saved(pairs)
         full = fetched(pairs.select(F.col("a").alias("node")).union(pairs.select("b")))
-        found = saved(checked(pairs, full))
+        out = saved(checked(pairs, full))
         dropped(full)
+        dropped(pairs)
+        return out
+
+    links, roots = None, None
+    for _ in range(ROUNDS):
+        found = linked(passing(at.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), known))
         links = found if links is None else links.union(found)
         roots = saved(components(links))
         left = at.where("node <> hub").select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
@@ -205,12 +260,10 @@ def first_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         if at.isEmpty():
             break
     else:
-        marked = saved(_dealt(at.select("key", "node", "root"), known).select("key", "block", "node", "root", "size", "bits").mapInArrow(_marked, "key bigint, node bigint").distinct())
-        few = marked.join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
-        full = fetched(marked.select("node"))
-        rest = _dealt(few, known.join(full, "node")).select("key", "block", "node", "root", "size", "bits", "shingles")
-        roots = saved(components(links.union(saved(rest.mapInArrow(_joined, "a bigint, b bigint").distinct()))))
-        dropped(full)
-        dropped(marked)
-    named = prints.join(roots, "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("root"))
-    return saved(named.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("own")).select("own.doc_id", "own.th")), repeated
+        met = _dealt(at.select("key", "node", "root"), known).select("key", "block", "node", "root", "size", "bits")
+        roots = saved(components(links.union(linked(met.mapInArrow(_candidates, "a bigint, b bigint").distinct()))))
+    dropped(at)
+    named = saved(prints.join(roots, "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("root")))
+    own = named.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("own"))
+    out = named.join(own, "root").select("doc_id", "th", F.col("own.doc_id").alias("component_id"), (F.struct("doc_id", "th") == F.col("own")).alias("first"))
+    return saved(out), repeated

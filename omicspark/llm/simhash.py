@@ -1,10 +1,9 @@
 """Near-duplicate documents by SimHash fingerprints, with pigeonring filtering.
 
-64-bit fingerprints link at most MOST differing bits. They are found through tables of exact keys: of four segments of
-16 bits at least one is the same (pigeonhole), and of four blocks of the other 48 bits at least one is the same as well,
-so that a link shares one of 16 keys of 28 bits. In a bucket, a pair must then pass the pigeonring test: on the ring of
-segments there is a start from which every chain of l segments has at most l * MOST / SEGMENTS differences. Only pairs
-that pass get the full Hamming check.
+64-bit fingerprints link at most MOST differing bits. By the pigeonring principle, on the ring of segments a link has a
+start from which every chain of l segments has at most l * MOST / segments differences. The index holds a key for each
+form that such a chain can take (`_keys`), so that only pairs with a viable chain become candidates; these get the full
+Hamming check. `similar` is the mode for a Jaccard similarity instead of a distance.
 """
 
 from __future__ import annotations
@@ -20,13 +19,14 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
+from omicspark.llm import shingles
 from omicspark.llm.buckets import components_in_buckets
 from omicspark.llm.common import appended, components, dropped, pieces, saved, with_fields
 
 #: Words of a shingle, and the most differing bits of linked fingerprints.
 WORDS, MOST = 3, 3
-#: Segments of the pigeonring.
-SEGMENTS = 8
+#: Bits of a segment of the ring.
+SEGMENT = 16
 #: The bits set in each byte value, for counting bits through byte histograms.
 _BITS = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.int64)
 _digest = partial(xxhash.xxh64_digest, seed=42)
@@ -62,44 +62,32 @@ def with_fingerprints(docs: DataFrame, text_col: str = "text", words: int = WORD
     return docs.mapInArrow(add, schema)
 
 
-def ring_passes(diff: np.ndarray, most: int = MOST, segments: int = SEGMENTS) -> np.ndarray:
-    """diff: XOR of fingerprints. Whether some start on the ring of segments has only viable chains. By the pigeonring
-    principle every diff of at most `most` bits passes."""
-    width = 64 // segments
-    mask = np.uint64((1 << width) - 1)
-    counts = np.stack([np.bitwise_count((diff >> np.uint64(width * s)) & mask) for s in range(segments)]).astype(np.int64)
-    passes = np.zeros(diff.shape, bool)
-    for start in range(segments):
-        viable, total = np.ones(diff.shape, bool), np.zeros(diff.shape, np.int64)
-        for length in range(1, segments + 1):
-            total += counts[(start + length - 1) % segments]
-            viable &= total * segments <= length * most
-        passes |= viable
-    return passes
+def _keys(bits: int) -> list[tuple[int, int]]:
+    """Masks of the index: each viable chain's exact part, with a number for the mask.
+
+    On the ring of four segments of 16 bits, some start has only viable chains: its first segment is the same, the first
+    two differ in one bit at most, the first three in two. So from that start either one half of the second segment and
+    one half of the third are the same as well, or the second segment is."""
+    ones = (1 << SEGMENT) - 1
+    half = (1 << SEGMENT // 2) - 1
+    out = []
+    for start in range(bits // SEGMENT):
+        one, two, three = (SEGMENT * ((start + i) % (bits // SEGMENT)) for i in range(3))
+        chains = [ones << two] + [half << two + i | half << three + j for i in (0, SEGMENT // 2) for j in (0, SEGMENT // 2)]
+        out += [ones << one | x for x in chains]
+    return list(enumerate(out))
 
 
 def linked(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Pairs of fingerprints (uint64) with at most MOST differing bits: pigeonring first, the full check for the rest."""
-    diff = a ^ b
-    at = np.flatnonzero(ring_passes(diff))
-    out = np.zeros(len(diff), bool)
-    out[at[np.bitwise_count(diff[at]) <= MOST]] = True
-    return out
+    """The full check of candidates: fingerprints (uint64) with at most MOST differing bits."""
+    return np.bitwise_count(a ^ b) <= MOST
 
 
 def keyed(prints: DataFrame) -> DataFrame:
-    """node (a fingerprint), key: its 16 exact keys of 4 + 28 bits. Segment i of 16 bits, and 12 of the other 48 bits."""
-    keys = []
-    for i in range(4):
-        segment = F.expr(f"shiftrightunsigned(node, {48 - 16 * i}) & 65535L")
-        # The other 48 bits in one number: what is above the segment, and what is below.
-        above = F.lit(0).cast("bigint") if i == 0 else F.expr(f"shiftrightunsigned(node, {64 - 16 * i})")
-        below = F.expr(f"node & {(1 << (48 - 16 * i)) - 1}L") if i < 3 else F.lit(0).cast("bigint")
-        rest = F.shiftleft(above, 48 - 16 * i).bitwiseOR(below) if i else below
-        for j in range(4):
-            block = F.shiftrightunsigned(rest, 36 - 12 * j).bitwiseAND(F.lit(4095).cast("bigint"))
-            keys.append(F.shiftleft(segment, 16).bitwiseOR(F.shiftleft(block, 4)).bitwiseOR(F.lit(4 * i + j).cast("bigint")))
-    return prints.select("node", F.explode(F.array(*keys)).alias("key"))
+    """node (a fingerprint), key: a hash of each mask's number and the fingerprint's bits in it (32 bits a mask). Masks
+    that two keys share by chance only bring pairs to the full check."""
+    masks = [F.xxhash64(F.lit(i), F.col("node").bitwiseAND(F.lit(m if m < 1 << 63 else m - (1 << 64)).cast("bigint"))) for i, m in _keys(64)]
+    return prints.select("node", F.explode(F.array(*masks)).alias("key"))
 
 
 def classes(prints: DataFrame) -> DataFrame:
@@ -127,6 +115,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, bool]:
+    """Near duplicates from a Jaccard similarity of 0.8 of five-word shingles, exact (`shingles.classes`): no number of
+    majority bits bounds that similarity, so that the fingerprints here hold parities, which do."""
+    return shingles.classes(docs, id_col, text_col)
+
+
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")

@@ -15,6 +15,7 @@ from omicspark.llm import linededup as L
 from omicspark.llm import lmscore as LM
 from omicspark.llm import mixing as M
 from omicspark.llm import secrets as S
+from omicspark.llm import shingles as SH
 from omicspark.llm import simhash as H
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -197,9 +198,17 @@ def test_pigeonring_keys_and_blocks(spark, monkeypatch):
     roots = union_find(len(order), [(i, j) for i in range(len(order)) for j in range(i) if ((order[i] ^ order[j]) % (1 << 64)).bit_count() <= 3])
     want = {(order[i], order[r]) for i, r in enumerate(roots) if i != r}
     assert {(r.node, r.root) for r in got if r.node != r.root} == want
-    diff = rng.integers(0, 1 << 62, 2000).astype(np.uint64)
-    close = np.array([sum(1 << int(x) for x in rng.choice(64, k % 4, replace=False)) for k in range(400)], np.uint64)
-    assert H.ring_passes(close).all() and not H.ring_passes(diff).all()
+    masks = [m for _, m in H._keys(64)]
+    close = [sum(1 << int(x) for x in rng.choice(64, k % 4, replace=False)) for k in range(2000)]
+    assert all(any(not d & m for m in masks) for d in close), "a link has a viable chain"
+    assert all(m.bit_count() == 32 for m in masks)
+
+
+def test_parity_ring_keeps_all_within_budget():
+    rng = np.random.default_rng(5)
+    counts = rng.integers(0, 9, (3000, 4))
+    passes = SH.ring_passes(counts, np.full(3000, 12))
+    assert passes[counts.sum(axis=1) <= 12].all() and not passes.all()
 
 
 def test_mixing(spark):
