@@ -5,10 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from omicspark.llm import decontaminate, linededup, mixing, shingles, toxicity
+from omicspark.llm import decontaminate, linededup, mixing, simhash, toxicity
 from omicspark.llm.common import saved
 
 
+def _aside(docs: DataFrame, names: list[str]) -> DataFrame:
+    """docs with columns of these names (in any case of letters) under others, so that an operator's own don't replace them."""
+    return docs.select([F.col(f"`{c}`").alias(f"_in_{c}" if c.lower() in names else c) for c in docs.columns])
+
+
+def _back(out: DataFrame, docs: DataFrame, names: list[str]) -> DataFrame:
+    """The columns of docs, from what _aside gave to an operator."""
+    return out.select([F.col(f"`_in_{c}`").alias(c) if c.lower() in names else F.col(f"`{c}`") for c in docs.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out documents that score toxicity.THRESHOLD or more; null and empty texts are scored like others. The
     network learns from the labelled documents of the input outside the held-out fold."""
@@ -19,18 +29,20 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Takes the lines that ten documents or more share out of every text; all documents stay, some of them shorter (a
     null text becomes empty). n_chars follows the text."""
-    out = linededup.drop_common_lines(docs)
-    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+    own = ["n_lines", "n_dropped"]
+    out = _back(linededup.drop_common_lines(_aside(docs, own)), docs, own)
+    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns) if "n_chars" in docs.columns else out
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps of each group of near duplicates (chains of texts whose sets of five-word shingles have a Jaccard similarity
     of at least 0.8) the row with the smallest doc_id, once. Rows that repeat both doc_id and text are one; different
     texts with one doc_id are documents of their own. Documents without a doc_id can't be told apart and stay."""
-    once, repeated = shingles.first_rows(docs.where("doc_id is not null"))
+    marks, repeated = simhash.similar(docs.where("doc_id is not null"))
+    once = marks.where("first").select("doc_id", F.col("th").alias("_th"))
     # Sort-merge at every size: the ids grow with the documents, so that no small size may stand for them.
     marked = docs.withColumn("_th", F.xxhash64(F.coalesce("text", F.lit(""))))
-    kept = marked.join(once.withColumnRenamed("th", "_th").hint("merge"), ["doc_id", "_th"], "left_semi")
+    kept = marked.join(once.hint("merge"), ["doc_id", "_th"], "left_semi")
     if repeated:
         kept = kept.dropDuplicates(["doc_id", "_th"])
     return kept.select(*docs.columns).union(docs.where("doc_id is null"))
@@ -38,8 +50,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out documents in which a window of a benchmark item occurs."""
-    out = decontaminate.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return out.where(F.size("hit_spans") == 0).select(*docs.columns)
+    own = ["n_words", "hit_spans", "items"]
+    out = decontaminate.decontaminate(_aside(docs, own), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _back(out.where(F.size("hit_spans") == 0), docs, own)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
