@@ -14,7 +14,7 @@ from omicspark.llm.common import forest, saved
 #: Buckets of more rows are cut into blocks, and each pair of blocks becomes a bucket of its own. A bucket of n rows has
 #: blocks of BLOCK rows, or of GROWTH * sqrt(n) where that is more: as n grows, a row is repeated sqrt(n) / GROWTH times,
 #: and the rows that a task holds at once grow no faster than that.
-BLOCK, GROWTH = 256, 4
+BLOCK, GROWTH = 1024, 16
 
 
 def blocked(rows: DataFrame, columns: list[str]) -> DataFrame:
