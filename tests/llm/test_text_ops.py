@@ -249,31 +249,55 @@ def test_sainte_lague(spark):
     assert got == dict(want)
 
 
-def test_lm_scores(spark):
-    df = docs(spark).select("doc_id", "text", "source")
+def brute_lm(rows, target):
+    """Mean losses of each document under the models of the other documents; rows: (id, text)."""
+    split = lambda t: [x for x in re.split(r"[\x20\x09-\x0D]+", (t or "").translate(LOW)) if x]
+    words = [split(t) for _, t in rows]
+    mine = [i in target for i, _ in rows]
+    uni, hist, bi = ([Counter(), Counter()] for _ in range(3))
+    total = Counter(w for x in words for w in x)
+    word = lambda w: w if total[w] >= 2 else None
+    words = [[word(w) for w in x] for x in words]
+    for x, own in zip(words, mine, strict=True):
+        for m in (0, 1) if own else (0,):
+            uni[m].update(x)
+            hist[m].update(["^", *x[:-1]] if x else [])
+            bi[m].update(zip(["^", *x[:-1]], x, strict=False))
+    n = [sum(c.values()) for c in uni]
+    size = len([w for w in total if total[w] >= 2]) + 1
+    scale = [n[1] / n[0] if n[1] else 1, 1]
+    out = []
+    for x, own in zip(words, mine, strict=True):
+        pairs = list(zip(["^", *x[:-1]], x, strict=False))
+        o_uni, o_hist, o_bi, loss = Counter(x), Counter(b for b, _ in pairs), Counter(pairs), [0.0, 0.0]
+        for m in (0, 1):
+            s, left = scale[m], 1 if m == 0 or own else 0
+            for b, w in pairs:
+                u = (s * (uni[m][w] - left * o_uni[w]) + LM.ADDED) / (s * n[m] + LM.ADDED * size)
+                c = s * (bi[m][b, w] - left * o_bi[b, w]) / (s * (hist[m][b] - left * o_hist[b]) + LM.ADDED)
+                loss[m] -= np.log(LM.MIXED * c + (1 - LM.MIXED) * u)
+        out.append((len(x), *(v / max(len(x), 1) for v in loss)))
+    return out
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_lm_scores(spark, monkeypatch, small):
+    """All documents against brute force; small: joined ids, few words in each slice, hardly any frequent bigrams."""
+    if small:
+        monkeypatch.setattr(LM, "BROADCAST_IDS", 0)
+        monkeypatch.setattr(LM, "SLICE_TOKENS", 200)
+        monkeypatch.setattr(LM, "HEAD", 8)
+    df = docs(spark).select("doc_id", "text", F.lit("x").alias("n_tokens"), F.lit(1).alias("target"))
+    df = df.union(df.where("doc_id in (4, 8)"))
     target = spark.createDataFrame([(3,), (4,), (3,), (None,), (10,)], "doc_id long")
-    got = {r.doc_id: r for r in LM.cross_entropy_difference(df, target).collect()}
-    uni, bi = [Counter(), Counter()], [Counter(), Counter()]
-    for r in df.collect():
-        w = [x for x in re.split(r"[\x20\x09-\x0D]+", (r.text or "").translate(LOW)) if x]
-        for m in (0, 1) if r.doc_id in (3, 4, 10) else (0,):
-            uni[m].update(w)
-            bi[m].update(zip(w, w[1:], strict=False))
-    scale = sum(uni[1].values()) / sum(uni[0].values())
-    for m, s in ((0, scale), (1, 1.0)):
-        n = sum(uni[m].values()) * s
-        for r in df.where("doc_id in (3, 8, 30)").collect():
-            w = [x for x in re.split(r"[\x20\x09-\x0D]+", r.text.translate(LOW)) if x]
-            loss = 0.0
-            for i, x in enumerate(w):
-                u = (uni[m][x] * s + LM.ADDED) / (n + LM.ADDED * 2**LM.WORD_BITS)
-                b = min(bi[m][w[i - 1], x] * s / (uni[m][w[i - 1]] * s + LM.ADDED), 1) if i else 0
-                loss -= np.log(LM.MIXED * b + (1 - LM.MIXED) * u)
-            mine = got[r.doc_id]
-            assert mine.n_tokens == len(w)
-            assert abs((mine.xent_target if m else mine.xent_background) - loss / len(w)) < 2e-3
-    assert got[0].xent_diff == 0 and got[3].xent_diff < got[8].xent_diff
+    rows = [(r.doc_id, r.text) for r in df.collect()]
+    want = sorted((str(i), *(round(float(x), 6) for x in y)) for (i, _), y in zip(rows, brute_lm(rows, {3, 4, 10}), strict=True))
+    got = sorted((str(r.doc_id), *(round(float(x), 6) for x in (r.n_tokens, r.xent_background, r.xent_target))) for r in LM.cross_entropy_difference(df, target).collect())
+    assert len(got) == len(want)
+    for a, b in zip(got, want, strict=True):
+        assert a[:2] == b[:2] and np.allclose(a[2:], b[2:], atol=1e-5), (a, b)
     assert LM.cross_entropy_difference(df.limit(0), target).count() == 0
+    assert LM.cross_entropy_difference(df.limit(3), target.limit(0)).count() == 3
 
 
 def test_licenses(spark):
