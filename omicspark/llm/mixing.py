@@ -1,9 +1,11 @@
 """Mixing sources to target weights by Sainte-Lague apportionment of equal-token blocks.
 
 The mix is a number of blocks of BLOCK tokens. Blocks go to sources by highest quotients of their targets, and each
-source's blocks to its shards by highest quotients of the shards' tokens. In a shard the documents lie in a seeded order
-on one line of tokens that is cut into blocks; a shard whose quota is q of n blocks takes every block q div n times and
-the first q mod n blocks of the seeded order once more.
+source's blocks to its shards by highest quotients of the shards' tokens. Where more than FAN sources or shards share
+blocks, they do so in a tree: first groups of groups, then groups, then their members, FAN to a node, so that no window
+grows with the input. In a shard the documents lie in a seeded order on one line of tokens; a shard of n tokens whose
+quota is q tokens takes all of them q div n times and the first q mod n tokens of the line once more. What a source's
+target differs from its whole blocks, half a block or less as a rule, goes to its first shard.
 """
 
 from __future__ import annotations
@@ -18,6 +20,8 @@ from omicspark.llm.common import saved
 BLOCK = 64
 #: Documents of a shard, on average: windows over a shard stay small however large its source is.
 SHARD_DOCS = 64
+#: Most members of a node in which blocks are shared out.
+FAN = 2048
 #: No source, and no document, is taken more often than this.
 MOST_EPOCHS = 3
 
@@ -34,7 +38,7 @@ def apportion(df: DataFrame, group: list[str], weight: str, seats: str, order: l
     With y = 1 / (2 * least quotient), a row has floor(weight * y + 1/2) seats. As these are within half a seat of
     weight * y, y is between (seats - n/2) / W and (seats + n/2) / W. What all rows have at the lower end is theirs;
     only the quotients between the ends, at most two a row on average, are ranked."""
-    own = W.partitionBy(*group) if group else W.partitionBy(F.lit(0))
+    own = W.partitionBy(*group)
     some = df.withColumn("_w", F.when(F.col(weight) > 0, F.col(weight).cast("double")))
     some = some.withColumns({"_n": F.count("_w").over(own), "_all": F.sum("_w").over(own)})
     low = F.greatest(F.col(seats) - F.col("_n") / 2 - 1, F.lit(0.0)) / F.col("_all")
@@ -49,52 +53,90 @@ def apportion(df: DataFrame, group: list[str], weight: str, seats: str, order: l
     return ranked.groupBy(*df.columns, "_low").agg(won.alias("_won")).select(*df.columns, (F.coalesce("_low", F.lit(0)) + F.col("_won")).alias("quota"))
 
 
+def apportion_tree(leaves: DataFrame, group: list[str], weight: str, seats: str, most: int, fan: int | None = None) -> DataFrame:
+    """leaves: group, no (0, 1, ... within a group), weight, seats (the same number for all of a group). Adds quota.
+    most: the largest no and one. Each level's nodes share the seats of their parent; a node has at most `fan` members."""
+    fan = FAN if fan is None else fan
+    levels = [leaves.select(*group, "no", F.col(weight).cast("double").alias("w"), seats)]
+    while most > fan:
+        most = -(-most // fan)
+        up = levels[-1].withColumn("no", F.expr(f"no div {fan}")).groupBy(*group, "no").agg(F.sum("w").alias("w"), F.first(seats).alias(seats))
+        levels.append(saved(up))
+    quota = apportion(levels[-1].withColumn("_up", F.lit(0)), [*group, "_up"], "w", seats, ["no"]).select(*group, "no", "quota")
+    for level in reversed(levels[:-1]):
+        parents = quota.select(*[F.col(c).alias(f"_{c}") for c in group], F.col("no").alias("_up"), F.col("quota").alias("_seats"))
+        own = level.withColumn("_at", F.expr(f"no div {fan}"))
+        same = [own[c].eqNullSafe(parents[f"_{c}"]) for c in group] + [own["_at"] == parents["_up"]]
+        joined = own.join(parents, same).select(*group, "no", "w", "_up", "_seats")
+        quota = apportion(joined, [*group, "_up"], "w", "_seats", ["no"]).select(*group, "no", "quota")
+    return quota
+
+
+def numbered(df: DataFrame, by: str) -> DataFrame:
+    """df with no: 0, 1, ... in ascending order of `by` (nulls last). Ranges of rows are ordered in tasks of their own and
+    the ranges' sizes carried on, so that no task has all rows."""
+    ranged = saved(df.repartitionByRange(F.col(by).asc_nulls_last()).withColumn("_range", F.spark_partition_id()))
+    sizes = sorted((r["_range"], r["count"]) for r in ranged.groupBy("_range").count().collect())
+    before, total = [], 0
+    for k, n in sizes:
+        before += [F.lit(k), F.lit(total).cast("bigint")]
+        total += n
+    start = F.create_map(*before)[F.col("_range")] if before else F.lit(0).cast("bigint")
+    at = F.row_number().over(W.partitionBy("_range").orderBy(F.col(by).asc_nulls_last()))
+    return ranged.withColumn("no", start + at - 1).drop("_range")
+
+
 def targets(sources: DataFrame, weights: list[int], most: int = MOST_EPOCHS) -> DataFrame:
-    """sources: source, source_size. Adds weight (weights in turn by code point, null last) and target: the whole of
-    all sizes shared by weight, no target above `most` times its source's size, the excess reshared by weight.
-
-    This is target = min(most * size, weight * level): the level is found by ranking the sources by size / weight and
-    taking the first at which all before are full. One row per source, in one sorted pass."""
-    by_name = W.partitionBy(F.lit(0)).orderBy(F.col("source").asc_nulls_last())
-    weight = F.element_at(F.array(*[F.lit(w) for w in weights]), F.pmod(F.row_number().over(by_name) - 1, F.lit(len(weights))) + 1)
-    all_ = W.partitionBy(F.lit(0))
-    filled = all_.orderBy((F.col("source_size") / F.col("weight")), F.col("source").asc_nulls_last())
-    df = sources.withColumn("weight", weight).withColumns({"_full": F.sum(F.lit(most) * F.col("source_size")).over(filled.rowsBetween(W.unboundedPreceding, -1)), "_open": F.sum("weight").over(filled.rowsBetween(0, W.unboundedFollowing)), "_total": F.sum("source_size").over(all_)})
-    # With the sources before it full and the others open, the level if this source isn't above its limit.
-    level = (F.col("_total") - F.coalesce("_full", F.lit(0))) / F.col("_open")
-    df = df.withColumn("_level", F.when(level * F.col("weight") <= most * F.col("source_size"), level))
-    df = df.withColumn("_level", F.first("_level", ignorenulls=True).over(filled.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)))
+    """sources: source, source_size, no. Adds weight (weights in turn by no) and target: the whole of all sizes shared by
+    weight, no target above `most` times its source's size, the excess reshared by weight.
+
+    This is target = min(most * size, weight * level). The level rises: sources that it fills stay full, and what they
+    leave is shared among the others, until none is above its limit. One small aggregate a round."""
     cap = (F.lit(most) * F.col("source_size")).cast("double")
-    return df.select("source", "source_size", "weight", F.least(cap, F.coalesce(F.col("_level") * F.col("weight"), cap)).alias("target"))
+    df = sources.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("no") % len(weights) + 1).cast("int")))
+    total, level = df.agg(F.sum("source_size")).first()[0] or 0, 0.0
+    while True:
+        full = F.col("weight") * F.lit(level) > cap
+        r = df.agg(F.sum(F.when(full, cap)).alias("full"), F.sum(F.when(~full, F.col("weight"))).alias("open")).first()
+        now = (total - (r["full"] or 0.0)) / r["open"] if r["open"] else level
+        if now <= level:
+            break
+        level = now
+    return df.withColumn("target", F.least(cap, F.lit(level) * F.col("weight")))
 
 
 def mix(docs: DataFrame, weights: list[int] | None = None, seed: int = 42, block: int = BLOCK, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """doc_id, source, size (words), source_size, target (its source's), taken (words the mix takes, repeats counted),
     one row per row of docs; the same rows on each run.
 
-    Null texts have size 0. A null source is a source of its own, last in order. Repeated rows count each. A document
-    can be taken in part: the first words of it that lie in a selected block. Columns beyond the three aren't read."""
+    Null texts have size 0. A null source is a source of its own, last in order. Repeated rows count each: they are one
+    row with a number until the end. A document can be taken in part: its first words. Columns beyond the three aren't
+    read."""
     weights = [1, 2, 3] if weights is None else weights
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(text_col)).alias("at"))
-    slim = saved(slim)
-    sources = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
-    sources = saved(sources)
-    aim = targets(sources.select("source", "source_size"), weights)
-    aim = aim.withColumn("seats", F.round(F.sum("target").over(W.partitionBy(F.lit(0))) / block).cast("bigint"))
-    aim = apportion(aim, [], "target", "seats", ["source"])
-    aim = saved(aim.alias("a").join(sources.alias("s"), F.expr("a.source <=> s.source")).select("a.source", "a.source_size", "a.target", F.col("a.quota").alias("source_quota"), F.greatest(F.ceil(F.col("s.n_docs") / SHARD_DOCS), F.lit(1)).alias("n_shards")))
-    placed = slim.alias("d").join(aim.alias("a"), F.expr("d.source <=> a.source")).select("d.doc_id", "d.source", "d.size", "d.at", "a.source_size", "a.target", "a.source_quota", F.expr("pmod(d.at, a.n_shards)").alias("shard"))
-    shards = placed.groupBy("source", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"))
-    quotas = saved(apportion(shards, ["source"], "shard_size", "source_quota", ["source", "shard"]))
-    line = W.partitionBy("source", "shard").orderBy(F.xxhash64("at"), "at", F.col("doc_id").asc_nulls_last(), "size")
-    on_line = placed.withColumn("start", F.sum("size").over(line.rowsBetween(W.unboundedPreceding, 0)) - F.col("size"))
-    both = on_line.alias("d").join(quotas.alias("q"), F.expr("d.source <=> q.source and d.shard = q.shard"), "left")
-    blocks = F.greatest(F.ceil(F.col("q.shard_size") / block), F.lit(1))
-    epochs = F.floor(F.col("q.quota") / blocks)
-    first = (F.col("q.quota") - epochs * blocks) * block  # the tokens from the start of the line that are taken once more
-    once_more = F.least(F.greatest(first - F.col("d.start"), F.lit(0)), F.col("d.size"))
-    taken = F.least(epochs * F.col("d.size") + once_more, F.lit(MOST_EPOCHS) * F.col("d.size"))
-    return both.select("d.doc_id", "d.source", "d.size", "d.source_size", "d.target", F.coalesce(taken, F.lit(0)).cast("bigint").alias("taken"))
+    each = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), F.xxhash64(F.lit(seed), F.col(id_col), F.xxhash64(text_col)).alias("at"))
+    slim = saved(each.groupBy("doc_id", "source", "size", "at").agg(F.count("*").alias("rows")))
+    sources = numbered(slim.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"), F.count("*").alias("n_docs")), "source")
+    aim = saved(targets(sources, weights).withColumn("n_shards", F.greatest(F.ceil(F.col("n_docs") / SHARD_DOCS), F.lit(1))))
+    whole = aim.agg(F.sum("target").alias("target"), F.max("n_shards").alias("shards"), F.count("*").alias("n")).first()
+    seats = F.lit(round((whole["target"] or 0.0) / block)).cast("bigint")
+    quota = apportion_tree(aim.withColumn("seats", seats).withColumn("all", F.lit(0)), ["all"], "target", "seats", whole["n"])
+    aim = saved(aim.join(quota.withColumnRenamed("quota", "source_quota"), "no"))
+    placed = slim.alias("d").join(aim.alias("a"), F.expr("d.source <=> a.source")).select("d.*", "a.no", "a.source_size", "a.target", "a.source_quota", F.expr("pmod(d.at, a.n_shards)").alias("shard"))
+    shards = placed.groupBy(F.col("no").alias("source_no"), F.col("shard").alias("no")).agg(F.sum(F.col("size") * F.col("rows")).alias("n_words"), F.first("source_quota").alias("source_quota"))
+    quotas = saved(apportion_tree(saved(shards), ["source_no"], "n_words", "source_quota", whole["shards"] or 1)).withColumnRenamed("no", "of_shard")
+    own = W.partitionBy("no", "shard")
+    line = own.orderBy(F.xxhash64("at"), "at", F.col("doc_id").asc_nulls_last(), "size")
+    words = F.col("size") * F.col("rows")
+    on_line = placed.withColumns({"start": F.sum(words).over(line.rowsBetween(W.unboundedPreceding, 0)) - words, "n": F.sum(words).over(own)})
+    both = on_line.join(quotas, (F.col("no") == F.col("source_no")) & (F.col("shard") == F.col("of_shard")), "left")
+    # The first shard brings the source from whole blocks to its target.
+    rest = F.when(F.col("shard") == 0, F.round("target").cast("bigint") - F.col("source_quota") * block).otherwise(0)
+    tokens = F.greatest(F.coalesce("quota", F.lit(0)) * block + rest, F.lit(0))
+    both = both.withColumn("tokens", F.least(tokens, MOST_EPOCHS * F.col("n")))
+    both = both.withColumn("copy", F.explode(F.sequence(F.lit(0), (F.col("rows") - 1).cast("int"))))
+    epochs = F.when(F.col("n") > 0, F.expr("tokens div n")).otherwise(0)
+    once_more = F.least(F.greatest(F.col("tokens") - epochs * F.col("n") - F.col("start") - F.col("copy") * F.col("size"), F.lit(0)), F.col("size"))
+    return both.select("doc_id", "source", "size", "source_size", "target", (epochs * F.col("size") + once_more).cast("bigint").alias("taken"))
 
 
 def op10_mixing(spark, sf_dir: str) -> DataFrame:
