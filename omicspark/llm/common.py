@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -15,9 +16,11 @@ from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests on one machine), a temporary one."""
+    """The folder of spark.checkpoint.dir; where that is unset and everything runs in one process, a temporary one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[[^-]*)?$", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="omicspark-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
@@ -34,9 +37,22 @@ def saved(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
     return out
 
 
+def saved_sorted(df: DataFrame, by: list[str], buckets: int, partition_by: list[str]) -> DataFrame:
+    """df written as a table in the shared folder, in buckets of the columns `by` and sorted by them: tables with as many
+    buckets are merge-joined on these columns without a shuffle. df is to be dealt by them in as many parts."""
+    spark, name = df.sparkSession, f"sorted_{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/{name}"
+    df.write.partitionBy(*partition_by).bucketBy(buckets, *by).sortBy(*by).option("path", path).format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    out._saved_at, out._table = path, name
+    return out
+
+
 def dropped(df: DataFrame | None) -> None:
-    """Deletes the files of a table that saved() wrote and that nothing needs any more."""
+    """Deletes the files of a table that saved() or saved_sorted() wrote and that nothing needs any more."""
     path = getattr(df, "_saved_at", None)
+    if getattr(df, "_table", None):
+        df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._table}")
     if path:
         jvm = df.sparkSession._jvm
         at = jvm.org.apache.hadoop.fs.Path(path)

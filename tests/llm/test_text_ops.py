@@ -17,6 +17,7 @@ from omicspark.llm import mixing as M
 from omicspark.llm import secrets as S
 from omicspark.llm import shingles as SH
 from omicspark.llm import simhash as H
+from omicspark.llm.common import saved_sorted
 
 LOW = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 WORDS = "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt labore magna aliqua Éxtra ünd".split()
@@ -95,12 +96,17 @@ def test_line_dedup_empty(spark):
     assert L.drop_common_lines(docs(spark).limit(0)).count() == 0
 
 
-def test_runs_compact(spark):
-    runs = L.SortedRuns(3, fanout=2)
+def test_runs_compact(spark, monkeypatch):
+    runs = L.SortedRuns(3, 4)
     for i in range(5):
-        runs.add(spark.createDataFrame([(1, 1), (2, i), (i, 9)] + [(5, 5)] * 3, "h1 long, h2 long"))
-    assert len(runs.runs()) <= 4 and len(runs.levels) >= 3
+        runs.add(spark.createDataFrame([(1, 1, 1), (2, i, 1), (i, 9, 2)] + [(5, 5, 1)] * 3, "h1 long, h2 long, n long"))
+    assert set(runs.levels) == {0, 2}
+    merged = []
+    monkeypatch.setattr(L, "saved_sorted", lambda df, *a: merged.append(df) or saved_sorted(df, *a))
     assert sorted(map(tuple, runs.heavy().collect())) == [(1, 1), (5, 5)]
+    plan = merged[0]._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan, "runs are merged without a shuffle"
+    runs.drop()
 
 
 def brute_spans(t):
