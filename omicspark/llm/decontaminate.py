@@ -2,133 +2,140 @@
 
 A window is `span` consecutive words of a benchmark item. Of the hashes of its k-grams (k of `span` words) the least is
 its fingerprint; so any window that occurs in a document has its fingerprint among the document's window minima, and no
-shared span of `span` words can be missed. Fingerprints that match are extended: the words of the window themselves are
-looked up, and the words of a document that lie in any true occurrence are hits.
+shared span of `span` words can be missed. Fingerprints of documents and of benchmark windows are tables that are joined
+by hash. Hits are extended: the windows of a document at its matching fingerprints are joined with the benchmark's by
+their words, and the words of a document that lie in any true occurrence are hit.
 """
 
 from __future__ import annotations
 
-import math
-from collections import defaultdict
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.pandas.types import to_arrow_schema
 
 from omicspark.llm import tokens
-from omicspark.llm.common import appended, pieces, with_fields
+from omicspark.llm.common import ascii_lower, pieces, saved
 
 #: Words of a window and of a k-gram.
 SPAN, K = 10, 5
-#: The most characters of benchmark text whose windows are sent to the executors at once; a larger benchmark is worked
-#: through in slices of items, each in a further pass over the texts.
-SLICE_CHARS = 1_000_000
-
-ADDED = [T.StructField("n_words", T.LongType()), T.StructField("hit_spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("items", T.ArrayType(T.StringType()))]
-
-
-def _words(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    data = tokens.LOWER[np.frombuffer((text or "").encode(), np.uint8)]
-    start, end, _, hashes = tokens.words(data, np.array([0, len(data)]))
-    return np.array([data[a:b].tobytes() for a, b in zip(start, end, strict=True)], object), hashes, start
-
-
-def windows(items: list[tuple[str, str]], span: int = SPAN, k: int = K) -> dict[int, tuple[np.ndarray, dict[bytes, list[str]]]]:
-    """By the windows' length (span, and less for shorter items): the sorted fingerprints, and each window's items."""
-    prints: dict[int, set[int]] = defaultdict(set)
-    texts: dict[int, dict[bytes, list[str]]] = defaultdict(dict)
-    for item, text in items:
-        words, hashes, _ = _words(text)
-        if not len(words):
-            continue
-        n = min(span, len(words))
-        least = tokens.window_minima(tokens.grams(hashes, min(k, n)), n - min(k, n) + 1)
-        prints[n].update(least.tolist())
-        for i in range(len(words) - n + 1):
-            own = texts[n].setdefault(b" ".join(words[i : i + n]), [])
-            if item not in own:
-                own.append(item)
-    return {n: (np.array(sorted(prints[n]), np.uint64), texts[n]) for n in prints}
-
-
-def _hits(data: np.ndarray, start: np.ndarray, end: np.ndarray, text: np.ndarray, hashes: np.ndarray, table: dict, k: int) -> Iterator[tuple[int, int, int, list[str]]]:
-    """Text number, first word and end of each occurrence of a window, and the items that have it."""
-    for n, (prints, lines) in table.items():
-        own = min(k, n)
-        least = tokens.window_minima(tokens.grams(hashes, own), n - own + 1)
-        if not len(least):
-            continue
-        changes = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])  # one look-up for each fingerprint
-        values = least[changes]
-        found = prints[np.minimum(np.searchsorted(prints, values), len(prints) - 1)] == values
-        same = np.repeat(found, np.diff(np.append(changes, len(least))))
-        inside = text[: len(least)] == text[n - 1 :]
-        for i in np.flatnonzero(same & inside).tolist():
-            items = lines.get(b" ".join(data[a:b].tobytes() for a, b in zip(start[i : i + n].tolist(), end[i : i + n].tolist(), strict=True)))
-            if items:
-                yield int(text[i]), i, i + n, items
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", slice_chars: int = SLICE_CHARS) -> DataFrame:
-    """docs with n_words, hit_spans (word numbers from 0, end exclusive, merged, in order) and items (the ids, as sorted
-    strings, of the items of which a window occurs).
+#: Fingerprints of the benchmark, and texts with matches, that are broadcast at most (under 100 MB); more are joined by a shuffle.
+BROADCAST_PRINTS, BROADCAST_TEXTS = 2_000_000, 100_000
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+
+
+def _minima(hashes: np.ndarray, n: int, k: int) -> np.ndarray:
+    """The fingerprint of each window of n words (across texts, too), different for different n."""
+    own = min(k, n)
+    least = tokens.window_minima(tokens.grams(hashes, own), n - own + 1)
+    return tokens.mixed(least + np.uint64(n))
+
+
+def _windows(data: np.ndarray, start: np.ndarray, end: np.ndarray, first: np.ndarray, n: np.ndarray) -> pa.Array:
+    """The words of the windows of n words from each first word, joined by spaces."""
+    w = [data[a:b].tobytes() for a, b in zip(start.tolist(), end.tolist(), strict=True)]
+    return pa.array([b" ".join(w[i : i + m]).decode() for i, m in zip(first.tolist(), n.tolist(), strict=True)], pa.string())
+
+
+def benchmark_windows(benchmark: DataFrame, span: int = SPAN, k: int = K, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """print, n (words), win (the words), item (the id as a string): the windows of all items. An item of fewer words than
+    span, but not none, is one window."""
+    bench = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item is not null and text is not null")
 
-    Words are [0-9a-z] and all characters beyond ASCII, after A-Z were lower-cased. An item of fewer words than span, but
-    not none, is one window. A null text has no words; benchmark rows without an id or without words are no items, and
-    rows that repeat an id are one item. Columns of docs named like the added ones give way; others stay. No row is
-    shuffled: fingerprints, spans and items of a document come from its own row, against broadcast slices of the
-    benchmark of at most slice_chars characters, or of one longer item."""
-    spark = docs.sparkSession
-    bench = benchmark.select(F.col(item_col).cast("string").alias("id"), F.col(item_text_col).alias("t")).where("id is not null and t is not null")
-    chars = bench.agg(F.sum(F.length("t"))).first()[0] or 0
-    slices = max(1, math.ceil(chars / slice_chars))
-    schema = with_fields(docs.schema, ADDED)
-    arrow = to_arrow_schema(schema)
-    docs = docs.withColumns({"n_words": F.lit(None).cast("bigint"), "hit_spans": F.lit(None).cast("array<struct<start:bigint,end:bigint>>"), "items": F.lit(None).cast("array<string>")})
-    for i in range(slices):
-        part = bench.where(F.pmod(F.xxhash64("id"), F.lit(slices)) == i) if slices > 1 else bench
-        sent = spark.sparkContext.broadcast(windows([(r["id"], r["t"]) for r in part.collect()], span, k))
-        docs = docs.mapInArrow(_marker(sent, arrow, text_col, k), schema)
-    return docs
-
-
-def _marker(sent, arrow: pa.Schema, text_col: str, k: int):
-    def mark(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = sent.value
-        for batch, data, offsets in pieces(rows, text_col):
+    def cut(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in pieces(rows, "text", 1 << 18):
             data = tokens.LOWER[data]
             start, end, text, hashes = tokens.words(data, offsets)
-            n_words = np.bincount(text, minlength=batch.num_rows)
-            first = np.concatenate([[0], np.cumsum(n_words)])
-            spans: dict[int, list] = defaultdict(list)
-            items: dict[int, set] = defaultdict(set)
-            for at, name in (("hit_spans", spans), ("items", items)):  # what earlier slices of the benchmark found
-                col = batch.column(batch.schema.get_field_index(at))
-                if col.null_count < len(col):
-                    for i, x in enumerate(col.to_pylist()):
-                        if x and at == "items":
-                            items[i] |= set(x)
-                        elif x:
-                            spans[i] += [(s["start"], s["end"]) for s in x]
-            for i, a, b, own in _hits(data, start, end, text, hashes, table, k):
-                spans[i].append((a - int(first[i]), b - int(first[i])))
-                items[i].update(own)
-            merged = []
-            for i in range(batch.num_rows):
-                out: list = []
-                for a, b in sorted(spans.get(i, ())):
-                    if out and a <= out[-1]["end"]:
-                        out[-1]["end"] = max(b, out[-1]["end"])
-                    else:
-                        out.append({"start": a, "end": b})
-                merged.append(out)
-            yield appended(batch, arrow, {"n_words": pa.array(n_words, pa.int64()), "hit_spans": pa.array(merged, arrow.field("hit_spans").type), "items": pa.array([sorted(items.get(i, ())) for i in range(batch.num_rows)], arrow.field("items").type)})
-
-    return mark
+            count = np.bincount(text, minlength=batch.num_rows)
+            size = np.minimum(count, span)[text]
+            last = (np.cumsum(count))[text]
+            for n in np.unique(size).tolist():
+                at = np.flatnonzero((size == n) & (np.arange(len(text)) + n <= last))
+                own = pa.array(np.full(len(at), n))
+                yield pa.RecordBatch.from_arrays([pa.array(_minima(hashes, n, k)[at].view(np.int64)), own, _windows(data, start, end, at, np.full(len(at), n)), batch.column(0).take(pa.array(text[at]))], names=["print", "n", "win", "item"])
+
+    return bench.mapInArrow(cut, "print bigint, n bigint, win string, item string").distinct()
+
+
+def fingerprints(texts: DataFrame, lengths: list[int], k: int = K) -> DataFrame:
+    """texts: tk, size, text. Returns tk, size, print: the different window minima of each text for the windows' lengths."""
+
+    def winnow(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in pieces(rows, "text"):
+            _, _, text, hashes = tokens.words(tokens.LOWER[data], offsets)
+            own, found = [], []
+            for n in lengths:
+                least = _minima(hashes, n, k)
+                inside = text[: len(least)] == text[n - 1 :]
+                new = inside.copy()
+                new[1:] &= (least[1:] != least[:-1]) | (text[1 : len(least)] != text[: len(least) - 1]) | ~inside[:-1]
+                own.append(text[: len(least)][new])
+                found.append(least[new])
+            own, found = np.concatenate(own), np.concatenate(found)
+            at = pa.array(own)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(found.view(np.int64))], names=["tk", "size", "print"])
+
+    return texts.mapInArrow(winnow, "tk bigint, size bigint, print bigint")
+
+
+def occurring_windows(texts: DataFrame, lengths: list[int], k: int = K) -> DataFrame:
+    """texts: tk, size, text, prints. Returns tk, size, at (first word, from 0), n, win: windows with a print of theirs."""
+
+    def extend(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch, data, offsets in pieces(rows, "text", 1 << 18):
+            data = tokens.LOWER[data]
+            start, end, text, hashes = tokens.words(data, offsets)
+            first = np.cumsum(np.bincount(text, minlength=batch.num_rows)) - np.bincount(text, minlength=batch.num_rows)
+            lists = batch.column(batch.schema.get_field_index("prints"))
+            known = np.unique(tokens.mixed(lists.flatten().to_numpy(zero_copy_only=False).view(np.uint64)) + np.repeat(np.arange(batch.num_rows), lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.uint64))
+            for n in lengths:
+                least = _minima(hashes, n, k)
+                inside = text[: len(least)] == text[n - 1 :]
+                at = np.flatnonzero(inside & np.isin(tokens.mixed(least) + text[: len(least)].astype(np.uint64), known))
+                own = pa.array(text[at])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(own), batch.column(1).take(own), pa.array(at - first[text[at]]), pa.array(np.full(len(at), n)), _windows(data, start, end, at, np.full(len(at), n))], names=["tk", "size", "at", "n", "win"])
+
+    return texts.mapInArrow(extend, "tk bigint, size bigint, at bigint, n bigint, win string")
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: int = K, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+    """docs with n_words, hit_spans (word numbers from 0, end exclusive, merged, in order) and items (the ids, as sorted
+    strings, of the items of which a window occurs).
+
+    Words are [0-9a-z] and all characters beyond ASCII, after A-Z were lower-cased. A null text has no words; benchmark
+    rows without an id or without words are no items, and rows that repeat an id are one item. Columns of docs named like
+    the added ones give way; others stay. Copies of a text are looked up once. Texts are known by two numbers, their
+    XXH64 and their length; only fingerprints, and texts with matching ones, are joined."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    keys = {"_tk": F.xxhash64(text), "_size": F.octet_length(text).cast("bigint")}
+    bench = saved(benchmark_windows(benchmark, span, k, item_col, item_text_col))
+    lengths = sorted(r["n"] for r in bench.select("n").distinct().collect())  # span numbers at most
+    prints = saved(bench.select("print").distinct())
+    if prints.count() <= BROADCAST_PRINTS:
+        prints = F.broadcast(prints)
+    texts = docs.select(keys["_tk"].alias("tk"), keys["_size"].alias("size"), text.alias("text"))
+    found = saved(fingerprints(texts, lengths, k).join(prints, "print", "left_semi").distinct()) if lengths else saved(texts.select("tk", "size", F.lit(0).cast("bigint").alias("print")).limit(0))
+    matched = saved(found.groupBy("tk", "size").agg(F.collect_list("print").alias("prints")))
+    few = F.broadcast(matched) if matched.count() <= BROADCAST_TEXTS else matched
+    once = texts.join(few, ["tk", "size"]).groupBy("tk", "size").agg(F.first("text").alias("text"), F.first("prints").alias("prints"))
+    hits = saved(occurring_windows(once, lengths, k).join(bench.select("n", "win", "item"), ["n", "win"]).select("tk", "size", "at", "n", "item"))
+    places = hits.select("tk", "size", "at", (F.col("at") + F.col("n")).alias("to")).distinct()
+    spans = places.groupBy("tk", "size").agg(F.array_sort(F.collect_list(F.struct(F.col("at").alias("start"), F.col("to").alias("end")))).alias("s"))
+    joined = F.aggregate(
+        "s",
+        F.slice("s", 1, 1),
+        lambda out, x: F.when(x["start"] <= F.element_at(out, -1)["end"], F.concat(F.slice(out, 1, F.size(out) - 1), F.array(F.struct(F.element_at(out, -1)["start"].alias("start"), F.greatest(F.element_at(out, -1)["end"], x["end"]).alias("end"))))).otherwise(F.concat(out, F.array(x))),
+    )
+    items = hits.select("tk", "size", "item").distinct().groupBy("tk", "size").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    result = saved(spans.select("tk", "size", joined.alias("hit_spans")).join(items, ["tk", "size"]))
+    n_words = F.coalesce(F.regexp_count(ascii_lower(F.col(text_col)), F.lit(_WORD)), F.lit(0)).cast("bigint")
+    added = ("n_words", "hit_spans", "items")
+    kept = docs.select(*[c for c in docs.columns if c.lower() not in added], n_words.alias("n_words"), *[x.alias(c) for c, x in keys.items()])
+    out = kept.join(result, (kept["_tk"] == result["tk"]) & (kept["_size"] == result["size"]), "left")
+    empty = F.array().cast("array<struct<start:bigint,end:bigint>>"), F.array().cast("array<string>")
+    return out.select(*[kept[c] for c in kept.columns[:-2]], F.coalesce("hit_spans", empty[0]).alias("hit_spans"), F.coalesce("items", empty[1]).alias("items"))
 
 
 def op2_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -47,8 +47,11 @@ def words(t):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(LOW))
 
 
-@pytest.mark.parametrize("slice_chars", [1_000_000, 60])
-def test_decontaminate(spark, slice_chars):
+@pytest.mark.parametrize("few", [True, False])
+def test_decontaminate(spark, few, monkeypatch):
+    if not few:
+        monkeypatch.setattr(D, "BROADCAST_PRINTS", 0)
+        monkeypatch.setattr(D, "BROADCAST_TEXTS", 0)
     df = docs(spark)
     bench = spark.createDataFrame(BENCH, "item_id long, text string")
     wins = {}
@@ -58,7 +61,8 @@ def test_decontaminate(spark, slice_chars):
             n = min(10, len(w))
             for j in range(len(w) - n + 1):
                 wins.setdefault(tuple(w[j : j + n]), set()).add(str(i))
-    got = D.decontaminate(df, bench, slice_chars=slice_chars)
+    got = D.decontaminate(df, bench)
+    assert D.decontaminate(df.limit(0), bench).count() == 0 and D.decontaminate(df, bench.limit(0)).where(F.size("items") > 0).count() == 0
     assert got.columns == ["doc_id", "text", "lang", "source", "n_chars", "n_lines", "n_words", "hit_spans", "items"]
     n_hits = 0
     for r in got.collect():
