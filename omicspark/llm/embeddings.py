@@ -1,20 +1,23 @@
 """Near-duplicate embeddings: iterative quantisation, multi-index Hamming tables, reranking with the vectors.
 
 A rotation is learnt on a bounded sample so that the signs of the rotated vectors are balanced codes close to the
-vectors. The 64-bit code is cut into four segments of 16 bits. In each segment's table a vector has 17 keys: its own
-code, and its code with one bit flipped. Two vectors meet in a bucket if some segment differs in two bits at most, so
-that all pairs within 11 bits, and most beyond, are compared. Pairs within RADIUS bits are reranked by the cosine of the
-original vectors, in double precision.
+vectors. A code is m segments of w bits. w follows the logarithm of the number of vectors, so that a table's buckets don't
+grow with it, and m is so large that a pair at the threshold is missed by all tables with a chance of MISS at most. In
+each segment's table a vector has w + 1 keys: its own code, and its code with one bit flipped; so two vectors meet in a
+bucket if some segment differs in two bits at most. Pairs within the radius are reranked by the cosine of the original
+vectors, in double precision.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from omicspark.llm.buckets import blocked, compare, groups
@@ -22,24 +25,48 @@ from omicspark.llm.common import components, dropped, forest, saved
 
 #: Vectors that the rotation is learnt on at most, and rounds of learning.
 SAMPLE, ROUNDS = 4096, 30
-#: Bits of a code, of a segment, and the most differing bits of pairs that are reranked.
-BITS, SEGMENT, RADIUS = 64, 16, 20
-_ONES = np.uint64((1 << SEGMENT) - 1)
+#: The most that a pair at the threshold may be missed, and the radius, in standard deviations of its differing bits.
+MISS, SPREAD = 0.004, 5.5
+#: Bits of a segment, beyond the logarithm of the number of vectors; and at least and at most.
+MORE_BITS, LEAST_BITS, MOST_BITS = 2, 12, 30
 
 
-def learn(sample: np.ndarray, rounds: int = ROUNDS, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and projection (d x BITS) by iterative quantisation: principal directions (vectors of fewer dimensions get
+@dataclass(frozen=True)
+class Shape:
+    """Segments, bits of each, and the most differing bits of pairs that are reranked."""
+
+    segments: int
+    width: int
+    radius: int
+
+    @classmethod
+    def of(cls, n: int, least: float) -> Shape:
+        """For n vectors and pairs of cosine `least`, whose signs differ with the chance angle / pi."""
+        width = min(max(math.ceil(math.log2(max(n, 2))) + MORE_BITS, LEAST_BITS), MOST_BITS)
+        p = math.acos(min(max(least, -1.0), 1.0)) / math.pi
+        meet = sum(math.comb(width, k) * p**k * (1 - p) ** (width - k) for k in range(3))
+        segments = min(max(2, math.ceil(math.log(MISS) / math.log(1 - meet)) if meet < 1 else 2), 16)
+        bits = segments * width
+        return cls(segments, width, math.ceil(p * bits + SPREAD * math.sqrt(p * (1 - p) * bits)))
+
+    @property
+    def bits(self) -> int:
+        return self.segments * self.width
+
+
+def learn(sample: np.ndarray, bits: int, rounds: int = ROUNDS, seed: int = 42) -> tuple[np.ndarray, np.ndarray]:
+    """Mean and projection (d x bits) by iterative quantisation: principal directions (vectors of fewer dimensions get
     random ones besides), then the rotation that brings the projected vectors closest to their signs."""
     rng = np.random.default_rng(seed)
     mean = sample.mean(axis=0)
     x = sample - mean
     d = x.shape[1]
     _, vectors = np.linalg.eigh(x.T @ x)
-    base = vectors[:, ::-1][:, :BITS]
-    if base.shape[1] < BITS:
-        base = np.concatenate([base, rng.normal(size=(d, BITS - base.shape[1])) / np.sqrt(d)], axis=1)
+    base = vectors[:, ::-1][:, :bits]
+    if base.shape[1] < bits:
+        base = np.concatenate([base, rng.normal(size=(d, bits - base.shape[1])) / np.sqrt(d)], axis=1)
     v = x @ base
-    rotation, _ = np.linalg.qr(rng.normal(size=(BITS, BITS)))
+    rotation, _ = np.linalg.qr(rng.normal(size=(bits, bits)))
     for _ in range(rounds):
         u, _, w = np.linalg.svd(np.sign(v @ rotation).T @ v)
         rotation = (u @ w).T
@@ -65,57 +92,64 @@ def _matrix(col: pa.Array, dim: int) -> np.ndarray:
     return np.ascontiguousarray(col.flatten().to_numpy(zero_copy_only=False)).reshape(-1, dim)
 
 
-def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(a ^ b) <= RADIUS
-
-
-def _canonical(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Of all buckets where codes a and b meet, one: the first segment that differs in two bits at most, and of the keys
-    there the one that both have and that holds the fewest bits."""
-    out = np.full(a.shape, -1, np.int64)
-    for s in range(BITS // SEGMENT):
-        x, y = (a >> np.uint64(SEGMENT * s)) & _ONES, (b >> np.uint64(SEGMENT * s)) & _ONES
-        d = x ^ y
-        low = d & (~d + np.uint64(1))  # its lowest bit
-        n = np.bitwise_count(d)
-        # Two bits apart they meet halfway: below both where each has one of the bits, else with one of them.
-        key = np.where((n == 2) & (np.bitwise_count(x & d) != 1), (x & ~d) | low, x & y)
-        out = np.where((out < 0) & (n <= 2), (key.astype(np.int64) << 2) | s, out)
-    return out
-
-
-def keyed(codes: DataFrame) -> DataFrame:
-    """node, code, key: 17 keys for each of the four segments."""
-    keys = []
-    for s in range(BITS // SEGMENT):
-        own = F.shiftrightunsigned("code", SEGMENT * s).bitwiseAND(F.lit((1 << SEGMENT) - 1).cast("bigint"))
-        for flip in [0, *(1 << b for b in range(SEGMENT))]:
-            keys.append(F.shiftleft(own.bitwiseXOR(F.lit(flip).cast("bigint")), 2).bitwiseOR(F.lit(s).cast("bigint")))
-    return codes.select("node", "code", F.explode(F.array(*keys)).alias("key"))
-
-
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Members of a bucket with a partner within RADIUS bits for which this bucket is the canonical one."""
-    for piece in groups(batches, ["key", "block"]):
-        piece["code"] = piece["code"].view(np.uint64)
-        marked = np.zeros(len(piece["key"]), bool)
-        group = np.concatenate([[0], np.cumsum((piece["key"][1:] != piece["key"][:-1]) | (piece["block"][1:] != piece["block"][:-1]))])
-        end = np.searchsorted(group, group, "right")
-        at, step = np.arange(len(group)), 1
-        while len(at := at[at + step < end[at]]):
-            a, b = piece["code"][at], piece["code"][at + step]
-            hit = np.flatnonzero(_near(a, b))
-            hit = hit[_canonical(a[hit], b[hit]) == piece["key"][at[hit]]]
-            marked[at[hit]] = marked[at[hit] + step] = True
-            step += 1
-        yield pa.RecordBatch.from_arrays([pa.array(piece["key"][marked]), pa.array(piece["node"][marked])], names=["key", "node"])
-
-
-def _reranked(least: float):
+def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of pairs of codes, by segment."""
+    return np.bitwise_count(a ^ b).astype(np.int64)
+
+
+def canonical(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Of all buckets where codes a and b (rows of segments) meet, one: of the segments that differ least the first, and
+    there the key that both have and that holds the fewest bits. -1 where they don't meet."""
+    n = _differ(a, b)
+    s = n.argmin(axis=1)
+    at = np.arange(len(a))
+    x, y, n = a[at, s].astype(np.int64), b[at, s].astype(np.int64), n[at, s]
+    d = x ^ y
+    low = d & -d  # its lowest bit
+    # Two bits apart they meet halfway: below both where each has one of the bits, else with one of them.
+    key = np.where((n == 2) & (np.bitwise_count(x & d) != 1), (x & ~d) | low, x & y)
+    return np.where(n <= 2, (key << 4) | s, -1)
+
+
+def keyed(codes: DataFrame, shape: Shape) -> DataFrame:
+    """node, code, key: width + 1 keys for each segment."""
+    flips = F.array(*[F.lit(x).cast("bigint") for x in (0, *(1 << b for b in range(shape.width)))])
+
+    def keys(s: int) -> Column:
+        own = F.element_at("code", s + 1).cast("bigint")
+        return F.transform(flips, lambda x: F.shiftleft(own.bitwiseXOR(x), 4).bitwiseOR(F.lit(s).cast("bigint")))
+
+    return codes.select("node", "code", F.explode(F.concat(*map(keys, range(shape.segments)))).alias("key"))
+
+
+def _codes(column: np.ndarray) -> np.ndarray:
+    return np.stack(column).astype(np.int32) if len(column) else np.zeros((0, 1), np.int32)
+
+
+def _marked(radius: int):
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Members of a bucket with a partner within the radius for which this bucket is the canonical one."""
+        for piece in groups(batches, ["key", "block"]):
+            code = _codes(piece["code"])
+            marked = np.zeros(len(piece["key"]), bool)
+            group = np.concatenate([[0], np.cumsum((piece["key"][1:] != piece["key"][:-1]) | (piece["block"][1:] != piece["block"][:-1]))])
+            end = np.searchsorted(group, group, "right")
+            at, step = np.arange(len(group)), 1
+            while len(at := at[at + step < end[at]]):
+                hit = at[_differ(code[at], code[at + step]).sum(axis=1) <= radius]
+                hit = hit[canonical(code[hit], code[hit + step]) == piece["key"][hit]]
+                marked[hit] = marked[hit + step] = True
+                step += 1
+            yield pa.RecordBatch.from_arrays([pa.array(piece["key"][marked]), pa.array(piece["node"][marked])], names=["key", "node"])
+
+    return mark
+
+
+def _reranked(least: float, radius: int):
     def rerank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Counts of each member's links, and a spanning forest of them, within a bucket (or a pair of its blocks)."""
         for piece in groups(batches, ["key", "block"], 1 << 13):
-            code = piece["code"].view(np.uint64)
+            code = _codes(piece["code"])
             edge = np.flatnonzero((piece["key"][1:] != piece["key"][:-1]) | (piece["block"][1:] != piece["block"][:-1])) + 1
             edges = np.concatenate([[0], edge, [len(code)]])
             nodes, links, roots = [], [], []
@@ -130,12 +164,11 @@ def _reranked(least: float):
                         cos = vectors[i:j] @ vectors.T
                     else:  # vectors of other lengths link with nothing
                         cos = np.array([[x @ y if len(x) == len(y) else -1.0 for y in piece["v"][lo:hi]] for x in piece["v"][lo + i : lo + j]])
-                    a, b = np.broadcast_arrays(own[i:j, None], own[None, :])
-                    ok = (cos >= least) & _near(a, b)
-                    r, c = np.nonzero(ok)
+                    r, c = np.nonzero(cos >= least)
                     # A pair counts in its canonical bucket, and in one pair of blocks: across them, or within one block in (x, x).
-                    block, one = piece["block"][lo], (side[r + i] != side[c])
-                    keep = (r + i != c) & (one | (piece["diagonal"][lo])) & (_canonical(own[r + i], own[c]) == piece["key"][lo])
+                    keep = (r + i != c) & ((side[r + i] != side[c]) | piece["diagonal"][lo])
+                    r, c = r[keep], c[keep]
+                    keep = (_differ(own[r + i], own[c]).sum(axis=1) <= radius) & (canonical(own[r + i], own[c]) == piece["key"][lo])
                     r, c = r[keep] + i, c[keep]
                     np.add.at(total, r, mult[c])
                     moved = np.flatnonzero(root != np.arange(n))
@@ -157,7 +190,7 @@ def near_duplicates(df: DataFrame, least: float = 0.95, id_col: str = "vec_id",
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing; vectors of different
     lengths don't link; a null vec_id has no links and no component, and kept is false. Rows that repeat a vec_id are
     vectors of their own in the counts and one node in the components. Equal vectors are one node with a multiplicity.
-    The codes alone are shuffled to the buckets; only vectors with a partner within RADIUS bits are fetched, for their
+    The codes alone are shuffled to the buckets; only vectors with a partner within the radius are fetched, for their
     canonical buckets, and there compared in blocks; links are counted and joined where they are found."""
     spark = df.sparkSession
     vectors = saved(unit_vectors(df, id_col, vec_col))
@@ -165,27 +198,27 @@ def near_duplicates(df: DataFrame, least: float = 0.95, id_col: str = "vec_id",
     if dim is None:  # nothing can link
         vec_id = F.col(id_col)
         return df.select(vec_id.alias("vec_id"), F.lit(0).cast("bigint").alias("n_links"), vec_id.alias("component_id"), vec_id.isNotNull().alias("kept"))
+    shape = Shape.of(vectors.count(), least)
     sample = vectors.where(F.col("dim") == dim["dim"]).orderBy(F.xxhash64("node")).limit(SAMPLE).select("v").toPandas()["v"]
-    fitted = {dim["dim"]: learn(np.stack(sample.to_list()))}
-    model = spark.sparkContext.broadcast(fitted)
+    model = spark.sparkContext.broadcast({dim["dim"]: learn(np.stack(sample.to_list()), shape.bits)})
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in batches:
-            code = np.zeros(len(part), np.int64)
+            code = np.zeros((len(part), shape.segments), np.int32)
             for size, at in part.groupby("dim").indices.items():
                 if size not in model.value:  # rare lengths: a fixed random projection
-                    model.value[size] = (np.zeros(size), np.random.default_rng(42).normal(size=(size, BITS)))
+                    model.value[size] = (np.zeros(size), np.random.default_rng(42).normal(size=(size, shape.bits)))
                 mean, projection = model.value[size]
                 bits = (np.stack(part["v"].to_numpy()[at]) - mean) @ projection > 0
-                code[at] = np.packbits(bits, axis=1).view(">u8").ravel().astype(np.uint64).view(np.int64)
-            yield pd.DataFrame({"node": part["node"], "mult": part["mult"], "code": code, "v": part["v"]})
+                code[at] = bits.reshape(len(at), shape.segments, shape.width) @ (1 << np.arange(shape.width, dtype=np.int32))
+            yield pd.DataFrame({"node": part["node"], "mult": part["mult"], "code": list(code), "v": part["v"]})
 
-    coded = saved(vectors.mapInPandas(encode, "node bigint, mult bigint, code bigint, v array<double>"))
+    coded = saved(vectors.mapInPandas(encode, "node bigint, mult bigint, code array<int>, v array<double>"))
     dropped(vectors)
-    dealt = blocked(keyed(coded.select("node", "code")), ["code"]).select("key", "block", "node", "code").repartition("key", "block").sortWithinPartitions("key", "block")
-    found = saved(dealt.mapInArrow(_candidates, "key bigint, node bigint").distinct())
+    dealt = blocked(keyed(coded.select("node", "code"), shape), ["code"]).select("key", "block", "node", "code").repartition("key", "block").sortWithinPartitions("key", "block")
+    found = saved(dealt.mapInArrow(_marked(shape.radius), "key bigint, node bigint").distinct())
     met = blocked(found, []).join(coded, "node").repartition("key", "block").sortWithinPartitions("key", "block")
-    linked = saved(met.select("key", "block", "side", "diagonal", "node", "mult", "code", "v").mapInArrow(_reranked(least), "node bigint, links bigint, root bigint"))
+    linked = saved(met.select("key", "block", "side", "diagonal", "node", "mult", "code", "v").mapInArrow(_reranked(least, shape.radius), "node bigint, links bigint, root bigint"))
     counts = linked.groupBy("node").agg(F.sum("links").alias("links"))
     roots = components(linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
     nodes = coded.select("node", "mult").join(counts, "node", "left").join(roots, "node", "left")
