@@ -17,13 +17,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from omicspark.llm import tokens
-from omicspark.llm.common import ascii_lower, pieces, saved
+from omicspark.llm.common import pieces, saved
 
 #: Words of a window and of a k-gram.
 SPAN, K = 10, 5
 #: Fingerprints of the benchmark, and texts with matches, that are broadcast at most (under 100 MB); more are joined by a shuffle.
 BROADCAST_PRINTS, BROADCAST_TEXTS = 2_000_000, 100_000
-_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: Words before A-Z are lower-cased.
+_WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
 def _minima(hashes: np.ndarray, n: int, k: int) -> np.ndarray:
@@ -130,7 +131,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, span: int = SPAN, k: in
     )
     items = hits.select("tk", "size", "item").distinct().groupBy("tk", "size").agg(F.array_sort(F.collect_list("item")).alias("items"))
     result = saved(spans.select("tk", "size", joined.alias("hit_spans")).join(items, ["tk", "size"]))
-    n_words = F.coalesce(F.regexp_count(ascii_lower(F.col(text_col)), F.lit(_WORD)), F.lit(0)).cast("bigint")
+    n_words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(_WORD)), F.lit(0)).cast("bigint")
     added = ("n_words", "hit_spans", "items")
     kept = docs.select(*[c for c in docs.columns if c.lower() not in added], n_words.alias("n_words"), *[x.alias(c) for c, x in keys.items()])
     out = kept.join(result, (kept["_tk"] == result["tk"]) & (kept["_size"] == result["size"]), "left")
