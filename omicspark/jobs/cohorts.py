@@ -4,8 +4,10 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from omicspark.jobs.query import query
+from omicspark.operators import annotate as A
 from omicspark.operators import cohort as C
 from omicspark.operators import literature as L
+from omicspark.operators import pgx
 
 query("jon13_comorbidity", "cohort", lambda c: C.co_occurrence(c, "patient_id", "condition"), "WITH d AS (SELECT DISTINCT patient_id, condition FROM cohort) SELECT a.condition AS item_1, b.condition AS item_2, count(*) AS n FROM d a JOIN d b ON a.patient_id = b.patient_id AND a.condition < b.condition GROUP BY ALL HAVING count(*) >= 2")
 query("agg37_cohort", "cohort", C.cohort_summary, "WITH p AS (SELECT patient_id, max(age) AS age FROM cohort GROUP BY patient_id) SELECT count(*) AS n_patients, min(age) AS min_age, max(age) AS max_age, round(avg(age), 6) AS mean_age, quantile_cont(age, 0.5)::DOUBLE AS median_age, count(*) FILTER (age < 18) AS n_minors, count(*) FILTER (age > 65) AS n_seniors FROM p")
@@ -15,18 +17,20 @@ _TRAITS = "t AS (SELECT id, 'trait' || k AS trait, (id * 31 + k * 17) % 100 AS v
 
 
 def _traits(p):
-    return p.select("id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).select("id", F.concat(F.lit("trait"), F.col("k").cast("string")).alias("trait"), ((F.col("id") * 31 + F.col("k") * 17) % 100).alias("value"))
+    return p.select("id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")).select("id", "k", F.concat(F.lit("trait"), F.col("k").cast("string")).alias("trait"), ((F.col("id") * 31 + F.col("k") * 17) % 100).alias("value"))
 
 
 query(
-    "jon18_skill_gates", "pedigree", lambda p: C.gates_passed(_traits(p), p.sparkSession.sql("values ('a', 'trait0', 30), ('a', 'trait1', 50), ('b', 'trait2', 80), ('c', 'trait1', 10), ('c', 'trait3', 10) as g(skill, trait, least)")),
-    f"WITH {_TRAITS}, g(skill, trait, least) AS (VALUES ('a', 'trait0', 30), ('a', 'trait1', 50), ('b', 'trait2', 80), ('c', 'trait1', 10), ('c', 'trait3', 10)) SELECT id, skill, bool_and(value >= least) AS unlocked, coalesce(string_agg(trait, ',' ORDER BY trait) FILTER (value < least), '') AS short FROM t JOIN g USING (trait) GROUP BY id, skill",
+    "jon18_skill_gates", "pedigree", lambda p: C.gates_passed(_traits(p).where("(id + k) % 9 > 0").drop("k"), p.sparkSession.sql("values ('a', 'trait0', 30), ('a', 'trait1', 50), ('b', 'trait2', 80), ('c', 'trait1', 10), ('c', 'trait3', 10) as g(skill, trait, least)")),
+    f"""WITH {_TRAITS}, o AS (SELECT * FROM t WHERE (id + trait[6:]::INT) % 9 > 0), g(skill, trait, least) AS (VALUES ('a', 'trait0', 30), ('a', 'trait1', 50), ('b', 'trait2', 80), ('c', 'trait1', 10), ('c', 'trait3', 10)),
+x AS (SELECT i.id, g.skill, g.trait, coalesce(o.value >= g.least, false) AS met FROM (SELECT DISTINCT id FROM o) i CROSS JOIN g LEFT JOIN o ON o.id = i.id AND o.trait = g.trait)
+SELECT id, skill, bool_and(met) AS unlocked, coalesce(string_agg(trait, ',' ORDER BY trait) FILTER (NOT met), '') AS short FROM x GROUP BY id, skill""",
 )
 _NEEDS = "values ('d1', 3, 'alt/?'), ('d1', 8, 'ref/ref'), ('d2', 5, 'alt/alt'), ('d3', 7, 'alt/?'), ('d3', 11, 'alt/?'), ('d3', 19, 'alt/?')"
 query(
     "jon19_disease_status", "genotypes_dense", lambda g: C.disease_status(g.select("sample_id", "variant_id", (F.length("genotype") - F.length(F.replace("genotype", F.lit("G"), F.lit("")))).alias("dosage")), g.sparkSession.sql(f"{_NEEDS} as t(disease, variant_id, need)")),
-    f"""WITH n(disease, variant_id, need) AS ({_NEEDS}), c AS (SELECT sample_id, disease, need, length(genotype) - length(replace(genotype, 'G', '')) AS d FROM genotypes_dense JOIN n USING (variant_id))
-SELECT sample_id, disease, count(*) FILTER ((need = 'alt/alt' AND d = 2) OR (need = 'alt/?' AND d >= 1) OR (need = 'ref/ref' AND d = 0)) = (SELECT count(*) FROM n WHERE n.disease = c.disease) AS affected FROM c GROUP BY sample_id, disease""",
+    f"""WITH n(disease, variant_id, need) AS ({_NEEDS}), c AS (SELECT s.sample_id, n.disease, n.need, length(genotype) - length(replace(genotype, 'G', '')) AS d FROM (SELECT DISTINCT sample_id FROM genotypes_dense) s CROSS JOIN n LEFT JOIN genotypes_dense g ON g.sample_id = s.sample_id AND g.variant_id = n.variant_id)
+SELECT sample_id, disease, bool_and(coalesce((need = 'alt/alt' AND d = 2) OR (need = 'alt/?' AND d >= 1) OR (need = 'ref/ref' AND d = 0), false)) AS affected FROM c GROUP BY sample_id, disease""",
 )
 query(
     "jon14_compatibility", "breeders", lambda p: C.compatibility(p.select("id", "sex", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("locus")).select("id", "sex", "locus", ((F.col("id") * F.col("locus") + F.floor(F.col("id") / 3)) % 3).alias("state"))),
@@ -72,7 +76,11 @@ query("set3_truth_sets", "annotations", lambda a: a.where("variant_id % 4 = 0").
 query("set4_shared_variants", "genotypes_dense", lambda g: g.where("sample_id = 1").select("variant_id").intersect(g.where("sample_id = 2").select("variant_id")), "SELECT variant_id FROM genotypes_dense WHERE sample_id = 1 INTERSECT SELECT variant_id FROM genotypes_dense WHERE sample_id = 2")
 query("jon8_shared_positions", "variants annotations", lambda v, a: v.where("variant_id % 2 = 0").select("chrom", "pos").join(a.where("variant_id % 3 = 0").select("chrom", "pos", "gene"), ["chrom", "pos"]), "SELECT v.chrom, v.pos, a.gene FROM variants v JOIN annotations a ON v.chrom = a.chrom AND v.pos = a.pos WHERE v.variant_id % 2 = 0 AND a.variant_id % 3 = 0")
 query("jon10_sheet_match", "obs", lambda o: o.where("cell % 3 = 0").join(o.where("cell % 2 = 0").select("cell", F.lit(1).alias("hit")), "cell", "left").groupBy("cluster").agg(F.count("hit").alias("matched"), F.count_if(F.col("hit").isNull()).alias("unmatched")), "SELECT cluster, count(*) FILTER (cell % 2 = 0) AS matched, count(*) FILTER (cell % 2 > 0) AS unmatched FROM obs WHERE cell % 3 = 0 GROUP BY cluster")
-query("jon11_build_check", "variants", lambda v: v.withColumn("off", F.when(F.col("variant_id") % 9 == 0, 7).otherwise(0)).groupBy("chrom").agg(F.count_if(F.col("off") <= 0).alias("matches"), F.count_if(F.col("off") > 0).alias("mismatches")).withColumn("wrong_build", (F.col("mismatches") >= 2) & (F.col("mismatches") >= F.col("matches"))), "SELECT chrom, count(*) FILTER (variant_id % 9 > 0) AS matches, count(*) FILTER (variant_id % 9 = 0) AS mismatches, count(*) FILTER (variant_id % 9 = 0) >= 2 AND count(*) FILTER (variant_id % 9 = 0) >= count(*) FILTER (variant_id % 9 > 0) AS wrong_build FROM variants GROUP BY chrom")
+query(
+    "jon11_build_check", "genotypes annotations", lambda g, a: pgx.genome_build(g, a.where("gene in ('GENE1', 'GENE2', 'GENE3')").select("variant_id", (F.col("pos") + F.round(F.col("afr") * 500).cast("bigint")).alias("expected_pos")), 25),
+    """WITH e AS (SELECT variant_id, pos + round(afr * 500)::BIGINT AS e FROM annotations WHERE gene IN ('GENE1', 'GENE2', 'GENE3')), n AS (SELECT sample_id, count(*) FILTER (abs(pos - e) <= 25) AS n_match, count(*) FILTER (abs(pos - e) > 25) AS n_mismatch FROM genotypes JOIN e USING (variant_id) WHERE pos > 0 GROUP BY sample_id)
+SELECT *, n_mismatch >= 2 AND n_mismatch >= n_match AS other_build FROM n""",
+)
 query("jon15_new_trials", "obs", lambda o: o.where("cell % 2 = 0").select("cell", F.lit("first").alias("register")).unionByName(o.where("cell % 3 = 0").join(o.where("cell % 2 = 0").select("cell"), "cell", "left_anti").select("cell", F.lit("second").alias("register"))), "SELECT cell, 'first' AS register FROM obs WHERE cell % 2 = 0 UNION ALL SELECT cell, 'second' FROM obs WHERE cell % 3 = 0 AND cell % 2 > 0")
 query("jon16_citations", "papers", lambda p: p.select("doc_id", F.explode(F.array(F.col("doc_id") * 2, F.col("doc_id") * 3 + 1)).alias("cited")).join(p.select(F.col("doc_id").alias("cited")), "cited", "left_semi").select("doc_id", "cited"), "SELECT doc_id, c AS cited FROM (SELECT doc_id, unnest([doc_id * 2, doc_id * 3 + 1]) AS c FROM papers) WHERE c IN (SELECT doc_id FROM papers)")
 query("jon17_several_domains", "annotations", lambda a: a.groupBy("gene").agg(F.countDistinct("impact").alias("n_domains")).where("n_domains >= 5"), "SELECT gene, count(DISTINCT impact) AS n_domains FROM annotations GROUP BY gene HAVING count(DISTINCT impact) >= 5")
@@ -94,7 +102,7 @@ query("agg35_drug_evidence", "annotations", lambda a: a.withColumn("level", F.el
 query("agg53_sheet_summary", "obs", lambda o: o.groupBy("batch").agg(F.count("*").alias("n"), F.array_join(F.array_sort(F.collect_set("cluster")), ",").alias("projects")), "SELECT batch, count(*) AS n, string_agg(DISTINCT cluster::VARCHAR, ',' ORDER BY cluster::VARCHAR) AS projects FROM obs GROUP BY batch")
 query("fil15_trial_status", "obs", lambda o: o.groupBy("cluster").agg(F.count("*").alias("n"), F.count_if(F.col("label") == 0).alias("n_recruiting")), "SELECT cluster, count(*) AS n, count(*) FILTER (label = 0) AS n_recruiting FROM obs GROUP BY cluster")
 query("srt5_merged_genes", "annotations", lambda a: C.first_by_order(a.where("variant_id % 5 = 0").select("gene", (F.col("variant_id") + 1000000).alias("seq")).union(a.where("variant_id % 7 = 0").select("gene", F.col("variant_id").alias("seq"))), ["gene"], ["seq"]).orderBy("seq").limit(30), "SELECT gene, min(seq) AS seq FROM (SELECT gene, variant_id + 1000000 AS seq FROM annotations WHERE variant_id % 5 = 0 UNION ALL SELECT gene, variant_id FROM annotations WHERE variant_id % 7 = 0) GROUP BY gene ORDER BY seq LIMIT 30")
-query("srt7_impact_order", "annotations", lambda a: a.groupBy("impact").agg(F.count("*").alias("n"), F.count_if(F.lower("clinvar").contains("pathogenic")).alias("n_pathogenic")), "SELECT impact, count(*) AS n, count(*) FILTER (clinvar ILIKE '%pathogenic%') AS n_pathogenic FROM annotations GROUP BY impact")
+query("srt7_impact_order", "annotations", A.by_impact, "SELECT upper(impact) AS impact, CASE upper(impact) WHEN 'HIGH' THEN 0 WHEN 'MODERATE' THEN 1 WHEN 'LOW' THEN 2 ELSE 3 END AS impact_rank, count(*) AS n, count(*) FILTER (clinvar ILIKE '%pathogenic%') AS n_pathogenic FROM annotations GROUP BY ALL")
 _U = "u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS u FROM vectors), l AS (SELECT vec_id, label, unnest(range(64)) AS i, unnest(u) AS x FROM u), c AS (SELECT label, i, avg(x) AS x FROM l GROUP BY ALL)"
 query("agg51_isolation", "vectors", L.isolation, f"WITH {_U}, n AS (SELECT label, sqrt(sum(x * x)) AS n FROM c GROUP BY label), d AS (SELECT a.label, b.label AS other, 1 - sum(a.x * b.x) / (max(na.n) * max(nb.n)) AS d FROM c a JOIN c b ON a.i = b.i AND a.label <> b.label JOIN n na ON na.label = a.label JOIN n nb ON nb.label = b.label GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(d, 9), other) AS r FROM d) SELECT label, round(avg(d), 6) AS isolation FROM k WHERE r <= 3 GROUP BY label")
 query("agg51_variance", "vectors", L.within_variance, f"WITH {_U}, d AS (SELECT l.vec_id, l.label, sum((l.x - c.x) * (l.x - c.x)) AS d FROM l JOIN c ON l.label = c.label AND l.i = c.i GROUP BY ALL) SELECT label, round(avg(d), 6) AS variance, count(*) AS n FROM d GROUP BY label")

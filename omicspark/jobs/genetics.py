@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from omicspark.functions.stats import two_sided_p
 from omicspark.jobs.query import query
 from omicspark.operators import gwas as G
 
@@ -47,10 +48,10 @@ _CS = f"{_ABF}, c AS (SELECT *, coalesce(sum(pip) OVER (PARTITION BY locus ORDER
 query("win3_credible_sets", "sumstats", lambda s: _r(G.credible_sets(G.abf(s)).select("locus", "variant_id", "pip", "rank"), "pip"), f"WITH {_CS} SELECT locus, variant_id, round(pip, 6) AS pip, rank FROM c WHERE before < 0.95")
 query("srt6_high_pip", "sumstats", lambda s: _r(G.abf(s).where("pip >= 0.1").select("locus", "variant_id", "pip"), "pip"), f"WITH {_ABF} SELECT locus, variant_id, round(pip, 6) AS pip FROM p WHERE pip >= 0.1")
 query("win13_causal_rank", "sumstats", lambda s: G.credible_sets(G.abf(s), 2.0).where("variant_id % 50 in (10, 40)").select("locus", "variant_id", "rank"), f"WITH {_CS} SELECT locus, variant_id, rank FROM c WHERE variant_id % 50 IN (10, 40)")
-query("fil13_significant", "sumstats", lambda s: s.where("abs(z) > 5.45").select("variant_id", F.round("z", 6).alias("z"), F.when(F.abs("z") > 7, "genome_wide").otherwise("suggestive").alias("level")), "SELECT variant_id, round(z, 6) AS z, CASE WHEN abs(z) > 7 THEN 'genome_wide' ELSE 'suggestive' END AS level FROM sumstats WHERE abs(z) > 5.45")
+query("fil13_significant", "sumstats", lambda s: G.significance_levels(s.withColumn("p", two_sided_p(F.col("z")))).select("variant_id", F.round("z", 6).alias("z"), "level"), "SELECT variant_id, round(z, 6) AS z, CASE WHEN abs(z) > 5.451310443869 THEN 'genome_wide' ELSE 'suggestive' END AS level FROM sumstats WHERE abs(z) > 4.417173413469")
 query("srt1_lead_variants", "sumstats", lambda s: s.orderBy(F.abs("z").desc(), "variant_id").limit(20).select("variant_id", F.round("z", 6).alias("z")), "SELECT variant_id, round(z, 6) AS z FROM sumstats ORDER BY abs(z) DESC, variant_id LIMIT 20")
 query("win10_qq", "sumstats", lambda s: G.qq_table(s.withColumn("log10p", F.round(F.col("z") * F.col("z"), 9))), "SELECT variant_id, row_number() OVER w AS rank, round(-log10((row_number() OVER w - 0.5) / count(*) OVER ()), 6) AS expected, round(round(z * z, 9), 6) AS observed FROM sumstats WINDOW w AS (ORDER BY round(z * z, 9) DESC, variant_id)")
-query("win11_genome_offset", "sumstats", lambda s: G.genome_offsets(s.select("variant_id", "chrom", "pos")), "WITH e AS (SELECT chrom, max(pos) AS last FROM sumstats GROUP BY chrom), o AS (SELECT chrom, coalesce(sum(last) OVER (ORDER BY chrom ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM e) SELECT variant_id, chrom, pos, (pos + off)::BIGINT AS genome_pos FROM sumstats JOIN o USING (chrom)")
+query("win11_genome_offset", "sumstats", lambda s: G.genome_offsets(s.select("variant_id", F.when(F.col("chrom") == 22, "X").otherwise(F.col("chrom").cast("string")).alias("chrom"), "pos")), "WITH x AS (SELECT variant_id, CASE WHEN chrom = 22 THEN 'X' ELSE chrom::VARCHAR END AS chrom, pos, chrom AS c FROM sumstats), e AS (SELECT chrom, min(c) AS c, max(pos) AS last FROM x GROUP BY chrom), o AS (SELECT chrom, coalesce(sum(last) OVER (ORDER BY c ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off FROM e) SELECT variant_id, chrom, pos, (pos + off)::BIGINT AS genome_pos FROM x JOIN o USING (chrom)")
 _MR = """t AS (SELECT pair_id, snp, 1 / (se_outcome * se_outcome) AS w, beta_exposure AS x, beta_outcome AS y FROM instruments),
 m AS (SELECT pair_id, count(*) AS n, sum(w) AS w, sum(w * x) AS wx, sum(w * y) AS wy, sum(w * x * x) AS wxx, sum(w * x * y) AS wxy, sum(w * y * y) AS wyy FROM t GROUP BY pair_id)"""
 query(
@@ -61,17 +62,19 @@ SELECT pair_id, n, round(estimate, 5) AS estimate, round(se, 5) AS se, round(est
 )
 query("agg15_ivw_p", "instruments", lambda i: _r(G.ivw(i).select("pair_id", "p", "q_p"), "p", "q_p"))
 query(
-    "agg16_egger", "instruments", lambda i: _r(G.egger(i), "slope", "slope_se", "intercept", "intercept_se", digits=5),
+    "agg16_egger", "instruments", lambda i: _r(G.egger(i).drop("slope_p", "intercept_p"), "slope", "slope_se", "intercept", "intercept_se", digits=5),
     f"""WITH {_MR}, d AS (SELECT *, w * wxx - wx * wx AS denom FROM m WHERE n > 2), s AS (SELECT *, (w * wxy - wx * wy) / denom AS slope FROM d WHERE abs(denom) > 1e-12),
 i AS (SELECT *, (wy - slope * wx) / w AS intercept FROM s), f AS (SELECT *, greatest(1, (wyy - intercept * wy - slope * wxy) / (n - 2)) AS phi FROM i)
 SELECT pair_id, n, round(slope, 5) AS slope, round(sqrt(phi * w / denom), 5) AS slope_se, round(intercept, 5) AS intercept, round(sqrt(phi * wxx / denom), 5) AS intercept_se FROM f""",
 )
+query("agg16_egger_p", "instruments", lambda i: _r(G.egger(i).select("pair_id", "slope_p", "intercept_p"), "slope_p", "intercept_p"))
+query("agg17_steiger_p", "instruments", lambda i: _r(G.sensitivity(i).select("pair_id", "steiger_p"), "steiger_p"))
 query(
-    "agg17_sensitivity", "instruments", G.sensitivity,
+    "agg17_sensitivity", "instruments", lambda i: _r(G.sensitivity(i).drop("steiger_p"), "steiger_z", digits=4),
     """WITH t AS (SELECT pair_id, count(*) AS n, avg(f_statistic) AS mean_f, min(f_statistic) AS min_f, count(*) FILTER (f_statistic < 10) AS n_weak, sum(1 / (se_exposure * se_exposure)) AS w, sum(beta_exposure / (se_exposure * se_exposure)) AS wx,
   sum(beta_exposure * beta_exposure / (se_exposure * se_exposure)) AS wxx, sum(2 * eaf * (1 - eaf) * beta_exposure * beta_exposure) AS r1, sum(2 * eaf * (1 - eaf) * beta_outcome * beta_outcome) AS r2 FROM instruments GROUP BY pair_id),
 q AS (SELECT *, wxx - wx * wx / w AS q FROM t)
-SELECT pair_id, n, round(mean_f, 4) AS mean_f, round(min_f, 4) AS min_f, n_weak, round(CASE WHEN q <= n - 1 OR n = 1 THEN 0 ELSE (q - (n - 1)) / q END, 4) AS i2_gx, r1 > r2 AS correct_direction FROM q""",
+SELECT pair_id, n, round(mean_f, 4) AS mean_f, round(min_f, 4) AS min_f, n_weak, round(CASE WHEN q <= n - 1 OR n = 1 THEN 0 ELSE (q - (n - 1)) / q END, 4) AS i2_gx, r1 > r2 AS correct_direction, round(CASE WHEN r1 + r2 > 0 THEN (r1 - r2) / (sqrt(r1 + r2) * 0.01) ELSE 0 END, 4) AS steiger_z FROM q""",
 )
 query(
     "agg18_leave_one_out", "instruments", lambda i: _r(G.leave_one_out(i), "estimate", "se", digits=5),

@@ -62,7 +62,7 @@ query(
     lambda a: A.best_per_variant(a.select((F.col("variant_id") - F.col("variant_id") % 4).alias("variant_id"), F.col("variant_id").alias("transcript"), "consequence", (F.col("variant_id") % 2 == 0).alias("canonical"), (F.col("variant_id") % 3 == 0).alias("mane"), F.when(F.col("variant_id") % 5 > 0, F.col("gene")).alias("gene"))).select("variant_id", "transcript", "consequence"),
     f"SELECT variant_id - variant_id % 4 AS variant_id, variant_id AS transcript, consequence FROM annotations QUALIFY row_number() OVER (PARTITION BY variant_id - variant_id % 4 ORDER BY {_SEV}, (variant_id % 2 = 0) DESC, (variant_id % 3 = 0) DESC, variant_id % 5 = 0, variant_id) = 1",
 )
-query("fil12_panel_filter", "annotations", lambda a: a.where(F.col("gene").isin("GENE1", "GENE13", "GENE17")).select("variant_id", "gene", (F.col("gene") == "GENE13").alias("secondary")), "SELECT variant_id, gene, gene = 'GENE13' AS secondary FROM annotations WHERE gene IN ('GENE1', 'GENE13', 'GENE17')")
+query("fil12_panel_filter", "annotations", lambda a: A.in_panel(a, a.where("clinvar = 'Pathogenic' and gnomad_af < 0.002").select("gene"), ["GENE13", "GENE17"]).select("variant_id", "gene", "secondary_finding"), "SELECT variant_id, gene, gene IN ('GENE13', 'GENE17') AS secondary_finding FROM annotations WHERE gene IN (SELECT gene FROM annotations WHERE clinvar = 'Pathogenic' AND gnomad_af < 0.002)")
 
 
 def _panel(v, a):

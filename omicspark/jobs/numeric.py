@@ -53,9 +53,10 @@ def _calls(g, v):
     return P.phenotypes(P.diplotypes(g.select("sample_id", "variant_id", "genotype"), _pgx_panel(v)))
 
 
-_CALLS = f"""{_PGX}, t AS (SELECT * FROM p WHERE alt <> 'DEL'), x AS (SELECT g.sample_id, t.*, length(genotype) - length(replace(genotype, t.alt, '')) AS n FROM genotypes g JOIN t ON g.variant_id = t.variant_id WHERE genotype IS NOT NULL),
-a AS (SELECT sample_id, gene, count(*) AS n_tested, sum(n) AS k, sum(n * activity) AS act, list_sort(flatten(list([star FOR i IN range(n)]))) AS s FROM x GROUP BY ALL),
-d AS (SELECT sample_id, gene, CASE WHEN k = 0 THEN '*1/*1' WHEN k = 1 THEN '*1/' || s[1] WHEN k = 2 THEN s[1] || '/' || s[2] ELSE 'ambiguous' END AS diplotype, n_tested, (SELECT count(*) FROM t WHERE t.gene = a.gene) AS n_panel, CASE WHEN k <= 2 THEN act + 2 - k END AS activity FROM a),
+_CALLS = f"""{_PGX}, x AS (SELECT g.sample_id, p.*, p.alt = 'DEL' AS sv, genotype[1] <> genotype[2] AS het, length(genotype) - length(replace(genotype, p.alt, '')) AS n FROM genotypes g JOIN p ON g.variant_id = p.variant_id WHERE genotype IS NOT NULL),
+a AS (SELECT sample_id, gene, count(*) FILTER (NOT sv) AS n_tested, bool_or(sv AND het) AS sv, coalesce(list({{'star': star, 'act': activity, 'n': n}} ORDER BY activity <> 0, variant_id) FILTER (NOT sv AND n > 0), []) AS f FROM x GROUP BY ALL),
+b AS (SELECT *, f[1] AS one, CASE WHEN f[1].n >= 2 THEN f[1] ELSE f[2] END AS two, len(list_filter(f, lambda v: v.n = 1)) >= 2 AND len(list_filter(f, lambda v: v.n = 1 AND v.act = 0)) > 0 AS phase FROM a WHERE n_tested > 0),
+d AS (SELECT sample_id, gene, CASE WHEN sv THEN 'indeterminate (structural variant)' WHEN phase THEN 'indeterminate (phase)' ELSE array_to_string(list_sort([coalesce(one.star, '*1'), coalesce(two.star, '*1')]), '/') END AS diplotype, n_tested, (SELECT count(*) FROM p WHERE p.gene = b.gene AND alt <> 'DEL') AS n_panel, CASE WHEN NOT sv AND NOT phase THEN coalesce(one.act, 1) + coalesce(two.act, 1) END AS activity FROM b),
 f AS (SELECT *, CASE WHEN activity IS NULL OR (n_tested < n_panel AND diplotype = '*1/*1') THEN 'indeterminate' WHEN activity = 0 THEN 'poor' WHEN activity < 1.25 THEN 'intermediate' WHEN activity <= 2.25 THEN 'normal' ELSE 'rapid' END AS phenotype FROM d)"""
 query("fn10_diplotypes", "genotypes variants", _calls, f"WITH {_CALLS} SELECT * FROM f")
 query(

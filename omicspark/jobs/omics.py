@@ -29,6 +29,7 @@ query(
 s AS (SELECT gene, count(*) FILTER (grp = 0) AS n0, count(*) FILTER (grp = 1) AS n1, sum(mid) FILTER (grp = 1) AS r1, sum(c * c - 1) AS ties FROM r GROUP BY gene), u AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u FROM s)
 SELECT gene, n0, n1, u, round((u - n0 * n1 / 2) / sqrt(n0 * n1 / 12 * (n0 + n1 + 1 - ties / ((n0 + n1) * (n0 + n1 - 1)))), 5) AS z FROM u""",
 )
+query("agg23_abundance", "counts", lambda c: _r(X.differential_abundance(c, "count", "rank_sum"), "mean0", "mean1", "log2fc", "p", "padj"))
 _P = "(gene * 7919 % 1009) / 1009.0"
 query(
     "win1_bh", "counts", lambda c: _r(X.benjamini_hochberg(c.withColumn("p", F.when(F.col("gene") % 50 == 0, None).otherwise(F.expr("cast((gene * 7919 + sample_id * 31) % 1009 as double) / 1009"))), "p", ["sample_id"], ["gene"]).select("gene", "sample_id", "padj"), "padj"),
@@ -48,24 +49,47 @@ query(
     """WITH m AS (SELECT gene, quantile_cont(count::DOUBLE, 0.5) AS m FROM counts WHERE sample_id >= 5 GROUP BY gene), d AS (SELECT gene, m, quantile_cont(abs(count - m), 0.5) AS mad FROM counts JOIN m USING (gene) WHERE sample_id >= 5 GROUP BY gene, m),
 z AS (SELECT gene, sample_id, 0.6745 * (count - m) / mad AS z FROM counts JOIN d USING (gene) WHERE sample_id < 5 AND mad > 0) SELECT gene, sample_id, round(z, 6) AS z FROM z WHERE abs(z) >= 3""",
 )
-query("agg24_downshift", "counts", lambda c: X.downshift(c.select("gene", "sample_id", F.when(F.col("count") > 40, F.log2("count")).alias("value"))).where("imputed").groupBy("sample_id").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean")))
+def _intensities(c):
+    return c.select("gene", "sample_id", F.when(F.col("count") > 40, F.log2("count")).alias("value"))
+
+
+query("agg24_downshift", "counts", lambda c: X.downshift(_intensities(c)).where("imputed").groupBy("sample_id").agg(F.count("*").alias("n"), F.round(F.avg("value"), 6).alias("mean")))
+query("agg24_moments", "counts", lambda c: c.sparkSession.createDataFrame([X.matrix_moments(_intensities(c))], "median double, sd double").select(F.round(F.col("median") - 1.8 * F.col("sd"), 6).alias("mean"), F.round(0.3 * F.col("sd"), 6).alias("sd")), "WITH v AS (SELECT log2(count) AS v FROM counts WHERE count > 40) SELECT round(median(v) - 1.8 * stddev_pop(v), 6) AS mean, round(0.3 * stddev_pop(v), 6) AS sd FROM v")
 _PRO = "x AS (SELECT gene, sample_id, CASE WHEN count = 0 THEN NULL ELSE count END AS v, gene % 40 = 0 AS contaminant FROM counts)"
 query("fil8_protein_filter", "counts", lambda c: c.where("gene % 40 <> 0").select("gene", "sample_id", F.expr("nullif(count, 0)").alias("value")).groupBy("gene").agg(F.count("value").alias("n_values"), F.sum("value").alias("total")).where("n_values > 0"), f"WITH {_PRO} SELECT gene, count(v) AS n_values, sum(v)::BIGINT AS total FROM x WHERE NOT contaminant GROUP BY gene HAVING count(v) > 0")
 query("fil6_warn_samples", "counts", lambda c: c.join(c.where("count = 0").select("gene").distinct(), "gene", "left_anti").groupBy("gene").agg(F.sum("count").alias("total")), "SELECT gene, sum(count)::BIGINT AS total FROM counts WHERE gene NOT IN (SELECT gene FROM counts WHERE count = 0) GROUP BY gene")
 query("fil7_log10_positive", "counts", lambda c: c.where("grp = 1 and batch <> 2").select("gene", "sample_id", F.round(F.log10(F.expr("nullif(count, 0)")), 6).alias("log10_rfu")), "SELECT gene, sample_id, round(log10(nullif(count, 0)), 6) AS log10_rfu FROM counts WHERE grp = 1 AND batch <> 2")
 query("agg31_npx", "counts", lambda c: c.groupBy("gene").pivot("sample_id", list(range(20))).agg(F.first("count")).select("gene", *[F.col(str(i)).alias(f"s{i}") for i in range(20)]).join(c.groupBy("gene").agg(F.round(100 * F.count_if(F.col("count") > 50) / F.count("*"), 6).alias("above_lod_pct")), "gene"), f"SELECT gene, {', '.join(f'(max(count) FILTER (sample_id = {i}))::BIGINT AS s{i}' for i in range(20))}, round(100 * count(*) FILTER (count > 50) / count(*), 6) AS above_lod_pct FROM counts GROUP BY gene")
-query("jon9_metadata", "counts", lambda c: c.join(c.select("sample_id", "grp").distinct().where("sample_id % 7 <> 0"), ["sample_id", "grp"], "left_anti").groupBy("sample_id").agg(F.count("*").alias("n_unmatched")), "SELECT sample_id, count(*) AS n_unmatched FROM counts WHERE sample_id % 7 = 0 GROUP BY sample_id")
+query("jon9_metadata", "counts", lambda c: X.aligned(c.select("gene", "sample_id", "count"), c.select("sample_id", "grp").distinct(), "grp").groupBy("grp").agg(F.countDistinct("sample_id").alias("n_samples"), F.sum("count").alias("total")), "SELECT grp, count(DISTINCT sample_id) AS n_samples, sum(count)::BIGINT AS total FROM counts GROUP BY grp")
 query(
     "jon12_paired_delta", "counts", lambda c: c.where("sample_id % 2 = 0").select("gene", (F.col("sample_id") / 2).cast("bigint").alias("subject"), F.col("count").alias("before")).join(c.where("sample_id % 2 = 1").select("gene", ((F.col("sample_id") - 1) / 2).cast("bigint").alias("subject"), F.col("count").alias("after")), ["gene", "subject"]).select("gene", "subject", (F.col("after") - F.col("before")).alias("delta")),
     "SELECT a.gene, a.sample_id // 2 AS subject, b.count - a.count AS delta FROM counts a JOIN counts b ON a.gene = b.gene AND b.sample_id = a.sample_id + 1 WHERE a.sample_id % 2 = 0",
 )
 query("jon20_outlier_panel", "counts", lambda c: c.join(F.broadcast(c.where("gene % 10 = 0 and sample_id = 0").select("gene", F.lit("panel").alias("mechanism"))), "gene", "left").select("gene", "sample_id", F.coalesce("mechanism", F.lit("none")).alias("mechanism")), "SELECT gene, sample_id, CASE WHEN gene % 10 = 0 THEN 'panel' ELSE 'none' END AS mechanism FROM counts")
-query("agg46_correlation", "counts", lambda c: c.alias("a").join(c.alias("b"), (F.col("a.gene") == F.col("b.gene")) & (F.col("a.sample_id") < F.col("b.sample_id"))).groupBy(F.col("a.sample_id").alias("sample_1"), F.col("b.sample_id").alias("sample_2")).agg(F.round(F.corr("a.count", "b.count"), 6).alias("r")), "SELECT a.sample_id AS sample_1, b.sample_id AS sample_2, round(corr(a.count, b.count), 6) AS r FROM counts a JOIN counts b ON a.gene = b.gene AND a.sample_id < b.sample_id GROUP BY ALL")
-query("agg45_organ_clock", "counts", lambda c: c.where("count > 0").withColumn("organ", F.col("gene") % 4).groupBy("sample_id", "organ").agg(F.round(30 + F.sum((F.col("gene") % 11 - 5) * F.log2(F.col("count") + 1)), 6).alias("age"), F.count("*").alias("n_used")), "SELECT sample_id, gene % 4 AS organ, round(30 + sum((gene % 11 - 5) * log2(count + 1)), 6) AS age, count(*) AS n_used FROM counts WHERE count > 0 GROUP BY ALL")
+def _clock(c, s):
+    return X.organ_ages(c.select("sample_id", F.col("gene").alias("protein"), F.log2(F.col("count") + 1).alias("value")), s.select(F.col("pgs_id").alias("organ"), F.col("variant_id").alias("protein"), F.col("effect_weight").alias("weight")), s.select(F.col("pgs_id").alias("organ")).distinct().select("organ", (30.0 + F.col("organ")).alias("intercept")))
+
+
+_CLOCK = """p AS (SELECT DISTINCT gene FROM counts), k AS (SELECT pgs_id AS organ, count(gene) AS n_used, count(*) - count(gene) AS n_missing FROM scores LEFT JOIN p ON gene = variant_id GROUP BY pgs_id),
+a AS (SELECT sample_id, pgs_id AS organ, 30 + any_value(pgs_id) + sum(log2(count + 1) * effect_weight) AS age FROM counts JOIN scores ON gene = variant_id GROUP BY sample_id, pgs_id)"""
+query("agg46_correlation", "counts scores", lambda c, s: _r(X.correlations(_clock(c, s), "organ", "sample_id", "age"), "r"), f"WITH {_CLOCK} SELECT x.organ AS item_1, y.organ AS item_2, round(corr(x.age, y.age), 6) AS r FROM a x JOIN a y ON x.sample_id = y.sample_id AND x.organ < y.organ GROUP BY ALL")
+query("agg45_organ_clock", "counts scores", lambda c, s: _r(_clock(c, s), "age"), f"WITH {_CLOCK} SELECT sample_id, organ, round(age, 6) AS age, n_used, n_missing FROM a JOIN k USING (organ)")
+query("agg45_missing", "counts scores", lambda c, s: X.missing_proteins(c.select(F.col("gene").alias("protein")), s.select(F.col("pgs_id").alias("organ"), F.col("variant_id").alias("protein"))), "SELECT DISTINCT pgs_id AS organ, variant_id AS protein FROM scores WHERE variant_id NOT IN (SELECT gene FROM counts)")
 query("agg52_probes", "counts", lambda c: c.groupBy((F.floor(F.col("gene") / 10)).alias("prefix"), "sample_id").agg(F.round(F.avg("count"), 6).alias("mean")), "SELECT gene // 10 AS prefix, sample_id, round(avg(count), 6) AS mean FROM counts GROUP BY ALL")
-query("win14_display_cap", "counts", lambda c: c.groupBy("sample_id").agg(F.round(F.greatest(F.percentile("count", F.lit(0.995)), F.lit(4.0)), 6).alias("cap")), "SELECT sample_id, round(greatest(quantile_cont(count::DOUBLE, 0.995), 4), 6) AS cap FROM counts GROUP BY sample_id")
-query("win15_even_sample", "counts", lambda c: X.evenly_spaced(c, ["sample_id"], ["gene"], 48).select("sample_id", "gene"), "WITH x AS (SELECT sample_id, gene, row_number() OVER (PARTITION BY sample_id ORDER BY gene) - 1 AS i, count(*) OVER (PARTITION BY sample_id) AS n FROM counts) SELECT sample_id, gene FROM x WHERE n <= 48 OR i = 0 OR (i * 47) // (n - 1) > ((i - 1) * 47) // (n - 1)")
-query("srt3_de_order", "counts", lambda c: X.differential_expression(c).select("gene", F.round("lfc", 6).alias("lfc")).orderBy(F.col("lfc").desc(), "gene").limit(25), f"WITH {_LFC} SELECT gene, lfc FROM d ORDER BY lfc DESC, gene LIMIT 25")
+query("win14_display_cap", "counts", lambda c: _r(X.display_cap(c, "sample_id", "count"), "cap"), "WITH q AS (SELECT sample_id, greatest(quantile_cont(count::DOUBLE, 0.995), 4) AS cap, quantile_cont(count::DOUBLE, 0.9) AS t FROM counts GROUP BY sample_id) SELECT sample_id, round(any_value(cap), 6) AS cap, count(*) FILTER (count >= t) AS n_top FROM counts JOIN q USING (sample_id) GROUP BY sample_id")
+query(
+    "win15_even_sample", "obs", lambda o: X.evenly_spaced(o.select("cell", "cluster"), ["cell"], "cluster", 48),
+    """WITH x AS (SELECT cell, cluster, row_number() OVER (PARTITION BY cluster ORDER BY cell) - 1 AS i, count(*) OVER (PARTITION BY cluster) AS n, min(cell) OVER (PARTITION BY cluster) AS first FROM obs),
+t AS (SELECT greatest(1, 48 // count(DISTINCT cluster)) AS share, count(*) AS total FROM obs),
+k AS (SELECT x.*, least(share, n) AS take, total FROM x, t),
+c AS (SELECT *, list_contains(list_transform(range(take), lambda j: round_even(j * ((n - 1) / greatest(take - 1, 1)), 0)::BIGINT), i) OR total <= 48 AS chosen FROM k),
+r AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY cell) AS turn FROM c WHERE NOT chosen),
+f AS (SELECT cell, cluster FROM r ORDER BY turn, n - take - turn DESC, first LIMIT (SELECT greatest(0, 48 - count(*)) FROM c WHERE chosen))
+SELECT cell, cluster FROM c WHERE chosen UNION ALL SELECT cell, cluster FROM f""",
+)
+query("win15_even_ungrouped", "obs", lambda o: X.evenly_spaced(o.select("cell"), ["cell"], None, 48), "WITH x AS (SELECT cell, row_number() OVER (ORDER BY cell) - 1 AS i, count(*) OVER () AS n FROM obs) SELECT cell FROM x WHERE n <= 48 OR list_contains(list_transform(range(48), lambda j: round_even(j * ((n - 1) / 47), 0)::BIGINT), i)")
+query("srt3_de_order", "counts", lambda c: X.de_order(X.differential_expression(c)).limit(25).select("gene", F.round("lfc", 6).alias("lfc")), f"WITH {_MOM}, z AS (SELECT gene, m1 - m0 AS lfc, abs(m1 - m0) / sqrt((v0 + 1e-12) / n0 + (v1 + 1e-12) / n1) AS z FROM m) SELECT gene, round(lfc, 6) AS lfc FROM z ORDER BY z DESC, lfc DESC, gene LIMIT 25")
+query("srt3_de_order_without_p", "counts", lambda c: X.de_order(X.differential_expression(c).select("gene", F.round("lfc", 6).alias("lfc"))).limit(25), f"WITH {_LFC} SELECT gene, lfc FROM d ORDER BY abs(lfc) DESC, gene LIMIT 25")
 query("fil11_base_mean", "counts", lambda c: c.groupBy("gene").agg(F.avg("count").alias("base")).withColumn("n_ok", F.count_if(F.col("base") >= 100).over(W.partitionBy(F.lit(1)))).where("n_ok = 0 or base >= 100").select("gene", F.round("base", 6).alias("base")), "WITH b AS (SELECT gene, avg(count) AS base FROM counts GROUP BY gene) SELECT gene, round(base, 6) AS base FROM b WHERE base >= 100 OR (SELECT count(*) FROM b WHERE base >= 100) = 0")
 query("agg27_majority", "obs", lambda o: _r(X.majority(o), "support", "confidence"), "WITH n AS (SELECT cluster, label, count(*) AS n, avg(confidence) AS c FROM obs GROUP BY ALL) SELECT cluster, label, n, (sum(n) OVER (PARTITION BY cluster))::BIGINT AS total, round(n / sum(n) OVER (PARTITION BY cluster), 6) AS support, round(c, 6) AS confidence FROM n QUALIFY row_number() OVER (PARTITION BY cluster ORDER BY n DESC, label) = 1")
 query(
@@ -74,17 +98,25 @@ query(
 r AS (SELECT gene, cluster, v, rank() OVER (PARTITION BY gene ORDER BY v) + (count(*) OVER (PARTITION BY gene, v) - 1) / 2 AS mid FROM a)
 SELECT gene, cluster, count(*) AS n1, count(*) FILTER (v > 0) AS nz1, sum(mid) - count(*) * (count(*) + 1) / 2 AS u FROM r GROUP BY gene, cluster HAVING count(*) FILTER (v > 0) > 0""",
 )
-query("win7_top_markers", "cells obs", lambda c, o: X.top_k(X.markers(c, o).select("gene", "cluster", "u"), ["cluster"], [F.col("u").desc(), F.col("gene")], 5), None)
+_MARKERS = """a AS (SELECT g.gene, o.cell, o.cluster, coalesce(c.count, 0) AS v FROM (SELECT DISTINCT gene FROM cells) g CROSS JOIN obs o LEFT JOIN cells c ON c.cell = o.cell AND c.gene = g.gene),
+r AS (SELECT gene, cluster, v, rank() OVER (PARTITION BY gene ORDER BY v) + (count(*) OVER (PARTITION BY gene, v) - 1) / 2 AS mid FROM a),
+u AS (SELECT gene, cluster, sum(mid) - count(*) * (count(*) + 1) / 2 AS u FROM r GROUP BY gene, cluster HAVING count(*) FILTER (v > 0) > 0)"""
+query("win7_top_markers", "cells obs", lambda c, o: X.top_k(X.markers(c, o).select("gene", "cluster", "u"), ["cluster"], [F.col("u").desc(), F.col("gene")], 5), f"WITH {_MARKERS} SELECT gene, cluster, u, row_number() OVER (PARTITION BY cluster ORDER BY u DESC, gene) AS rank FROM u QUALIFY rank <= 5")
 query(
     "fil16_cell_qc", "cells", lambda c: X.cell_qc(c, 3, 0.3, 50, F.col("gene") < 20).select("cell", "gene", "count"),
     """WITH s AS (SELECT cell, count(*) FILTER (count > 0) AS g, sum(CASE WHEN gene < 20 THEN count ELSE 0 END) / sum(count) AS m FROM cells GROUP BY cell), k AS (SELECT c.* FROM cells c JOIN s ON s.cell = c.cell AND g >= 3 AND m <= 0.3)
 SELECT cell, gene, count FROM k WHERE gene IN (SELECT gene FROM k WHERE count > 0 GROUP BY gene HAVING count(*) >= 50)""",
 )
-query("num10_variable_genes", "cells", lambda c: _r(X.variable_genes(c, F.lit(1000.0)), "z"))
+query(
+    "num10_variable_genes", "cells obs", lambda c, o: _r(X.variable_genes(c, F.lit(float(o.count()))), "z", digits=4),
+    """WITH v AS (SELECT gene, ln(1 + count * 1e4 / sum(count) OVER (PARTITION BY cell)) AS v FROM cells), n AS (SELECT count(*)::DOUBLE AS n FROM obs),
+m AS (SELECT gene, sum(v) / any_value(n) AS mean, sum(v * v) / any_value(n) AS sq FROM v, n GROUP BY gene), d AS (SELECT gene, mean, (sq - mean * mean) / mean AS d, ntile(10) OVER (ORDER BY mean, gene) AS bin FROM m),
+z AS (SELECT gene, bin, (d - avg(d) OVER w) / stddev(d) OVER w AS z FROM d WINDOW w AS (PARTITION BY bin)) SELECT gene, bin::INT AS bin, round(z, 4) AS z, row_number() OVER (ORDER BY z DESC NULLS LAST, gene) <= 20 AS variable FROM z""",
+)
 query(
     "agg29_batch_mixing", "obs", lambda o: _r(X.batch_mixing(o.select("cell", "batch", F.explode(F.sequence(F.col("cell") + 1, F.col("cell") + 4)).alias("other")).join(o.select(F.col("cell").alias("other"), F.col("batch").alias("other_batch")), "other")), "cross", "entropy"),
     """WITH e AS (SELECT a.cell, a.batch, b.batch AS ob, count(*) AS c FROM obs a JOIN obs b ON b.cell IN (a.cell + 1, a.cell + 2, a.cell + 3, a.cell + 4) GROUP BY ALL), p AS (SELECT *, c / sum(c) OVER (PARTITION BY cell) AS p FROM e)
-SELECT cell, round(sum(CASE WHEN batch <> ob THEN p ELSE 0 END), 6) AS cross, round(-sum(p * ln(p)), 6) AS entropy FROM p GROUP BY cell""",
+SELECT cell, round(sum(CASE WHEN batch <> ob THEN p ELSE 0 END), 6) AS cross, round(0 - sum(p * log2(p)) / (SELECT log2(greatest(2, count(DISTINCT batch))) FROM obs), 6) AS entropy FROM p GROUP BY cell""",
 )
 query("agg30_abundance", "counts", lambda c: c.withColumn("pct", F.round(100 * F.col("count") / F.sum("count").over(W.partitionBy("sample_id")), 6)).where("count > 0").select("gene", "sample_id", "pct"), "WITH x AS (SELECT gene, sample_id, count, round(100 * count / sum(count) OVER (PARTITION BY sample_id), 6) AS pct FROM counts) SELECT gene, sample_id, pct FROM x WHERE count > 0")
 query("fil9_perfect_strict", "annotations", lambda a: a.where(F.col("impact").isin("HIGH", "MODERATE")).groupBy("gene").agg(F.count("*").alias("n")), "SELECT gene, count(*) AS n FROM annotations WHERE impact IN ('HIGH', 'MODERATE') GROUP BY gene")

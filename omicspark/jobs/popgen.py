@@ -41,6 +41,14 @@ query(
 a AS (SELECT sample_id, count(*) FILTER (length(ref) = 1 AND length(alt) = 1) AS n_snp, count(*) FILTER (length(ref) > 1 OR length(alt) > 1) AS n_indel, count(*) FILTER (ti) AS n_ti, count(*) FILTER (NOT ti) AS n_tv, count(*) FILTER (het) AS n_het, count(*) FILTER (NOT het) AS n_hom_alt FROM c GROUP BY sample_id)
 SELECT *, round(n_ti / nullif(n_tv, 0), 6) AS ti_tv, round(n_het / nullif(n_hom_alt, 0), 6) AS het_hom FROM a""",
 )
+query(
+    "agg7_verdict", "genotypes", lambda g: P.qc_verdict(P.qc_stats(g)).select("sample_id", "reasons", "warnings", "passes"),
+    """WITH c AS (SELECT *, substr(genotype, 1, 1) <> substr(genotype, 2, 1) AS het, ref || alt IN ('AG', 'GA', 'CT', 'TC') AS ti FROM genotypes WHERE genotype IS NOT NULL AND contains(genotype, alt)),
+a AS (SELECT sample_id, count(*) AS n, count(*) FILTER (ti) / nullif(count(*) FILTER (NOT ti), 0) AS t, count(*) FILTER (het) / nullif(count(*) FILTER (NOT het), 0) AS h FROM c GROUP BY sample_id),
+r AS (SELECT sample_id, concat_ws(',', CASE WHEN n < 100 THEN 'few_snps' END, CASE WHEN t < 1.8 THEN 'ti_tv_low' END, CASE WHEN h < 1 THEN 'het_hom_low' WHEN h > 3 THEN 'het_hom_high' END) AS reasons,
+  concat_ws(',', CASE WHEN t IS NULL THEN 'ti_tv_missing' WHEN t > 2.5 THEN 'ti_tv_high' END, CASE WHEN h IS NULL THEN 'het_hom_missing' END) AS warnings FROM a)
+SELECT *, reasons = '' AS passes FROM r""",
+)
 query(
     "fil1_multiallelic", "annotations",
     lambda a: P.split_multiallelic(a.select("variant_id", F.when(F.col("variant_id") % 3 == 0, "C,G").otherwise("T").alias("alt"), F.element_at(F.array(*map(F.lit, ["0/1", "1|2", "2/2", "./1", "0/0"])), (F.col("variant_id") % 5 + 1).cast("int")).alias("gt"))).select("variant_id", F.col("allele_no").cast("bigint").alias("allele_no"), "alt", "gt"),
@@ -55,7 +63,7 @@ query(
 )
 query(
     "fil3_genotype_qc", "dosages",
-    lambda d: P.call_rates(P.genotype_qc(d)).select("variant_id", "n", F.round("call_rate", 6).alias("call_rate"), F.round("maf", 6).alias("maf")),
+    lambda d: P.call_rates(P.genotype_qc(d, 0.3, 0.3, 0.01, None)).select("variant_id", "n", F.round("call_rate", 6).alias("call_rate"), F.round("maf", 6).alias("maf")),
     """WITH g AS (SELECT variant_id FROM dosages GROUP BY variant_id HAVING count(dosage) / count(*) >= 0.7),
 d1 AS (SELECT * FROM dosages WHERE variant_id IN (SELECT variant_id FROM g)),
 d2 AS (SELECT * FROM d1 WHERE sample_id IN (SELECT sample_id FROM d1 GROUP BY sample_id HAVING count(dosage) / count(*) >= 0.7)),

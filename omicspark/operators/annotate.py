@@ -193,3 +193,17 @@ def drug_matches(queries: DataFrame, drugs: DataFrame) -> DataFrame:
     df = queries.join(F.broadcast(drugs), F.lit(True)).withColumn("tier", tier).where("tier is not null")
     best = df.groupBy("query").agg(F.min(F.struct("tier", F.levenshtein(q, d).alias("edits"), "drug")).alias("x"))
     return best.select("query", F.col("x.drug").alias("drug"), F.col("x.tier").alias("tier"))
+
+
+def in_panel(variants: DataFrame, panel: DataFrame, secondary: list[str] | None = None) -> DataFrame:
+    """The variants of the panel's genes (gene; a constant list), with secondary_finding: whether the gene is listed."""
+    out = variants.join(F.broadcast(panel.select("gene").distinct()), "gene", "left_semi")
+    return out.withColumn("secondary_finding", F.col("gene").isin(*(secondary or [])) if secondary else F.lit(False))
+
+
+def by_impact(variants: DataFrame) -> DataFrame:
+    """impact (upper case), impact_rank (HIGH, MODERATE, LOW, others), n and n_pathogenic, in order of the rank."""
+    impact = F.upper("impact")
+    rank = F.when(impact == "HIGH", 0).when(impact == "MODERATE", 1).when(impact == "LOW", 2).otherwise(3)
+    df = variants.groupBy(impact.alias("impact"), rank.alias("impact_rank")).agg(F.count("*").alias("n"), F.count_if(F.lower("clinvar").contains("pathogenic")).alias("n_pathogenic"))
+    return df.orderBy("impact_rank", "impact")

@@ -47,22 +47,41 @@ def founders(pedigree: DataFrame) -> DataFrame:
     return ancestors(pedigree).join(first, "ancestor", "left_semi").groupBy("id").agg(F.count("*").alias("n_founders"))
 
 
-def gates_passed(traits: DataFrame, gates: DataFrame) -> DataFrame:
-    """traits: id, trait, value. gates: skill, trait, least. Per individual and skill with a trait in common: whether all
-    gates are passed, and the traits that fall short or are missing."""
-    need = gates.groupBy("skill").agg(F.count("*").alias("n_gates"))
-    met = traits.join(gates, "trait").groupBy("id", "skill").agg(F.count_if(F.col("value") >= F.col("least")).alias("n_met"), F.array_sort(F.collect_set(F.when(F.col("value") < F.col("least"), F.col("trait")))).alias("short"))
-    return met.join(F.broadcast(need), "skill").select("id", "skill", (F.col("n_met") == F.col("n_gates")).alias("unlocked"), F.array_join("short", ",").alias("short"))
+#: Rows of a constant list (gates, diseases) that is put into the plan at most.
+MOST_CONSTANTS = 10_000
+
 
+def _constants(df: DataFrame, columns: list[str]) -> list:
+    rows = df.select(*columns).distinct().limit(MOST_CONSTANTS + 1).collect()
+    if len(rows) > MOST_CONSTANTS:
+        raise ValueError(f"a constant list of {MOST_CONSTANTS} rows at most is expected")
+    return sorted(map(tuple, rows))
 
-def disease_status(calls: DataFrame, needs: DataFrame) -> DataFrame:
+
+def gates_passed(traits: DataFrame, gates: DataFrame) -> DataFrame:
+    """traits: id, trait, value. gates: skill, trait, least (a constant list). Per individual and skill: whether all gates
+    are passed, and the traits that fall short or that the individual doesn't have."""
+    listed = _constants(gates, ["skill", "trait", "least"])
+    need = F.array(*[F.struct(F.lit(s).alias("skill"), F.lit(t).alias("trait"), F.lit(x).cast("double").alias("least")) for s, t, x in listed])
+    own = traits.groupBy("id").agg(F.collect_list(F.when(F.col("trait").isin(*{t for _, t, _ in listed}), F.struct("trait", F.col("value").cast("double").alias("value")))).alias("own"))
+    each = own.withColumn("g", F.explode(need))
+    met = F.exists("own", lambda x: (x["trait"] == F.col("g")["trait"]) & (x["value"] >= F.col("g")["least"]))
+    out = each.groupBy("id", "g.skill").agg(F.bool_and(met).alias("unlocked"), F.array_join(F.array_sort(F.collect_set(F.when(~met, F.col("g")["trait"]))), ",").alias("short"))
+    return out.select("id", "skill", "unlocked", "short")
+
+
+def disease_status(calls: DataFrame, needs: DataFrame, samples: DataFrame | None = None) -> DataFrame:
     """calls: sample_id, variant_id, dosage. needs: disease, variant_id, need (alt/alt, alt/? or ref/ref; a constant list).
-    Per sample with any of a disease's loci: whether all of its genotypes are there; a locus without a call isn't met."""
+    Per sample (of calls, or of `samples`) and disease: whether all of its genotypes are there; a locus without a call
+    isn't met, also where a sample has none of the disease's loci."""
     total = needs.groupBy("disease").agg(F.count("*").alias("n"))
     d, need = F.col("dosage"), F.col("need")
     met = ((need == "alt/alt") & (d == 2)) | ((need == "alt/?") & (d >= 1)) | ((need == "ref/ref") & (d == 0))
     df = calls.join(F.broadcast(needs), "variant_id").groupBy("sample_id", "disease").agg(F.count_if(met).alias("n_met"))
-    return df.join(F.broadcast(total), "disease").select("sample_id", "disease", (F.col("n_met") == F.col("n")).alias("affected"))
+    affected = df.join(F.broadcast(total), "disease").where(F.col("n_met") == F.col("n")).select("sample_id", "disease", F.lit(True).alias("affected"))
+    names = F.array(*[F.lit(x) for (x,) in _constants(needs, ["disease"])])
+    every = (calls if samples is None else samples).select("sample_id").distinct().withColumn("disease", F.explode(names))
+    return every.join(affected, ["sample_id", "disease"], "left").select("sample_id", "disease", F.coalesce("affected", F.lit(False)).alias("affected"))
 
 
 def compatibility(calls: DataFrame) -> DataFrame:

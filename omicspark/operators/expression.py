@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from omicspark.functions.stats import t_two_sided_p, two_sided_p
-from omicspark.operators.gwas import ranked
+from omicspark.operators.gwas import element_at_rank, ranked
 
 
 def sample_qc(counts: DataFrame) -> DataFrame:
@@ -24,7 +26,7 @@ def cpm(counts: DataFrame) -> DataFrame:
     """Counts per million of the sample's total, and log2(cpm + 1). The totals are a small table joined by sample, so that
     no sample's rows have to meet in one task."""
     total = counts.groupBy("sample_id").agg(F.sum("count").alias("total"))
-    df = counts.join(F.broadcast(total), "sample_id").withColumn("cpm", F.try_divide(F.col("count") * F.lit(1e6), F.col("total")))
+    df = counts.join(total, "sample_id").withColumn("cpm", F.try_divide(F.col("count") * F.lit(1e6), F.col("total")))
     return df.withColumn("log2_cpm", F.log2(F.col("cpm") + 1)).drop("total")
 
 
@@ -96,6 +98,73 @@ def rank_sums(values: DataFrame, value: str, keys: list[str]) -> DataFrame:
     return df.select(*keys, "n0", "n1", u.alias("u"), F.try_divide(u - F.col("n0") * F.col("n1") / 2, F.sqrt(var)).alias("z"))
 
 
+def differential_abundance(values: DataFrame, value: str, test: str = "welch", least: int = 3, most_fdr: float = 0.05, least_fc: float = 0.25, log10_scale: bool = False) -> DataFrame:
+    """gene, mean0, mean1, log2fc (group 1 less group 0; over log10(2) where values are log10), p, padj (over all genes)
+    and significant (padj at most most_fdr and abs(log2fc) at least least_fc), for genes with `least` values in both
+    groups. test: welch or rank_sum (two-sided, normal approximation with corrections for ties and continuity). A p that
+    can't be told is 1."""
+    m = two_group_moments(values, value).where((F.col("n0") >= least) & (F.col("n1") >= least))
+    fc = (F.col("mean1") - F.col("mean0")) / (math.log10(2) if log10_scale else 1.0)
+    df = m.select("gene", "mean0", "mean1", fc.alias("log2fc"))
+    if test == "welch":
+        df = df.join(welch(values, value, least).select("gene", "p"), "gene")
+    else:
+        r = rank_sums(values, value, ["gene"])
+        half = F.col("n0") * F.col("n1") / 2
+        sd = F.try_divide(F.col("u") - half, F.col("z"))
+        z = F.try_divide(F.greatest(F.abs(F.col("u") - half) - 0.5, F.lit(0.0)), sd)
+        df = df.join(r.select("gene", two_sided_p(z).alias("p")), "gene")
+    df = df.withColumn("p", F.when(F.col("p").isNull() | F.isnan("p"), 1.0).otherwise(F.col("p")))
+    df = benjamini_hochberg_global(df, "p", ["gene"])
+    return df.withColumn("significant", (F.col("padj") <= most_fdr) & (F.abs("log2fc") >= least_fc))
+
+
+def aligned(values: DataFrame, metadata: DataFrame, group: str, least: int = 2) -> DataFrame:
+    """values (sample_id, ...) with their sample's group from metadata (sample_id, group). A sample without metadata, and a
+    group of fewer than `least` samples, is an error."""
+    samples = values.select("sample_id").distinct()
+    missing = [r[0] for r in samples.join(metadata, "sample_id", "left_anti").orderBy("sample_id").limit(5).collect()]
+    if missing:
+        raise ValueError(f"metadata misses samples: {missing}")
+    own = metadata.join(samples, "sample_id", "left_semi").select("sample_id", group).distinct()
+    small = own.groupBy(group).count().where(F.col("count") < least).orderBy(group).limit(5).collect()
+    if small:
+        raise ValueError(f"groups need {least} samples at least: {[r[0] for r in small]}")
+    return values.join(own, "sample_id")
+
+
+#: Intercept, slope and average log hazard of the Gompertz law of mortality.
+GOMPERTZ = (-9.94613787413831, 0.0897860500778604, -4.801912)
+
+
+def organ_ages(values: DataFrame, coefficients: DataFrame, intercepts: DataFrame | None = None, hazard: bool = False) -> DataFrame:
+    """values: sample_id, protein, value. coefficients: organ, protein, weight. intercepts: organ, intercept. Per sample and
+    organ: age (intercept plus weighted values of the proteins that are measured at all), n_used and n_missing proteins
+    of the organ. hazard: the sum is a log mortality hazard and is turned into years."""
+    measured = values.select("protein").distinct()
+    parts = coefficients.join(measured.withColumn("_m", F.lit(1)), "protein", "left").groupBy("organ").agg(F.count("_m").alias("n_used"), F.count_if(F.col("_m").isNull()).alias("n_missing"))
+    sums = values.join(coefficients, "protein").groupBy("sample_id", "organ").agg(F.sum(F.col("value") * F.col("weight")).alias("s"))
+    df = sums.join(parts, "organ")
+    df = df.join(intercepts, "organ", "left") if intercepts is not None else df.withColumn("intercept", F.lit(0.0))
+    age = F.col("s") + F.coalesce("intercept", F.lit(0.0))
+    if hazard:
+        a, b, h = GOMPERTZ
+        age = (age - h) / b - a
+    return df.select("sample_id", "organ", age.alias("age"), "n_used", "n_missing")
+
+
+def missing_proteins(values: DataFrame, coefficients: DataFrame) -> DataFrame:
+    """organ, protein: those of the coefficients that no sample has."""
+    return coefficients.select("organ", "protein").distinct().join(values.select("protein").distinct(), "protein", "left_anti").select("organ", "protein")
+
+
+def correlations(values: DataFrame, item: str, of: str, value: str) -> DataFrame:
+    """item_1, item_2, r: Pearson correlations of a few items (organs, clocks) over what they are measured on."""
+    a, b = values.alias("a"), values.alias("b")
+    both = a.join(b, (F.col(f"a.{of}") == F.col(f"b.{of}")) & (F.col(f"a.{item}") < F.col(f"b.{item}")))
+    return both.groupBy(F.col(f"a.{item}").alias("item_1"), F.col(f"b.{item}").alias("item_2")).agg(F.corr(f"a.{value}", f"b.{value}").alias("r"))
+
+
 def markers(cells: DataFrame, obs: DataFrame) -> DataFrame:
     """U of each gene's counts, each cluster against the rest, over all cells. Only non-zero counts are read and ranked;
     the zeros, which are the first tie of each gene, are put in by their number."""
@@ -126,17 +195,27 @@ def outliers(values: DataFrame, controls: Column, least_z: float) -> DataFrame:
     return df.where(F.abs("z") >= least_z).select("gene", "sample_id", "z")
 
 
+def matrix_moments(values: DataFrame) -> tuple[float | None, float | None]:
+    """Median and population deviation of all values, as two numbers."""
+    r = values.agg(F.count("value").alias("n"), F.stddev_pop("value").alias("s")).first()
+    if not r["n"]:
+        return None, None
+    low, high = element_at_rank(values, "value", [(r["n"] - 1) // 2, r["n"] // 2])
+    return (low + high) / 2, r["s"]
+
+
 def downshift(values: DataFrame, shift: float = 1.8, width: float = 0.3) -> DataFrame:
-    """Nulls filled by draws from a normal distribution below the sample's values: median less shift deviations, width
-    deviations wide. The draw comes from the row's own key, so that it doesn't depend on the partitioning."""
-    own = values.groupBy("sample_id").agg(F.percentile("value", F.lit(0.5)).alias("m"), F.stddev_pop("value").alias("s"))
+    """Nulls filled by draws from a normal distribution below the matrix's values: the median of all values less `shift`
+    of their (population) deviations, `width` deviations wide. The draw comes from the row's own key, so that it doesn't
+    depend on the partitioning. Without values nulls stay."""
+    m, s = matrix_moments(values)
 
     def uniform(salt: int) -> Column:
         return (F.pmod(F.xxhash64("gene", "sample_id", F.lit(salt)), F.lit(1 << 40)) + 0.5) / float(1 << 40)
 
     normal = F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * F.pi() * uniform(2))
-    df = values.join(F.broadcast(own), "sample_id")
-    return df.withColumn("imputed", F.col("value").isNull()).withColumn("value", F.coalesce("value", F.col("m") - shift * F.col("s") + width * F.col("s") * normal)).drop("m", "s")
+    draw = F.lit(m).cast("double") - shift * F.lit(s).cast("double") + width * F.lit(s).cast("double") * normal
+    return values.withColumn("imputed", F.col("value").isNull()).withColumn("value", F.coalesce("value", draw))
 
 
 def significance(df: DataFrame, padj: str, lfc: str, most_p: float = 0.05, least_lfc: float = 1.0) -> DataFrame:
@@ -172,25 +251,71 @@ def variable_genes(cells: DataFrame, n_cells: Column, bins: int = 10, top: int =
     """Genes by dispersion, as a z-score within bins of their mean; zeros count by the number of cells."""
     s = normalised(cells).groupBy("gene").agg((F.sum("value") / n_cells).alias("mean"), (F.sum(F.col("value") * F.col("value")) / n_cells).alias("sq"))
     s = s.withColumn("dispersion", (F.col("sq") - F.col("mean") * F.col("mean")) / F.col("mean"))
-    s = s.withColumn("bin", F.ntile(bins).over(W.orderBy("mean", "gene")))  # one row per gene
+    n = s.count()
+    place = ranked(s, [F.col("mean").asc(), F.col("gene").asc()], "_r")
+    # As ntile: the first n mod bins bins have one gene more.
+    small, more = n // bins, n % bins
+    edge = more * (small + 1)
+    s = place.withColumn("bin", F.when(F.col("_r") <= edge, F.floor((F.col("_r") - 1) / (small + 1)) + 1).otherwise(F.floor((F.col("_r") - 1 - edge) / max(small, 1)) + more + 1).cast("int")).drop("_r")
     w = W.partitionBy("bin")
     s = s.withColumn("z", F.try_divide(F.col("dispersion") - F.avg("dispersion").over(w), F.stddev("dispersion").over(w)))
-    return s.select("gene", "bin", "z", (F.row_number().over(W.orderBy(F.col("z").desc_nulls_last(), "gene")) <= top).alias("variable"))
+    best = s.orderBy(F.col("z").desc_nulls_last(), "gene").limit(top).select(F.col("gene").alias("_g"))
+    return s.join(F.broadcast(best), s["gene"] == best["_g"], "left").select("gene", "bin", "z", F.col("_g").isNotNull().alias("variable"))
 
 
 def batch_mixing(edges: DataFrame) -> DataFrame:
-    """edges: cell, batch, other_batch. Per cell: share of neighbours from other batches and the entropy of their
-    batches over that of an even spread."""
+    """edges: cell, batch, other_batch. Per cell: share of neighbours from other batches, and the entropy of their
+    batches over the most that all batches (two at least) allow."""
+    batches = edges.select(F.explode(F.array("batch", "other_batch")).alias("b")).distinct().count()
     n = edges.groupBy("cell", "batch", "other_batch").agg(F.count("*").alias("c"))
     total = F.sum("c").over(W.partitionBy("cell"))
     p = n.withColumn("p", F.col("c") / total)
-    return p.groupBy("cell").agg(F.sum(F.when(F.col("batch") != F.col("other_batch"), F.col("p")).otherwise(0)).alias("cross"), (-F.sum(F.col("p") * F.log("p"))).alias("entropy"))
+    return p.groupBy("cell").agg(F.sum(F.when(F.col("batch") != F.col("other_batch"), F.col("p")).otherwise(0)).alias("cross"), (-F.sum(F.col("p") * F.log2("p")) / math.log2(max(2, batches))).alias("entropy"))
 
 
-def evenly_spaced(df: DataFrame, group: list[str], order: list[str], most: int) -> DataFrame:
-    """Of each group at most `most` rows, evenly spaced in its order, first and last included."""
-    w = W.partitionBy(*group)
-    df = df.withColumns({"_i": F.row_number().over(w.orderBy(*order)) - 1, "_n": F.count("*").over(w)})
-    slot = F.floor(F.col("_i") * (most - 1) / F.greatest(F.col("_n") - 1, F.lit(1)))
-    before = F.floor((F.col("_i") - 1) * (most - 1) / F.greatest(F.col("_n") - 1, F.lit(1)))
-    return df.where((F.col("_n") <= most) | (F.col("_i") == 0) | (slot > before)).drop("_i", "_n")
+def evenly_spaced(df: DataFrame, order: list[str], group: str | None = None, most: int = 48) -> DataFrame:
+    """At most `most` rows of df: all, if there are no more. Else evenly spaced ones (the rounded positions of `most` even
+    steps); with a group, most div groups from each (one at least) and then, in turns, the first that are left of each
+    group, the groups with more left first, then by first appearance. A null group is one of its own.
+
+    Orders go by ranges or by group; only what fills the list up, fewer than `most` rows, is put in one order."""
+    keys = [F.col(c).asc_nulls_first() for c in order]
+    n = df.count()
+    if n <= most:
+        return df
+    if group is None:
+        spots = {round(i * (n - 1) / (most - 1)) if most > 1 else 0 for i in range(most)}
+        return ranked(df, keys, "_i").where((F.col("_i") - 1).isin(*spots)).drop("_i")
+    df = ranked(df, keys, "_at")
+    own = df.withColumn("_i", F.row_number().over(W.partitionBy(group).orderBy("_at")) - 1)
+    sizes = own.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_n"), F.min("_at").alias("_first"))
+    share = max(1, most // max(1, sizes.count()))
+    own = own.join(sizes, own[group].eqNullSafe(sizes["_g"])).drop("_g")
+    take = F.least(F.lit(share), F.col("_n"))
+    step = F.when(take > 1, (F.col("_n") - 1) / (take - 1)).otherwise(F.lit(0.0))
+    spots = F.transform(F.sequence(F.lit(0), take - 1), lambda k: F.bround(k * step).cast("bigint"))
+    own = own.withColumn("_chosen", (F.col("_n") <= share) | F.array_contains(spots, F.col("_i").cast("bigint")))
+    chosen, rest = own.where("_chosen"), own.where("not _chosen")
+    missing = most - chosen.count()
+    out = [*df.drop("_at").columns]
+    if missing <= 0:
+        return chosen.select(*out)
+    turn = rest.withColumn("_turn", F.row_number().over(W.partitionBy(group).orderBy("_at")))
+    turn = turn.withColumn("_left", F.col("_n") - F.least(F.lit(share), F.col("_n")) - F.col("_turn"))
+    filled = turn.orderBy("_turn", F.col("_left").desc(), "_first").limit(missing)
+    return chosen.select(*out).union(filled.select(*out))
+
+
+def de_order(results: DataFrame) -> DataFrame:
+    """Results (gene, lfc, p or no p) in order: by p, then by falling lfc; without a p column by falling abs(lfc)."""
+    keys = [F.col("p").asc_nulls_last(), F.col("lfc").desc()] if "p" in results.columns else [F.abs("lfc").desc()]
+    return results.orderBy(*keys, "gene")
+
+
+def display_cap(scores: DataFrame, group: str, score: str = "score", least: float = 4.0, fallback: float = 8.0) -> DataFrame:
+    """group, cap (the 0.995 quantile of the finite scores, `least` at least; `fallback` without any), n_top (scores at
+    the 0.9 quantile or above)."""
+    finite = F.when(~F.isnan(score) & (F.abs(score) != float("inf")), F.col(score).cast("double"))
+    by = scores.groupBy(group).agg(F.percentile(finite, F.lit(0.995)).alias("q"), F.percentile(finite, F.lit(0.9)).alias("t"))
+    joined = scores.withColumn("_s", finite).join(by, group)
+    return joined.groupBy(group).agg(F.coalesce(F.greatest(F.first("q"), F.lit(least)), F.lit(fallback)).alias("cap"), F.count_if(F.col("_s") >= F.col("t")).alias("n_top"))

@@ -64,13 +64,42 @@ def best_p_per_trait(df: DataFrame, below: float = SIGNIFICANT) -> DataFrame:
     return df.where(F.col("p") < below).groupBy(F.lower("trait").alias("trait")).agg(F.min("p").alias("best_p"), F.count("*").alias("n"))
 
 
+def chromosome_rank(chrom: Column) -> Column:
+    """1..22, then X, Y, then all others (99); chromosomes can be numbers or text."""
+    c = chrom.cast("string")
+    number = c.try_cast("int")
+    return F.when(number.between(1, 22), number).when(c == "X", 23).when(c == "Y", 24).otherwise(99)
+
+
+def significance_levels(stats: DataFrame, p: str = "p") -> DataFrame:
+    """The rows below the suggestive threshold, with level genome_wide or suggestive; a null p has no level."""
+    return stats.where(F.col(p) < SUGGESTIVE).withColumn("level", F.when(F.col(p) < SIGNIFICANT, "genome_wide").otherwise("suggestive"))
+
+
 def genome_offsets(stats: DataFrame) -> DataFrame:
-    """Adds genome_pos: the position past the largest ones of all chromosomes before."""
+    """Adds genome_pos: the position past the largest ones of all chromosomes before, in the order 1..22, X, Y, others by
+    name. One row per chromosome is ordered."""
     ends = stats.groupBy("chrom").agg(F.max("pos").alias("last"))
-    before = ends.select("chrom", F.coalesce(F.sum("last").over(W.orderBy("chrom").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("offset"))
+    order = W.orderBy(chromosome_rank(F.col("chrom")), "chrom").rowsBetween(W.unboundedPreceding, -1)
+    before = ends.select("chrom", F.coalesce(F.sum("last").over(order), F.lit(0)).alias("offset"))
     return stats.join(F.broadcast(before), "chrom").withColumn("genome_pos", F.col("pos") + F.col("offset")).drop("offset")
 
 
+def element_at_rank(df: DataFrame, value: str, ranks: list[int], slices: int = 64) -> list:
+    """The values at the given places (from 0) of the ascending order of all rows' values, as a list on the driver: equal
+    values are counted, the counts go to ranges, and only the ranges that hold a place are looked into."""
+    by_value = df.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("_c"))
+    dealt = in_ranges(by_value, [F.col(value).asc()], slices)
+    out, before = {}, 0
+    for part, n in sorted((r["_part"], r["n"]) for r in dealt.groupBy("_part").agg(F.sum("_c").alias("n")).collect()):
+        for k in ranks:
+            if before <= k < before + n:
+                upto = F.sum("_c").over(W.partitionBy("_part").orderBy(value)) + before
+                out[k] = dealt.where(F.col("_part") == part).withColumn("_u", upto).where(F.col("_u") > k).agg(F.min(value).alias("v")).first()["v"]
+        before += n
+    return [out.get(k) for k in ranks]
+
+
 def qq_table(stats: DataFrame, log10p: str = "log10p") -> DataFrame:
     """rank, expected and observed -log10 p, by falling observed value."""
     n = stats.count()
@@ -123,17 +152,20 @@ def egger(inst: DataFrame) -> DataFrame:
     df = df.withColumn("intercept", (F.col("wy") - F.col("slope") * F.col("wx")) / F.col("w"))
     rss = F.col("wyy") - F.col("intercept") * F.col("wy") - F.col("slope") * F.col("wxy")
     phi = F.greatest(F.lit(1.0), rss / (F.col("n") - 2))
-    return df.select("pair_id", "n", "slope", F.sqrt(phi * F.col("w") / F.col("denom")).alias("slope_se"), "intercept", F.sqrt(phi * F.col("wxx") / F.col("denom")).alias("intercept_se"))
+    df = df.withColumns({"slope_se": F.sqrt(phi * F.col("w") / F.col("denom")), "intercept_se": F.sqrt(phi * F.col("wxx") / F.col("denom"))})
+    return df.select("pair_id", "n", "slope", "slope_se", "intercept", "intercept_se", two_sided_p(F.col("slope") / F.col("slope_se")).alias("slope_p"), two_sided_p(F.col("intercept") / F.col("intercept_se")).alias("intercept_p"))
 
 
 def sensitivity(inst: DataFrame, weak: float = 10) -> DataFrame:
-    """Per pair: mean and least F, weak instruments, I2 of the exposure, Steiger direction."""
+    """Per pair: mean and least F, weak instruments, I2 of the exposure, Steiger direction with its z and p."""
     w = 1 / (F.col("se_exposure") * F.col("se_exposure"))
     x, y, f = F.col("beta_exposure"), F.col("beta_outcome"), 2 * F.col("eaf") * (1 - F.col("eaf"))
     df = inst.groupBy("pair_id").agg(F.count("*").alias("n"), F.avg("f_statistic").alias("mean_f"), F.min("f_statistic").alias("min_f"), F.count_if(F.col("f_statistic") < weak).alias("n_weak"), F.sum(w).alias("w"), F.sum(w * x).alias("wx"), F.sum(w * x * x).alias("wxx"), F.sum(f * x * x).alias("r2_exposure"), F.sum(f * y * y).alias("r2_outcome"))
     q = F.col("wxx") - F.col("wx") * F.col("wx") / F.col("w")
+    total = F.col("r2_exposure") + F.col("r2_outcome")
+    steiger = F.when(total > 0, (F.col("r2_exposure") - F.col("r2_outcome")) / (F.sqrt(total) * 0.01)).otherwise(0.0)
     i2 = F.when((q <= F.col("n") - 1) | (F.col("n") == 1), 0.0).otherwise((q - (F.col("n") - 1)) / q)
-    return df.select("pair_id", "n", F.round("mean_f", 4).alias("mean_f"), F.round("min_f", 4).alias("min_f"), "n_weak", F.round(i2, 4).alias("i2_gx"), (F.col("r2_exposure") > F.col("r2_outcome")).alias("correct_direction"))
+    return df.select("pair_id", "n", F.round("mean_f", 4).alias("mean_f"), F.round("min_f", 4).alias("min_f"), "n_weak", F.round(i2, 4).alias("i2_gx"), (F.col("r2_exposure") > F.col("r2_outcome")).alias("correct_direction"), F.round(steiger, 6).alias("steiger_z"), two_sided_p(steiger).alias("steiger_p"))
 
 
 def leave_one_out(inst: DataFrame) -> DataFrame:

@@ -43,12 +43,24 @@ def within_variance(vectors: DataFrame) -> DataFrame:
     return v.groupBy("label").agg(F.round(F.avg(d2), 6).alias("variance"), F.count("*").alias("n"))
 
 
-def nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
-    """vec_id, neighbour, rank, cosine: the k nearest other vectors of each query vector. The queries are a bounded set
-    that is sent to every task (10,000 at most); each batch gives its k best, and those are ranked."""
-    q = queries.limit(10_001).toPandas()
-    if len(q) > 10_000:
-        raise ValueError("more than 10,000 queries: give them in blocks")
+#: Query vectors that are sent to every task at once, about.
+QUERY_BLOCK = 5_000
+
+
+def nearest(queries: DataFrame, vectors: DataFrame, k: int, block: int | None = None) -> DataFrame:
+    """vec_id, neighbour, rank, cosine: the k nearest other vectors of each query vector. Queries go in blocks of about
+    `block`, by the hash of their ids, each of which is sent to every task; each batch of vectors gives its k best, and
+    those are ranked."""
+    blocks = max(1, -(-queries.count() // (block or QUERY_BLOCK)))
+    out = None
+    for b in range(blocks):
+        part = _nearest(queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == b), vectors, k)
+        out = part if out is None else out.union(part)
+    return out
+
+
+def _nearest(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+    q = queries.select("vec_id", "embedding").toPandas()
     ids = q["vec_id"].to_numpy()
     unit_q = np.stack([np.asarray(x, float) for x in q["embedding"]]) if len(q) else np.zeros((0, 1))
     unit_q = unit_q / np.maximum(np.linalg.norm(unit_q, axis=1, keepdims=True), 1e-300)

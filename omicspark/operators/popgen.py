@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from omicspark.operators.solvers import hwe_p
+
 # Shares of the superpopulations, and weights of the score's parts.
 GLOBAL_SHARES = {"AFR": 0.17, "AMR": 0.13, "EAS": 0.22, "EUR": 0.16, "SAS": 0.26, "OCE": 0.005, "MID": 0.06}
 SCORE_WEIGHTS = (0.35, 0.25, 0.20, 0.20)
@@ -97,20 +99,39 @@ def qc_stats(calls: DataFrame) -> DataFrame:
     return out.select("*", F.round(F.try_divide("n_ti", "n_tv"), 6).alias("ti_tv"), F.round(F.try_divide("n_het", "n_hom_alt"), 6).alias("het_hom"))
 
 
+#: Bounds of a sample's verdict.
+LEAST_SNPS, TI_TV, HET_HOM = 100, (1.8, 2.5), (1.0, 3.0)
+
+
+def qc_verdict(stats: DataFrame) -> DataFrame:
+    """qc_stats() with reasons (too few SNPs, low Ti/Tv, Het/Hom out of bounds), warnings (high or missing Ti/Tv, missing
+    Het/Hom) and passes (no reasons)."""
+    ti, het = F.col("ti_tv"), F.col("het_hom")
+    reasons = F.array_compact(F.array(
+        F.when(F.col("n_snp") < LEAST_SNPS, "few_snps"), F.when(ti < TI_TV[0], "ti_tv_low"),
+        F.when(het < HET_HOM[0], "het_hom_low").when(het > HET_HOM[1], "het_hom_high"),
+    ))
+    warnings = F.array_compact(F.array(F.when(ti.isNull(), "ti_tv_missing").when(ti > TI_TV[1], "ti_tv_high"), F.when(het.isNull(), "het_hom_missing")))
+    return stats.withColumns({"reasons": F.array_join(reasons, ","), "warnings": F.array_join(warnings, ",")}).withColumn("passes", F.col("reasons") == "")
+
+
 def call_rates(dosages: DataFrame) -> DataFrame:
     """variant_id, n, call_rate, maf."""
     af = F.try_divide(F.sum("dosage"), 2 * F.count("dosage"))
     return dosages.groupBy("variant_id").agg(F.count("*").alias("n"), (F.count("dosage") / F.count("*")).alias("call_rate"), F.least(af, 1 - af).alias("maf"), F.count_if(F.col("dosage") == 0).alias("n_ref"), F.count_if(F.col("dosage") == 1).alias("n_het"), F.count_if(F.col("dosage") == 2).alias("n_alt"))
 
 
-def genotype_qc(dosages: DataFrame, variant_missing: float = 0.3, sample_missing: float = 0.3, maf: float = 0.01) -> DataFrame:
+def genotype_qc(dosages: DataFrame, variant_missing: float = 0.02, sample_missing: float = 0.02, maf: float = 0.01, least_hwe: float | None = 1e-6) -> DataFrame:
     """The dosages that pass: variants by missing calls, then samples by missing calls over those, then variants by
-    frequency of the rarer allele. Semi-joins on small key tables."""
+    frequency of the rarer allele and by the exact Hardy-Weinberg p (least_hwe; None leaves that step out). Semi-joins on
+    small key tables."""
     good = call_rates(dosages).where(F.col("call_rate") >= 1 - variant_missing)
     df = dosages.join(good.select("variant_id"), "variant_id", "left_semi")
     samples = df.groupBy("sample_id").agg((F.count("dosage") / F.count("*")).alias("rate")).where(F.col("rate") >= 1 - sample_missing)
     df = df.join(samples.select("sample_id"), "sample_id", "left_semi")
     frequent = call_rates(df).where(F.col("maf") >= maf)
+    if least_hwe is not None:
+        frequent = frequent.where(hwe_p("n_ref", "n_het", "n_alt") >= least_hwe)
     return df.join(frequent.select("variant_id"), "variant_id", "left_semi")
 
 

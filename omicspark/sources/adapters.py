@@ -32,7 +32,7 @@ FROM <dosages> AS d JOIN <variants> AS v ON d.variant_id = v.variant_id""",
     "genotypes_dense": """
 SELECT s AS sample_id, v AS variant_id, v % 22 + 1 AS chrom,
   CASE (((s * 7919 + 1) * (v * 1049 + 1)) % 10007) % 4 WHEN 0 THEN 'AA' WHEN 1 THEN 'AG' WHEN 2 THEN 'GG' END AS genotype
-FROM (SELECT DISTINCT l_suppkey % 40 AS s, l_partkey % 500 AS v FROM {lineitem}) AS k
+FROM (SELECT DISTINCT l_suppkey DIV 3 AS s, l_partkey DIV 8 AS v FROM {lineitem}) AS k
 WHERE (((s * 7919 + 1) * (v * 1049 + 1)) % 10007) % 4 < 3""",
     "scores": """
 SELECT p_size % 5 AS pgs_id, p_partkey AS variant_id, substr('GTAACT', CAST(p_partkey % 6 AS INT) + 1, 1) AS effect_allele,
@@ -53,9 +53,9 @@ JOIN {part} ON p_partkey = a.k""",
     # Gene by sample counts, zeros filled in.
     "counts": """
 SELECT g.gene, s.sample_id, s.sample_id % 2 AS grp, s.sample_id % 3 AS batch, coalesce(x.n, 0) AS count
-FROM (SELECT DISTINCT l_partkey % 500 AS gene FROM {lineitem}) AS g
+FROM (SELECT DISTINCT l_partkey DIV 4 AS gene FROM {lineitem}) AS g
 CROSS JOIN (SELECT DISTINCT l_suppkey % 20 AS sample_id FROM {lineitem}) AS s
-LEFT JOIN (SELECT l_partkey % 500 AS gene, l_suppkey % 20 AS sample_id, CAST(sum(l_quantity) AS BIGINT) AS n FROM {lineitem} GROUP BY l_partkey % 500, l_suppkey % 20) AS x
+LEFT JOIN (SELECT l_partkey DIV 4 AS gene, l_suppkey % 20 AS sample_id, CAST(sum(l_quantity) AS BIGINT) AS n FROM {lineitem} GROUP BY l_partkey DIV 4, l_suppkey % 20) AS x
   ON x.gene = g.gene AND x.sample_id = s.sample_id""",
     "annotations": """
 SELECT p_partkey AS variant_id, p_partkey % 22 + 1 AS chrom, p_partkey * 100 AS pos, concat('GENE', CAST(p_partkey % 97 AS VARCHAR(9))) AS gene,

@@ -48,8 +48,8 @@ def test_query_equals_sql(spark, duck, name):
 
 
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_query_without_sql_runs(spark, name):
-    assert QUERIES[name](spark, SF).count() >= 0
+def test_query_without_sql_has_rows(spark, name):
+    assert QUERIES[name](spark, SF).count() > 0
 
 
 def test_entry_imports():
