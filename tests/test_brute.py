@@ -90,8 +90,8 @@ def walked(steps, least=3.0):
         if held or score > 0:
             held.append(p)
         best = max(best, score)
-        if score < 0:
-            if held and best >= least:
+        if held and score < 0:
+            if best >= least:
                 out.append((held[0], p, round(best, 6), len(held)))
             held, score, best = [], 0.0, 0.0
     if held and best >= least:
