@@ -17,7 +17,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
+import pyarrow.compute as pc
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -176,7 +177,8 @@ def _head_counts(docs: DataFrame, sent, size: int) -> DataFrame:
 
 
 _PACKED = "slice int, piece bigint, ids array<{}>, doc array<int>, pair array<bigint>, own array<int>, own_word array<int>, own_before array<int>, tokens array<bigint>, background array<double>, target array<double>"
-_PARTS = "piece bigint, doc int, doc_id {}, tokens bigint, background double, target double, copies bigint"
+_PARTS = "piece bigint, ids array<{}>, doc array<int>, tokens array<bigint>, background array<double>, target array<double>"
+_SCORES = "doc_id {}, n_tokens bigint, xent_background double, xent_target double"
 
 
 def _packed(docs: DataFrame, sent, slices: int) -> DataFrame:
@@ -186,15 +188,12 @@ def _packed(docs: DataFrame, sent, slices: int) -> DataFrame:
     schema = to_arrow_schema(T._parse_datatype_string(packed))
 
     def pack(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = sent.value
-        for batch, data, offsets in pieces(rows, "text"):
+        m, part = sent.value, TaskContext.get().partitionId()
+        for number, (batch, data, offsets) in enumerate(pieces(rows, "text")):
             n = batch.num_rows
             ids = batch.column(batch.schema.get_field_index("doc_id"))
             target = batch.column(batch.schema.get_field_index("target")).to_numpy(zero_copy_only=False).astype(bool)
-            name = xxhash.xxh64(data.tobytes())
-            name.update(offsets.tobytes())
-            name.update(repr(ids.to_pylist()).encode())
-            piece = name.intdigest() - (1 << 63)
+            piece = (part << 32) + number  # the same if the task is run again, as it reads the same rows in one order
             text, word, before = _tokens(data, offsets)
             word, before = m.numbers(word), m.numbers(before)
             _, at, many = _grouped(text * m.size + word)
@@ -232,51 +231,60 @@ def _packed(docs: DataFrame, sent, slices: int) -> DataFrame:
     return docs.mapInArrow(pack, packed)
 
 
-def _corrected(sent):
+def _corrected(sent, kind: pa.DataType):
+    names = ["piece", "ids", "doc", "tokens", "background", "target"]
+    kinds = [pa.int64(), pa.list_(kind), pa.list_(pa.int32()), pa.list_(pa.int64()), pa.list_(pa.float64()), pa.list_(pa.float64())]
+
     def correct(table: pa.Table) -> pa.Table:
-        """Of a slice: the sums without its bigrams as they are, or for each document with some of its bigrams that other
-        documents have as well the correction to its losses."""
-        piece = table.column("piece").to_numpy()
+        """Of a slice: the pieces' sums without its bigrams as they are, or for each piece the documents with some of its
+        bigrams that other documents have as well, and the corrections to their losses."""
+        if table.column("slice")[0].as_py() < 0:
+            return pa.Table.from_arrays([table.column(c).cast(t) for c, t in zip(names, kinds, strict=True)], names=names)
         lists = table.column("doc").combine_chunks()
         flat = lambda c: table.column(c).combine_chunks().flatten().to_numpy()
-        piece = np.repeat(piece, np.diff(lists.offsets.to_numpy()))
-        doc = flat("doc")
-        if table.column("slice")[0].as_py() < 0:
-            ids = table.column("ids").combine_chunks().flatten()
-            out = [piece, doc // 2, flat("tokens"), flat("background"), flat("target"), np.ones(len(doc), np.int64)]
-        else:
-            m, own, mine = sent.value, flat("own").astype(np.int64), doc % 2 == 1
-            _, pair_at, _ = _grouped(flat("pair"))
-            totals = [np.bincount(pair_at, weights=x) for x in (own, own * mine)]
-            some = np.flatnonzero(totals[0][pair_at] > own)
-            pair, own, mine, piece, doc = flat("pair")[some], own[some], mine[some], piece[some], doc[some]
-            own_word, own_before = flat("own_word")[some], flat("own_before")[some]
-            fixes = []
-            for k in (0, 1):
-                left = mine.astype(np.int64) if k else 1
-                unigram = m.unigram(k, pair % m.size, own_word * left)
-                fixes.append(-own * np.log1p(m.ratio(k, pair, np.maximum(totals[k][pair_at[some]] - own * left, 0), own_before * left, unigram)))
-            order = np.lexsort((doc, piece))
-            piece, doc = piece[order], doc[order]
-            new = _starts(piece, doc)
-            sums = [np.add.reduceat(x[order], new) if len(new) else x[:0] for x in fixes]
-            zero = np.zeros(len(new), np.int64)
-            ids = pa.nulls(len(new), table.schema.field("ids").type.value_type)
-            out = [piece[new], doc[new] // 2, zero, *sums, zero]
-        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.int64())
-        columns = [pa.array(x, t) for x, t in zip(out, kinds, strict=True)]
-        return pa.Table.from_arrays([*columns[:2], ids, *columns[2:]], names=["piece", "doc", "doc_id", "tokens", "background", "target", "copies"])
+        piece, doc = np.repeat(table.column("piece").to_numpy(), np.diff(lists.offsets.to_numpy())), flat("doc")
+        m, own, mine = sent.value, flat("own").astype(np.int64), doc % 2 == 1
+        _, pair_at, _ = _grouped(flat("pair"))
+        totals = [np.bincount(pair_at, weights=x) for x in (own, own * mine)]
+        some = np.flatnonzero(totals[0][pair_at] > own)
+        pair, own, mine, piece, doc = flat("pair")[some], own[some], mine[some], piece[some], doc[some]
+        own_word, own_before = flat("own_word")[some], flat("own_before")[some]
+        fixes = []
+        for k in (0, 1):
+            left = mine.astype(np.int64) if k else 1
+            unigram = m.unigram(k, pair % m.size, own_word * left)
+            fixes.append(-own * np.log1p(m.ratio(k, pair, np.maximum(totals[k][pair_at[some]] - own * left, 0), own_before * left, unigram)))
+        order = np.lexsort((doc, piece))
+        piece, doc = piece[order], doc[order]
+        new = _starts(piece, doc)
+        sums = [np.add.reduceat(x[order], new) if len(new) else x[:0] for x in fixes]
+        first = _starts(piece[new])
+        ends = pa.array(np.append(first, len(new)).astype(np.int32))
+        none = pa.array(np.zeros(len(first) + 1, np.int32))
+        arrays = [pa.array(piece[new][first]), pa.ListArray.from_arrays(none, pa.nulls(0, kind)), pa.ListArray.from_arrays(ends, pa.array(doc[new].astype(np.int32))), pa.ListArray.from_arrays(none, pa.nulls(0, pa.int64())), *[pa.ListArray.from_arrays(ends, pa.array(x)) for x in sums]]
+        return pa.Table.from_arrays([x.cast(t) for x, t in zip(arrays, kinds, strict=True)], names=names)
 
     return correct
 
 
+def _scored(table: pa.Table) -> pa.Table:
+    """Of a piece: its documents' scores from their sums and all corrections."""
+    flat = lambda t, c: t.column(c).combine_chunks().flatten()
+    base = table.filter(pc.greater(pc.list_value_length(table.column("ids")), 0))
+    ids, tokens, at = flat(base, "ids"), flat(base, "tokens").to_numpy(), flat(base, "doc").to_numpy() // 2
+    n = len(at)
+    sums = [np.bincount(flat(table, "doc").to_numpy() // 2, weights=flat(table, c).to_numpy(), minlength=n) / np.maximum(tokens, 1) for c in ("background", "target")]
+    return pa.Table.from_arrays([ids, pa.array(tokens), *map(pa.array, sums)], names=["doc_id", "n_tokens", "xent_background", "xent_target"])
+
+
 def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, xent_background, xent_target (means over tokens, in nats) and xent_diff (target less background:
     lower is closer to the target), one row per row of docs. target_ids: doc_id of the target documents (nulls and
     repeats don't matter); without any, the target model is that of no counts.
 
     Null and empty texts have no tokens, and 0 in all columns. Rows that repeat an id or a text are documents of their
-    own, each of which the others' models count. Columns beyond the two aren't read."""
+    own, each of which the others' models count. Columns beyond the two aren't read. docs is read several times and must
+    give its rows in one order (a table, not what comes of a shuffle)."""
     spark = docs.sparkSession
     marks = target_ids.select(F.col(id_col).alias("_id")).where("_id is not null").distinct().withColumn("_target", F.lit(True))
     slim = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
@@ -291,12 +299,10 @@ def cross_entropy_difference(docs: DataFrame, target_ids: DataFrame, id_col: str
         models.pairs[:, r["at"]] = r["n"], r["n_target"]
     sent = spark.sparkContext.broadcast(models)
     slices = max(1, math.ceil(models.total[0] / SLICE_TOKENS))
-    parts = _packed(marked, sent, slices).groupBy("slice").applyInArrow(_corrected(sent), _PARTS.format(dict(slim.dtypes)["doc_id"]))
-    sums = parts.groupBy("piece", "doc").agg(F.max("doc_id").alias("doc_id"), *[F.sum(c).alias(c) for c in ("tokens", "background", "target", "copies")])
-    # Pieces of the same rows are one piece here: each of their documents comes back as often as it was there.
-    each = sums.withColumn("_", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
-    n = F.greatest("tokens", F.lit(1))
-    out = each.select("doc_id", F.expr("tokens div copies").alias("n_tokens"), (F.col("background") / n).alias("xent_background"), (F.col("target") / n).alias("xent_target"))
+    kind = dict(slim.dtypes)["doc_id"]
+    arrow = to_arrow_schema(slim.select("doc_id").schema).field(0).type
+    parts = _packed(marked, sent, slices).groupBy("slice").applyInArrow(_corrected(sent, arrow), _PARTS.format(kind))
+    out = parts.groupBy("piece").applyInArrow(_scored, _SCORES.format(kind))
     return out.withColumn("xent_diff", F.col("xent_target") - F.col("xent_background"))
 
 
