@@ -1,18 +1,20 @@
 """Near duplicates by the Jaccard similarity of sets of word shingles, exact: the similarity mode of `simhash`.
 
-A text's fingerprint here is the parity of its shingles in as many bits as it has shingles (a power of two; a longer
-fingerprint folds to a shorter one by XOR of its halves), because two such fingerprints never differ in more bits than
+A text's fingerprint here is the parity of its shingles in four times as many bits as it has shingles (a power of two; a
+longer fingerprint folds to a shorter one by XOR of its halves), because two such fingerprints never differ in more bits than
 the sets differ in shingles. Sets with a similarity of at least 4/5 share one of the smallest fifth (and one) of their
 shingle hashes, so that the pair meets in the bucket of that hash. There it must pass the sizes and the pigeonring of the
 fingerprints' segments, then the full Hamming check; only the sets of pairs that pass are fetched and compared.
 
 Buckets are settled in rounds. First every member is checked against its bucket's smallest one; what these links join
-needs no further check. Buckets that still hold several components are compared in blocks.
+needs no further check. Buckets that still hold several components are compared in blocks, first by the nearest pairs that
+could join the components (a minimum spanning forest of the fingerprints' distances, so no more pairs than members), and
+what these leave apart by all pairs of different components.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -21,15 +23,18 @@ from pyspark.sql import functions as F
 
 from omicspark.llm import tokens
 from omicspark.llm.buckets import blocked, groups
-from omicspark.llm.common import components, dropped, pieces, saved
+from omicspark.llm.common import components, dropped, forest, pieces, saved
 
 #: Words of a shingle. Sets link from a Jaccard similarity of 4/5: 9 x common >= 4 x (size + other size).
 WORDS = 5
 #: Rounds of checks against one member of each bucket, and bits of a bucket's key (buckets of several hashes only have
 #: more pairs to check).
 ROUNDS, KEY = 2, 40
-#: Fewest and most bits of a fingerprint, and segments of its ring.
-LEAST_BITS, MOST_BITS, SEGMENTS = 256, 16_384, 4
+#: Bits of a fingerprint for each shingle, fewest and most bits, and segments of its ring. With four bits a shingle few
+#: shingles of a text meet in one bit, so that hardly a pair below a similarity of 0.79 passes.
+BITS, LEAST_BITS, MOST_BITS, SEGMENTS = 4, 256, 16_384, 4
+#: Pairs that a block holds at once before it keeps the nearest.
+HELD = 1 << 20
 #: Texts to fetch that are broadcast as ids at most.
 BROADCAST_IDS = 1_000_000
 
@@ -69,7 +74,7 @@ def _nodes(found: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def n_words(size: np.ndarray) -> np.ndarray:
     """64-bit words of the fingerprint of a set of that size."""
-    bits = 2.0 ** np.ceil(np.log2(np.maximum(size, 1)))
+    bits = BITS * 2.0 ** np.ceil(np.log2(np.maximum(size, 1)))
     return np.clip(bits, LEAST_BITS, MOST_BITS).astype(np.int64) // 64
 
 
@@ -132,11 +137,12 @@ def ring_passes(counts: np.ndarray, budget: np.ndarray) -> np.ndarray:
     return passes
 
 
-def may_link(size: np.ndarray, start: np.ndarray, flat: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Which pairs i, j of sets pass the sizes, the ring and the Hamming check. start: of each set's words in flat."""
+def distances(size: np.ndarray, start: np.ndarray, flat: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The differing bits of the pairs i, j of sets as a share of their budget, infinite where they don't pass the sizes,
+    the ring and the Hamming check. start: of each set's words in flat."""
     ok = 5 * np.minimum(size[i], size[j]) >= 4 * np.maximum(size[i], size[j])
     at = np.flatnonzero(ok & (size[i] > 0))
-    out = np.zeros(len(i), bool)
+    out = np.full(len(i), np.inf)
     words = n_words(size)
     kinds = np.stack([words[i[at]], words[j[at]]], axis=1)
     for one, other in np.unique(kinds, axis=0) if len(at) else ():
@@ -148,10 +154,33 @@ def may_link(size: np.ndarray, start: np.ndarray, flat: np.ndarray, i: np.ndarra
             counts = np.bitwise_count(a ^ b).reshape(len(p), SEGMENTS, -1).sum(axis=2, dtype=np.int64)
             budget = (size[i[p]] + size[j[p]]) // 9
             p, counts, budget = (x[ring_passes(counts, budget)] for x in (p, counts, budget))
-            out[p[counts.sum(axis=1) <= budget]] = True
+            far = counts.sum(axis=1)
+            out[p] = np.where(far <= budget, far / np.maximum(budget, 1), np.inf)
     return out
 
 
+def may_link(size: np.ndarray, start: np.ndarray, flat: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Which pairs i, j of sets pass the filters."""
+    return np.isfinite(distances(size, start, flat, i, j))
+
+
+def lightest(i: np.ndarray, j: np.ndarray, weight: np.ndarray, n: int) -> np.ndarray:
+    """Which of the edges i - j between 0..n-1 make up a minimum spanning forest. Ties go by i and j."""
+    order = np.lexsort((j, i, weight))
+    i, j = i[order], j[order]
+    root, chosen = np.arange(n), [np.zeros(0, np.int64)]
+    live = np.flatnonzero(i != j)
+    while len(live):
+        best = np.full(n, len(i))
+        np.minimum.at(best, root[i[live]], live)
+        np.minimum.at(best, root[j[live]], live)
+        new = np.unique(best[best < len(i)])
+        chosen.append(new)
+        root = forest(np.concatenate([i[new], np.arange(n)]), np.concatenate([j[new], root]), n)
+        live = live[root[i[live]] != root[j[live]]]
+    return order[np.concatenate(chosen)]
+
+
 def _flat(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """All words, and where each list starts."""
     n = np.array([len(x) for x in lists], np.int64)
@@ -188,20 +217,59 @@ def unsettled(rows: DataFrame) -> DataFrame:
     return saved(rows.join(stat.select("key", "hub"), "key").select("key", "node", "root", "hub"))
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The pairs of a bucket's members that have different roots and pass the filters."""
+def _compared(piece: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row numbers and distances of the pairs of a block's members that have different roots and pass the filters, at
+    growing distance of the rows."""
+    flat, start = _flat(list(piece["bits"]))
+    end = np.searchsorted(piece["group"], piece["group"], "right")
+    at, step = np.arange(len(end)), 1
+    while len(at := at[at + step < end[at]]):
+        i = at[piece["root"][at] != piece["root"][at + step]]
+        far = distances(piece["size"], start, flat, i, i + step)
+        ok = np.isfinite(far)
+        if ok.any():
+            yield i[ok], i[ok] + step, far[ok]
+        step += 1
+
+
+def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
     for piece in groups(batches, ["key", "block"], 1 << 13):
-        flat, start = _flat(list(piece["bits"]))
-        group = np.concatenate([[0], np.cumsum((piece["key"][1:] != piece["key"][:-1]) | (piece["block"][1:] != piece["block"][:-1]))])
-        end = np.searchsorted(group, group, "right")
-        at, step = np.arange(len(group)), 1
-        while len(at := at[at + step < end[at]]):
-            i = at[(piece["root"][at] != piece["root"][at + step])]
-            i = i[may_link(piece["size"], start, flat, i, i + step)]
-            if len(i):
-                a, b = piece["node"][i], piece["node"][i + step]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-            step += 1
+        new = (piece["key"][1:] != piece["key"][:-1]) | (piece["block"][1:] != piece["block"][:-1])
+        yield piece | {"group": np.concatenate([[0], np.cumsum(new)])}
+
+
+def _pairs(piece: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    a, b = piece["node"][i], piece["node"][j]
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+
+
+def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The nearest pairs that could join the components of each block: a minimum spanning forest of what _compared gives."""
+    for piece in _grouped(batches):
+        _, part = np.unique(np.stack([piece["group"], piece["root"]]), axis=1, return_inverse=True)
+        part = part.reshape(-1)
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+        parts: list[list[np.ndarray]] = []
+
+        def least(held: list[np.ndarray], parts: list, part: np.ndarray = part) -> list[np.ndarray]:
+            i, j, far = (np.concatenate(x) for x in zip(held, *parts, strict=True))
+            own = lightest(part[i], part[j], far, len(part))
+            return [i[own], j[own], far[own]]
+
+        for found in _compared(piece):
+            parts.append(found)
+            if sum(len(x[0]) for x in parts) > HELD:
+                held, parts = least(held, parts), []
+        i, j, _ = least(held, parts)
+        if len(i):
+            yield _pairs(piece, i, j)
+
+
+def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """All pairs of a block's members that have different roots and pass the filters."""
+    for piece in _grouped(batches):
+        for i, j, _ in _compared(piece):
+            yield _pairs(piece, i, j)
 
 
 def _dealt(rows: DataFrame, known: DataFrame) -> DataFrame:
@@ -249,19 +317,23 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         dropped(pairs)
         return out
 
+    def hub_pairs(at: DataFrame) -> DataFrame:
+        return passing(at.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), known)
+
+    def block_pairs(at: DataFrame, find: Callable) -> DataFrame:
+        met = _dealt(at.select("key", "node", "root"), known).select("key", "block", "node", "root", "size", "bits")
+        return met.mapInArrow(find, "a bigint, b bigint").distinct()
+
     links, roots = None, None
-    for _ in range(ROUNDS):
-        found = linked(passing(at.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), known))
+    for find in [hub_pairs] * ROUNDS + [lambda at: block_pairs(at, _nearest), lambda at: block_pairs(at, _candidates)]:
+        found = linked(find(at))
         links = found if links is None else links.union(found)
         roots = saved(components(links))
-        left = at.where("node <> hub").select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
+        left = at.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         before, at = at, unsettled(left)
         dropped(before)
         if at.isEmpty():
             break
-    else:
-        met = _dealt(at.select("key", "node", "root"), known).select("key", "block", "node", "root", "size", "bits")
-        roots = saved(components(links.union(linked(met.mapInArrow(_candidates, "a bigint, b bigint").distinct()))))
     dropped(at)
     named = saved(prints.join(roots, "node", "left").select("doc_id", "th", F.coalesce("root", "node").alias("root")))
     own = named.groupBy("root").agg(F.min(F.struct("doc_id", "th")).alias("own"))
