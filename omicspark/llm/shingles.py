@@ -159,6 +159,15 @@ def distances(size: np.ndarray, start: np.ndarray, flat: np.ndarray, i: np.ndarr
     return out
 
 
+def shortened(size: np.ndarray, start: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """All sets' fingerprints folded to LEAST_BITS: their distance is never more than that of the longer ones."""
+    words, out = n_words(size), np.zeros((len(size), LEAST_BITS // 64), np.uint64)
+    for n in np.unique(words):
+        own = np.flatnonzero((words == n) & (size > 0))
+        out[own] = folded(flat, start[own], words[own], LEAST_BITS // 64) if len(own) else 0
+    return out
+
+
 def may_link(size: np.ndarray, start: np.ndarray, flat: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Which pairs i, j of sets pass the filters."""
     return np.isfinite(distances(size, start, flat, i, j))
@@ -221,11 +230,13 @@ def _compared(piece: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.nda
     """Row numbers and distances of the pairs of a block's members that have different roots and pass the filters, at
     growing distance of the rows."""
     flat, start = _flat(list(piece["bits"]))
+    size, short = piece["size"], shortened(piece["size"], start, flat)
     end = np.searchsorted(piece["group"], piece["group"], "right")
     at, step = np.arange(len(end)), 1
     while len(at := at[at + step < end[at]]):
         i = at[piece["root"][at] != piece["root"][at + step]]
-        far = distances(piece["size"], start, flat, i, i + step)
+        i = i[np.bitwise_count(short[i] ^ short[i + step]).sum(axis=1) <= (size[i] + size[i + step]) // 9]
+        far = distances(size, start, flat, i, i + step)
         ok = np.isfinite(far)
         if ok.any():
             yield i[ok], i[ok] + step, far[ok]
