@@ -26,11 +26,13 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def saved(df: DataFrame, partition_by: list[str] | None = None) -> DataFrame:
+def saved(df: DataFrame, partition_by: list[str] | None = None, compression: str | None = None) -> DataFrame:
     """df written as Parquet to the shared folder and read again: it is computed once, its size is known to the
     optimizer, and a lost executor costs no more than the scan of a lost task."""
     path = f"{shared_folder(df.sparkSession)}/saved-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(*partition_by) if partition_by else df.write
+    if compression:
+        writer = writer.option("compression", compression)
     writer.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out._saved_at = path
