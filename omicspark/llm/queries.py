@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and the SQL for those that SQL can express."""
 
-from omicspark.llm import decontaminate, embeddings, licenses, linededup, lmscore, mixing, packing, quality, secrets, simhash, toxicity
+from omicspark.llm import decontaminate, embeddings, licenses, linededup, lmscore, mixing, packing, quality, search, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_embeddings": embeddings.op1_embeddings,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_linededup": linededup.op8_linededup,
     "op9_licenses": licenses.op9_licenses,
     "op10_mixing": mixing.op10_mixing,
+    "op11_search": search.op11_search,
     "op12_packing": packing.op12_packing,
 }
 ORACLES = {
@@ -20,4 +21,5 @@ ORACLES = {
     "op2_decontaminate": decontaminate.ORACLE,
     "op6_secrets": secrets.ORACLE,
     "op8_linededup": linededup.ORACLE,
+    "op11_search": search.ORACLE,
 }
