@@ -1,6 +1,6 @@
 """The registered queries of this subpackage, and the SQL for those that SQL can express."""
 
-from omicspark.llm import decontaminate, embeddings, licenses, linededup, lmscore, mixing, packing, quality, search, secrets, simhash, toxicity
+from omicspark.llm import collocations, decontaminate, embeddings, licenses, linededup, lmscore, mixing, packing, quality, search, secrets, simhash, toxicity
 
 QUERIES = {
     "op1_embeddings": embeddings.op1_embeddings,
@@ -15,6 +15,7 @@ QUERIES = {
     "op10_mixing": mixing.op10_mixing,
     "op11_search": search.op11_search,
     "op12_packing": packing.op12_packing,
+    "op13_collocations": collocations.op13_collocations,
 }
 ORACLES = {
     "op1_embeddings": embeddings.ORACLE,
@@ -22,4 +23,5 @@ ORACLES = {
     "op6_secrets": secrets.ORACLE,
     "op8_linededup": linededup.ORACLE,
     "op11_search": search.ORACLE,
+    "op13_collocations": collocations.ORACLE,
 }
