@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from omicspark.jobs.query import query
 from omicspark.operators import annotate as A
+from omicspark.operators import blocks as B
 from omicspark.operators import cohort as C
 from omicspark.operators import literature as L
 from omicspark.operators import pgx
@@ -32,8 +33,12 @@ query(
     f"""WITH n(disease, variant_id, need) AS ({_NEEDS}), c AS (SELECT s.sample_id, n.disease, n.need, length(genotype) - length(replace(genotype, 'G', '')) AS d FROM (SELECT DISTINCT sample_id FROM genotypes_dense) s CROSS JOIN n LEFT JOIN genotypes_dense g ON g.sample_id = s.sample_id AND g.variant_id = n.variant_id)
 SELECT sample_id, disease, bool_and(coalesce((need = 'alt/alt' AND d = 2) OR (need = 'alt/?' AND d >= 1) OR (need = 'ref/ref' AND d = 0), false)) AS affected FROM c GROUP BY sample_id, disease""",
 )
+def _carriers(p):
+    return p.select("id", "sex", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("locus")).select("id", "sex", "locus", ((F.col("id") * F.col("locus") + F.floor(F.col("id") / 3)) % 3).alias("state"))
+
+
 query(
-    "jon14_compatibility", "breeders", lambda p: C.compatibility(p.select("id", "sex", F.explode(F.sequence(F.lit(1), F.lit(8))).alias("locus")).select("id", "sex", "locus", ((F.col("id") * F.col("locus") + F.floor(F.col("id") / 3)) % 3).alias("state"))),
+    "jon14_compatibility", "breeders", lambda p: B.compatibility(_carriers(p)),
     "WITH c AS (SELECT id, sex, l AS locus, (id * l + id // 3) % 3 AS state FROM breeders, range(1, 9) r(l)) SELECT f.id AS female, m.id AS male, count(*) AS n_loci, round(1 - count(*) FILTER (f.state > 0 AND m.state > 0) / count(*), 6) AS compatibility FROM c f JOIN c m ON f.locus = m.locus AND f.sex = 0 AND m.sex = 1 GROUP BY ALL",
 )
 _GEN = "greatest(CAST(floor(log2(greatest(id, 1))) AS BIGINT) - 3, 0)"
@@ -119,3 +124,4 @@ query("num8_chunks", "papers", lambda p: L.chunks(p).groupBy("doc_id").agg(F.cou
 query("num9_term_counts", "papers", lambda p: L.term_counts(p, ["the", "license", "token", "stupid"]), "WITH t AS (SELECT unnest(['the', 'license', 'token', 'stupid']) AS term) SELECT term, count(*) FILTER (contains(lower(text), term)) AS n_docs, sum(len(string_split(lower(text), term)) - 1)::BIGINT AS n FROM papers, t GROUP BY term")
 query("agg42_composition", "papers", lambda p: p.select("doc_id", *[F.round(100 * (F.length("text") - F.length(F.replace(F.lower("text"), F.lit(b), F.lit("")))) / F.length("text"), 4).alias(f"pct_{b}") for b in "acgt"]), "SELECT doc_id, " + ", ".join(f"round(100 * (length(text) - length(replace(lower(text), '{b}', ''))) / length(text), 4) AS pct_{b}" for b in "acgt") + " FROM papers")
 query("agg42_dinucleotides", "papers", lambda p: p.select(F.regexp_replace(F.lower("text"), "[^acgt]", "").alias("s")).select(F.explode(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length("s") - 1, F.lit(1))), lambda i: F.substr("s", i, F.lit(2))), lambda x: F.length(x) == 2)).alias("pair")).groupBy("pair").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "pair").limit(5), "WITH s AS (SELECT regexp_replace(lower(text), '[^acgt]', '', 'g') AS s FROM papers), p AS (SELECT s[i:i + 1] AS pair FROM (SELECT s, unnest(range(1, length(s))) AS i FROM s)) SELECT pair, count(*) AS n FROM p GROUP BY pair ORDER BY n DESC, pair LIMIT 5")
+query("set5_disjoint_pairs", "breeders", lambda p: C.disjoint_pairs(B.compatibility(_carriers(p)).select("female", "male", "compatibility")))

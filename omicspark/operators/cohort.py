@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from omicspark.functions.tables import stored
+
 
 def co_occurrence(df: DataFrame, entity: str, item: str, least: int = 2) -> DataFrame:
     """Pairs of items that `least` entities or more have both. Different items of an entity first; the pairs are summed
@@ -84,27 +86,21 @@ def disease_status(calls: DataFrame, needs: DataFrame, samples: DataFrame | None
     return every.join(affected, ["sample_id", "disease"], "left").select("sample_id", "disease", F.coalesce("affected", F.lit(False)).alias("affected"))
 
 
-def compatibility(calls: DataFrame) -> DataFrame:
-    """calls: id, sex, locus, state (0/1/2). For all pairs of a female (0) and a male (1): the share of common loci at
-    which not both carry the allele. The pairs meet by locus."""
-    f, m = calls.where("sex = 0").alias("f"), calls.where("sex = 1").alias("m")
-    both = f.join(m, F.col("f.locus") == F.col("m.locus"))
-    risky = (F.col("f.state") > 0) & (F.col("m.state") > 0)
-    return both.groupBy(F.col("f.id").alias("female"), F.col("m.id").alias("male")).agg(F.count("*").alias("n_loci"), F.round(1 - F.count_if(risky) / F.count("*"), 6).alias("compatibility"))
-
-
-def disjoint_pairs(pairs: DataFrame, most: int = 10) -> list[tuple]:
-    """At most `most` pairs, greedily by falling score, no individual twice: a top-k report. Each round takes the best
-    pair among individuals that are left."""
-    out: list[tuple] = []
-    left = pairs
-    while len(out) < most:
-        row = left.orderBy(F.col("compatibility").desc(), "female", "male").limit(1).collect()
-        if not row:
-            break
-        out.append((row[0]["female"], row[0]["male"], row[0]["compatibility"]))
-        left = left.where((F.col("female") != row[0]["female"]) & (F.col("male") != row[0]["male"]))
-    return out
+def disjoint_pairs(pairs: DataFrame, most: int | None = None) -> DataFrame:
+    """female, male, compatibility of the pairs that a greedy walk takes by falling score (then female, male) with no
+    individual twice; the first `most` of them, or all.
+
+    In rounds: a pair that is the best left of both its individuals is taken, since no walk can take anything else for
+    them, and all pairs of either go. Rounds follow the longest chain of falling scores, not the number of pairs."""
+    key = F.struct((-F.col("compatibility")).alias("s"), "female", "male")
+    left = stored(pairs.where("female is not null and male is not null and compatibility is not null").select("female", "male", "compatibility").distinct())
+    taken = left.limit(0)
+    while not left.isEmpty():
+        best = [left.groupBy(c).agg(F.min(key).alias("k")) for c in ("female", "male")]
+        new = stored(best[0].select("k").join(best[1].select("k"), "k").select("k.female", "k.male", (-F.col("k.s")).alias("compatibility")))
+        taken = taken.union(new)
+        left = stored(left.join(new.select("female"), "female", "left_anti").join(new.select("male"), "male", "left_anti").select("female", "male", "compatibility"))
+    return taken if most is None else taken.orderBy(F.desc("compatibility"), "female", "male").limit(most)
 
 
 def target_score(ev: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Polygenic scores, identity by state and variant panels over genotypes (sample_id, variant_id, genotype in bases)."""
+"""Polygenic scores, identity by state at a site and variant panels over genotypes (sample_id, variant_id, genotype in bases)."""
 
 from __future__ import annotations
 
@@ -68,18 +68,6 @@ def overlap_gate(results: DataFrame, least: float = 0.5, flagged: float = 0.7) -
     return results.where(F.col("overlap") >= least).withColumn("low_overlap", F.col("overlap") < flagged)
 
 
-def ibs_pairs(genotypes: DataFrame) -> DataFrame:
-    """IBS of all pairs of samples, overall (chrom null) and by chromosome, over shared variants. One self-join by
-    variant; a pair's sites are summed per chromosome before anything else."""
-    a, b = genotypes.alias("a"), genotypes.alias("b")
-    both = a.join(b, (F.col("a.variant_id") == F.col("b.variant_id")) & (F.col("a.sample_id") < F.col("b.sample_id")))
-    sites = both.select(F.col("a.sample_id").alias("sample_1"), F.col("b.sample_id").alias("sample_2"), F.col("a.chrom").alias("chrom"), ibs_at_site(F.col("a.genotype"), F.col("b.genotype")).alias("ibs"))
-    per = sites.groupBy("sample_1", "sample_2", "chrom").agg(F.sum("ibs").alias("s"), F.count("*").alias("n"), F.count_if(F.col("ibs") == 2).alias("c"))
-    every = per.groupBy("sample_1", "sample_2").agg(F.sum("s").alias("s"), F.sum("n").alias("n"), F.sum("c").alias("c")).withColumn("chrom", F.lit(None).cast("bigint"))
-    out = per.unionByName(every)
-    return out.select("sample_1", "sample_2", "chrom", F.round(F.col("s") / (2 * F.col("n")), 6).alias("ibs"), F.col("n").alias("n_overlap"), F.col("c").alias("n_concordant"))
-
-
 def relationship(ibs: Column, levels: list[tuple[float, str]]) -> Column:
     """The label of the first level (by falling score) that the score reaches; the last label below all."""
     out = F.lit(levels[-1][1])

@@ -166,9 +166,7 @@ def test_global_rank_has_no_single_task(spark):
     assert all(r["rank"] == 1000 - r.x for r in got)
 
 
-def test_disjoint_pairs_and_resistance(spark):
-    p = spark.createDataFrame([(1, 2, 0.9), (1, 4, 0.95), (3, 4, 0.5), (3, 2, 0.4)], "female int, male int, compatibility double")
-    assert cohort.disjoint_pairs(p) == [(1, 4, 0.95), (3, 2, 0.4)]
+def test_resistance(spark):
     d = spark.createDataFrame([("blaTEM-1", ""), ("x", "Penicillin"), ("mecA", "carbapenem"), (None, None)], "g string, d string")
     assert [r[0] for r in d.select(annotate.resistance_tier(F.col("g"), F.col("d"))).collect()] == ["Critical", "Medium", "Critical", "Not classified"]
 
