@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from omicspark.jobs.query import query
+from omicspark.operators import components as K
 from omicspark.operators import gwas as G
 from omicspark.operators import pgx as P
 from omicspark.operators import popgen
@@ -19,7 +20,8 @@ def _panel(d, p):
 
 
 _POPS = ["afr", "eur", "eas", "sas", "amr"]
-query("num1_pca", "genotypes_dense", lambda g: S.pca(_dense(g)).select("sample_id", "component", F.round("score", 6).alias("score"), F.round("explained", 6).alias("explained")))
+query("num1_pca", "genotypes_dense", lambda g: K.pca(_dense(g)).select("sample_id", "component", F.round("score", 6).alias("score"), F.round("explained", 6).alias("explained")))
+query("num1_pca_expression", "counts", lambda c: K.pca(c.withColumn("v", F.log2(F.col("count") + 1)), 3, "gene", "sample_id", "v").select("sample_id", "component", F.abs(F.round("score", 5)).alias("size"), F.round("explained", 6).alias("explained")))
 query("num2_ancestry", "genotypes_dense", lambda g: S.ancestry_proportions(_dense(g).withColumnRenamed("dosage", "alt_count"), _panel(g, _POPS), _POPS).withColumn("proportion", F.round("proportion", 5)))
 
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from omicspark.operators import blocks, cohort
+from omicspark.operators import blocks, cohort, components
 from tests.conftest import rows
 
 
@@ -72,3 +72,40 @@ def test_disjoint_pairs_equal_the_greedy_walk(spark):
     assert rows(cohort.disjoint_pairs(df)) == sorted(taken, key=repr)
     assert list(map(tuple, cohort.disjoint_pairs(df, 4).collect())) == taken[:4]
     assert cohort.disjoint_pairs(df.where(F.lit(False))).count() == 0
+
+
+def exact_components(x, k):
+    """x: rows of columns with nan for missing. Scores by column, and shares, of the k first components."""
+    c = np.nan_to_num(x - np.nanmean(x, axis=1, keepdims=True))
+    value, vector = np.linalg.eigh(c.T @ c)
+    value, vector = value[::-1][:k], vector[:, ::-1][:, :k]
+    scores = vector * np.sqrt(np.maximum(value, 0))
+    return scores * np.where(scores[np.argmax(np.abs(scores), axis=0), np.arange(k)] < 0, -1, 1), value / (c**2).sum()
+
+
+@pytest.mark.parametrize("part", [1 << 14, 7])
+def test_components_equal_exact_ones(spark, monkeypatch, part):
+    monkeypatch.setattr(components, "PART", part)
+    rng = np.random.default_rng(3)
+    n, m, k = 120, 150, 3  # more columns than one pass spans
+    x = sum(w * np.outer(rng.standard_normal(m), rng.standard_normal(n)) for w in (9, 6, 4)) + rng.standard_normal((m, n))
+    x[rng.random((m, n)) < 0.1] = np.nan
+    cells = [(int(i), f"c{j:03d}", None if np.isnan(x[i, j]) else float(x[i, j])) for i in range(m) for j in range(n)]
+    got = components.pca(spark.createDataFrame(cells, "r long, c string, v double"), k, "r", "c", "v").collect()
+    scores, share = exact_components(x, k)
+    assert len(got) == n * k
+    for r in got:
+        assert abs(r["score"] - scores[int(r["c"][1:]), r["component"] - 1]) < 1e-6 and abs(r["explained"] - share[r["component"] - 1]) < 1e-9
+
+
+def test_components_of_few_columns_and_none(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((30, 5))
+    cells = [(i, j, float(x[i, j])) for i in range(30) for j in range(5)]
+    df = spark.createDataFrame([*cells, (None, 2, None), (3, None, 1.0)], "variant_id long, sample_id long, dosage double")
+    scores, share = exact_components(x, 2)
+    for r in components.pca(df).collect():
+        assert abs(r["score"] - scores[r["sample_id"], r["component"] - 1]) < 1e-9 and abs(r["explained"] - share[r["component"] - 1]) < 1e-9
+    assert components.pca(df.limit(0)).count() == 0
+    flat = components.pca(df.withColumn("dosage", F.lit(1.0))).collect()
+    assert {abs(r["score"]) for r in flat} == {0.0}

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from omicspark.functions import stats
 from omicspark.jobs.registry import ORACLES, QUERIES
-from omicspark.operators import annotate, cohort, expression, gwas, literature, popgen, prs, solvers
+from omicspark.operators import annotate, cohort, components, expression, gwas, literature, popgen, prs, solvers
 from tests.conftest import rows
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
@@ -140,7 +140,7 @@ def test_ancestry_recovers_a_population(spark):
 def test_pca_separates_groups(spark):
     rng = np.random.default_rng(3)
     d = [(s, v, int(rng.binomial(2, 0.1 if (s < 6) == (v < 50) else 0.9))) for s in range(12) for v in range(100)]
-    got = {r.sample_id: r.score for r in solvers.pca(spark.createDataFrame(d, "sample_id long, variant_id long, dosage int"), 1).collect()}
+    got = {r.sample_id: r.score for r in components.pca(spark.createDataFrame(d, "sample_id long, variant_id long, dosage int"), 1).collect()}
     assert len({got[s] > 0 for s in range(6)}) == 1 and (got[0] > 0) != (got[11] > 0)
 
 
