@@ -34,9 +34,8 @@ def test_parts_encode_like_whole_texts():
         assert got == tok.encode(text, add_special_tokens=False).ids, text
 
 
-def test_small_memory_gives_the_same_ids(monkeypatch):
-    monkeypatch.setattr(packing, "REMEMBERED", 3)
-    monkeypatch.setattr(packing, "AT_ONCE", 2)
+def test_texts_in_small_parts_give_the_same_ids(monkeypatch):
+    monkeypatch.setattr(packing, "AT_ONCE", 5)
     test_parts_encode_like_whole_texts()
 
 
@@ -69,6 +68,13 @@ def checked(rows, texts, most=1024, slack=packing.SLACK):
     return fills
 
 
+def test_other_tokenizers_are_left_to_their_library():
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, tok = packing.Encoder(path), Tokenizer.from_file(path)
+    assert encoder.fast is None and packing.Encoder(PATH).fast is not None
+    assert np.frombuffer(b"".join(encoder.ids("Some words, été")), "<u4").tolist() == tok.encode("Some words, été", add_special_tokens=False).ids
+
+
 def test_pack_holds_every_id_once(spark):
     rng = np.random.default_rng(2)
     words = [f"w{i}" for i in range(50)]
