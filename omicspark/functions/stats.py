@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -121,3 +124,45 @@ def t_two_sided_p(t: pd.Series, df: pd.Series) -> pd.Series:
     ok = np.isfinite(x) & np.isfinite(n) & (n > 0)
     n, x = np.where(ok, n, 1.0), np.where(ok, x, 0.0)
     return pd.Series(np.where(ok, _beta_i(n / 2, np.full_like(n, 0.5), n / (n + x * x)), np.nan))
+
+
+def t_quantile(p: float, df: float) -> float:
+    """The upper half's quantile of Student's t (p at least 0.5), by bisection of its tail."""
+    tail = lambda x: 0.5 * float(_beta_i(df / 2, 0.5, df / (df + x * x)))
+    low, high = 0.0, 1.0
+    while tail(high) > 1 - p:
+        high *= 2
+    for _ in range(200):
+        mid = (low + high) / 2
+        low, high = (mid, high) if tail(mid) > 1 - p else (low, mid)
+    return (low + high) / 2
+
+
+@functools.lru_cache(maxsize=256)
+def _u_counts(n0: int, n1: int) -> tuple[np.ndarray, int]:
+    """How many of the arrangements of n0 and n1 different values have U = 0, 1, ... up to half of n0 n1, and how many
+    there are. One more value of the smaller group multiplies the generating function by (1 - q^(n + i)) / (1 - q^i)."""
+    few, many = min(n0, n1), max(n0, n1)
+    half = n0 * n1 // 2
+    counts = np.zeros(half + 1, object)
+    counts[0] = 1
+    for i in range(1, few + 1):
+        if many + i <= half:
+            counts[many + i :] = counts[many + i :] - counts[: -(many + i)].copy()
+        for r in range(min(i, half + 1)):
+            counts[r::i] = np.cumsum(counts[r::i])
+    return np.cumsum(counts), math.comb(n0 + n1, n0)
+
+
+@F.pandas_udf(T.DoubleType())
+def mann_whitney_exact_p(u: pd.Series, n0: pd.Series, n1: pd.Series) -> pd.Series:
+    """Two-sided exact p of U for groups of different values; null where a number is missing or a group is empty."""
+    out = np.full(len(u), np.nan)
+    x, a, b = (v.to_numpy(float, na_value=np.nan) for v in (u, n0, n1))
+    ok = np.isfinite(x) & (a > 0) & (b > 0)
+    for m, n in {(int(i), int(j)) for i, j in zip(a[ok], b[ok], strict=True)}:
+        own = np.flatnonzero(ok & (a == m) & (b == n))
+        upto, total = _u_counts(m, n)
+        least = np.minimum(x[own], m * n - x[own]).astype(np.int64)
+        out[own] = [min(1.0, float(2 * int(upto[i]) / total)) if i >= 0 else np.nan for i in least]
+    return pd.Series(out).where(~np.isnan(out), None)

@@ -82,6 +82,7 @@ query(
 e AS (SELECT *, wxy / wxx AS estimate FROM l), q AS (SELECT *, greatest(wyy - 2 * estimate * wxy + estimate * estimate * wxx, 0) AS q FROM e)
 SELECT pair_id, snp, n, round(estimate, 5) AS estimate, round(sqrt(greatest(1, q / (n - 1)) / wxx), 5) AS se FROM q""",
 )
+query("win4_median_test", "instruments", lambda i: _r(G.weighted_median_test(i), "estimate", "se", "ci_lower", "ci_upper", "p"))
 query(
     "win4_weighted_median", "instruments", lambda i: _r(G.weighted_median(i), "estimate"),
     """WITH r AS (SELECT pair_id, snp, round(beta_outcome / beta_exposure, 9) AS ratio, power(beta_exposure / se_outcome, 2) AS wt FROM instruments WHERE beta_exposure <> 0),

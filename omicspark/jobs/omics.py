@@ -24,11 +24,25 @@ query(
 )
 query("agg22_welch_p", "counts", lambda c: _r(X.benjamini_hochberg(X.welch(X.cpm(c), "log2_cpm").withColumn("g", F.col("gene") % 5), "p", ["g"], ["gene"]).select("gene", "p", "padj"), "p", "padj"))
 query(
-    "agg23_rank_sum", "counts", lambda c: _r(X.rank_sums(c, "count", ["gene"]), "z", digits=5),
+    "agg23_rank_sum", "counts", lambda c: _r(X.rank_sums(c, "count", ["gene"]).drop("exact", "p"), "z", digits=5),
     """WITH r AS (SELECT gene, grp, rank() OVER w + (count(*) OVER (PARTITION BY gene, count) - 1) / 2 AS mid, count(*) OVER (PARTITION BY gene, count) AS c FROM counts WINDOW w AS (PARTITION BY gene ORDER BY count)),
 s AS (SELECT gene, count(*) FILTER (grp = 0) AS n0, count(*) FILTER (grp = 1) AS n1, sum(mid) FILTER (grp = 1) AS r1, sum(c * c - 1) AS ties FROM r GROUP BY gene), u AS (SELECT *, r1 - n1 * (n1 + 1) / 2 AS u FROM s)
 SELECT gene, n0, n1, u, round((u - n0 * n1 / 2) / sqrt(n0 * n1 / 12 * (n0 + n1 + 1 - ties / ((n0 + n1) * (n0 + n1 - 1)))), 5) AS z FROM u""",
 )
+query(
+    "agg23_exact", "counts", lambda c: _r(X.rank_sums(c, "count", ["gene", "batch"]).select("gene", "batch", "n0", "n1", "u", "exact", F.when(F.col("exact"), F.col("p")).alias("p")), "p"),
+    """WITH r AS (SELECT gene, batch, grp, rank() OVER w + (count(*) OVER (PARTITION BY gene, batch, count) - 1) / 2 AS mid, count(*) OVER (PARTITION BY gene, batch, count) AS c FROM counts WINDOW w AS (PARTITION BY gene, batch ORDER BY count)),
+u AS (SELECT gene, batch, count(*) FILTER (grp = 0) AS n0, count(*) FILTER (grp = 1) AS n1, sum(mid) FILTER (grp = 1) - count(*) FILTER (grp = 1) * (count(*) FILTER (grp = 1) + 1) / 2 AS u, max(c) = 1 AND least(count(*) FILTER (grp = 0), count(*) FILTER (grp = 1)) <= 8 AS exact FROM r GROUP BY gene, batch),
+k AS (SELECT DISTINCT n0, n1 FROM u), a AS (SELECT n0, n1, list_sum(list_transform(range(0, n0 + n1), lambda i: ((m >> i) & 1) * (i + 1))) - n1 * (n1 + 1) / 2 AS u FROM k, range(0, 16384) t(m) WHERE m < (1::BIGINT << (n0 + n1)) AND bit_count(m) = n1),
+p AS (SELECT u.gene, u.batch, least(1, 2 * count(*) FILTER (a.u >= greatest(u.u, u.n0 * u.n1 - u.u)) / count(*)) AS p FROM u JOIN a ON a.n0 = u.n0 AND a.n1 = u.n1 WHERE exact GROUP BY u.gene, u.batch)
+SELECT u.*, round(p.p, 6) AS p FROM u LEFT JOIN p USING (gene, batch)""",
+)
+query("agg22_regulation", "counts", lambda c: _r(X.protein_regulation(X.cpm(c), "log2_cpm"), "mean_intensity", "mean_treatment", "mean_control", "log2fc", "p", "padj", "threshold"))
+query(
+    "agg22_threshold", "counts", lambda c: X.regulation(X.differential_expression(c).select("gene", F.col("lfc").alias("log2fc"), "p"), s0=0.02).select("gene", F.round("log2fc", 5).alias("log2fc"), F.round(F.least("threshold", F.lit(8.0)), 4).alias("threshold")),
+    # Student's t of four degrees of freedom has a closed form; its quantile at 0.975 is the constant.
+    f"WITH {_MOM}, f AS (SELECT gene, m1 - m0 AS x, 2.7764451051977987 AS ta FROM m), d AS (SELECT gene, x, CASE WHEN abs(x) > ta * 0.02 THEN ta * (1 + 0.02 / (abs(x) / ta - 0.02)) END AS d FROM f), e AS (SELECT gene, x, d, d / sqrt(1 + d * d / 4) AS s FROM d) SELECT gene, round(x, 5) AS log2fc, round(least(8, CASE WHEN d IS NOT NULL THEN -log10(greatest(1e-300, 1 - 0.75 * s * (1 - s * s / 12))) END), 4) AS threshold FROM e",
+)
 query("agg23_abundance", "counts", lambda c: _r(X.differential_abundance(c, "count", "rank_sum"), "mean0", "mean1", "log2fc", "p", "padj"))
 _P = "(gene * 7919 % 1009) / 1009.0"
 query(
@@ -44,6 +58,7 @@ query(
 )
 _LFC = f"{_MOM}, d AS (SELECT gene, round(m1 - m0, 6) AS lfc FROM m)"
 query("agg26_top_genes", "counts", lambda c: X.top_k(X.differential_expression(c).select("gene", F.round("lfc", 6).alias("lfc")).withColumn("direction", F.when(F.col("lfc") > 0, "up").otherwise("down")), ["direction"], [F.abs("lfc").desc(), F.col("gene")], 10), f"WITH {_LFC}, e AS (SELECT *, CASE WHEN lfc > 0 THEN 'up' ELSE 'down' END AS direction FROM d) SELECT gene, lfc, direction, row_number() OVER (PARTITION BY direction ORDER BY abs(lfc) DESC, gene) AS rank FROM e QUALIFY rank <= 10")
+query("agg26_directions", "counts", lambda c: X.direction_counts(X.differential_expression(c).select("gene", F.round("lfc", 6).alias("lfc"), F.round(F.abs("z"), 4).alias("padj")), "padj", "lfc", 1.5, 0.2), f"WITH {_MOM}, d AS (SELECT gene, round(m1 - m0, 6) AS lfc, round(abs((m1 - m0) / sqrt((v0 + 1e-12) / n0 + (v1 + 1e-12) / n1)), 4) AS z FROM m) SELECT count(*) AS n_tested, count(*) FILTER (z <= 1.5 AND lfc >= 0.2) AS n_up, count(*) FILTER (z <= 1.5 AND lfc <= -0.2) AS n_down FROM d")
 query(
     "agg25_outliers", "counts", lambda c: _r(X.outliers(c.select("gene", "sample_id", F.col("count").cast("double").alias("value")), F.col("sample_id") >= 5, 3.0), "z"),
     """WITH m AS (SELECT gene, quantile_cont(count::DOUBLE, 0.5) AS m FROM counts WHERE sample_id >= 5 GROUP BY gene), d AS (SELECT gene, m, quantile_cont(abs(count - m), 0.5) AS mad FROM counts JOIN m USING (gene) WHERE sample_id >= 5 GROUP BY gene, m),
@@ -74,6 +89,11 @@ _CLOCK = """p AS (SELECT DISTINCT gene FROM counts), k AS (SELECT pgs_id AS orga
 a AS (SELECT sample_id, pgs_id AS organ, 30 + any_value(pgs_id) + sum(log2(count + 1) * effect_weight) AS age FROM counts JOIN scores ON gene = variant_id GROUP BY sample_id, pgs_id)"""
 query("agg46_correlation", "counts scores", lambda c, s: _r(X.correlations(_clock(c, s), "organ", "sample_id", "age"), "r"), f"WITH {_CLOCK} SELECT x.organ AS item_1, y.organ AS item_2, round(corr(x.age, y.age), 6) AS r FROM a x JOIN a y ON x.sample_id = y.sample_id AND x.organ < y.organ GROUP BY ALL")
 query("agg45_organ_clock", "counts scores", lambda c, s: _r(_clock(c, s), "age"), f"WITH {_CLOCK} SELECT sample_id, organ, round(age, 6) AS age, n_used, n_missing FROM a JOIN k USING (organ)")
+query(
+    "agg45_organ_clock_holes", "counts scores", lambda c, s: _r(_clock(c.withColumn("count", F.when((F.col("gene") * 31 + F.col("sample_id")) % 211 > 0, F.col("count"))), s), "age"),
+    f"""WITH {_CLOCK}, h AS (SELECT sample_id, pgs_id AS organ, bool_or((gene * 31 + sample_id) % 211 = 0) AS hole FROM counts JOIN scores ON gene = variant_id GROUP BY sample_id, pgs_id)
+SELECT s.sample_id, k.organ, round(CASE WHEN NOT hole THEN age END, 6) AS age, n_used, n_missing FROM (SELECT DISTINCT sample_id FROM counts) s, k LEFT JOIN a ON a.sample_id = s.sample_id AND a.organ = k.organ LEFT JOIN h ON h.sample_id = s.sample_id AND h.organ = k.organ""",
+)
 query("agg45_missing", "counts scores", lambda c, s: X.missing_proteins(c.select(F.col("gene").alias("protein")), s.select(F.col("pgs_id").alias("organ"), F.col("variant_id").alias("protein"))), "SELECT DISTINCT pgs_id AS organ, variant_id AS protein FROM scores WHERE variant_id NOT IN (SELECT gene FROM counts)")
 query("agg52_probes", "counts", lambda c: c.groupBy((F.floor(F.col("gene") / 10)).alias("prefix"), "sample_id").agg(F.round(F.avg("count"), 6).alias("mean")), "SELECT gene // 10 AS prefix, sample_id, round(avg(count), 6) AS mean FROM counts GROUP BY ALL")
 query("win14_display_cap", "counts", lambda c: _r(X.display_cap(c, "sample_id", "count"), "cap"), "WITH q AS (SELECT sample_id, greatest(quantile_cont(count::DOUBLE, 0.995), 4) AS cap, quantile_cont(count::DOUBLE, 0.9) AS t FROM counts GROUP BY sample_id) SELECT sample_id, round(any_value(cap), 6) AS cap, count(*) FILTER (count >= t) AS n_top FROM counts JOIN q USING (sample_id) GROUP BY sample_id")
@@ -98,6 +118,21 @@ query(
 r AS (SELECT gene, cluster, v, rank() OVER (PARTITION BY gene ORDER BY v) + (count(*) OVER (PARTITION BY gene, v) - 1) / 2 AS mid FROM a)
 SELECT gene, cluster, count(*) AS n1, count(*) FILTER (v > 0) AS nz1, sum(mid) - count(*) * (count(*) + 1) / 2 AS u FROM r GROUP BY gene, cluster HAVING count(*) FILTER (v > 0) > 0""",
 )
+_PAIRS = """a AS (SELECT g.gene, o.cell, o.cluster, o.batch, coalesce(c.count, 0) AS v FROM (SELECT DISTINCT gene FROM cells) g CROSS JOIN obs o LEFT JOIN cells c ON c.cell = o.cell AND c.gene = g.gene),
+v AS (SELECT gene, {w} AS w, {g} AS g, v, count(*) AS c FROM a GROUP BY ALL), n AS (SELECT gene, w, g, sum(c) AS n, sum(c) FILTER (v > 0) AS nz FROM v GROUP BY ALL),
+s AS (SELECT x.gene, x.w, x.g AS group_1, y.g AS group_2, sum(x.c * y.c * CASE WHEN y.v < x.v THEN 1 WHEN y.v = x.v THEN 0.5 ELSE 0 END) AS u FROM v x JOIN v y ON x.gene = y.gene AND x.w = y.w AND x.g < y.g GROUP BY ALL),
+t AS (SELECT gene, w, group_1, group_2, sum(c * c * c - c) AS ties FROM (SELECT s.gene, s.w, s.group_1, s.group_2, v.v, sum(v.c) AS c FROM s JOIN v ON v.gene = s.gene AND v.w = s.w AND v.g IN (s.group_1, s.group_2) GROUP BY ALL) GROUP BY ALL),
+z AS (SELECT s.*, m.n::BIGINT AS n1, k.n::BIGINT AS n2, coalesce(m.nz, 0) / m.n AS pts1, coalesce(k.nz, 0) / k.n AS pts2, ties, u - m.n * k.n / 2 AS d FROM s JOIN t USING (gene, w, group_1, group_2) JOIN n m ON m.gene = s.gene AND m.w = s.w AND m.g = group_1 JOIN n k ON k.gene = s.gene AND k.w = s.w AND k.g = group_2 WHERE m.n >= 2 AND k.n >= 2)"""
+_PAIR_COLS = "gene, group_1, group_2, n1, n2, round(pts1, 6) AS pts1, round(pts2, 6) AS pts2, u::DOUBLE AS u, round(d / sqrt(n1 * n2 / 12 * (n1 + n2 + 1)), 5) AS z, round(CASE WHEN d = 0 THEN 0 ELSE d / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - ties / ((n1 + n2) * (n1 + n2 - 1)))) END, 5) AS z_ties"
+
+
+def _contrasts(c, o, *names):
+    return _r(_r(X.pairwise_markers(c, o, *names).drop("p", "padj", "p_ties"), "pts1", "pts2"), "z", "z_ties", digits=5)
+
+
+query("agg28_pairwise", "cells obs", lambda c, o: _contrasts(c, o, "cluster"), f"WITH {_PAIRS.format(w=0, g='cluster')} SELECT {_PAIR_COLS} FROM z")
+query("agg28_within", "cells obs", lambda c, o: _contrasts(c, o, "batch", "cluster"), f"WITH {_PAIRS.format(w='cluster', g='batch')} SELECT w AS cluster, {_PAIR_COLS} FROM z")
+query("agg28_pairwise_p", "cells obs", lambda c, o: _r(X.pairwise_markers(c, o, "cluster").select("gene", "group_1", "group_2", "p", "padj", "p_ties"), "p", "padj", "p_ties"))
 _MARKERS = """a AS (SELECT g.gene, o.cell, o.cluster, coalesce(c.count, 0) AS v FROM (SELECT DISTINCT gene FROM cells) g CROSS JOIN obs o LEFT JOIN cells c ON c.cell = o.cell AND c.gene = g.gene),
 r AS (SELECT gene, cluster, v, rank() OVER (PARTITION BY gene ORDER BY v) + (count(*) OVER (PARTITION BY gene, v) - 1) / 2 AS mid FROM a),
 u AS (SELECT gene, cluster, sum(mid) - count(*) * (count(*) + 1) / 2 AS u FROM r GROUP BY gene, cluster HAVING count(*) FILTER (v > 0) > 0)"""

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from omicspark.functions.stats import t_two_sided_p, two_sided_p
+from omicspark.functions.stats import mann_whitney_exact_p, t_quantile, t_two_sided_p, two_sided_p
+from omicspark.functions.tables import stored
 from omicspark.operators.gwas import element_at_rank, ranked
 
 
@@ -46,7 +47,8 @@ def benjamini_hochberg_global(df: DataFrame, p: str, tie: list[str], name: str =
     """benjamini_hochberg() of one group of any size: ranks go by ranges, each range takes its own least value from the
     largest p down, and the least of the ranges after it is carried over (one row per range)."""
     valid = F.when(~F.isnan(p), F.col(p))
-    n = df.count()
+    df = stored(df)
+    n = df.count()  # of the table's footers
     numbered = ranked(df.withColumn("_p", valid), [F.col("_p").asc_nulls_last(), *[F.col(c).asc() for c in tie]], "_rank", slices, keep_part=True)
     numbered = numbered.withColumn("_raw", F.coalesce(F.col("_p") * n / F.col("_rank"), F.lit(1.0)))
     least = numbered.groupBy("_part").agg(F.min("_raw").alias("_m"))
@@ -85,35 +87,62 @@ def welch(values: DataFrame, value: str, least: int = 3, s0: float = 0.1) -> Dat
     return df.select("gene", "n0", "n1", "diff", "t", "df", "t_s0", t_two_sided_p(F.col("t"), F.col("df")).alias("p"))
 
 
+def regulation(results: DataFrame, fdr: float = 0.05, s0: float = 0.1, df: int = 4) -> DataFrame:
+    """results (gene, log2fc, p) with threshold, the -log10(p) that a fold change needs, and regulation.
+
+    The threshold is the hyperbola of a t statistic whose standard error has s0 added: beyond ta s0 (ta: the quantile of
+    Student's t at 1 - fdr / 2) it is the -log10(p) of ta (1 + s0 / (abs(log2fc) / ta - s0)); nearer to zero there is none."""
+    ta = t_quantile(1 - fdr / 2, df)
+    size = F.abs("log2fc")
+    needed = ta * (1 + s0 / (size / ta - s0))
+    threshold = F.when(size > ta * s0, -F.log10(F.greatest(t_two_sided_p(F.when(size > ta * s0, needed), F.lit(float(df))), F.lit(1e-300))))
+    hit = -F.log10(F.greatest(F.col("p"), F.lit(1e-300))) >= F.col("threshold")
+    label = F.when(hit & (F.col("log2fc") > 0), "upregulated").when(hit & (F.col("log2fc") < 0), "downregulated").otherwise("non significant")
+    return results.withColumn("threshold", threshold).withColumn("regulation", label)
+
+
+def protein_regulation(values: DataFrame, value: str, fdr: float = 0.05, s0: float = 0.1, df: int = 4) -> DataFrame:
+    """gene, mean_intensity (of all values), mean_treatment (group 1), mean_control, log2fc, p (Welch), padj (over all
+    genes), threshold and regulation. A gene with fewer than two values in a group has no p and a padj of 1."""
+    m = values.groupBy("gene").agg(F.avg(value).alias("mean_intensity"))
+    w = welch(values, value, 2).select("gene", "p")
+    g = two_group_moments(values, value).select("gene", F.col("mean1").alias("mean_treatment"), F.col("mean0").alias("mean_control"), (F.col("mean1") - F.col("mean0")).alias("log2fc"))
+    tested = benjamini_hochberg_global(m.join(g, "gene").join(w, "gene", "left"), "p", ["gene"])
+    return regulation(tested, fdr, s0, df)
+
+
+#: A group of at most this many values, without ties, has an exact p.
+EXACT = 8
+
+
 def rank_sums(values: DataFrame, value: str, keys: list[str]) -> DataFrame:
-    """Mann-Whitney U of group 1 against group 0 by key, ties at their mean rank. Equal values are counted before they
-    are ranked."""
+    """Mann-Whitney U of group 1 against group 0 by key, ties at their mean rank, its z, whether the exact null
+    distribution holds (a group of EXACT values or fewer, no ties), and the two-sided p: by that distribution, or else by
+    the normal one with corrections for ties and continuity. Equal values are counted before they are ranked."""
     by_value = values.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("c"), F.count_if(F.col("grp") == 1).alias("c1"))
     w = W.partitionBy(*keys).orderBy(value).rowsBetween(W.unboundedPreceding, 0)
     df = by_value.withColumn("mid", F.sum("c").over(w) - (F.col("c") - 1) / 2)
     df = df.groupBy(*keys).agg(F.sum("c1").alias("n1"), (F.sum("c") - F.sum("c1")).alias("n0"), F.sum(F.col("c1") * F.col("mid")).alias("r1"), F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).alias("ties"))
-    n = F.col("n0") + F.col("n1")
-    u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2
+    n, half = F.col("n0") + F.col("n1"), F.col("n0") * F.col("n1") / 2
     var = F.col("n0") * F.col("n1") / 12 * (n + 1 - F.try_divide(F.col("ties"), n * (n - 1)))
-    return df.select(*keys, "n0", "n1", u.alias("u"), F.try_divide(u - F.col("n0") * F.col("n1") / 2, F.sqrt(var)).alias("z"))
+    df = df.withColumns({"u": F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2, "sd": F.sqrt(var), "exact": (F.col("ties") == 0) & (F.least("n0", "n1") <= EXACT)})
+    corrected = F.try_divide(F.greatest(F.abs(F.col("u") - half) - 0.5, F.lit(0.0)), F.col("sd"))
+    # A null U costs the exact distribution nothing.
+    p = F.when(F.col("exact"), mann_whitney_exact_p(F.when(F.col("exact"), F.col("u")), "n0", "n1")).otherwise(two_sided_p(corrected))
+    return df.select(*keys, "n0", "n1", "u", F.try_divide(F.col("u") - half, F.col("sd")).alias("z"), "exact", p.alias("p"))
 
 
 def differential_abundance(values: DataFrame, value: str, test: str = "welch", least: int = 3, most_fdr: float = 0.05, least_fc: float = 0.25, log10_scale: bool = False) -> DataFrame:
     """gene, mean0, mean1, log2fc (group 1 less group 0; over log10(2) where values are log10), p, padj (over all genes)
     and significant (padj at most most_fdr and abs(log2fc) at least least_fc), for genes with `least` values in both
-    groups. test: welch or rank_sum (two-sided, normal approximation with corrections for ties and continuity). A p that
-    can't be told is 1."""
+    groups. test: welch or rank_sum. A p that can't be told is 1."""
     m = two_group_moments(values, value).where((F.col("n0") >= least) & (F.col("n1") >= least))
     fc = (F.col("mean1") - F.col("mean0")) / (math.log10(2) if log10_scale else 1.0)
     df = m.select("gene", "mean0", "mean1", fc.alias("log2fc"))
     if test == "welch":
         df = df.join(welch(values, value, least).select("gene", "p"), "gene")
     else:
-        r = rank_sums(values, value, ["gene"])
-        half = F.col("n0") * F.col("n1") / 2
-        sd = F.try_divide(F.col("u") - half, F.col("z"))
-        z = F.try_divide(F.greatest(F.abs(F.col("u") - half) - 0.5, F.lit(0.0)), sd)
-        df = df.join(r.select("gene", two_sided_p(z).alias("p")), "gene")
+        df = df.join(rank_sums(values, value, ["gene"]).select("gene", "p"), "gene")
     df = df.withColumn("p", F.when(F.col("p").isNull() | F.isnan("p"), 1.0).otherwise(F.col("p")))
     df = benjamini_hochberg_global(df, "p", ["gene"])
     return df.withColumn("significant", (F.col("padj") <= most_fdr) & (F.abs("log2fc") >= least_fc))
@@ -139,18 +168,24 @@ GOMPERTZ = (-9.94613787413831, 0.0897860500778604, -4.801912)
 
 def organ_ages(values: DataFrame, coefficients: DataFrame, intercepts: DataFrame | None = None, hazard: bool = False) -> DataFrame:
     """values: sample_id, protein, value. coefficients: organ, protein, weight. intercepts: organ, intercept. Per sample and
-    organ: age (intercept plus weighted values of the proteins that are measured at all), n_used and n_missing proteins
-    of the organ. hazard: the sum is a log mortality hazard and is turned into years."""
+    organ: age (intercept plus weighted values of the proteins that any sample has), n_used and n_missing proteins of the
+    organ. A sample that lacks one of the used proteins, or has a null or nan for it, has a null age, as has every sample
+    where none of an organ's proteins is there. hazard: the sum is a log mortality hazard and is turned into years.
+
+    The organs are a panel of one row each, sent along as one array."""
     measured = values.select("protein").distinct()
     parts = coefficients.join(measured.withColumn("_m", F.lit(1)), "protein", "left").groupBy("organ").agg(F.count("_m").alias("n_used"), F.count_if(F.col("_m").isNull()).alias("n_missing"))
-    sums = values.join(coefficients, "protein").groupBy("sample_id", "organ").agg(F.sum(F.col("value") * F.col("weight")).alias("s"))
-    df = sums.join(parts, "organ")
-    df = df.join(intercepts, "organ", "left") if intercepts is not None else df.withColumn("intercept", F.lit(0.0))
+    parts = parts.join(intercepts, "organ", "left") if intercepts is not None else parts.withColumn("intercept", F.lit(0.0))
+    own = F.when(~F.isnan("value"), F.col("value")) * F.col("weight")
+    sums = values.join(coefficients, "protein").groupBy("sample_id", "organ").agg(F.sum(own).alias("s"), F.count(own).alias("n"))
+    panel = parts.agg(F.collect_list(F.struct("organ", "n_used", "n_missing", "intercept")).alias("organs"))
+    every = values.select("sample_id").distinct().join(F.broadcast(panel)).select("sample_id", F.inline("organs"))
     age = F.col("s") + F.coalesce("intercept", F.lit(0.0))
     if hazard:
         a, b, h = GOMPERTZ
         age = (age - h) / b - a
-    return df.select("sample_id", "organ", age.alias("age"), "n_used", "n_missing")
+    df = every.join(sums, ["sample_id", "organ"], "left")
+    return df.select("sample_id", "organ", F.when(F.col("n") == F.col("n_used"), age).alias("age"), "n_used", "n_missing")
 
 
 def missing_proteins(values: DataFrame, coefficients: DataFrame) -> DataFrame:
@@ -182,6 +217,61 @@ def markers(cells: DataFrame, obs: DataFrame) -> DataFrame:
     return out.select("gene", "cluster", "n1", "nz1", (r1 - F.col("n1") * (F.col("n1") + 1) / 2).alias("u"))
 
 
+#: Groups that pairwise contrasts may have: each gene's value is a row of as many counts.
+MOST_GROUPS = 500
+
+
+def pairwise_markers(cells: DataFrame, obs: DataFrame, group: str, within: str | None = None, least: int = 2) -> DataFrame:
+    """Rank-sum contrasts of all pairs of groups of cells (group_1 < group_2), for each gene, over all cells or within each
+    value of another column of obs: [within,] gene, group_1, group_2, n1, n2, pts1, pts2 (shares of cells with a count), u (of
+    group_1), z, p, padj (over the genes of a contrast), and z_ties and p_ties, corrected for ties. Groups need `least`
+    cells; cells without a group are left out. cells holds gene, cell, count; counts of zero need no row.
+
+    One table of counts by value serves all pairs: running sums of it tell how many cells of each group lie below a value,
+    and a pair's U is the sum of the one's counts times the other's running sums. No ranks are made for a pair."""
+    own = F.col(within) if within else F.lit(0)
+    labels = obs.where(F.col(group).isNotNull()).select("cell", own.alias("w"), F.col(group).alias("g")).where("w is not null")
+    sizes = stored(labels.groupBy("w", "g").agg(F.count("*").alias("n")))
+    groups = [r[0] for r in sizes.select("g").distinct().orderBy("g").limit(MOST_GROUPS + 1).collect()]
+    if len(groups) > MOST_GROUPS:
+        raise ValueError(f"more than {MOST_GROUPS} groups")
+    k = len(groups)
+
+    def by_group(df: DataFrame, keys: list[str], name: str, to: str) -> DataFrame:
+        wide = df.groupBy(*keys).pivot("g", groups).agg(F.sum(name))
+        return wide.select(*keys, F.array(*[F.coalesce(F.col(f"`{g}`"), F.lit(0)).cast("double") for g in map(str, groups)]).alias(to)) if k else wide.withColumn(to, F.array().cast("array<double>"))
+
+    cast = F.col("g").cast("string").alias("g")
+    groups = [str(g) for g in groups]
+    some = cells.where("count > 0").join(labels, "cell").groupBy("w", "gene", "count", cast).agg(F.count("*").alias("c"))
+    seen = stored(by_group(some, ["w", "gene", "count"], "c", "c"))
+    size = by_group(sizes.select("w", cast, "n"), ["w"], "n", "n")
+    nonzero = seen.groupBy("w", "gene").agg(F.array(*[F.sum(F.col("c")[i]) for i in range(k)]).alias("nz"))
+    grid = cells.select("gene").distinct().join(F.broadcast(size.agg(F.collect_list(F.struct("w", "n")).alias("x")))).select("gene", F.inline("x"))
+    base = stored(grid.join(nonzero, ["w", "gene"], "left").withColumn("nz", F.coalesce("nz", F.array_repeat(F.lit(0.0), k))))
+    zeros = base.select("w", "gene", F.lit(0).cast(dict(cells.dtypes)["count"]).alias("count"), F.zip_with("n", "nz", lambda n, nz: n - nz).alias("c"))
+    below = W.partitionBy("w", "gene").orderBy("count").rowsBetween(W.unboundedPreceding, -1)
+    values = seen.select("w", "gene", "count", "c").union(zeros)
+    values = values.withColumn("b", F.array(*[F.coalesce(F.sum(F.col("c")[i]).over(below), F.lit(0.0)) for i in range(k)]))
+    one = values.select("w", "gene", "c", "b", F.posexplode("c").alias("i", "ci")).where("ci > 0")
+    pair = one.select("w", "gene", "i", "ci", F.posexplode(F.zip_with("b", "c", lambda b, c: F.struct((b + c / 2).alias("m"), c.alias("cj")))).alias("j", "x")).where("i <> j")
+    # Both orders of a pair meet in one row: U comes from the first group's, the mixed cubes of the ties from both.
+    sums = pair.groupBy("w", "gene", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.sum(F.when(F.col("i") < F.col("j"), F.col("ci") * F.col("x.m")).otherwise(0.0)).alias("u"), F.sum(F.col("ci") * F.col("ci") * F.col("x.cj")).alias("mixed"))
+    cubes = values.groupBy("w", "gene").agg(F.array(*[F.sum(F.pow(F.col("c")[i], F.lit(3))) for i in range(k)]).alias("cube"))
+    df = sums.join(base, ["w", "gene"]).join(cubes, ["w", "gene"])
+    n1, n2 = F.col("n")[F.col("i")], F.col("n")[F.col("j")]
+    df = df.withColumns({"n1": n1, "n2": n2, "pts1": F.try_divide(F.col("nz")[F.col("i")], n1), "pts2": F.try_divide(F.col("nz")[F.col("j")], n2), "ties": F.col("cube")[F.col("i")] + F.col("cube")[F.col("j")] + 3 * F.col("mixed") - n1 - n2})
+    df = df.where((F.col("n1") >= least) & (F.col("n2") >= least))
+    n, away, var = F.col("n1") + F.col("n2"), F.col("u") - F.col("n1") * F.col("n2") / 2, F.col("n1") * F.col("n2") / 12
+    df = df.withColumns({"z": away / F.sqrt(var * (n + 1)), "z_ties": F.coalesce(F.try_divide(away, F.sqrt(var * (n + 1 - F.col("ties") / (n * (n - 1))))), F.lit(0.0))})
+    df = df.withColumns({"p": two_sided_p(F.col("z")), "p_ties": two_sided_p(F.col("z_ties"))})
+    df = benjamini_hochberg(df, "p", ["w", "i", "j"], ["gene"])
+    names = F.array(*[F.lit(g) for g in groups]) if k else F.array().cast("array<string>")
+    kind = dict(obs.dtypes)[group]
+    first = [F.col("w").alias(within)] if within else []
+    return df.select(*first, "gene", names[F.col("i")].cast(kind).alias("group_1"), names[F.col("j")].cast(kind).alias("group_2"), *[F.col(c).cast("bigint").alias(c) for c in ("n1", "n2")], "pts1", "pts2", "u", "z", "p", "padj", "z_ties", "p_ties")
+
+
 def top_k(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(W.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= k)
 
@@ -226,6 +316,12 @@ def significance(df: DataFrame, padj: str, lfc: str, most_p: float = 0.05, least
     return df.withColumn("safe_p", safe).withColumn("label", F.when(hit & (F.col(lfc) > 0), "up").when(hit, "down").otherwise("unchanged"))
 
 
+def direction_counts(df: DataFrame, padj: str, lfc: str, most_p: float = 0.05, least_lfc: float = 1.0) -> DataFrame:
+    """One row: n_tested, n_up and n_down (significant results with a rise or a fall of least_lfc or more)."""
+    hit = F.coalesce(F.col(padj) <= most_p, F.lit(False))
+    return df.agg(F.count("*").alias("n_tested"), F.count_if(hit & (F.col(lfc) >= least_lfc)).alias("n_up"), F.count_if(hit & (F.col(lfc) <= -least_lfc)).alias("n_down"))
+
+
 def majority(obs: DataFrame) -> DataFrame:
     """The most frequent label of each cluster (the first by order for ties), its share, and its mean confidence."""
     n = obs.groupBy("cluster", "label").agg(F.count("*").alias("n"), F.avg("confidence").alias("confidence"))

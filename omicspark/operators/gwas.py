@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from omicspark.functions.stats import chi2_sf, two_sided_p
+from omicspark.functions.tables import stored
 
 #: Genome-wide and suggestive significance, the median of chi-squared with one degree of freedom.
 SIGNIFICANT, SUGGESTIVE, CHI2_MEDIAN = 5e-8, 1e-5, 0.4549364
@@ -15,8 +18,7 @@ SIGNIFICANT, SUGGESTIVE, CHI2_MEDIAN = 5e-8, 1e-5, 0.4549364
 def in_ranges(df: DataFrame, order: list[Column], slices: int = 64) -> DataFrame:
     """df dealt by ranges of the order, with _part, the number of a row's range. Written to the checkpoint folder, so that
     every later use sees the same ranges."""
-    dealt = df.repartitionByRange(slices, *order).withColumn("_part", F.spark_partition_id())
-    return dealt.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else dealt
+    return stored(df.repartitionByRange(slices, *order).withColumn("_part", F.spark_partition_id()))
 
 
 def ranked(df: DataFrame, order: list[Column], name: str = "rank", slices: int = 64, keep_part: bool = False) -> DataFrame:
@@ -188,6 +190,43 @@ def weighted_median(inst: DataFrame) -> DataFrame:
     return df.where(F.round("upto", 9) >= 0.5).groupBy("pair_id").agg(F.min_by("ratio", F.struct("ratio", "snp")).alias("estimate"))
 
 
+def weighted_median_test(inst: DataFrame, draws: int = 1000, seed: int = 42) -> DataFrame:
+    """pair_id, n, estimate (the first ratio, by size, at which the weights reach half), se (of `draws` parametric bootstrap
+    draws of the outcomes), ci_lower, ci_upper and p. Instruments with a null number or no effect on the exposure are left
+    out; without spread p is 1.
+
+    A pair's draws come from a generator of its own, seeded by the seed and the pair, over its instruments in the order of
+    their names, so that they don't depend on the partitioning; all draws are one matrix, worked in parts of a few million
+    numbers."""
+    pair_type = dict(inst.dtypes)["pair_id"]
+    known = inst.where("beta_exposure <> 0 and beta_outcome is not null and se_outcome is not null and pair_id is not null")
+    slim = known.select("pair_id", F.col("snp").cast("string").alias("snp"), "beta_exposure", "beta_outcome", "se_outcome", F.xxhash64(F.lit(seed), F.col("pair_id").cast("string")).alias("seed"))
+
+    def resample(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["snp", "beta_exposure", "beta_outcome"])
+        x, y, s = (own[c].to_numpy(float) for c in ("beta_exposure", "beta_outcome", "se_outcome"))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            weight = (x / s) ** 2
+            weight = weight / weight.sum()
+        rng = np.random.default_rng(int(own["seed"].iloc[0]) & ((1 << 63) - 1))
+
+        def medians(outcomes: np.ndarray) -> np.ndarray:
+            ratio = outcomes / x
+            order = np.argsort(ratio, axis=1, kind="stable")
+            reached = np.cumsum(weight[order], axis=1) >= 0.5
+            at = np.where(reached.any(axis=1), reached.argmax(axis=1), len(x) - 1)
+            rows = np.arange(len(outcomes))
+            return ratio[rows, order[rows, at]]
+
+        step = max(1, (1 << 21) // len(x))
+        found = np.concatenate([medians(y + rng.standard_normal((min(step, draws - i), len(x))) * s) for i in range(0, draws, step)])
+        return pd.DataFrame({"pair_id": own["pair_id"].iloc[:1], "n": [len(x)], "estimate": medians(y[None, :]), "se": [found.std()]})
+
+    df = slim.groupBy("pair_id").applyInPandas(resample, f"pair_id {pair_type}, n bigint, estimate double, se double")
+    p = two_sided_p(F.when(F.col("se") > 0, F.col("estimate") / F.col("se")).otherwise(0.0))
+    return df.select("pair_id", "n", "estimate", "se", (F.col("estimate") - 1.96 * F.col("se")).alias("ci_lower"), (F.col("estimate") + 1.96 * F.col("se")).alias("ci_upper"), p.alias("p"))
+
+
 def weighted_mode(inst: DataFrame, bandwidth: float = 0.5, points: int = 1000) -> DataFrame:
     """The grid point of the highest weighted kernel density of the ratios; the grid goes from 1 below the least ratio to
     1 above the largest. Each pair's instruments meet its own grid only."""

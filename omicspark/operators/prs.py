@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from omicspark.functions.stats import normal_cdf
+from omicspark.functions.tables import stored
 
 # Upper limits of the risk categories, in percent; thresholds of relationships by IBS.
 RISKS = [(25, "Low"), (75, "Average"), (95, "Elevated")]
@@ -34,6 +40,42 @@ def variant_details(genotypes: DataFrame, scores: DataFrame) -> DataFrame:
     return called.join(scores, "variant_id").withColumn("dosage", dosage_of(F.col("effect_allele"), F.col("genotype"))).withColumn("contribution", F.col("dosage") * F.col("effect_weight"))
 
 
+def variant_report(genotypes: DataFrame, scores: DataFrame) -> DataFrame:
+    """A row for each sample and scored variant: sample_id, pgs_id, variant_id, effect_allele, effect_weight, genotype,
+    dosage, contribution and status (scored; missing, with a contribution of 0, where the sample has no call). Every
+    sample with a call is reported for every score.
+
+    A score's variants are numbered. What a sample has becomes a bitmap of these numbers, and only the bits that it lacks
+    are turned into rows, so that samples and variants never meet but in the result."""
+    place = W.partitionBy("pgs_id").orderBy("variant_id", "effect_allele", "effect_weight")
+    panel = stored(scores.select("pgs_id", "variant_id", "effect_allele", F.col("effect_weight").cast("double").alias("effect_weight")).withColumn("place", F.row_number().over(place).cast("bigint")))
+    called = genotypes.where("genotype is not null and sample_id is not null").select("sample_id", "variant_id", "genotype")
+    scored = stored(called.join(panel, "variant_id"))
+    bits = scored.groupBy("sample_id", "pgs_id", F.bitmap_bucket_number("place").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("has"))
+    # One row with the sizes of the scores' buckets (of 32768 variants each).
+    sizes = panel.groupBy("pgs_id", F.bitmap_bucket_number("place").alias("bucket")).agg(F.count("*").alias("n"), (F.min("place") - F.min(F.bitmap_bit_position("place"))).alias("first"))
+    grid = called.select("sample_id").distinct().join(F.broadcast(sizes.agg(F.collect_list(F.struct("pgs_id", "bucket", "n", "first")).alias("x")))).select("sample_id", F.inline("x"))
+    sample, pgs = (dict(grid.dtypes)[c] for c in ("sample_id", "pgs_id"))
+
+    def lacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                n, has = batch.column("n")[i].as_py(), batch.column("has")[i].as_py()
+                bit = np.unpackbits(np.frombuffer(has, np.uint8), bitorder="little")[:n] if has else np.zeros(n, np.uint8)
+                gone = np.flatnonzero(bit == 0) + batch.column("first")[i].as_py()
+                if len(gone):
+                    zero = pa.array(np.zeros(len(gone), np.int64))
+                    yield pa.RecordBatch.from_arrays([batch.column(c).slice(i, 1).take(zero) for c in ("sample_id", "pgs_id")] + [pa.array(gone)], names=["sample_id", "pgs_id", "place"])
+
+    left = grid.join(bits, ["sample_id", "pgs_id", "bucket"], "left").select("sample_id", "pgs_id", "n", "first", "has")
+    missing = left.mapInArrow(lacking, f"sample_id {sample}, pgs_id {pgs}, place bigint").join(panel, ["pgs_id", "place"])
+    columns = ["sample_id", "pgs_id", "variant_id", "effect_allele", "effect_weight", "genotype", "dosage", "contribution", "status"]
+    dosage = dosage_of(F.col("effect_allele"), F.col("genotype"))
+    scored = scored.withColumn("dosage", dosage).withColumns({"contribution": F.col("dosage") * F.col("effect_weight"), "status": F.lit("scored")}).select(*columns)
+    blank = {"genotype": F.lit(None).cast("string"), "dosage": F.lit(None).cast("int"), "contribution": F.lit(0.0), "status": F.lit("missing")}
+    return scored.union(missing.withColumns(blank).select(*columns))
+
+
 def polygenic_scores(genotypes: DataFrame, scores: DataFrame) -> DataFrame:
     """sample_id, pgs_id, raw_score, n_used, n_missing, overlap. Missing variants are the score's total less those used,
     so that no sample-by-variant row is made for them. Partial sums come before the only large shuffle."""
