@@ -96,7 +96,8 @@ def regulation(results: DataFrame, fdr: float = 0.05, s0: float = 0.1, df: int =
     size = F.abs("log2fc")
     needed = ta * (1 + s0 / (size / ta - s0))
     threshold = F.when(size > ta * s0, -F.log10(F.greatest(t_two_sided_p(F.when(size > ta * s0, needed), F.lit(float(df))), F.lit(1e-300))))
-    hit = -F.log10(F.greatest(F.col("p"), F.lit(1e-300))) >= F.col("threshold")
+    # greatest() passes over a null; a p that can't be told reaches no threshold.
+    hit = F.col("p").isNotNull() & ~F.isnan("p") & (-F.log10(F.greatest(F.col("p"), F.lit(1e-300))) >= F.col("threshold"))
     label = F.when(hit & (F.col("log2fc") > 0), "upregulated").when(hit & (F.col("log2fc") < 0), "downregulated").otherwise("non significant")
     return results.withColumn("threshold", threshold).withColumn("regulation", label)
 
