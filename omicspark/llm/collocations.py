@@ -26,7 +26,7 @@ from omicspark.llm import tokens
 from omicspark.llm.common import dropped, pieces, saved, saved_sorted
 
 #: Bytes of a blob (or one longer line), and bytes of text whose fingerprints one slice takes.
-BLOB, SLICE = 4 << 20, 8 << 20
+BLOB, SLICE = 1 << 20, 4 << 20
 #: What stands between words and between pieces of a text, after normalising.
 SPACE, BREAK = 32, 10
 _MAP = tokens.LOWER.copy()
@@ -183,7 +183,7 @@ def phrase_counts(docs: DataFrame, least: int = 30, most: int = 4, text_col: str
     spark = docs.sparkSession
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
-    buckets, slices = max(buckets, math.ceil(total / (64 * BLOB))), max(8, math.ceil(total / SLICE))
+    buckets, slices = max(buckets, math.ceil(total / (256 * BLOB))), max(8, math.ceil(total / SLICE))
     cut = saved_sorted(blobs(docs, text_col, lang_col).repartition(buckets, "piece"), ["piece"], buckets, [])
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
