@@ -7,7 +7,9 @@ from omicspark.jobs.query import query
 from omicspark.operators import annotate as A
 from omicspark.operators import blocks as B
 from omicspark.operators import cohort as C
+from omicspark.operators import expression as X
 from omicspark.operators import literature as L
+from omicspark.operators import neighbours as N
 from omicspark.operators import pgx
 
 query("jon13_comorbidity", "cohort", lambda c: C.co_occurrence(c, "patient_id", "condition"), "WITH d AS (SELECT DISTINCT patient_id, condition FROM cohort) SELECT a.condition AS item_1, b.condition AS item_2, count(*) AS n FROM d a JOIN d b ON a.patient_id = b.patient_id AND a.condition < b.condition GROUP BY ALL HAVING count(*) >= 2")
@@ -108,14 +110,49 @@ query("agg53_sheet_summary", "obs", lambda o: o.groupBy("batch").agg(F.count("*"
 query("fil15_trial_status", "obs", lambda o: o.groupBy("cluster").agg(F.count("*").alias("n"), F.count_if(F.col("label") == 0).alias("n_recruiting")), "SELECT cluster, count(*) AS n, count(*) FILTER (label = 0) AS n_recruiting FROM obs GROUP BY cluster")
 query("srt5_merged_genes", "annotations", lambda a: C.first_by_order(a.where("variant_id % 5 = 0").select("gene", (F.col("variant_id") + 1000000).alias("seq")).union(a.where("variant_id % 7 = 0").select("gene", F.col("variant_id").alias("seq"))), ["gene"], ["seq"]).orderBy("seq").limit(30), "SELECT gene, min(seq) AS seq FROM (SELECT gene, variant_id + 1000000 AS seq FROM annotations WHERE variant_id % 5 = 0 UNION ALL SELECT gene, variant_id FROM annotations WHERE variant_id % 7 = 0) GROUP BY gene ORDER BY seq LIMIT 30")
 query("srt7_impact_order", "annotations", A.by_impact, "SELECT upper(impact) AS impact, CASE upper(impact) WHEN 'HIGH' THEN 0 WHEN 'MODERATE' THEN 1 WHEN 'LOW' THEN 2 ELSE 3 END AS impact_rank, count(*) AS n, count(*) FILTER (clinvar ILIKE '%pathogenic%') AS n_pathogenic FROM annotations GROUP BY ALL")
+def _contrast(v):
+    grp = F.when(F.col("n") > F.avg("n").over(W.partitionBy(F.lit(1))), 1).otherwise(0)  # a row a label
+    out = L.group_contrast(v.select(F.col("variance").alias("value"), grp.alias("grp")))
+    return out.select("n1", "n0", *[F.round(c, n).alias(c) for c, n in (("mean1", 6), ("mean0", 6), ("t", 4), ("df", 4), ("d", 4))])
+
+
 _U = "u AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS u FROM vectors), l AS (SELECT vec_id, label, unnest(range(64)) AS i, unnest(u) AS x FROM u), c AS (SELECT label, i, avg(x) AS x FROM l GROUP BY ALL)"
 query("agg51_isolation", "vectors", L.isolation, f"WITH {_U}, n AS (SELECT label, sqrt(sum(x * x)) AS n FROM c GROUP BY label), d AS (SELECT a.label, b.label AS other, 1 - sum(a.x * b.x) / (max(na.n) * max(nb.n)) AS d FROM c a JOIN c b ON a.i = b.i AND a.label <> b.label JOIN n na ON na.label = a.label JOIN n nb ON nb.label = b.label GROUP BY ALL), k AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY round(d, 9), other) AS r FROM d) SELECT label, round(avg(d), 6) AS isolation FROM k WHERE r <= 3 GROUP BY label")
 query("agg51_variance", "vectors", L.within_variance, f"WITH {_U}, d AS (SELECT l.vec_id, l.label, sum((l.x - c.x) * (l.x - c.x)) AS d FROM l JOIN c ON l.label = c.label AND l.i = c.i GROUP BY ALL) SELECT label, round(avg(d), 6) AS variance, count(*) AS n FROM d GROUP BY label")
+_CENTRES = f"{_U}, m AS (SELECT label, i, x / sqrt(sum(x * x) OVER (PARTITION BY label)) AS x FROM c)"
+query("agg51_transfer", "vectors", L.transfer_potential, f"WITH {_CENTRES}, d AS (SELECT a.label, b.label AS other, sum(a.x * b.x) AS s FROM m a JOIN m b ON a.i = b.i AND a.label <> b.label GROUP BY ALL) SELECT label, round(avg(s), 6) AS transfer FROM d GROUP BY label")
+query(
+    "agg51_drift", "dated_vectors", L.yearly_drift,
+    """WITH u AS (SELECT label, year, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS u FROM dated_vectors), l AS (SELECT label, year, unnest(range(64)) AS i, unnest(u) AS x FROM u),
+c AS (SELECT label, year, i, avg(x) AS x FROM l GROUP BY ALL), m AS (SELECT label, year, i, x / sqrt(sum(x * x) OVER (PARTITION BY label, year)) AS x FROM c), y AS (SELECT label, year, lag(year) OVER (PARTITION BY label ORDER BY year) AS before FROM (SELECT DISTINCT label, year FROM c)),
+d AS (SELECT y.label, y.year, 1 - sum(a.x * b.x) AS d FROM y JOIN m a ON a.label = y.label AND a.year = y.year JOIN m b ON b.label = y.label AND b.year = y.before AND b.i = a.i GROUP BY ALL) SELECT label, count(*) AS n_steps, round(avg(d), 6) AS drift FROM d GROUP BY label""",
+)
+_VARIED = f"{_U}, d AS (SELECT l.vec_id, l.label, sum((l.x - c.x) * (l.x - c.x)) AS d FROM l JOIN c ON l.label = c.label AND l.i = c.i GROUP BY ALL), v AS (SELECT label, count(*) AS n, round(avg(d), 6) AS value FROM d GROUP BY label), g AS (SELECT value, CASE WHEN n > (SELECT avg(n) FROM v) THEN 1 ELSE 0 END AS grp FROM v)"
+query(
+    "agg51_contrast", "vectors", lambda v: _contrast(L.within_variance(v)),
+    f"""WITH {_VARIED}, m AS (SELECT count(*) FILTER (grp = 1) AS n1, count(*) FILTER (grp = 0) AS n0, avg(value) FILTER (grp = 1) AS mean1, avg(value) FILTER (grp = 0) AS mean0, var_samp(value) FILTER (grp = 1) AS v1, var_samp(value) FILTER (grp = 0) AS v0 FROM g), s AS (SELECT *, v1 / n1 AS a, v0 / n0 AS b FROM m)
+SELECT n1, n0, round(mean1, 6) AS mean1, round(mean0, 6) AS mean0, round(CASE WHEN n1 > 1 AND n0 > 1 THEN (mean1 - mean0) / sqrt(a + b) END, 4) AS t, round(CASE WHEN n1 > 1 AND n0 > 1 THEN (a + b) * (a + b) / (a * a / (n1 - 1) + b * b / (n0 - 1)) END, 4) AS df, round(CASE WHEN n1 > 1 AND n0 > 1 THEN (mean1 - mean0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)) END, 4) AS d FROM s""",
+)
+query("num6_graph", "vectors", lambda v: N.neighbour_graph(v, 5).withColumn("nearness", F.round("nearness", 6)))
+query(
+    "agg29_graph_mixing", "vectors", lambda v: X.graph_mixing(N.neighbour_graph(v, 5, recall=None), v.select("vec_id", "label"), "vec_id", "label").select("vec_id", F.round("cross", 6).alias("cross"), F.round("entropy", 6).alias("entropy")),
+    """WITH q AS (SELECT a.vec_id, a.label, b.vec_id AS other, b.label AS ol, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS c FROM vectors a JOIN vectors b ON a.vec_id <> b.vec_id), e AS (SELECT vec_id, label, ol FROM q QUALIFY row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, other) <= 5),
+p AS (SELECT vec_id, label, ol, count(*) / 5 AS p FROM e GROUP BY ALL) SELECT vec_id, round(sum(CASE WHEN label <> ol THEN p ELSE 0 END), 6) AS "cross", round(0 - sum(p * log2(p)) / (SELECT log2(greatest(2, count(DISTINCT label))) FROM vectors), 6) AS entropy FROM p GROUP BY vec_id""",
+)
 query(
     "num6_nearest", "vectors", lambda v: L.nearest(v.where("vec_id % 50 = 0").select("vec_id", "embedding"), v, 5).select("vec_id", "neighbour", "rank", F.round("cosine", 6).alias("cosine")),
     "WITH q AS (SELECT a.vec_id, b.vec_id AS neighbour, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 9) AS c FROM vectors a JOIN vectors b ON a.vec_id % 50 = 0 AND a.vec_id <> b.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, neighbour) AS rank FROM q) SELECT vec_id, neighbour, rank, round(c, 6) AS cosine FROM r WHERE rank <= 5",
 )
 _TOK = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: length(x) > 2)"
+_GENERIC = ", ".join(f"'{w}'" for w in L.GENERIC)
+_NORM = "trim(regexp_replace(lower(coalesce({x}, '')), '[^a-z0-9.+_-]+', ' ', 'g'))"
+query(
+    "num7_catalogue", "catalogue questions", lambda c, q: L.catalogue_search(q, c),
+    f"""WITH e AS (SELECT name, {_NORM.format(x='name')} AS key, {_NORM.format(x='text')} AS t FROM catalogue WHERE name IS NOT NULL), q AS (SELECT query_id, {_NORM.format(x='text')} AS q FROM questions),
+w AS (SELECT query_id, q, list_filter(list_distinct(string_split(q, ' ')), lambda x: length(x) >= 3 AND x NOT IN ({_GENERIC})) AS ws FROM q WHERE q <> ''),
+s AS (SELECT query_id, name, (CASE WHEN key = q THEN 35 ELSE 0 END + CASE WHEN contains(t, q) THEN 18 ELSE 0 END)::BIGINT AS s, len(list_filter(ws, lambda x: contains(t, x)))::BIGINT AS n_words FROM w, e),
+r AS (SELECT query_id, name, (s + least(7 * n_words, 21))::BIGINT AS score, n_words FROM s) SELECT query_id, name, score, n_words, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, name) AS rank FROM r WHERE score > 0 QUALIFY rank <= 20""",
+)
 query(
     "num7_keyword_ranking", "papers items", lambda p, i: L.keyword_ranking(i.select(F.col("item_id").alias("query_id"), "text"), p, 10),
     f"WITH q AS (SELECT query_id, unnest(list_distinct(t)) AS word FROM (SELECT item_id AS query_id, {_TOK} AS t FROM items)), d AS (SELECT doc_id, word, least(count(*), 3) AS c FROM (SELECT doc_id, unnest({_TOK}) AS word FROM papers) GROUP BY ALL), s AS (SELECT query_id, doc_id, sum(c)::BIGINT AS score FROM q JOIN d USING (word) GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM s QUALIFY rank <= 10",

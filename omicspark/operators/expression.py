@@ -370,6 +370,13 @@ def batch_mixing(edges: DataFrame) -> DataFrame:
     return p.groupBy("cell").agg(F.sum(F.when(F.col("batch") != F.col("other_batch"), F.col("p")).otherwise(0)).alias("cross"), (-F.sum(F.col("p") * F.log2("p")) / math.log2(max(2, batches))).alias("entropy"))
 
 
+def graph_mixing(graph: DataFrame, labels: DataFrame, id_col: str = "cell", batch: str = "batch") -> DataFrame:
+    """batch_mixing() over a neighbour graph (id_col, neighbour) and the batch of each of its points (id_col, batch)."""
+    own, other = labels.select(id_col, F.col(batch).alias("batch")), labels.select(F.col(id_col).alias("neighbour"), F.col(batch).alias("other_batch"))
+    edges = graph.select(id_col, "neighbour").join(own, id_col).join(other, "neighbour")
+    return batch_mixing(edges.withColumnRenamed(id_col, "cell")).withColumnRenamed("cell", id_col)
+
+
 def evenly_spaced(df: DataFrame, order: list[str], group: str | None = None, most: int = 48) -> DataFrame:
     """At most `most` rows of df: all, if there are no more. Else evenly spaced ones (the rounded positions of `most` even
     steps); with a group, most div groups from each (one at least) and then, in turns, the first that are left of each

@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from omicspark.functions.stats import t_two_sided_p
+from omicspark.functions.tables import stored
+
 
 def unit(vec: Column) -> Column:
     norm = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda s, x: s + x * x))
@@ -36,6 +39,37 @@ def isolation(vectors: DataFrame, k: int = 3) -> DataFrame:
     return near.groupBy("label").agg(F.round(F.avg("d"), 6).alias("isolation"))
 
 
+def transfer_potential(vectors: DataFrame) -> DataFrame:
+    """label, transfer: the mean cosine similarity of a label's centroid to those of all other labels. The sum over all
+    labels is one vector, so that no pair of labels meets."""
+    c = centroids(vectors).withColumn("centroid", unit(F.col("centroid")))
+    total = c.select(F.posexplode("centroid").alias("i", "x")).groupBy("i").agg(F.sum("x").alias("x"), F.count("*").alias("n"))
+    total = total.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("total"), F.max("n").alias("n"))  # one row
+    others = dot(F.col("centroid"), F.col("total")) - dot(F.col("centroid"), F.col("centroid"))
+    return c.join(F.broadcast(total)).where("n > 1").select("label", F.round(others / (F.col("n") - 1), 6).alias("transfer"))
+
+
+def yearly_drift(vectors: DataFrame) -> DataFrame:
+    """vectors: label, year, embedding. label, n_steps, drift: the mean cosine distance between the centroids of a label's
+    successive years (of those that it has)."""
+    yearly = centroids(vectors.where("year is not null").select(F.struct("label", "year").alias("label"), "embedding")).select("label.label", "label.year", unit(F.col("centroid")).alias("c"))
+    before = F.lag("c").over(W.partitionBy("label").orderBy("year"))
+    steps = yearly.select("label", "c", before.alias("before")).where("before is not null")
+    return steps.groupBy("label").agg(F.count("*").alias("n_steps"), F.round(F.avg(1 - dot(F.col("c"), F.col("before"))), 6).alias("drift"))
+
+
+def group_contrast(values: DataFrame, value: str = "value", group: str = "grp") -> DataFrame:
+    """One row of the values in group 1 against those in group 0: n1, n0, mean1, mean0, Welch's t, its degrees of freedom and
+    p, and Cohen's d (over the pooled deviation). Groups of fewer than two values have no t."""
+    own = {g: F.when(F.col(group) == g, F.col(value).cast("double")) for g in (1, 0)}
+    m = values.agg(*[f(own[g]).alias(f"{name}{g}") for g in (1, 0) for name, f in (("n", F.count), ("mean", F.avg), ("var", F.var_samp))])
+    a, b, diff = F.col("var1") / F.col("n1"), F.col("var0") / F.col("n0"), F.col("mean1") - F.col("mean0")
+    pooled = F.sqrt(F.try_divide((F.col("n1") - 1) * F.col("var1") + (F.col("n0") - 1) * F.col("var0"), F.col("n1") + F.col("n0") - 2))
+    ok = (F.col("n1") > 1) & (F.col("n0") > 1)
+    df = m.select("n1", "n0", "mean1", "mean0", F.when(ok, F.try_divide(diff, F.sqrt(a + b))).alias("t"), F.when(ok, F.try_divide((a + b) * (a + b), a * a / (F.col("n1") - 1) + b * b / (F.col("n0") - 1))).alias("df"), F.when(ok, F.try_divide(diff, pooled)).alias("d"))
+    return df.withColumn("p", F.when(F.col("t").isNotNull(), t_two_sided_p("t", "df")))
+
+
 def within_variance(vectors: DataFrame) -> DataFrame:
     """Mean squared distance of the unit vectors to their label's centroid."""
     v = vectors.withColumn("u", unit(F.col("embedding").cast("array<double>"))).join(F.broadcast(centroids(vectors)), "label")
@@ -101,6 +135,51 @@ def keyword_ranking(queries: DataFrame, docs: DataFrame, k: int, cap: int = 3) -
     return score.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id"))).where(F.col("rank") <= k)
 
 
+#: Words of a question that tell nothing, and the points for an equal name, for the phrase, and for each word
+#: of the question up to a most.
+GENERIC = """a an analysis analyze annotation annotations best data dataset datasets do for how i in is method methods of package
+packages recommend recommended show suggest tool tools use using what which with workflow workflows""".split()
+NAME_POINTS, PHRASE_POINTS, WORD_POINTS, MOST_WORD_POINTS = 35, 18, 7, 21
+
+
+def catalogue_text(text: Column) -> Column:
+    """Lower case, with one space for each run of characters that names don't have."""
+    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), "[^a-z0-9.+_-]+", " "))
+
+
+def catalogue_search(queries: DataFrame, catalogue: DataFrame, k: int = 20) -> DataFrame:
+    """queries: query_id, text. catalogue: name, text (all that is searched, the name too). Each query's k best entries by
+    score, then name: query_id, name, score, n_words, rank. NAME_POINTS for an entry of that name, PHRASE_POINTS where the
+    whole query is part of the text, and WORD_POINTS for each of its words that is part of it, MOST_WORD_POINTS at most;
+    words of fewer than three letters and GENERIC ones don't count. Entries without points are left out.
+
+    An index of words to entries, and one of letter groups to different words, find the words that contain a query's
+    word; a phrase is looked for only in entries that have the phrase's longest word. Queries never meet all entries."""
+    q = queries.select("query_id", catalogue_text(F.col("text")).alias("q")).where("query_id is not null and q <> ''")
+    entries = stored(catalogue.where("name is not null").select("name", catalogue_text(F.col("name")).alias("key"), catalogue_text(F.col("text")).alias("t")))
+    postings = stored(entries.select("name", F.explode(F.array_distinct(F.split("t", " "))).alias("word")))
+    words = F.array_distinct(F.split("q", " "))
+    asked = q.select("query_id", F.explode(F.filter(words, lambda w: (F.length(w) >= 3) & ~w.isin(GENERIC))).alias("part"), F.lit(False).alias("phrase"))
+    longest = F.array_max(F.transform(words, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"]
+    asked = stored(asked.union(q.select("query_id", longest, F.lit(True))))
+    # Groups of as many letters as the part has, three at most.
+    needed = asked.select("part").distinct().select("part", F.substring("part", 1, 3).alias("g"))
+    lengths = F.array(*[F.lit(i) for i in (1, 2, 3)])
+    grams = F.flatten(F.transform(lengths, lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.length("word") - n + 1, F.lit(1))), lambda i: F.substring(F.col("word"), i, n))))
+    vocabulary = postings.select("word").distinct().select("word", F.explode(F.array_distinct(grams)).alias("g"))
+    within = vocabulary.join(needed, "g").where(F.contains("word", "part")).select("part", "word")
+    met = asked.join(within, "part").join(postings, "word").select("query_id", "name", "part", "phrase").distinct()
+    counted = met.where("not phrase").groupBy("query_id", "name").agg(F.count("*").alias("n_words"))
+    whole = met.where("phrase").select("query_id", "name").join(q, "query_id").join(entries.select("name", "t"), "name").where(F.contains("t", "q")).select("query_id", "name").distinct()
+    same = q.join(entries.select("name", F.col("key").alias("q")), "q").select("query_id", "name").distinct()
+    zero = F.lit(0).cast("bigint")
+    points = counted.select("query_id", "name", F.least(F.col("n_words") * WORD_POINTS, F.lit(MOST_WORD_POINTS)).cast("bigint").alias("score"), "n_words")
+    points = points.union(whole.select("query_id", "name", zero + PHRASE_POINTS, zero)).union(same.select("query_id", "name", zero + NAME_POINTS, zero))
+    score = points.groupBy("query_id", "name").agg(F.sum("score").alias("score"), F.sum("n_words").alias("n_words"))
+    order = W.partitionBy("query_id").orderBy(F.desc("score"), "name")
+    return score.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
 def chunks(docs: DataFrame, most: int = 1000) -> DataFrame:
     """doc_id, no, chunk: the text in pieces of at most `most` characters on line boundaries; a longer line is a piece of
     its own."""

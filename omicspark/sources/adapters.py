@@ -82,6 +82,10 @@ SELECT c_custkey AS id, CASE WHEN c_custkey >= 16 THEN c_custkey DIV 2 END AS fa
     "items": "SELECT item_id, text FROM {benchmark}",
     "papers": "SELECT doc_id, text, source, lang FROM {documents}",
     "vectors": "SELECT vec_id, embedding, label FROM {embeddings}",
+    "dated_vectors": "SELECT vec_id, embedding, label, year(o_orderdate) AS year FROM {embeddings} JOIN (SELECT o_custkey, min(o_orderdate) AS o_orderdate FROM {orders} GROUP BY o_custkey) AS o ON o_custkey = vec_id",
+    # Entries are brands and kinds of parts, questions their names.
+    "catalogue": "SELECT concat(p_brand, '.', p_name) AS name, concat(p_brand, ' ', p_name, ' ', max(p_type), ' ', max(CAST(p_size AS VARCHAR(9)))) AS text FROM {part} GROUP BY p_brand, p_name",
+    "questions": "SELECT DISTINCT concat('best ', p_type, ' ', p_name, ' tools') AS query_id, concat(p_name, ' ', p_type) AS text FROM {part} UNION SELECT DISTINCT p_brand, substr(p_brand, 2, 5) FROM {part} UNION SELECT DISTINCT concat(p_brand, '.', p_name), concat(p_brand, '.', p_name) FROM {part} WHERE p_size = 7",
 }
 
 

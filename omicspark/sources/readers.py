@@ -6,11 +6,19 @@ format has no sample column.
 
 from __future__ import annotations
 
+import os
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from omicspark.functions.tables import stored
+from omicspark.operators.gwas import ranked
+
 
 def _sample() -> Column:
     return F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+?)(\.[^/.]*)?$", 1)
@@ -151,19 +159,69 @@ def read_regenie(spark: SparkSession, path: str) -> DataFrame:
     return df.where("log10p > 0").withColumn("p", F.pow(F.lit(10.0), -F.col("log10p")))
 
 
-def read_eigenstrat(spark: SparkSession, ind: str, snp: str, geno: str) -> DataFrame:
-    """sample_id, population, variant_id, chrom, pos, dosage of a text triple; 9 is a missing call. The .geno file has a
-    line for each SNP and a digit for each individual; lines are numbered by the reader within the one file."""
-
-    def numbered(path: str) -> DataFrame:
-        # Line numbers of one file: its rows in order; small beside the genotypes.
-        df = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.rtrim("value"), "\r?\n")).alias("i", "line"))
-        return df.where("line <> ''")
-
-    people = numbered(ind).select(F.col("i").alias("k"), F.split(F.trim("line"), r"\s+").alias("f")).select("k", F.get("f", F.lit(0)).alias("sample_id"), F.get("f", F.lit(2)).alias("population"))
-    sites = numbered(snp).select("i", F.split(F.trim("line"), r"\s+").alias("f")).select("i", F.get("f", F.lit(0)).alias("variant_id"), F.get("f", F.lit(1)).alias("chrom"), _number(F.get("f", F.lit(3)), "bigint").alias("pos"))
-    calls = numbered(geno).select("i", F.posexplode(F.filter(F.split("line", ""), lambda x: x != "")).alias("k", "d"))
-    return calls.join(sites, "i").join(F.broadcast(people), "k").select("sample_id", "population", "variant_id", "chrom", "pos", F.when(F.col("d") != "9", F.col("d").cast("tinyint")).alias("dosage"))
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """i (from 0), line of a text file, read by splits: a split's lines are counted where they are read, and the counts of
+    the splits before it (a row each) are added."""
+    at = F.monotonically_increasing_id()
+    df = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), at.alias("at"))
+    blocks = df.groupBy("file", "start").agg(F.min("at").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(W.orderBy("file", "start").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("file", "start", "first", before.alias("before"))
+    return df.join(F.broadcast(blocks), ["file", "start"]).select((F.col("before") + F.col("at") - F.col("first")).alias("i"), F.col("value").alias("line"))
+
+
+#: Bytes of a packed genotype file that a task reads at once.
+PACKED_BYTES = 32 << 20
+
+
+def _packed_rows(spark: SparkSession, path: str, n_people: int, n_sites: int) -> DataFrame:
+    """i, k, d (0 to 2, or null) of a packed file: 4 bytes, then ceil(people / 4) bytes a site, two bits a person, the
+    lowest first; 3 is a missing call. The file is opened by the store that its path names (local, HDFS, S3 or GCS)."""
+    width = -(-n_people // 4)
+    step = max(1, PACKED_BYTES // max(1, width))
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        store, name = fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path.removeprefix("file:")))
+        for batch in batches:
+            with store.open_input_file(name) as f:
+                for block in batch.column(0).to_pylist():
+                    low = block * step
+                    n = min(step, n_sites - low)
+                    data = np.frombuffer(f.read_at(n * width, 4 + low * width), np.uint8)
+                    n = len(data) // width
+                    data = data[: n * width].reshape(n, width)
+                    for r in range(0, n, max(1, (1 << 20) // n_people)):
+                        part = data[r : r + max(1, (1 << 20) // n_people)]
+                        d = ((part[:, :, None] >> np.array([0, 2, 4, 6], np.uint8)) & 3).reshape(len(part), -1)[:, :n_people].astype(np.int8)
+                        i = np.repeat(np.arange(low + r, low + r + len(part)), n_people)
+                        k = np.tile(np.arange(n_people), len(part))
+                        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(k), pa.array(d.ravel(), mask=d.ravel() == 3)], names=["i", "k", "d"])
+
+    blocks = -(-n_sites // step) if n_people else 0
+    return spark.range(0, blocks, 1, max(1, blocks)).mapInArrow(read, "i bigint, k bigint, d tinyint")
+
+
+def read_eigenstrat(spark: SparkSession, ind: str, snp: str, geno: str, packed: bool = False) -> DataFrame:
+    """sample_id, population, variant_id, chrom, pos, dosage of a triple of files; a missing call is null. The .geno file has
+    a line for each site and a digit for each individual (9: missing), or is packed. It is read by splits, the other two are
+    small beside it. Blank lines and those that begin with # don't count in .ind and .snp; fewer than three fields leave
+    the population unknown, fewer than six leave the site out."""
+
+    def fields(path: str, least: int) -> DataFrame:
+        f = F.split(F.trim("line"), r"\s+")
+        rows = numbered_lines(spark, path).where("trim(line) <> '' and trim(line) not like '#%'").select("i", f.alias("f")).where(F.size("f") >= least)
+        return ranked(rows, [F.col("i")], "n", 8).select((F.col("n") - 1).alias("i"), "f")
+
+    people = stored(fields(ind, 2).select(F.col("i").alias("k"), F.get("f", F.lit(0)).alias("sample_id"), F.coalesce(F.get("f", F.lit(2)), F.lit("Unknown")).alias("population")))
+    sites = stored(fields(snp, 6).select("i", F.get("f", F.lit(0)).alias("variant_id"), F.get("f", F.lit(1)).alias("chrom"), _number(F.get("f", F.lit(3)), "bigint").alias("pos")))
+    if packed:
+        calls = _packed_rows(spark, geno, people.count(), sites.count())
+    else:
+        digits = numbered_lines(spark, geno).select("i", F.posexplode(F.filter(F.split(F.trim("line"), ""), lambda x: x != "")).alias("k", "c"))
+        calls = digits.select("i", "k", F.when(F.col("c").isin("0", "1", "2"), F.col("c").cast("tinyint")).alias("d"))
+    return calls.join(sites, "i").join(people, "k").select("sample_id", "population", "variant_id", "chrom", "pos", F.col("d").alias("dosage"))
 
 
 def read_matrix(spark: SparkSession, path: str, sep: str = ",", id_col: str | None = None, value: str = "value") -> DataFrame:
@@ -206,16 +264,16 @@ def read_10x_mtx(spark: SparkSession, folder: str) -> DataFrame:
     joined to the names by line number."""
 
     def names(stem: str, field: int) -> DataFrame:
-        df = spark.read.text(f"{folder}/{stem}.tsv*", wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("i", "line")).where("line <> ''")
+        df = numbered_lines(spark, f"{folder}/{stem}.tsv*").where("line <> ''")
         return df.select((F.col("i") + 1).alias("i"), F.get(F.split("line", "\t"), F.lit(field)).alias("name"))
 
-    f = F.split(F.trim("value"), r"\s+")
-    rows = spark.read.text(f"{folder}/matrix.mtx*").where("value not like '%\\%%'").select(*[_number(F.get(f, F.lit(i)), "bigint").alias(c) for i, c in enumerate(("g", "c", "count"))])
-    # The first line has the sizes: a row and column beyond any name, or a count of all entries.
     genes, cells = names("features", 1), names("barcodes", 0)
-    size = genes.agg(F.max("i").alias("ng")).join(cells.agg(F.max("i").alias("nc")), F.lit(True)).join(rows.agg((F.count("*") - 1).alias("nnz")), F.lit(True))
-    first = rows.join(F.broadcast(size), (F.col("g") == F.col("ng")) & (F.col("c") == F.col("nc")) & (F.col("count") == F.col("nnz"))).select("g", "c", "count").limit(1)
-    return rows.exceptAll(first).join(genes.withColumnRenamed("name", "gene"), F.col("g") == F.col("i")).drop("i").join(cells.withColumnRenamed("name", "cell"), F.col("c") == F.col("i")).select("cell", "gene", "count")
+    f = F.split(F.trim("line"), r"\s+")
+    lines = numbered_lines(spark, f"{folder}/matrix.mtx*").where("line not like '%\\%%' and trim(line) <> ''")
+    sizes = lines.agg(F.min("i").alias("first"))  # one row
+    rows = lines.join(F.broadcast(sizes)).select((F.col("i") - F.col("first")).alias("i"), *[_number(F.get(f, F.lit(i)), "bigint").alias(c) for i, c in enumerate(("g", "c", "count"))])
+    # The first line that is no comment has the sizes.
+    return rows.where("i > 0").drop("i").join(genes.withColumnRenamed("name", "gene"), F.col("g") == F.col("i")).drop("i").join(cells.withColumnRenamed("name", "cell"), F.col("c") == F.col("i")).select("cell", "gene", "count")
 
 
 def read_bracken(spark: SparkSession, path: str) -> DataFrame:
