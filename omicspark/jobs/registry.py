@@ -4,7 +4,7 @@ import importlib
 
 from omicspark.jobs.query import ORACLES, QUERIES
 
-for _name in ("popgen", "relatedness", "genetics", "interpretation", "omics", "cohorts", "numeric", "scalar"):
+for _name in ("popgen", "relatedness", "genetics", "interpretation", "omics", "cohorts", "numeric", "reports", "scalar"):
     importlib.import_module(f"omicspark.jobs.{_name}")
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -79,6 +79,32 @@ FROM {lineitem} GROUP BY l_orderkey""",
 SELECT c_custkey AS id, CASE WHEN c_custkey >= 16 THEN c_custkey DIV 2 END AS father, CASE WHEN c_custkey >= 16 THEN c_custkey DIV 3 END AS mother,
   c_custkey % 2 AS sex, c_acctbal AS trait FROM {customer}""",
     "breeders": "SELECT s_suppkey AS id, s_suppkey % 2 AS sex FROM {supplier}",
+    # Shapes of result tables: every column comes from a column of the given tables.
+    "pgx_calls": """
+SELECT c_custkey AS sample_id, 'CYP2C9' AS gene, CASE c_mktsegment WHEN 'FURNITURE' THEN '*1/*1' WHEN 'MACHINERY' THEN '*1/*2' WHEN 'BUILDING' THEN '*3/*3' ELSE '*1/*9' END AS diplotype,
+  CASE c_mktsegment WHEN 'FURNITURE' THEN 'Normal Metabolizer' WHEN 'MACHINERY' THEN 'Intermediate Metabolizer' WHEN 'BUILDING' THEN 'Poor Metabolizer' ELSE 'Unknown' END AS phenotype FROM {customer} WHERE c_mktsegment <> 'HOUSEHOLD'
+UNION ALL
+SELECT o_custkey, 'VKORC1', max(o_orderstatus), CASE max(o_orderpriority) WHEN '5-LOW' THEN 'Normal Sensitivity' WHEN '4-NOT SPECIFIED' THEN 'High Sensitivity' WHEN '3-MEDIUM' THEN 'Indeterminate' ELSE 'Moderate Sensitivity' END FROM {orders} WHERE o_orderstatus = 'F' GROUP BY o_custkey""",
+    "guide": "SELECT DISTINCT c_mktsegment AS drug, 'CYP2C9' AS gene, CASE WHEN o_orderpriority = '1-URGENT' THEN 'Poor Metabolizer' ELSE 'Normal Metabolizer' END AS phenotype, CASE WHEN o_orderpriority = '1-URGENT' THEN 'avoid' ELSE 'standard' END AS action FROM {customer} JOIN {orders} ON o_custkey = c_custkey WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')",
+    "drug_actions": "SELECT o_custkey AS sample_id, l_returnflag AS gene, concat('d', CAST(l_suppkey AS VARCHAR(9))) AS drug, CASE o_orderpriority WHEN '1-URGENT' THEN 'avoid' WHEN '2-HIGH' THEN 'caution' ELSE 'standard' END AS action FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey",
+    "trait_scores": "SELECT o_custkey AS sample_id, p_type AS trait, CASE WHEN max(l_discount) > 0.01 THEN round(avg(l_quantity) * 2, 3) END AS percentile, max(CASE WHEN l_quantity > 40 THEN 'High' ELSE 'Average' END) AS risk FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey JOIN {part} ON p_partkey = l_partkey GROUP BY o_custkey, p_type",
+    "nutrients": "SELECT DISTINCT o_custkey AS sample_id, n_name AS domain, CASE WHEN s_acctbal > 7000 THEN 'Elevated' WHEN s_acctbal > 3000 THEN 'Moderate' ELSE 'Low' END AS category FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey JOIN {supplier} ON s_suppkey = l_suppkey JOIN {nation} ON n_nationkey = s_nationkey",
+    "ancestry": "SELECT c_custkey AS sample_id, r_name AS population, round(sum(l_extendedprice), 2) AS share FROM {customer} JOIN {orders} ON o_custkey = c_custkey JOIN {lineitem} ON l_orderkey = o_orderkey JOIN {supplier} ON s_suppkey = l_suppkey JOIN {nation} ON n_nationkey = s_nationkey JOIN {region} ON r_regionkey = n_regionkey GROUP BY c_custkey, r_name",
+    "targets": "SELECT p_name AS gene, max(p_brand) AS summary FROM {part} GROUP BY p_name",
+    "associations": "SELECT p_name AS gene, c_mktsegment AS disease, l_discount AS score FROM {lineitem} JOIN {part} ON p_partkey = l_partkey JOIN {orders} ON o_orderkey = l_orderkey JOIN {customer} ON c_custkey = o_custkey WHERE l_returnflag = 'A'",
+    "gene_papers": "SELECT p_name AS gene, c_mktsegment AS disease, l_orderkey * 10 + l_linenumber AS paper_id, year(l_shipdate) AS year FROM {lineitem} JOIN {part} ON p_partkey = l_partkey JOIN {orders} ON o_orderkey = l_orderkey JOIN {customer} ON c_custkey = o_custkey WHERE l_returnflag = 'N'",
+    "gene_trials": "SELECT p_name AS gene, c_mktsegment AS disease, l_orderkey * 10 + l_linenumber AS trial_id, CASE o_orderstatus WHEN 'O' THEN 'Recruiting' WHEN 'P' THEN 'COMPLETED' ELSE 'WITHDRAWN' END AS status, p_type AS phase, l_linestatus AS register FROM {lineitem} JOIN {part} ON p_partkey = l_partkey JOIN {orders} ON o_orderkey = l_orderkey JOIN {customer} ON c_custkey = o_custkey WHERE l_returnflag = 'R'",
+    "citations": "SELECT l_partkey AS doc_id, l_suppkey AS cited FROM {lineitem}",
+    "people": "SELECT c_custkey AS id, c_nationkey AS generation, CASE WHEN c_mktsegment IN ('BUILDING', 'MACHINERY') THEN 'Male' ELSE 'Female' END AS sex, CASE WHEN c_acctbal > 0 THEN c_acctbal / 10000 END AS health FROM {customer}",
+    "person_traits": "SELECT o_custkey AS id, o_orderpriority AS trait, round(avg(o_totalprice) / 500000, 6) AS score FROM {orders} GROUP BY o_custkey, o_orderpriority",
+    "person_calls": "SELECT o_custkey AS id, l_suppkey AS locus, CAST(count(*) % 3 AS INT) AS dosage FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey GROUP BY o_custkey, l_suppkey",
+    "mutations": "SELECT o_custkey AS id, CASE l_returnflag WHEN 'A' THEN 'disease_risk' WHEN 'R' THEN 'protective' ELSE 'neutral' END AS kind FROM {orders} JOIN {lineitem} ON l_orderkey = o_orderkey WHERE l_discount > 0.05",
+    "conditions": "SELECT user_id AS id, event_type AS condition FROM {events}",
+    "registry": "SELECT n_name AS trait, s_suppkey AS locus, r_name AS dominance0, CASE r_regionkey WHEN 0 THEN 'additive' WHEN 1 THEN 'dominant' WHEN 2 THEN 'recessive' ELSE 'other' END AS dominance, s_acctbal AS effect FROM {supplier} JOIN {nation} ON n_nationkey = s_nationkey JOIN {region} ON r_regionkey = n_regionkey WHERE s_acctbal > 0",
+    "finemapped": "SELECT o_orderpriority AS method, p_type AS locus, p_partkey AS variant, round(max(l_discount), 6) AS pip, max(l_tax) > 0.06 AS in_set FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey JOIN {part} ON p_partkey = l_partkey GROUP BY o_orderpriority, p_type, p_partkey",
+    "causal": "SELECT p_type AS locus, p_partkey AS variant, p_name AS gene FROM {part} WHERE p_size = 13",
+    "sheet": "SELECT DISTINCT o_custkey AS id, o_orderpriority AS project, o_orderstatus AS kind FROM {orders} WHERE o_totalprice > 250000",
+    "measured": "SELECT p_name AS feature, o_custkey AS subject, o_custkey AS sample_id, o_orderstatus AS time, l_extendedprice AS value, l_quantity - 10 AS rfu, l_quantity AS npx, p_size AS lod, CASE WHEN l_tax = 0.08 AND l_discount > 0.09 THEN 'Warn' ELSE 'Pass' END AS qc_warning, CASE WHEN l_linestatus = 'F' THEN 'PASS' ELSE 'FLAG' END AS row_check, CASE WHEN l_returnflag = 'A' THEN 'Sample' ELSE 'QC' END AS sample_type, CASE WHEN p_type = 'PROMO' THEN 'FLAG' ELSE 'pass' END AS col_check FROM {lineitem} JOIN {orders} ON o_orderkey = l_orderkey JOIN {part} ON p_partkey = l_partkey",
     "items": "SELECT item_id, text FROM {benchmark}",
     "papers": "SELECT doc_id, text, source, lang FROM {documents}",
     "vectors": "SELECT vec_id, embedding, label FROM {embeddings}",
