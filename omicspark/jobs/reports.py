@@ -3,7 +3,11 @@
 from pyspark.sql import functions as F
 
 from omicspark.jobs.query import query
+from omicspark.operators import annotate as A
+from omicspark.operators import cohort as C
 from omicspark.operators import expression as X
+from omicspark.operators import gwas as G
+from omicspark.operators import popgen as P
 from omicspark.operators import reports as R
 
 
@@ -118,3 +122,34 @@ query(
 )
 query("set3_truth_parts", "finemapped causal", lambda f, c: f.where("in_set").select("variant").intersect(c.select("variant")).withColumn("part", F.lit("found")).union(c.select("variant").subtract(f.where("in_set").select("variant")).withColumn("part", F.lit("missed"))).union(f.where("in_set").select("variant").subtract(c.select("variant")).withColumn("part", F.lit("unknown"))), "WITH f AS (SELECT DISTINCT variant FROM finemapped WHERE in_set), c AS (SELECT DISTINCT variant FROM causal) SELECT coalesce(f.variant, c.variant) AS variant, CASE WHEN c.variant IS NULL THEN 'unknown' WHEN f.variant IS NULL THEN 'missed' ELSE 'found' END AS part FROM f FULL JOIN c ON f.variant = c.variant")
 query("fn16_composition", "papers", lambda p: R.composition(p.select(F.col("doc_id").alias("id"), F.col("text").alias("seq")), "ACDEFGHIKLMNPQRSTVWY"), "SELECT doc_id AS id, letter, (length(s) - length(replace(s, letter, '')))::BIGINT AS n, round(100 * (length(s) - length(replace(s, letter, ''))) / nullif(length(s), 0), 6) AS pct FROM (SELECT doc_id, translate(coalesce(text, ''), 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS s FROM papers), (SELECT unnest(string_split('ACDEFGHIKLMNPQRSTVWY', '')) AS letter)")
+query("agg6_counts_only", "ancestry people", lambda a, p: P.equity_score_of_counts(p.select(F.col("id").alias("sample_id"), F.expr("case when generation < 5 then 'AFR' when generation < 12 then 'eur' when generation < 18 then 'EAS' else 'XX' end").alias("population"))))
+query(
+    "agg14_leading_traits", "associations", lambda a: G.leading_traits(a.select(F.concat_ws(" ", "gene", F.when(F.col("disease") == "BUILDING", "Level")).alias("trait"), (F.col("score") / 1e7).alias("p")), 12, 3e-9).withColumn("best_p", F.round(F.col("best_p") * 1e9, 6)),
+    "WITH t AS (SELECT lower(gene || CASE WHEN disease = 'BUILDING' THEN ' Level' ELSE '' END) AS trait, score / 1e7 AS p FROM associations) SELECT trait, round(min(p) * 1e9, 6) AS best_p, count(*) AS n, contains(trait, 'level') AS measurement FROM t WHERE p < 3e-9 GROUP BY trait ORDER BY measurement, min(p), trait LIMIT 12",
+)
+_NUTRIENTS = "SELECT variant_id, gene, concat('n', CAST(length(consequence) % 4 AS VARCHAR(2))) AS domain, alt AS risk_allele, ref AS ref_allele, 1.0 AS weight FROM annotations JOIN variants USING (variant_id)"
+query(
+    "agg33_gene_nutrient", "genotypes annotations variants", lambda g, a, v: _r(A.gene_nutrient_matrix(g.select("sample_id", "variant_id", "genotype"), a.join(v.select("variant_id", "ref", "alt"), "variant_id").select("variant_id", "gene", F.concat(F.lit("n"), (F.length("consequence") % 4).cast("string")).alias("domain"), F.col("alt").alias("risk_allele"), F.col("ref").alias("ref_allele"), F.lit(1.0).alias("weight")), ["n0", "n1", "n2", "n3"]), "n0", "n1", "n2", "n3"),
+    f"WITH p AS ({_NUTRIENTS}), r AS (SELECT gene, domain, (length(genotype) - length(replace(genotype, risk_allele, ''))) / 2 AS raw FROM genotypes JOIN p USING (variant_id) WHERE genotype IS NOT NULL) SELECT gene, {', '.join(f'round(coalesce(avg(raw) FILTER (domain = {chr(39)}n{i}{chr(39)}), 0), 6) AS n{i}' for i in range(4))} FROM r GROUP BY gene",
+)
+_FIT = """x AS (SELECT generation, id AS agent, list(DISTINCT trait) FILTER (score > 0.4) AS s, list(DISTINCT trait) FILTER (score > 0.25 AND score < 0.6) AS r, coalesce(max(health), 0) AS quality FROM people JOIN person_traits USING (id) GROUP BY generation, id),
+y AS (SELECT generation, agent, list_sort(coalesce(s, [])) AS s, coalesce(r, []) AS r, quality FROM x), n AS (SELECT *, count(*) OVER (PARTITION BY generation) AS n, count(*) OVER (PARTITION BY generation, s) AS same FROM y),
+f AS (SELECT generation, agent, CASE WHEN len(r) = 0 THEN 0.5 ELSE len(list_intersect(s, r)) / len(r) END AS utilization, quality, round(CASE WHEN n <= 1 THEN 0.5 ELSE 1 - (same - 1) / (n - 1) END, 6) AS novelty, (CASE len(s) WHEN 0 THEN 0 WHEN 1 THEN 0.2 WHEN 2 THEN 0.6 WHEN 3 THEN 0.8 ELSE 1 END)::DOUBLE AS chaining FROM n),
+c AS (SELECT generation, agent, round(utilization, 4) AS utilization, round(quality, 4) AS quality, round(novelty, 4) AS novelty, chaining, round(0.3 * utilization + 0.3 * quality + 0.2 * novelty + 0.2 * chaining, 4) AS composite FROM f)"""
+
+
+def _rounds(p, t):
+    used, suits = (F.when(c, F.col("trait")) for c in (F.col("score") > 0.4, (F.col("score") > 0.25) & (F.col("score") < 0.6)))
+    return p.join(t, "id").groupBy("generation", F.col("id").alias("agent")).agg(F.collect_set(used).alias("skills"), F.collect_set(suits).alias("relevant"), F.max("health").alias("quality"))
+
+
+query("agg41_composite", "people person_traits", lambda p, t: C.composite_fitness(_rounds(p, t)), f"WITH {_FIT} SELECT * FROM c")
+query("agg41_generations", "people person_traits", lambda p, t: _r(C.generation_fitness(C.composite_fitness(_rounds(p, t))), "mean", "sd", *[f"mean_{x}" for x in C.FITNESS_WEIGHTS], digits=11), f"WITH {_FIT} SELECT generation, count(*) AS population, round(avg(composite), 11) AS mean, round(stddev_pop(composite), 11) AS sd, min(composite) AS least, max(composite) AS most, round(avg(utilization), 11) AS mean_utilization, round(avg(quality), 11) AS mean_quality, round(avg(novelty), 11) AS mean_novelty, round(avg(chaining), 11) AS mean_chaining FROM c GROUP BY generation")
+_SEQS = lambda p: p.select(F.col("doc_id").alias("id"), F.col("text").alias("seq"))
+_ACGT = "x AS (SELECT doc_id AS id, translate(coalesce(text, ''), 'acgt', 'ACGT') AS s FROM papers), y AS (SELECT id, length(s) AS length, " + ", ".join(f"length(s) - length(replace(s, '{b}', '')) AS n_{b.lower()}" for b in "ACGT") + " FROM x), z AS (SELECT *, " + ", ".join(f"round(100 * n_{b} / greatest(length, 1), 2) AS pct_{b}" for b in "acgt") + ", round(100 * (n_g + n_c) / greatest(length, 1), 2) AS gc, round(100 * (n_a + n_t) / greatest(length, 1), 2) AS at FROM y)"
+query("agg42_nucleotides", "papers", lambda p: R.nucleotide_stats(_SEQS(p)), f"WITH {_ACGT} SELECT * FROM z")
+query("agg42_lengths", "papers", lambda p: R.length_summary(R.nucleotide_stats(_SEQS(p))), f"WITH {_ACGT} SELECT count(*) AS n, sum(length)::BIGINT AS total, min(length) AS least, max(length) AS most, round(avg(length), 1) AS mean, round(avg(gc), 2) AS mean_gc FROM z")
+query(
+    "agg42_top_pairs", "papers", lambda p: R.top_pairs(_SEQS(p)),
+    "WITH x AS (SELECT doc_id AS id, translate(text, 'abcdefghijklmnopqrstuvwxyz', 'ABCDEFGHIJKLMNOPQRSTUVWXYZ') AS s FROM papers WHERE length(text) > 1), p AS (SELECT id, unnest(list_transform(range(1, length(s)), lambda i: [substr(s, i, 2), i::VARCHAR])) AS q FROM x), n AS (SELECT id, q[1] AS pair, count(*) AS n, min(q[2]::BIGINT) AS first FROM p GROUP BY ALL) SELECT id, pair, n, row_number() OVER (PARTITION BY id ORDER BY n DESC, first) AS rank FROM n QUALIFY rank <= 5",
+)

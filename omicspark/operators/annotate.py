@@ -161,6 +161,16 @@ def nutrient_scores(genotypes: DataFrame, panel: DataFrame) -> DataFrame:
     return out.select("sample_id", "domain", "score", category.alias("category"), "n_tested", (F.col("n_panel") - F.col("n_tested")).alias("n_missing"))
 
 
+def gene_nutrient_matrix(genotypes: DataFrame, panel: DataFrame, domains: list[str]) -> DataFrame:
+    """panel as in nutrient_scores(), with gene. One row a gene: the mean raw risk (0, 0.5 or 1 for none, one or two risk
+    alleles) over samples and variants for each of the domains, 0 where nothing was tested."""
+    g = F.col("genotype")
+    risk, ref = (F.length(g) - F.length(F.replace(g, F.col(c), F.lit(""))) for c in ("risk_allele", "ref_allele"))
+    raw = genotypes.where(g.isNotNull()).join(panel, "variant_id").where(risk + ref == 2).select("gene", "domain", (risk / 2).alias("raw"))
+    mean = lambda d: F.coalesce(F.avg(F.when(F.col("domain") == d, F.col("raw"))), F.lit(0.0)).alias(d)
+    return raw.groupBy("gene").agg(*[mean(d) for d in domains])
+
+
 def panel_status(samples: DataFrame, genotypes: DataFrame, panel: DataFrame) -> DataFrame:
     """Each sample's status at each panel variant: not_tested, no_call, allele_mismatch or found. The panel is a constant
     list, so every sample gets one row for each of its variants."""

@@ -173,3 +173,25 @@ def fitness(rounds: DataFrame) -> DataFrame:
     k = F.size(F.array_distinct("skills"))
     chaining = F.when(k == 0, 0.0).when(k == 1, 0.2).when(k == 2, 0.6).when(k == 3, 0.8).otherwise(1.0)
     return df.select("generation", "agent", F.round(novelty, 6).alias("novelty"), chaining.alias("chaining"))
+
+
+#: The parts of an agent's fitness.
+FITNESS_WEIGHTS = {"utilization": 0.30, "quality": 0.30, "novelty": 0.20, "chaining": 0.20}
+
+
+def composite_fitness(rounds: DataFrame) -> DataFrame:
+    """rounds: generation, agent, skills (array, used), relevant (array, of the available ones that suit the task), quality (0
+    to 1; null as 0). fitness() with utilization (the used share of the relevant skills; 0.5 without any) and the weighted
+    composite."""
+    own = rounds.select("generation", "agent", F.array_distinct(F.coalesce("skills", F.array().cast("array<string>"))).alias("s"), F.array_distinct(F.coalesce("relevant", F.array().cast("array<string>"))).alias("r"), F.coalesce("quality", F.lit(0.0)).alias("quality"))
+    used = F.when(F.size("r") == 0, 0.5).otherwise(F.size(F.array_intersect("s", "r")) / F.size("r"))
+    df = fitness(own.select("generation", "agent", F.col("s").alias("skills"))).join(own.select("generation", "agent", used.alias("utilization"), "quality"), ["generation", "agent"])
+    total = sum(w * F.col(c) for c, w in FITNESS_WEIGHTS.items())
+    return df.select("generation", "agent", *[F.round(c, 4).alias(c) for c in FITNESS_WEIGHTS], F.round(total, 4).alias("composite"))
+
+
+def generation_fitness(scores: DataFrame) -> DataFrame:
+    """Per generation of composite_fitness(): population, mean, deviation (of the population), least and most of the
+    composite, and the means of its parts."""
+    c = F.col("composite")
+    return scores.groupBy("generation").agg(F.count("*").alias("population"), F.avg(c).alias("mean"), F.stddev_pop(c).alias("sd"), F.min(c).alias("least"), F.max(c).alias("most"), *[F.avg(x).alias(f"mean_{x}") for x in FITNESS_WEIGHTS])

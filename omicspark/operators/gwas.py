@@ -66,6 +66,23 @@ def best_p_per_trait(df: DataFrame, below: float = SIGNIFICANT) -> DataFrame:
     return df.where(F.col("p") < below).groupBy(F.lower("trait").alias("trait")).agg(F.min("p").alias("best_p"), F.count("*").alias("n"))
 
 
+#: Words that make a trait a measurement.
+MEASUREMENTS = ["measurement", "level", "amount", "ratio", "concentration"]
+
+
+def leading_traits(df: DataFrame, most: int, below: float = SIGNIFICANT, group: list[str] | None = None) -> DataFrame:
+    """best_p_per_trait() of each group (or of all), the first `most` traits: diseases before measurements, then by p, then
+    by name. Traits without a name are left out."""
+    by = group or []
+    named = df.withColumn("trait", F.lower(F.trim("trait"))).where((F.col("trait") != "") & (F.col("p") < below))
+    best = named.groupBy(*by, "trait").agg(F.min("p").alias("best_p"), F.count("*").alias("n"))
+    best = best.withColumn("measurement", F.greatest(*[F.contains("trait", F.lit(w)) for w in MEASUREMENTS]))
+    keys = [F.col("measurement"), F.col("best_p"), F.col("trait")]
+    if not by:
+        return best.orderBy(*keys).limit(most)
+    return best.withColumn("rank", F.row_number().over(W.partitionBy(*by).orderBy(*keys))).where(F.col("rank") <= most)
+
+
 def chromosome_rank(chrom: Column) -> Column:
     """1..22, then X, Y, then all others (99); chromosomes can be numbers or text."""
     c = chrom.cast("string")

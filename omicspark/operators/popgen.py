@@ -66,18 +66,21 @@ def representation(sizes: DataFrame) -> DataFrame:
     return sizes.agg(F.when(unknown <= 0.5, F.greatest(F.lit(0.0), 1 - off)).alias("representation_index"), unknown.alias("unknown_fraction"), total.alias("n_samples"), F.count("*").alias("n_populations"), (F.count_if(F.upper("population").isin(list(GLOBAL_SHARES))) / 7).alias("geographic_spread"))
 
 
-def equity_score(dosages: DataFrame, weights: tuple[float, ...] = SCORE_WEIGHTS) -> DataFrame:
-    """One row: the composite score from 0 to 100, its parts and rating. Weights are scaled to a sum of 1; negative or
-    all-zero ones are errors."""
+#: Heterozygosity by population where there are no genotypes, and for any other population.
+LITERATURE_HET = {"AFR": 0.35, "AMR": 0.28, "EAS": 0.25, "EUR": 0.27, "SAS": 0.26, "OCE": 0.30, "MID": 0.28, "UNKNOWN": 0.25}
+OTHER_HET = 0.25
+
+
+def _composite(sizes: DataFrame, het: DataFrame, fst: DataFrame, weights: tuple[float, ...]) -> DataFrame:
+    """The equity score of population sizes, a row with h (mean heterozygosity) and one with n_fst."""
     if min(weights) < 0:
         raise ValueError(f"weights must not be negative: {weights}")
     if not sum(weights):
         raise ValueError("weights must not all be zero")
     w = [x / sum(weights) for x in weights]
-    parts = representation(population_sizes(dosages))
-    het = heterozygosity(dosages).agg(F.avg("observed_het").alias("h")).first()["h"]
-    n_fst = pairwise_fst(dosages).where("fst is not null").count()
-    df = parts.withColumns({"heterozygosity_balance": F.lit(min(1.0, (het or 0.0) / 0.5)), "n_fst": F.lit(n_fst)})
+    # Three one-row results.
+    df = representation(sizes).join(F.broadcast(het)).join(F.broadcast(fst))
+    df = df.withColumn("heterozygosity_balance", F.least(F.lit(1.0), F.coalesce("h", F.lit(0.0)) / 0.5))
     possible = F.col("n_populations") * (F.col("n_populations") - 1) / 2
     df = df.withColumn("fst_coverage", F.coalesce(F.least(F.lit(1.0), F.try_divide(F.col("n_fst"), possible)), F.lit(0.0)))
     score = 100 * (w[0] * F.coalesce("representation_index", F.lit(0.0)) + w[1] * F.col("heterozygosity_balance") + w[2] * F.col("fst_coverage") + w[3] * F.col("geographic_spread"))
@@ -88,6 +91,22 @@ def equity_score(dosages: DataFrame, weights: tuple[float, ...] = SCORE_WEIGHTS)
     return df.select("score", rating.alias("rating"), *[F.round(c, 3).alias(c) for c in ("representation_index", "heterozygosity_balance", "fst_coverage", "geographic_spread", "unknown_fraction")], "n_samples", "n_populations")
 
 
+def equity_score(dosages: DataFrame, weights: tuple[float, ...] = SCORE_WEIGHTS) -> DataFrame:
+    """One row: the composite score from 0 to 100, its parts and rating. Weights are scaled to a sum of 1; negative or
+    all-zero ones are errors."""
+    het = heterozygosity(dosages).agg(F.avg("observed_het").alias("h"))
+    fst = pairwise_fst(dosages).agg(F.count("fst").alias("n_fst"))
+    return _composite(population_sizes(dosages), het, fst, weights)
+
+
+def equity_score_of_counts(samples: DataFrame, weights: tuple[float, ...] = SCORE_WEIGHTS) -> DataFrame:
+    """equity_score() of samples (sample_id, population) without genotypes: heterozygosity is that of the literature (the mean
+    over the populations there are), and no pair of populations is compared."""
+    sizes = population_sizes(samples)
+    known = F.coalesce(*[F.when(F.upper("population") == p, h) for p, h in LITERATURE_HET.items()], F.lit(OTHER_HET))
+    return _composite(sizes, sizes.agg(F.avg(known).alias("h")), sizes.agg(F.lit(0).alias("n_fst")), weights)
+
+
 def qc_stats(calls: DataFrame) -> DataFrame:
     """calls: sample_id, ref, alt, genotype (bases). Per sample: SNPs, indels, transitions, transversions, het, hom-alt,
     and their ratios."""

@@ -366,3 +366,29 @@ def composition(seqs: DataFrame, letters: str) -> DataFrame:
     s = F.translate(F.coalesce("seq", F.lit("")), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
     each = F.array(*[F.struct(F.lit(x).alias("letter"), (F.length(s) - F.length(F.replace(s, F.lit(x), F.lit("")))).cast("bigint").alias("n")) for x in letters])
     return seqs.select("id", F.length(s).alias("_n"), F.explode(each).alias("x")).select("id", "x.letter", "x.n", F.round(100 * F.try_divide(F.col("x.n"), F.col("_n")), 6).alias("pct"))
+
+
+def nucleotide_stats(seqs: DataFrame) -> DataFrame:
+    """seqs: id, seq. Per sequence its length, counts and percentages of A, C, G and T, gc and at content."""
+    s = F.translate(F.coalesce("seq", F.lit("")), "acgt", "ACGT")
+    n = {x: (F.length(s) - F.length(F.replace(s, F.lit(x), F.lit("")))).cast("bigint") for x in "ACGT"}
+    length = F.greatest(F.length(s), F.lit(1))
+    pct = lambda c: F.round(100 * c / length, 2)
+    return seqs.select("id", F.length(s).cast("bigint").alias("length"), *[c.alias(f"n_{x.lower()}") for x, c in n.items()], *[pct(c).alias(f"pct_{x.lower()}") for x, c in n.items()], pct(n["G"] + n["C"]).alias("gc"), pct(n["A"] + n["T"]).alias("at"))
+
+
+def length_summary(stats: DataFrame) -> DataFrame:
+    """One row of nucleotide_stats(): n, total, least, most and mean length, mean gc."""
+    return stats.agg(F.count("*").alias("n"), F.sum("length").alias("total"), F.min("length").alias("least"), F.max("length").alias("most"), F.round(F.avg("length"), 1).alias("mean"), F.round(F.avg("gc"), 2).alias("mean_gc"))
+
+
+def top_pairs(seqs: DataFrame, most: int = 5, piece: int = 10_000) -> DataFrame:
+    """seqs: id, seq. Each sequence's `most` frequent pairs of neighbouring letters (a-z as A-Z; overlaps count): id, pair, n,
+    rank; equally frequent ones in order of their first place. Long sequences are cut into pieces that overlap in a
+    letter, which are counted before a sequence's counts meet."""
+    s = F.translate("seq", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    cut = seqs.where(F.length("seq") > 1).select("id", s.alias("s"), F.explode(F.expr(f"sequence(1, length(seq) - 1, {piece})")).alias("at"))
+    part = cut.select("id", "at", F.substring("s", F.col("at"), F.lit(piece + 1)).alias("p"))
+    pairs = part.select("id", "p", "at", F.explode(F.expr("sequence(1, length(p) - 1)")).alias("i")).select("id", F.substring("p", F.col("i"), F.lit(2)).alias("pair"), (F.col("at") + F.col("i")).alias("place"))
+    n = pairs.groupBy("id", "pair").agg(F.count("*").alias("n"), F.min("place").alias("first"))
+    return n.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("n"), "first"))).where(F.col("rank") <= most).drop("first")

@@ -310,6 +310,24 @@ def read_evidence_json(spark: SparkSession, path: str) -> DataFrame:
     return df.select(F.col("gene.symbol").alias("gene"), F.concat_ws(", ", "relatedChemicals.name").alias("drugs"), F.col("levelOfEvidence.term").alias("level"), F.col("objCls").alias("kind"))
 
 
+#: What an evidence file's rows have beyond gene and drug: column, JSON field and its default.
+EVIDENCE = {
+    "annotation": {"id": "coalesce(accessionId, id, '')", "evidence_level": "coalesce(levelOfEvidence.term, '')", "phenotype_category": "coalesce(phenotypeCategory, '')"},
+    "guideline": {"id": "coalesce(id, '')", "name": "coalesce(name, '')", "source": "coalesce(source, '')", "dosing_info": "coalesce(dosingInformation, false)"},
+    "label": {"id": "coalesce(id, '')", "name": "coalesce(name, '')", "source": "coalesce(source, '')", "testing_level": "coalesce(testingLevel, '')"},
+}
+
+
+def read_evidence_rows(spark: SparkSession, path: str, kind: str) -> DataFrame:
+    """Rows of clinical annotations, guidelines or drug labels, one JSON object a line: gene and drug (names joined by a comma
+    and a space), and the columns of EVIDENCE[kind]; what an object doesn't have is empty, or false."""
+    named = "array<struct<{}: string>>"
+    schema = f"id string, accessionId string, name string, source string, dosingInformation boolean, testingLevel string, phenotypeCategory string, levelOfEvidence struct<term: string>, relatedChemicals {named.format('name')}, relatedGenes {named.format('symbol')}"
+    df = spark.read.schema(schema).json(path)
+    joined = lambda c, f: F.concat_ws(", ", F.transform(F.coalesce(c, F.expr(f"array() :: {named.format(f)}")), lambda x: F.coalesce(x[f], F.lit(""))))
+    return df.select(joined("relatedGenes", "symbol").alias("gene"), joined("relatedChemicals", "name").alias("drug"), *[F.expr(e).alias(c) for c, e in EVIDENCE[kind].items()])
+
+
 def read_multiqc_general_stats(spark: SparkSession, path: str) -> DataFrame:
     """sample_id, metric, value of the general statistics, a list of maps sample -> metric -> value; a later tool's value
     takes the place of an earlier one's."""

@@ -15,10 +15,23 @@ def write_tables(tables: dict[str, DataFrame], folder: str, fmt: str = "csv", pa
 
 
 def write_lead_variants(stats: DataFrame, path: str) -> None:
-    """Tab-separated variants with p in scientific notation, by range of log10p."""
+    """Tab-separated variants with p in scientific notation, in no order."""
     stats.select("variant_id", "chrom", "pos", F.format_string("%.4e", "p").alias("p"), F.format_string("%.6f", "beta").alias("beta")).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
 
 
+#: Columns of the summary-statistics and lead-variant tables: name, source column, format.
+SUMMARY = [("CHROM", "chrom", None), ("POS", "pos", None), ("ID", "variant_id", None), ("A0", "allele0", None), ("A1", "allele1", None), ("A1FREQ", "a1freq", "%.6f"), ("N", "n", None), ("BETA", "beta", "%.6f"), ("SE", "se", "%.6f"), ("CHISQ", "chisq", "%.6f"), ("LOG10P", "log10p", "%.6f"), ("P", "p", "%.2e")]
+LEADS = [x for x in SUMMARY if x[0] in ("CHROM", "POS", "ID", "A0", "A1", "BETA", "SE")] + [("P", "p", "%.2e"), ("LOG10P", "log10p", "%.4f")]
+
+
+def write_gwas(stats: DataFrame, path: str, columns: list[tuple] = SUMMARY) -> None:
+    """Tab-separated association results with the columns of SUMMARY, or of LEADS, by falling log10p: each file is a range
+    of it, in the order of the files' names."""
+    text = [(F.col(c) if f is None else F.when(F.col(c).isNotNull(), F.format_string(f, F.col(c).cast("double")))).alias(name) for name, c, f in columns]
+    ordered = stats.orderBy(F.desc_nulls_last("log10p"), "chrom", "pos", "variant_id")
+    ordered.select(*text).write.mode("overwrite").option("sep", "\t").option("header", True).csv(path)
+
+
 def write_bed(segments: DataFrame, path: str) -> None:
     """BED lines of segments: chrom, start, end, name, score."""
     segments.select(F.concat_ws("\t", "chrom", "start", "end", "name", F.round("score", 3)).alias("value")).write.mode("overwrite").text(path)

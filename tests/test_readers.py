@@ -122,3 +122,24 @@ def test_sinks(spark, tmp_path):
     assert spark.read.text(str(tmp_path / "bed")).first()[0] == "1\t5\t9\tn\t3.25"
     sinks.write_tables({"a": df}, str(tmp_path / "t"))
     assert spark.read.option("header", True).csv(str(tmp_path / "t/a")).count() == 1
+
+
+def test_evidence_rows(spark, tmp_path):
+    p = put(tmp_path / "e.json", '{"accessionId": "PA1", "id": "x", "relatedChemicals": [{"name": "a"}, {"name": "b"}], "relatedGenes": [{"symbol": "G"}, {}], "levelOfEvidence": {"term": "1A"}, "phenotypeCategory": "Toxicity"}\n{"id": "2", "name": "N", "source": "S", "dosingInformation": true, "testingLevel": "Required"}\n')
+    assert rows(R.read_evidence_rows(spark, p, "annotation")) == [("", "", "2", "", ""), ("G, ", "a, b", "PA1", "1A", "Toxicity")]
+    assert rows(R.read_evidence_rows(spark, p, "guideline")) == [("", "", "2", "N", "S", True), ("G, ", "a, b", "x", "", "", False)]
+    assert rows(R.read_evidence_rows(spark, p, "label"))[0] == ("", "", "2", "N", "S", "Required")
+
+
+def test_summary_statistics_in_order(spark, tmp_path):
+    from omicspark.sources import sinks
+
+    df = spark.createDataFrame([("1", 10 * i, f"rs{i}", "A", "G", 0.25, 100, 0.1, 0.02, 25.0, float(i % 7), 10.0 ** -(i % 7)) for i in range(50)], "chrom string, pos long, variant_id string, allele0 string, allele1 string, a1freq double, n long, beta double, se double, chisq double, log10p double, p double").repartition(4)
+    sinks.write_gwas(df, str(tmp_path / "s"))
+    got = [line for f in sorted((tmp_path / "s").glob("*.csv")) for line in f.read_text().splitlines()]
+    names = "CHROM\tPOS\tID\tA0\tA1\tA1FREQ\tN\tBETA\tSE\tCHISQ\tLOG10P\tP"
+    lines = [x.split("\t") for x in got if x != names]
+    assert got[0] == names and len(lines) == 50
+    assert [float(x[10]) for x in lines] == sorted((float(i % 7) for i in range(50)), reverse=True) and lines[0][5:] == ["0.250000", "100", "0.100000", "0.020000", "25.000000", "6.000000", "1.00e-06"]
+    sinks.write_gwas(df, str(tmp_path / "l"), sinks.LEADS)
+    assert next(iter(sorted((tmp_path / "l").glob("*.csv")))).read_text().splitlines()[0] == "CHROM\tPOS\tID\tA0\tA1\tBETA\tSE\tP\tLOG10P"
