@@ -2,8 +2,8 @@
 
 The target model is counted over the target documents and the background model over all documents, scaled to the
 target's tokens. Both are bigram models interpolated with unigrams over the same vocabulary: the words that occur at
-least twice, the WORDS most frequent of them at most; every other word is the one unknown word. A document's own counts
-are left out of both models when it is scored.
+least twice, the WORDS most frequent of them at most (equally frequent ones by hash); every other word is the one unknown
+word. A document's own counts are left out of both models when it is scored.
 
 Counts of bigrams are exact, however many there are. Frequent bigrams (HEAD at most, so that none of the others is hot)
 are counted first and sent to the tasks. For the others, each task packs its documents' bigrams by slices of the
@@ -87,15 +87,24 @@ def counts(docs: DataFrame) -> DataFrame:
 
 
 def most_frequent(table: DataFrame, most: int) -> DataFrame:
-    """The rows with the largest n, `most` at most: those above a bound that lets no more through."""
-    rung = F.floor(8 * F.log2("n")).cast("int")
-    sizes = sorted(((r["rung"], r["count"]) for r in table.groupBy(rung.alias("rung")).count().collect()), reverse=True)
-    least, total = math.inf, 0
-    for k, n in sizes:
-        if total + n > most:
-            break
-        least, total = k, total + n
-    return table.where(rung >= least) if sizes and least < math.inf else table.limit(0)
+    """The `most` rows (before, word, n, ...) with the largest n, or all; equal n go by a hash of before and word. Rows are
+    counted by rungs of n, then in the rung at the edge by n, then at that n by the hash's first bits, so that only the few
+    rows of one such group are sorted."""
+    hashed = table.withColumn("_h", F.xxhash64(F.coalesce("before", F.lit(0)), "word"))
+    steps = [-F.floor(8 * F.log2("n")).cast("bigint"), -F.col("n"), F.shiftrightunsigned("_h", 48)]
+    chosen, edge, left = F.lit(False), F.lit(True), most
+    for key in steps:
+        sizes = sorted(map(tuple, hashed.where(edge).groupBy(key.alias("key")).count().collect()))
+        last = None
+        for value, n in sizes:
+            if n > left:
+                chosen, edge = (chosen if last is None else chosen | (edge & (key <= last))), edge & (key == value)
+                break
+            left, last = left - n, value
+        else:
+            return hashed.where(chosen | edge).drop("_h")
+    few = hashed.where(edge).orderBy("_h", "before", "word").limit(left)
+    return hashed.where(chosen).union(few).drop("_h")
 
 
 class Models:

@@ -261,6 +261,42 @@ def test_sainte_lague(spark):
     assert got == dict(want)
 
 
+@pytest.mark.parametrize("capped", [False, True])
+def test_capped_apportionment_over_many_rows(spark, capped):
+    """One rule at every size: quotas of many groups against a loop that gives one seat at a time."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for g in range(3):
+        w = [int(x) for x in rng.integers(0, 400, 90)] + [64] * 60  # ties
+        full = sum(-(-3 * x // 64) for x in w)
+        seats = [sum(w) // 64, full - 20, full + 5][g]
+        rows += [(g, i, x, seats, -(-3 * x // 64)) for i, x in enumerate(w)]
+    df = spark.createDataFrame(rows, "g int, k long, w long, seats long, cap long").repartition(5)
+    got = {(r.g, r.k): r.quota for r in M.apportion(df, ["g"], "w", "seats", ["k"], "cap" if capped else None).collect()}
+    assert len(got) == len(rows)
+    for g in range(3):
+        own = [(k, w, cap) for h, k, w, _, cap in rows if h == g]
+        won = dict.fromkeys((k for k, _, _ in own), 0)
+        for _ in range(next(r[3] for r in rows if r[0] == g)):
+            open_ = [(w / (2 * won[k] + 1), -k) for k, w, cap in own if w and (not capped or won[k] < cap)]
+            if open_:
+                won[-max(open_)[1]] += 1
+        assert {k: got[g, k] for k in won} == won
+
+
+def test_mixing_meets_targets_where_shards_are_full(spark, monkeypatch):
+    """Sources at three times their words, whose shards end within a block, lose no word."""
+    monkeypatch.setattr(M, "SHARD_DOCS", 4)
+    monkeypatch.setattr(M, "FAN", 3)
+    rows = [(i, " ".join(["w"] * (1 + i * 7 % 23)), "a" if i < 150 else "b") for i in range(190)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = M.mix(df, weights=[1, 9]).collect()
+    for s in "ab":
+        own = [r for r in got if r.source == s]
+        assert abs(sum(r.taken for r in own) - own[0].target) <= 1 and all(0 <= r.taken <= 3 * r.size for r in own)
+    assert all(r.taken == 3 * r.size for r in got if r.source == "b")
+
+
 def test_mixing_block_by_block(spark):
     """taken of each document against a plain loop: quotas by highest quotients, then the seeded line."""
     rows = [(i, " ".join(["w"] * (1 + i * 13 % 90)), "ab"[i % 5 == 0]) for i in range(700)]
@@ -271,34 +307,41 @@ def test_mixing_block_by_block(spark):
     of = {s: [i for i, _, x in rows if x == s] for s in "ab"}
     target = {s: got[of[s][0]].target for s in "ab"}
 
-    def shared(weights, seats):
+    def shared(weights, seats, cap=None):
         won = dict.fromkeys(weights, 0)
         for _ in range(seats):
-            won[max(sorted(weights), key=lambda k: weights[k] / (2 * won[k] + 1))] += 1
+            open_ = [k for k in sorted(weights) if cap is None or won[k] < cap[k]]
+            if open_:
+                won[max(open_, key=lambda k: weights[k] / (2 * won[k] + 1))] += 1
         return won
 
     quota = shared(target, round(sum(target.values()) / 64))
     for s, ids in of.items():
         n = -(-len(ids) // M.SHARD_DOCS)
         shards = {k: sorted((i for i in ids if at[i][0] % n == k), key=lambda i: (at[i][1], at[i][0], i)) for k in range(n)}
-        for k, q in shared({k: sum(size[i] for i in x) for k, x in shards.items()}, quota[s]).items():
-            whole = sum(size[i] for i in shards[k])
-            left = min(max(q * 64 + (round(target[s]) - quota[s] * 64 if k == 0 else 0), 0), 3 * whole)
-            epochs, left = divmod(left, whole)
+        whole = {k: sum(size[i] for i in x) for k, x in shards.items()}
+        given = {k: min(q * 64, 3 * whole[k]) for k, q in shared(whole, quota[s], {k: -(-3 * w // 64) for k, w in whole.items()}).items()}
+        rest = round(target[s]) - sum(given.values())
+        for k in sorted(given):  # the first shards with room make up the target
+            change = min(rest, 3 * whole[k] - given[k]) if rest > 0 else max(rest, -given[k])
+            given[k], rest = given[k] + change, rest - change
+        assert rest == 0
+        for k, tokens in given.items():
+            epochs, left = divmod(tokens, whole[k])
             for i in shards[k]:
                 more = min(left, size[i])
                 assert got[i].taken == epochs * size[i] + more
                 left -= more
 
 
-def brute_lm(rows, target):
+def brute_lm(rows, target, keep=None):
     """Mean losses of each document under the models of the other documents; rows: (id, text)."""
     split = lambda t: [x for x in re.split(r"[\x20\x09-\x0D]+", (t or "").translate(LOW)) if x]
     words = [split(t) for _, t in rows]
     mine = [i in target for i, _ in rows]
     uni, hist, bi = ([Counter(), Counter()] for _ in range(3))
     total = Counter(w for x in words for w in x)
-    word = lambda w: w if total[w] >= 2 else None
+    word = lambda w: w if total[w] >= 2 and (keep is None or w in keep(total)) else None
     words = [[word(w) for w in x] for x in words]
     for x, own in zip(words, mine, strict=True):
         for m in (0, 1) if own else (0,):
@@ -306,7 +349,7 @@ def brute_lm(rows, target):
             hist[m].update(["^", *x[:-1]] if x else [])
             bi[m].update(zip(["^", *x[:-1]], x, strict=False))
     n = [sum(c.values()) for c in uni]
-    size = len([w for w in total if total[w] >= 2]) + 1
+    size = len([w for w in total if word(w)]) + 1
     scale = [n[1] / n[0] if n[1] else 1, 1]
     out = []
     for x, own in zip(words, mine, strict=True):
@@ -342,6 +385,41 @@ def test_lm_scores(spark, monkeypatch, small):
     assert LM.cross_entropy_difference(df.limit(3), target.limit(0)).count() == 3
 
 
+@pytest.mark.parametrize("most", [1, 5, 11, 17, 40])
+def test_vocabulary_at_its_limit(spark, monkeypatch, most):
+    """With fewer words than there are, exactly the most frequent ones are kept, ties by their hashes."""
+    monkeypatch.setattr(LM, "WORDS", most)
+    rng = np.random.default_rng(9)
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 25, 9))) for i in range(6)] + [(9, " ".join(f"z{x // 2}" for x in range(60)))]  # thirty words twice
+
+    def keep(total, found={}):  # noqa: B006
+        if not found:
+            words = [w for w in total if total[w] >= 2]
+            data, offsets = np.frombuffer(" ".join(words).encode(), np.uint8), np.array([0, len(" ".join(words))])
+            hashes = LM._tokens(data, offsets)[1].view(np.int64).tolist()
+            order = spark.createDataFrame(list(zip(words, hashes, strict=True)), "w string, h long").select("w", F.xxhash64(F.lit(0).cast("bigint"), "h").alias("h")).collect()
+            found["words"] = set(sorted(words, key=lambda w, h={r.w: r.h % 2**64 for r in order}: (-total[w], h[w]))[:most])
+        return found["words"]
+
+    target = spark.createDataFrame([(1,), (9,)], "doc_id long")
+    want = {i: x for (i, _), x in zip(rows, brute_lm(rows, {1, 9}, keep), strict=True)}
+    got = LM.cross_entropy_difference(spark.createDataFrame(rows, "doc_id long, text string"), target).collect()
+    for r in got:
+        assert np.allclose((r.n_tokens, r.xent_background, r.xent_target), want[r.doc_id], atol=1e-5), (r, want[r.doc_id])
+
+
+def test_most_frequent_is_exact(spark):
+    rng = np.random.default_rng(10)
+    rows = [(None if i % 3 else int(rng.integers(0, 99)), i, int(x)) for i, x in enumerate(np.concatenate([rng.geometric(0.2, 300), [1000, 1001, 1002, 1001], np.full(200, 2)]))]
+    df = spark.createDataFrame(rows, "before long, word long, n long")
+    h = {r.word: r.h % 2**64 for r in df.select("word", F.xxhash64(F.coalesce("before", F.lit(0)), "word").alias("h")).collect()}
+    order = [w for _, w, _ in sorted(rows, key=lambda r: (-r[2], h[r[1]]))]
+    for most in (0, 1, 2, 3, 50, 203, 400, len(rows), 10**6):
+        got = LM.most_frequent(df, most)
+        assert got.columns == df.columns and sorted(r.word for r in got.collect()) == sorted(order[:most])
+    assert LM.most_frequent(df.limit(0), 5).count() == 0
+
+
 def test_licenses(spark):
     t = LI.TEMPLATES
     texts = [None, "", "Intro.\n" + t["mit"] + "\nmore", "é " + t["apache-2.0"].replace("Version", "version") + " x", t["gpl-3.0"].replace("GNU", "New") + " and " + t["isc"], "released under nothing", t["mit-header"] + "\n" + t["mit"]]
