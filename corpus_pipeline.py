@@ -23,7 +23,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Leaves out documents that score toxicity.THRESHOLD or more; null and empty texts are scored like others. The
     network learns from the labelled documents of the input outside the held-out fold."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.score(docs, model, out_col="_toxicity").where(F.col("_toxicity") < toxicity.THRESHOLD).select(*docs.columns)
+    own = ["_toxicity"]
+    scored = toxicity.score(_aside(docs, own), model, out_col="_toxicity").where(F.col("_toxicity") < toxicity.THRESHOLD)
+    return _back(scored, docs, own)
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,6 +40,8 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """Keeps of each group of near duplicates (chains of texts whose sets of five-word shingles have a Jaccard similarity
     of at least 0.8) the row with the smallest doc_id, once. Rows that repeat both doc_id and text are one; different
     texts with one doc_id are documents of their own. Documents without a doc_id can't be told apart and stay."""
+    own, given = ["_th"], docs
+    docs = _aside(docs, own)
     marks, repeated = simhash.similar(docs.where("doc_id is not null"))
     once = marks.where("first").select("doc_id", F.col("th").alias("_th"))
     # Sort-merge at every size: the ids grow with the documents, so that no small size may stand for them.
@@ -45,7 +49,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     kept = marked.join(once.hint("merge"), ["doc_id", "_th"], "left_semi")
     if repeated:
         kept = kept.dropDuplicates(["doc_id", "_th"])
-    return kept.select(*docs.columns).union(docs.where("doc_id is null"))
+    return _back(kept.select(*docs.columns).union(docs.where("doc_id is null")), given, own)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,7 +72,7 @@ STAGES = [
     ("mixing", mix_sources),
 ]
 
-#: A trained network and a graph's components have no SQL; the tests hold the stages against brute force.
+#: A trained network and a graph's components have no SQL; the tests hold each stage against brute force on small tables.
 ORACLE_SQL = None
 
 
