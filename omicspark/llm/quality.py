@@ -95,10 +95,13 @@ def _each(docs: DataFrame, text_col: str, field: T.StructField, value) -> DataFr
 
 def fit(docs: DataFrame, labels: DataFrame, learn: Column | None = None, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict[str, np.ndarray]:
     """The classifier, fitted on at most `sample` labelled documents of either class, by the hash of their ids, where
-    `learn` holds. Only their features come to the driver."""
-    known = (labels if learn is None else labels.where(learn)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where("_id is not null and _label in (0, 1)")
+    `learn` holds. An id that is labelled again has its highest label, a document that is repeated its first text by hash.
+    Only the documents' features come to the driver."""
+    known = (labels if learn is None else labels.where(learn)).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("_label")).where("_id is not null and _label in (0, 1)").groupBy("_id").agg(F.max("_label").alias("_label"))
     parts = [known.where(F.col("_label") == c).orderBy(F.xxhash64("_id"), "_id").limit(sample) for c in (0, 1)]
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text")).join(F.broadcast(parts[0].union(parts[1])), "_id")
+    first = F.min_by(F.struct("_label", "_text"), F.struct(F.xxhash64("_text"), "_text")).alias("_x")
+    rows = rows.groupBy("_id").agg(first).select("_id", "_x._label", "_x._text")
     described = _each(rows, "_text", T.StructField("_x", T.ArrayType(T.DoubleType())), lambda x, kind: pa.array(list(x), kind))
     got = described.select("_id", "_label", "_x").orderBy(F.xxhash64("_id"), "_label", "_x").toPandas()
     if not len(got):
@@ -129,26 +132,27 @@ def _strength(rate: str, prior: str) -> Column:
 
 
 def posterior(evidence: DataFrame, prior_log_odds: float, host_col: str = "host", path_col: str = "path") -> DataFrame:
-    """evidence: doc_id, host, path, evidence. Adds host_posterior, path_posterior and score; null hosts and paths are
-    groups of their own. Sums by path are partial aggregates, and only they meet in the join by path, which adaptive
-    execution splits where a path has many documents."""
-    p = 1 / (1 + F.exp(-(F.col("evidence") + F.lit(prior_log_odds))))
-    df = evidence.withColumn("p", p)
-    paths = saved(df.groupBy(host_col, path_col).agg(F.count("*").alias("n"), F.sum("p").alias("s")))
-    hosts = paths.groupBy(host_col).agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    """evidence: host, path, evidence, and any other columns. Adds host_posterior, path_posterior and score (columns of these
+    names give way); null hosts and paths are groups of their own, and a null evidence is none. Sums by path are partial
+    aggregates, and only they meet in the join by path, which adaptive execution splits where a path has many documents."""
+    rest = [c for c in evidence.columns if c.lower() not in ("host_posterior", "path_posterior", "score")]
+    known = F.coalesce(F.col("evidence"), F.lit(0.0))
+    # The rows travel as one column, so that none of theirs is taken for a sum.
+    df = evidence.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(host_col).alias("h"), F.col(path_col).alias("u"), known.alias("e"), (1 / (1 + F.exp(-(known + F.lit(prior_log_odds))))).alias("p"))
+    paths = saved(df.groupBy("h", "u").agg(F.count("*").alias("n"), F.sum("p").alias("s")))
+    hosts = paths.groupBy("h").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     mean = hosts.agg((F.sum("s") / F.sum("n")).alias("mean")).first()["mean"]  # one number, null without rows
     hosts = hosts.withColumns({"mean": F.lit(mean).cast("double"), "rate": F.col("s") / F.col("n")})
     k = hosts.agg(_strength("rate", "mean").alias("k")).first()["k"]
-    hosts = saved(hosts.select(F.col(host_col).alias("h"), ((F.col("s") + k * F.col("mean")) / (F.col("n") + k)).alias("host_posterior")))
-    level = paths.join(hosts, paths[host_col].eqNullSafe(hosts["h"])).drop("h").withColumn("rate", F.col("s") / F.col("n"))
+    hosts = saved(hosts.select(F.col("h").alias("_h"), ((F.col("s") + k * F.col("mean")) / (F.col("n") + k)).alias("host_posterior")))
+    level = paths.join(hosts, paths["h"].eqNullSafe(hosts["_h"])).drop("_h").withColumn("rate", F.col("s") / F.col("n"))
     level = saved(level.withColumn("k", F.lit(level.agg(_strength("rate", "host_posterior").alias("k")).first()["k"])))
-    level = level.select(F.col(host_col).alias("_h"), F.col(path_col).alias("_p"), "n", "s", "k", "host_posterior")
-    out = df.join(level, df[host_col].eqNullSafe(level["_h"]) & df[path_col].eqNullSafe(level["_p"]))
-    rest = (F.col("s") - F.col("p") + F.col("k") * F.col("host_posterior")) / (F.col("n") - 1 + F.col("k"))
-    rest = F.least(F.greatest(rest, F.lit(1e-6)), F.lit(1 - 1e-6))
-    out = out.withColumn("path_posterior", rest)
-    odds = F.col("evidence") + F.log(F.col("path_posterior") / (1 - F.col("path_posterior")))
-    return out.withColumn("score", 1 / (1 + F.exp(-odds))).drop("_h", "_p", "n", "s", "k", "p")
+    level = level.select(F.col("h").alias("_h"), F.col("u").alias("_u"), "n", "s", "k", "host_posterior")
+    out = df.join(level, df["h"].eqNullSafe(level["_h"]) & df["u"].eqNullSafe(level["_u"]))
+    others = (F.col("s") - F.col("p") + F.col("k") * F.col("host_posterior")) / (F.col("n") - 1 + F.col("k"))
+    out = out.withColumn("path_posterior", F.least(F.greatest(others, F.lit(1e-6)), F.lit(1 - 1e-6)))
+    odds = F.col("e") + F.log(F.col("path_posterior") / (1 - F.col("path_posterior")))
+    return out.select("row.*", "host_posterior", "path_posterior", (1 / (1 + F.exp(-odds))).alias("score"))
 
 
 def score(docs: DataFrame, model: dict[str, np.ndarray], id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang") -> DataFrame:

@@ -132,6 +132,67 @@ def folder(spark, tmp_path_factory):
     return str(out)
 
 
+def naive_posterior(rows, prior):
+    """rows: host, path, evidence. The three added numbers of each row, by plain loops."""
+    import math
+
+    p = [1 / (1 + math.exp(-((e or 0.0) + prior))) for _, _, e in rows]
+
+    def strength(groups):  # n, rate, prior of each
+        spread = sum(n * (r - q) ** 2 for n, r, q in groups) - sum(q * (1 - q) for _, _, q in groups)
+        between = max(spread, 0.0) / max(sum(n for n, _, _ in groups) - len(groups), 1)
+        typical = sum(n * q * (1 - q) for n, _, q in groups) / sum(n for n, _, _ in groups)
+        return Q.MOST if between == 0 else min(max(typical / between - 1, Q.LEAST), Q.MOST)
+
+    def sums(key):
+        out = {}
+        for r, x in zip(rows, p, strict=True):
+            n, s = out.get(key(r), (0, 0.0))
+            out[key(r)] = (n + 1, s + x)
+        return out
+
+    hosts, paths = sums(lambda r: r[0]), sums(lambda r: r[:2])
+    mean = sum(p) / len(p)
+    k = strength([(n, s / n, mean) for n, s in hosts.values()])
+    host = {h: (s + k * mean) / (n + k) for h, (n, s) in hosts.items()}
+    k = strength([(n, s / n, host[h]) for (h, _), (n, s) in paths.items()])
+    out = []
+    for (h, u, e), x in zip(rows, p, strict=True):
+        n, s = paths[h, u]
+        own = min(max((s - x + k * host[h]) / (n - 1 + k), 1e-6), 1 - 1e-6)
+        out.append((host[h], own, 1 / (1 + math.exp(-((e or 0.0) + math.log(own / (1 - own)))))))
+    return out
+
+
+def test_posterior_equals_loops(spark):
+    """Null hosts, paths and evidence, a hot path, single documents, and columns with the names of the operator's own."""
+    rng = np.random.default_rng(11)
+    rows = [(["a", "b", "c", None][i % 4], [None, "x", "y"][i % 3], None if i % 17 == 0 else float(rng.normal(i % 4 - 1, 1))) for i in range(120)]
+    rows += [("a", "x", float(rng.normal(2, 1))) for _ in range(200)] + [("z", "only", 1.0)]
+    df = spark.createDataFrame([(i, *r, 7, "k", 1.5, -1.0) for i, r in enumerate(rows)], "doc_id long, host string, path string, evidence double, n int, k string, s double, score double")
+    out = Q.posterior(df, -0.3)
+    assert out.columns == ["doc_id", "host", "path", "evidence", "n", "k", "s", "host_posterior", "path_posterior", "score"]
+    want = naive_posterior(rows, -0.3)
+    got = out.collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert np.allclose((r.host_posterior, r.path_posterior, r.score), want[r.doc_id], atol=1e-9) and (r.n, r.k, r.s) == (7, "k", 1.5)
+
+
+def test_quality_of_edges(spark):
+    """Repeated ids and labels, null and empty texts, a long text, no labels, no documents."""
+    long = "good words here " * 50_000
+    docs = spark.createDataFrame([(1, "fine text", "h", "p"), (1, "fine text", "h", "p"), (2, None, None, None), (3, "", "h", "q"), (None, "x", "h", "p"), (4, long, "h", "p")], "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (1, 0), (2, 0), (4, 1), (None, 1), (3, None)], "doc_id long, quality int")
+    model = Q.fit(docs, labels)
+    once = Q.fit(docs.dropDuplicates(["doc_id"]), spark.createDataFrame([(1, 1), (2, 0), (4, 1)], "doc_id long, quality int"))
+    assert all(np.allclose(model[k], once[k]) for k in model)
+    got = Q.score(docs, model).collect()
+    assert len(got) == 6 and all(0 < r.score < 1 for r in got)
+    assert len({r.score for r in got if r.doc_id == 1}) == 1
+    assert Q.score(docs, Q.fit(docs, labels.limit(0))).count() == 6 and Q.score(docs.limit(0), model).count() == 0
+
+
 def test_quality(spark, folder):
     got = Q.op4_quality(spark, folder).collect()
     assert len(got) == 324
