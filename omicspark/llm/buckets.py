@@ -17,16 +17,17 @@ from omicspark.llm.common import forest, saved
 BLOCK, GROWTH = 1024, 16
 
 
-def blocked(rows: DataFrame, columns: list[str]) -> DataFrame:
+def blocked(rows: DataFrame, columns: list[str], weight: str | None = None, most_weight: int = 1) -> DataFrame:
     """rows: key, node and columns, different (key, node). Leaves out buckets of one row, and cuts large ones: adds
     block (a number for the pair of blocks, 0 in small buckets) so that all pairs of a bucket meet in some (key, block),
     side (the row's own block) and diagonal (whether block is a block with itself, or a whole bucket). Rows of the same
-    side meet in each of their blocks, and once on the diagonal.
+    side meet in each of their blocks, and once on the diagonal. weight: a column of which a block holds about most_weight
+    in all, or one row.
 
     Sizes are partial aggregates; only keys of more than one row are kept, and only large buckets are repeated."""
-    sizes = saved(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    sizes = saved(rows.groupBy("key").agg(F.count("*").alias("n"), (F.sum(weight) if weight else F.lit(0)).alias("w")).where("n > 1"))
     few = rows.join(sizes, "key")
-    blocks = F.ceil(F.col("n") / F.greatest(F.lit(BLOCK), GROWTH * F.sqrt("n"))).cast("int")
+    blocks = F.greatest(F.ceil(F.col("n") / F.greatest(F.lit(BLOCK), GROWTH * F.sqrt("n"))), F.ceil(F.col("w") / most_weight)).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(7)), F.col("b")).cast("int")
     few = few.withColumn("b", blocks).withColumn("own", own)
     pairs = F.when(F.col("b") == 1, F.array(F.lit(0))).otherwise(F.transform(F.sequence(F.lit(0), F.col("b") - 1), lambda x: F.least(x, F.col("own")) * F.col("b") + F.greatest(x, F.col("own"))))
@@ -35,18 +36,19 @@ def blocked(rows: DataFrame, columns: list[str]) -> DataFrame:
     return few.select("key", "block", F.col("own").alias("side"), diagonal.alias("diagonal"), "node", *columns)
 
 
-def groups(rows: Iterator[pa.RecordBatch], keys: list[str], most_rows: int = 1 << 16) -> Iterator[dict[str, np.ndarray]]:
-    """Columns of sorted rows in pieces of whole groups of keys; a piece has about most_rows rows, or one larger group."""
+def groups(rows: Iterator[pa.RecordBatch], keys: list[str], most_rows: int = 1 << 16, most_bytes: int = 1 << 26) -> Iterator[dict[str, np.ndarray]]:
+    """Columns of sorted rows in pieces of whole groups of keys; a piece has about most_rows rows or most_bytes, or one larger
+    group."""
     held: list[pa.RecordBatch] = []
-    n = 0
+    n, size = 0, 0
 
     def columns(table: pa.Table) -> dict[str, np.ndarray]:
         return {c: table.column(c).combine_chunks().to_numpy(zero_copy_only=False) for c in table.column_names}
 
     for batch in rows:
         held.append(batch)
-        n += batch.num_rows
-        if n < most_rows:
+        n, size = n + batch.num_rows, size + batch.nbytes
+        if n < most_rows and size < most_bytes:
             continue
         table = pa.Table.from_batches(held)
         last = np.ones(n, bool)
@@ -58,7 +60,7 @@ def groups(rows: Iterator[pa.RecordBatch], keys: list[str], most_rows: int = 1 <
         if whole:
             yield columns(table.slice(0, whole))
         held = table.slice(whole).to_batches()
-        n -= whole
+        n, size = n - whole, sum(x.nbytes for x in held)
     if n:
         yield columns(pa.Table.from_batches(held))
 

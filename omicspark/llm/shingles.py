@@ -7,14 +7,15 @@ shingle hashes, so that the pair meets in the bucket of that hash. There it must
 fingerprints' segments, then the full Hamming check; only the sets of pairs that pass are fetched and compared.
 
 Buckets are settled in rounds. First every member is checked against its bucket's smallest one; what these links join
-needs no further check. Buckets that still hold several components are compared in blocks, first by the nearest pairs that
-could join the components (a minimum spanning forest of the fingerprints' distances, so no more pairs than members), and
-what these leave apart by all pairs of different components.
+needs no further check. Buckets that still hold several components are compared in blocks: the members of pairs that pass the
+filters are told first, then their sets are sent there, the pairs are compared exactly where they were found, and a spanning
+forest of the true links is all that leaves a block, no more rows than members. A pair that meets in several buckets is
+looked at in the first ones only (by the first HEAD hashes of both), so that a set is sent to few of its buckets.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,8 +34,10 @@ ROUNDS, KEY = 2, 40
 #: Bits of a fingerprint for each shingle, fewest and most bits, and segments of its ring. With four bits a shingle few
 #: shingles of a text meet in one bit, so that hardly a pair below a similarity of 0.79 passes.
 BITS, LEAST_BITS, MOST_BITS, SEGMENTS = 4, 256, 16_384, 4
-#: Pairs that a block holds at once before it keeps the nearest.
-HELD = 1 << 20
+#: Hashes of a set that tell in which bucket a pair is looked at.
+HEAD = 8
+#: Shingles of a block's members in all, and shingles of pairs that are compared at once.
+BLOCK_SHINGLES, AT_ONCE = 1 << 21, 1 << 20
 #: Texts to fetch that are broadcast as ids at most.
 BROADCAST_IDS = 1_000_000
 
@@ -226,66 +229,112 @@ def unsettled(rows: DataFrame) -> DataFrame:
     return saved(rows.join(stat.select("key", "hub"), "key").select("key", "node", "root", "hub"))
 
 
-def _compared(piece: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Row numbers and distances of the pairs of a block's members that have different roots and pass the filters, at
-    growing distance of the rows."""
-    flat, start = _flat(list(piece["bits"]))
-    size, short = piece["size"], shortened(piece["size"], start, flat)
-    end = np.searchsorted(piece["group"], piece["group"], "right")
-    at, step = np.arange(len(end)), 1
-    while len(at := at[at + step < end[at]]):
-        i = at[piece["root"][at] != piece["root"][at + step]]
-        i = i[np.bitwise_count(short[i] ^ short[i + step]).sum(axis=1) <= (size[i] + size[i + step]) // 9]
-        far = distances(size, start, flat, i, i + step)
-        ok = np.isfinite(far)
-        if ok.any():
-            yield i[ok], i[ok] + step, far[ok]
-        step += 1
-
-
-def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    for piece in groups(batches, ["key", "block"], 1 << 13):
-        new = (piece["key"][1:] != piece["key"][:-1]) | (piece["block"][1:] != piece["block"][:-1])
-        yield piece | {"group": np.concatenate([[0], np.cumsum(new)])}
+def common(ids: np.ndarray, start: np.ndarray, size: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """How many ids the sets i and j of each pair share; a set's ids are in order."""
+    out, whole = np.zeros(len(i), np.int64), np.concatenate([[0], np.cumsum(size[i] + size[j])])
+    low = 0
+    while low < len(i):
+        high = max(low + 1, int(np.searchsorted(whole, whole[low] + AT_ONCE, "right")) - 1)
+        keys = []
+        for x in (i[low:high], j[low:high]):
+            n = size[x]
+            to = np.cumsum(n)
+            flat = ids[np.arange(to[-1]) + np.repeat(start[x] - (to - n), n)]
+            keys.append(np.repeat(np.arange(high - low), n) << 32 | flat)
+        at = np.minimum(np.searchsorted(keys[1], keys[0]), len(keys[1]) - 1)
+        out[low:high] = np.bincount(keys[0][keys[1][at] == keys[0]] >> 32, minlength=high - low)
+        low = high
+    return out
 
 
-def _pairs(piece: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
-    a, b = piece["node"][i], piece["node"][j]
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
+class Block:
+    """Members of one bucket, or of a pair of its blocks, and the pairs of them that may link. Rows are compared at growing
+    distance; pairs of one root, of one side off the diagonal, and those that a bucket before has are left out."""
+
+    def __init__(self, piece: dict[str, np.ndarray]):
+        self.flat, self.start = _flat(list(piece["bits"]))
+        self.size, self.n = piece["size"], len(piece["size"])
+        self.short = shortened(self.size, self.start, self.flat)
+        _, root = np.unique(piece["root"], return_inverse=True)
+        self.root = root.reshape(-1)
+        self.side = np.where(piece["diagonal"].astype(bool), -1 - np.arange(self.n), piece["side"])
+        # Unequal fillers, so that only true hashes are the same.
+        self.head = np.full((self.n, HEAD), 0, np.int64) - 1 - np.arange(HEAD)
+        self.head -= HEAD * np.arange(self.n)[:, None]
+        for row, own in enumerate(piece["head"]):
+            self.head[row, : len(own)] = own
+        here = self.head == piece["key"][:, None]
+        self.place = np.where(here.any(axis=1), here.argmax(axis=1), HEAD)
+
+    def met_before(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        at = np.arange(HEAD)
+        a, b = (np.where(at < self.place[x][:, None], self.head[x], np.int64(-(1 << 62)) - k) for x, k in ((i, 0), (j, 1)))
+        return (a[:, :, None] == b[:, None, :]).any(axis=(1, 2))
+
+    def pairs(self, step: int) -> np.ndarray:
+        """The rows i that may link with i + step."""
+        i = np.flatnonzero((self.root[:-step] != self.root[step:]) & (self.side[:-step] != self.side[step:]))
+        for keep in (
+            lambda i: np.bitwise_count(self.short[i] ^ self.short[i + step]).sum(axis=1) <= (self.size[i] + self.size[i + step]) // 9,
+            lambda i: may_link(self.size, self.start, self.flat, i, i + step),
+            lambda i: ~self.met_before(i, i + step),
+        ):
+            i = i[keep(i)] if len(i) else i
+        return i
+
+
+def members_of_pairs(piece: dict[str, np.ndarray]) -> np.ndarray:
+    """Which rows of a block have a pair that may link."""
+    block = Block(piece)
+    some = np.zeros(block.n, bool)
+    for step in range(1, block.n):
+        i = block.pairs(step)
+        some[i] = some[i + step] = True
+    return np.flatnonzero(some)
+
+
+def block_links(piece: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers of a spanning forest of the links between rows of one block with different roots: pairs that may link
+    are compared by their sets, but for those that are joined by then."""
+    block = Block(piece)
+    shingles, first = _flat(list(piece["shingles"]))
+    _, ids = np.unique(shingles, return_inverse=True)
+    before, size = block.root, block.size
+    found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 2]
+    for step in range(1, block.n):
+        i = block.pairs(step)
+        i = i[9 * common(ids, first, size, i, i + step) >= 4 * (size[i] + size[i + step])] if len(i) else i
+        if len(i):
+            found.append((i, i + step))
+            block.root = forest(block.root[i], block.root[i + step], int(before.max()) + 1)[block.root]
+    i, j = (np.concatenate(x) for x in zip(*found, strict=True))
+    own = lightest(before[i], before[j], np.zeros(len(i)), block.n)
+    return i[own], j[own]
 
 
-def _nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The nearest pairs that could join the components of each block: a minimum spanning forest of what _compared gives."""
-    for piece in _grouped(batches):
-        _, part = np.unique(np.stack([piece["group"], piece["root"]]), axis=1, return_inverse=True)
-        part = part.reshape(-1)
-        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
-        parts: list[list[np.ndarray]] = []
+_OF_BLOCK = ["key", "node", "root", "side", "diagonal", "size", "bits", "head"]
 
-        def least(held: list[np.ndarray], parts: list, part: np.ndarray = part) -> list[np.ndarray]:
-            i, j, far = (np.concatenate(x) for x in zip(held, *parts, strict=True))
-            own = lightest(part[i], part[j], far, len(part))
-            return [i[own], j[own], far[own]]
 
-        for found in _compared(piece):
-            parts.append(found)
-            if sum(len(x[0]) for x in parts) > HELD:
-                held, parts = least(held, parts), []
-        i, j, _ = least(held, parts)
-        if len(i):
-            yield _pairs(piece, i, j)
+def _each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
+    for piece in groups(batches, ["key", "block"], 1 << 13):
+        new = np.flatnonzero((piece["key"][1:] != piece["key"][:-1]) | (piece["block"][1:] != piece["block"][:-1])) + 1
+        for low, high in zip(np.append(0, new), np.append(new, len(piece["key"])), strict=True):
+            yield {c: x[low:high] for c, x in piece.items()}
 
 
-def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All pairs of a block's members that have different roots and pass the filters."""
-    for piece in _grouped(batches):
-        for i, j, _ in _compared(piece):
-            yield _pairs(piece, i, j)
+def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for own in _each_block(batches):
+        at = members_of_pairs(own)
+        if len(at):
+            yield pa.RecordBatch.from_arrays([pa.array(own[c][at]) for c in ("key", "block", "node", "root", "side", "diagonal")], names=["key", "block", "node", "root", "side", "diagonal"])
 
 
-def _dealt(rows: DataFrame, known: DataFrame) -> DataFrame:
-    met = blocked(rows, ["root"]).join(known, "node").drop("side", "diagonal")
-    return met.repartition("key", "block").sortWithinPartitions("key", "block")
+def _linked_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for own in _each_block(batches):
+        i, j = block_links(own)
+        if len(i):
+            a, b = own["node"][i], own["node"][j]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, bool]:
@@ -300,7 +349,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     wide = saved(with_prefixes(rows))
     prints = saved(wide.select("doc_id", "th", "node"))
     repeated = bool(prints.groupBy("doc_id", "th").count().where("count > 1").limit(1).count())
-    known = saved(wide.groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits")))
+    known = saved(wide.groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.first(F.slice("prefix", 1, HEAD)).alias("head")))
     owns = saved(prints.groupBy("node").agg(F.min(F.struct("doc_id", "th")).alias("own")).select("node", "own.doc_id", "own.th"))
     # Copies have the same prefix: the one of the first row is enough.
     firsts = wide.join(owns.select("doc_id", "th", "node"), ["doc_id", "th", "node"], "left_semi") if not repeated else wide.dropDuplicates(["node"])
@@ -331,15 +380,28 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def hub_pairs(at: DataFrame) -> DataFrame:
         return passing(at.where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), known)
 
-    def block_pairs(at: DataFrame, find: Callable) -> DataFrame:
-        met = _dealt(at.select("key", "node", "root"), known).select("key", "block", "node", "root", "size", "bits")
-        return met.mapInArrow(find, "a bigint, b bigint").distinct()
+    def linked_in_blocks(at: DataFrame) -> DataFrame:
+        def dealt(rows: DataFrame, more: list[str]) -> DataFrame:
+            rows = rows.join(known, "node").select("block", *_OF_BLOCK, *more)
+            return rows.repartition("key", "block").sortWithinPartitions("key", "block")
+
+        sized = at.select("key", "node", "root").join(known.select("node", "size"), "node")
+        met = dealt(blocked(sized, ["root"], "size", BLOCK_SHINGLES), [])
+        block = dict(met.dtypes)["block"], dict(met.dtypes)["side"]
+        told = saved(met.mapInArrow(_told, f"key bigint, block {block[0]}, node bigint, root bigint, side {block[1]}, diagonal boolean"))
+        full = fetched(told.select("node"))
+        out = saved(dealt(told.join(full, "node"), ["shingles"]).mapInArrow(_linked_in_blocks, "a bigint, b bigint").distinct())
+        dropped(full)
+        dropped(told)
+        return out
 
     links, roots = None, None
-    for find in [hub_pairs] * ROUNDS + [lambda at: block_pairs(at, _nearest), lambda at: block_pairs(at, _candidates)]:
-        found = linked(find(at))
+    for find in [lambda at: linked(hub_pairs(at))] * ROUNDS + [linked_in_blocks]:
+        found = find(at)
         links = found if links is None else links.union(found)
         roots = saved(components(links))
+        if find is linked_in_blocks:
+            break
         left = at.select("key", "node").join(roots, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root"))
         before, at = at, unsettled(left)
         dropped(before)

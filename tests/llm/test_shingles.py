@@ -3,6 +3,8 @@
 import numpy as np
 
 import corpus_pipeline
+from omicspark.llm import shingles as shingles_module
+from omicspark.llm.common import forest
 
 
 def shingles(text):
@@ -68,3 +70,60 @@ def test_repeated_ids_are_told_apart_by_text(spark):
     docs = spark.createDataFrame([(7, one), (7, other), (7, other), (8, one), (None, one), (9, None), (10, "")], "doc_id long, text string")
     got = corpus_pipeline.drop_near_duplicates(spark, docs, "")
     assert sorted(map(tuple, got.collect()), key=repr) == sorted([(7, one), (7, other), (None, one), (9, None)], key=repr)
+
+
+def near_group(n=2000, length=60, seed=5):
+    """n copies of one text with three or four words replaced, most of whose pairs lie below 0.8."""
+    rng = np.random.default_rng(seed)
+    base = [f"w{rng.integers(0, 10**6)}" for _ in range(length)]
+    out = []
+    for i in range(n):
+        w = list(base)
+        for at in rng.choice(length, 1 + i % 3, replace=False):
+            w[at] = f"w{rng.integers(0, 10**6)}"
+        out.append((i, " ".join(w)))
+    return out
+
+
+def test_large_group_with_most_pairs_below(spark):
+    rows = near_group()
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r[0] for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()}
+    own = [shingles(t) for _, t in rows]
+    ids = {}
+    for i, s in enumerate(own):
+        for x in s:
+            ids.setdefault(x, []).append(i)
+    shared = np.zeros((len(rows), len(rows)), np.int16)
+    for members in ids.values():
+        if len(members) > 1:
+            shared[np.ix_(members, members)] += 1
+    size = np.array([len(s) for s in own])
+    links = 5 * shared.astype(np.int64) >= 4 * (size[:, None] + size[None, :] - shared)
+    np.fill_diagonal(links, True)
+    assert links.sum() - len(rows) < 0.5 * links.size
+    root = np.arange(len(rows))
+    while True:
+        low = np.where(links, root[None, :], len(rows)).min(axis=1)
+        if (low == root).all():
+            break
+        root = low
+    assert kept == set(np.unique(root).tolist())
+
+
+def test_block_links_are_a_forest_of_true_links():
+    rows = near_group(300, 40, 7)
+    texts = [t.encode() for _, t in rows]
+    data, offsets = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+    found, at = shingles_module.sets(data, offsets)
+    parity, ends = shingles_module._parities(found, at)
+    cut = lambda x, to: np.array([x[a:b] for a, b in zip(to[:-1], to[1:], strict=True)] + [None], object)[:-1]
+    piece = {"key": np.full(300, -7), "side": np.zeros(300, np.int64), "diagonal": np.ones(300, bool), "head": np.array([np.zeros(0, np.int64)] * 300 + [None], object)[:-1], "root": np.arange(300), "size": np.diff(at), "bits": cut(parity.view(np.int64), ends), "shingles": cut(found.view(np.int64), at)}
+    i, j = shingles_module.block_links(piece)
+    assert set(i.tolist()) | set(j.tolist()) <= set(shingles_module.members_of_pairs(piece).tolist())
+    own = [shingles(t) for _, t in rows]
+    link = lambda a, b: 5 * len(own[a] & own[b]) >= 4 * len(own[a] | own[b])
+    assert all(link(a, b) for a, b in zip(i, j, strict=True))
+    groups = lambda pairs: len(set(forest(*np.array(pairs, np.int64).reshape(-1, 2).T, 300).tolist()))
+    every = [(a, b) for a in range(300) for b in range(a) if link(a, b)]
+    assert groups(list(zip(i, j, strict=True))) == groups(every) and len(i) == 300 - groups(every)
