@@ -7,15 +7,18 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 # Consequence terms from the most to the least severe.
-SEVERITY = """transcript_ablation splice_acceptor_variant splice_donor_variant stop_gained frameshift_variant stop_lost start_lost
-transcript_amplification feature_elongation feature_truncation inframe_insertion inframe_deletion missense_variant
-protein_altering_variant splice_donor_5th_base_variant splice_region_variant splice_donor_region_variant
-splice_polypyrimidine_tract_variant incomplete_terminal_codon_variant start_retained_variant stop_retained_variant
-synonymous_variant coding_sequence_variant mature_miRNA_variant 5_prime_UTR_variant 3_prime_UTR_variant
-non_coding_transcript_exon_variant intron_variant NMD_transcript_variant non_coding_transcript_variant
-coding_transcript_variant upstream_gene_variant downstream_gene_variant TFBS_ablation TFBS_amplification
-TF_binding_site_variant regulatory_region_ablation regulatory_region_amplification regulatory_region_variant
-intergenic_variant""".split()
+SEVERITY = [
+    "transcript_ablation", "splice_acceptor_variant", "splice_donor_variant", "stop_gained", "frameshift_variant",
+    "stop_lost", "start_lost", "transcript_amplification", "feature_elongation", "feature_truncation",
+    "inframe_insertion", "inframe_deletion", "missense_variant", "protein_altering_variant",
+    "splice_donor_5th_base_variant", "splice_region_variant", "splice_donor_region_variant",
+    "splice_polypyrimidine_tract_variant", "incomplete_terminal_codon_variant", "start_retained_variant",
+    "stop_retained_variant", "synonymous_variant", "coding_sequence_variant", "mature_miRNA_variant",
+    "5_prime_UTR_variant", "3_prime_UTR_variant", "non_coding_transcript_exon_variant", "intron_variant",
+    "NMD_transcript_variant", "non_coding_transcript_variant", "coding_transcript_variant", "upstream_gene_variant",
+    "downstream_gene_variant", "TFBS_ablation", "TFBS_amplification", "TF_binding_site_variant",
+    "regulatory_region_ablation", "regulatory_region_amplification", "regulatory_region_variant", "intergenic_variant",
+]
 # Scores of impacts and of ClinVar buckets.
 IMPACT = {"HIGH": 4, "MODERATE": 3, "LOW": 2, "MODIFIER": 1}
 BUCKETS = {"pathogenic_or_likely_pathogenic": 4, "conflicting": 2, "risk_factor": 2, "drug_response": 2, "other_or_uncertain": 1, "benign_or_likely_benign": 0}

@@ -104,7 +104,8 @@ def disjoint_pairs(pairs: DataFrame, most: int | None = None) -> DataFrame:
 
 
 def target_score(ev: DataFrame) -> DataFrame:
-    """Five sub-scores of at most 20, their sum less the penalty, and the decision."""
+    """Five sub-scores of at most 20, their sum less the penalty, and the decision. The limits and points below are fixed
+    values."""
 
     def steps(c: Column, levels: list[tuple[float, int]]) -> Column:
         out = F.lit(0)
