@@ -240,6 +240,7 @@ def _members(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 
 
 def op1_embeddings(spark, sf_dir: str) -> DataFrame:
+    """All vectors with their links, the smallest vector that each can reach, and whether it stays."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 

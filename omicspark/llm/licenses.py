@@ -144,6 +144,7 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, text_col: str
 
 
 def op9_licenses(spark, sf_dir: str) -> DataFrame:
+    """All documents with the licence texts found in them, a digest of their spans."""
     found = scan(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
     spans = F.transform("licenses", lambda x: F.concat_ws(":", x["license"], x["start"].cast("string"), x["end"].cast("string"), x["n_different"].cast("string")))
     return found.select("doc_id", F.size("licenses").cast("bigint").alias("n_licenses"), F.array_join(spans, ",").alias("licenses"))

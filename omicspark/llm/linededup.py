@@ -176,6 +176,7 @@ def drop_common_lines(docs: DataFrame, least: int = 10, text_col: str = "text",
 
 
 def op8_linededup(spark, sf_dir: str) -> DataFrame:
+    """All documents with their lines counted, those dropped that ten documents share, and the rest's checksum."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     return drop_common_lines(docs).select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 

@@ -122,5 +122,6 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 
 def op7_simhash(spark, sf_dir: str) -> DataFrame:
+    """All documents with their fingerprints and the smallest document that links can reach."""
     out = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
