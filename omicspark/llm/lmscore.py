@@ -31,7 +31,7 @@ from omicspark.llm.common import dropped, pieces, saved
 #: text to be taken for frequent.
 WORDS, HEAD, OFTEN = 1 << 18, 1 << 17, 4
 #: Tokens of all documents for each slice of the bigrams.
-SLICE_TOKENS = 4_000_000
+SLICE_TOKENS = 2_000_000
 #: Weight of the bigram estimate against the unigram one, and counts added to each word.
 MIXED, ADDED = 0.6, 0.5
 #: Target ids that are broadcast at most (16 MB); longer lists are joined by a shuffle.
