@@ -248,10 +248,14 @@ def common(ids: np.ndarray, start: np.ndarray, size: np.ndarray, i: np.ndarray,
 
 
 class Block:
-    """Members of one bucket, or of a pair of its blocks, and the pairs of them that may link. Rows are compared at growing
-    distance; pairs of one root, of one side off the diagonal, and those that a bucket before has are left out."""
+    """Members of buckets, or of pairs of their blocks, one after another, and the pairs of them that may link. Rows of a
+    block are compared at growing distance, all blocks at once; pairs of one root, of one side off the diagonal, and those
+    that a bucket before has are left out."""
 
     def __init__(self, piece: dict[str, np.ndarray]):
+        new = (piece["key"][1:] != piece["key"][:-1]) | (piece["block"][1:] != piece["block"][:-1])
+        group = np.concatenate([[0], np.cumsum(new)])
+        self.end, self.at = np.searchsorted(group, group, "right"), np.arange(len(group))
         self.flat, self.start = _flat(list(piece["bits"]))
         self.size, self.n = piece["size"], len(piece["size"])
         self.short = shortened(self.size, self.start, self.flat)
@@ -272,8 +276,9 @@ class Block:
         return (a[:, :, None] == b[:, None, :]).any(axis=(1, 2))
 
     def pairs(self, step: int) -> np.ndarray:
-        """The rows i that may link with i + step."""
-        i = np.flatnonzero((self.root[:-step] != self.root[step:]) & (self.side[:-step] != self.side[step:]))
+        """The rows i that may link with i + step; steps are asked in order."""
+        self.at = i = self.at[self.at + step < self.end[self.at]]
+        i = i[(self.root[i] != self.root[i + step]) & (self.side[i] != self.side[i + step])]
         for keep in (
             lambda i: np.bitwise_count(self.short[i] ^ self.short[i + step]).sum(axis=1) <= (self.size[i] + self.size[i + step]) // 9,
             lambda i: may_link(self.size, self.start, self.flat, i, i + step),
@@ -284,29 +289,32 @@ class Block:
 
 
 def members_of_pairs(piece: dict[str, np.ndarray]) -> np.ndarray:
-    """Which rows of a block have a pair that may link."""
+    """Which rows have a pair in their block that may link."""
     block = Block(piece)
-    some = np.zeros(block.n, bool)
-    for step in range(1, block.n):
+    some, step = np.zeros(block.n, bool), 1
+    while len(block.at):
         i = block.pairs(step)
         some[i] = some[i + step] = True
+        step += 1
     return np.flatnonzero(some)
 
 
 def block_links(piece: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers of a spanning forest of the links between rows of one block with different roots: pairs that may link
-    are compared by their sets, but for those that are joined by then."""
+    are compared by their sets, but for those that are joined by then, in this block or another."""
     block = Block(piece)
     shingles, first = _flat(list(piece["shingles"]))
     _, ids = np.unique(shingles, return_inverse=True)
     before, size = block.root, block.size
     found: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0, np.int64),) * 2]
-    for step in range(1, block.n):
+    step = 1
+    while len(block.at):
         i = block.pairs(step)
         i = i[9 * common(ids, first, size, i, i + step) >= 4 * (size[i] + size[i + step])] if len(i) else i
         if len(i):
             found.append((i, i + step))
             block.root = forest(block.root[i], block.root[i + step], int(before.max()) + 1)[block.root]
+        step += 1
     i, j = (np.concatenate(x) for x in zip(*found, strict=True))
     own = lightest(before[i], before[j], np.zeros(len(i)), block.n)
     return i[own], j[own]
@@ -315,25 +323,18 @@ def block_links(piece: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 _OF_BLOCK = ["key", "node", "root", "side", "diagonal", "size", "bits", "head"]
 
 
-def _each_block(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[str, np.ndarray]]:
-    for piece in groups(batches, ["key", "block"], 1 << 13):
-        new = np.flatnonzero((piece["key"][1:] != piece["key"][:-1]) | (piece["block"][1:] != piece["block"][:-1])) + 1
-        for low, high in zip(np.append(0, new), np.append(new, len(piece["key"])), strict=True):
-            yield {c: x[low:high] for c, x in piece.items()}
-
-
 def _told(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for own in _each_block(batches):
-        at = members_of_pairs(own)
+    for piece in groups(batches, ["key", "block"], 1 << 13):
+        at = members_of_pairs(piece)
         if len(at):
-            yield pa.RecordBatch.from_arrays([pa.array(own[c][at]) for c in ("key", "block", "node", "root", "side", "diagonal")], names=["key", "block", "node", "root", "side", "diagonal"])
+            yield pa.RecordBatch.from_arrays([pa.array(piece[c][at]) for c in ("key", "block", "node", "root", "side", "diagonal")], names=["key", "block", "node", "root", "side", "diagonal"])
 
 
 def _linked_in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for own in _each_block(batches):
-        i, j = block_links(own)
+    for piece in groups(batches, ["key", "block"], 1 << 13):
+        i, j = block_links(piece)
         if len(i):
-            a, b = own["node"][i], own["node"][j]
+            a, b = piece["node"][i], piece["node"][j]
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
 
 

@@ -118,7 +118,7 @@ def test_block_links_are_a_forest_of_true_links():
     found, at = shingles_module.sets(data, offsets)
     parity, ends = shingles_module._parities(found, at)
     cut = lambda x, to: np.array([x[a:b] for a, b in zip(to[:-1], to[1:], strict=True)] + [None], object)[:-1]
-    piece = {"key": np.full(300, -7), "side": np.zeros(300, np.int64), "diagonal": np.ones(300, bool), "head": np.array([np.zeros(0, np.int64)] * 300 + [None], object)[:-1], "root": np.arange(300), "size": np.diff(at), "bits": cut(parity.view(np.int64), ends), "shingles": cut(found.view(np.int64), at)}
+    piece = {"key": np.full(300, -7), "block": np.zeros(300, np.int64), "side": np.zeros(300, np.int64), "diagonal": np.ones(300, bool), "head": np.array([np.zeros(0, np.int64)] * 300 + [None], object)[:-1], "root": np.arange(300), "size": np.diff(at), "bits": cut(parity.view(np.int64), ends), "shingles": cut(found.view(np.int64), at)}
     i, j = shingles_module.block_links(piece)
     assert set(i.tolist()) | set(j.tolist()) <= set(shingles_module.members_of_pairs(piece).tolist())
     own = [shingles(t) for _, t in rows]
