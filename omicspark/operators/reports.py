@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from omicspark.functions.tables import stored
+
 #: Evidence levels from the best down; the bands of a residue's confidence, with their lower ends; the weights
 #: of a fine-mapping method's score.
 LEVELS = ["1A", "1B", "2A", "2B", "3", "4"]
@@ -382,13 +387,53 @@ def length_summary(stats: DataFrame) -> DataFrame:
     return stats.agg(F.count("*").alias("n"), F.sum("length").alias("total"), F.min("length").alias("least"), F.max("length").alias("most"), F.round(F.avg("length"), 1).alias("mean"), F.round(F.avg("gc"), 2).alias("mean_gc"))
 
 
+def _pair_counts(codes: np.ndarray, doc: np.ndarray, place: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sums of n and smallest places of equal (doc, pair of letters)."""
+    order = np.lexsort((codes, doc))
+    codes, doc, place, n = codes[order], doc[order], place[order], n[order]
+    new = np.flatnonzero(np.append(True, (codes[1:] != codes[:-1]) | (doc[1:] != doc[:-1]))) if len(codes) else np.zeros(0, np.int64)
+    return codes[new], doc[new], np.minimum.reduceat(place, new) if len(new) else place, np.add.reduceat(n, new) if len(new) else n
+
+
+def _letter_pairs(texts: list[str | None], piece: int) -> tuple[np.ndarray, ...]:
+    """Of each text the different pairs of neighbouring letters (as first << 21 | second): pair, text, first place (from 1)
+    and number. Long texts are counted by pieces."""
+    out = [(np.zeros(0, np.int64),) * 4]
+    for number, text in enumerate(texts):
+        letters = np.frombuffer((text or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+        letters[(letters >= 97) & (letters <= 122)] -= 32
+        for at in range(0, len(letters) - 1, piece):
+            own = letters[at : at + piece + 1]
+            pair, first, n = np.unique(own[:-1] << 21 | own[1:], return_index=True, return_counts=True)
+            out.append((pair, np.full(len(pair), number), first + at + 1, n))
+    return _pair_counts(*(np.concatenate(x) for x in zip(*out, strict=True)))
+
+
 def top_pairs(seqs: DataFrame, most: int = 5, piece: int = 10_000) -> DataFrame:
     """seqs: id, seq. Each sequence's `most` frequent pairs of neighbouring letters (a-z as A-Z; overlaps count): id, pair, n,
-    rank; equally frequent ones in order of their first place. Long sequences are cut into pieces that overlap in a
-    letter, which are counted before a sequence's counts meet."""
-    s = F.translate("seq", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-    cut = seqs.where(F.length("seq") > 1).select("id", s.alias("s"), F.explode(F.expr(f"sequence(1, length(seq) - 1, {piece})")).alias("at"))
-    part = cut.select("id", "at", F.substring("s", F.col("at"), F.lit(piece + 1)).alias("p"))
-    pairs = part.select("id", "p", "at", F.explode(F.expr("sequence(1, length(p) - 1)")).alias("i")).select("id", F.substring("p", F.col("i"), F.lit(2)).alias("pair"), (F.col("at") + F.col("i")).alias("place"))
-    n = pairs.groupBy("id", "pair").agg(F.count("*").alias("n"), F.min("place").alias("first"))
-    return n.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("n"), "first"))).where(F.col("rank") <= most).drop("first")
+    rank; equally frequent ones in order of their first place. Rows that share an id are one sequence's.
+
+    A task counts the pairs of a sequence where it lies, long ones piece by piece, and hands on the best; only of ids that
+    several rows share (found by the ids alone) all different pairs go on to be added up."""
+    kind = dict(seqs.dtypes)["id"]
+    # Stored, so that its size is known and few of them are broadcast: then texts stay where they are.
+    shared = stored(seqs.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias("_id"), F.lit(True).alias("whole")))
+    rows = seqs.where(F.length("seq") > 1).join(shared, F.col("id").eqNullSafe(F.col("_id")), "left").select("id", "seq", F.coalesce("whole", F.lit(False)).alias("whole"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                few = batch.slice(at, 256)
+                pair, doc, first, n = _letter_pairs(few.column("seq").to_pylist(), piece)
+                order = np.lexsort((first, -n, doc))
+                pair, doc, first, n = (x[order] for x in (pair, doc, first, n))
+                rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
+                keep = (rank < most) | few.column("whole").to_numpy(zero_copy_only=False)[doc]
+                letters = np.stack([pair[keep] >> 21, pair[keep] & 0x1FFFFF], axis=1).astype(np.uint32).tobytes().decode("utf-32-le", "surrogatepass")
+                whole = few.take(pa.array(doc[keep]))
+                yield pa.RecordBatch.from_arrays([whole.column("id"), pa.array([letters[i : i + 2] for i in range(0, len(letters), 2)], pa.string()), pa.array(n[keep]), pa.array(first[keep]), pa.array((rank[keep] + 1).astype(np.int32)), whole.column("whole")], names=["id", "pair", "n", "first", "rank", "whole"])
+
+    found = stored(rows.mapInArrow(count, f"id {kind}, pair string, n bigint, first bigint, rank int, whole boolean"))
+    added = found.where("whole").groupBy("id", "pair").agg(F.sum("n").alias("n"), F.min("first").alias("first"))
+    added = added.withColumn("rank", F.row_number().over(W.partitionBy("id").orderBy(F.desc("n"), "first"))).where(F.col("rank") <= most)
+    return found.where("not whole").select("id", "pair", "n", "rank").union(added.select("id", "pair", "n", "rank"))
