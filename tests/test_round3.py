@@ -4,7 +4,7 @@ from collections import Counter
 
 import numpy as np
 
-from omicspark.operators import reports
+from omicspark.operators import prs, reports
 from tests.conftest import rows
 
 
@@ -33,3 +33,23 @@ def test_top_pairs_make_no_row_a_letter(spark):
     assert [n for _, n, _ in got[7]] == [n for _, n, _ in expected[7]]
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert "sequence(1" not in plan and "Generate" not in plan
+
+
+def test_report_counts_equal_the_report(spark):
+    """jon1_variant_report: the sums without a row for each missing variant"""
+    rng = np.random.default_rng(5)
+    panel = [(p, int(v), "ACGT"[v % 4], float(v % 7 - 3)) for p in ("p1", "p2") for v in rng.integers(0, 40, 30)] + [("p3", 500, "A", 1.0), ("p1", None, "A", 2.0), (None, 3, "A", 1.0)]
+    calls = [(f"s{int(s)}", int(v), str(rng.choice(["AC", "GG", "TA", "A"]))) for s, v in rng.integers(0, 45, (300, 2)) % [6, 45]] + [("s9", 500, None), ("s8", 499, "AA"), (None, 3, "AA"), ("s1", None, "AA")]
+    g, s = spark.createDataFrame(calls, "sample_id string, variant_id long, genotype string"), spark.createDataFrame(panel, "pgs_id string, variant_id long, effect_allele string, effect_weight double")
+    out = prs.report_counts(g, s)
+    got = {(r[0], r[1], r[2]): tuple(r[3:]) for r in out.collect()}
+    expected = {}
+    for who in sorted({a for a, _, x in calls if a is not None and x is not None}):
+        for p, v, allele, w in panel:
+            own = [x for a, b, x in calls if a == who and b == v and b is not None and x is not None]
+            for x in own or [None]:
+                d = None if x is None else x.count(allele)
+                n, dose, c, ids = expected.get((who, p, "missing" if x is None else "scored"), (0, None, 0.0, None))
+                expected[who, p, "missing" if x is None else "scored"] = (n + 1, dose if d is None else (dose or 0) + d, c + (d or 0) * w, ids if v is None else (ids or 0) + v)
+    assert {k: v for k, v in got.items() if k[1] is not None} == {k: v for k, v in expected.items() if k[1] is not None}
+    assert "mapInArrow" not in out._jdf.queryExecution().executedPlan().toString()
