@@ -12,10 +12,11 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from omicspark.functions.tables import stored
-from omicspark.operators.gwas import ranked
+from omicspark.operators.gwas import in_ranges, ranked
 
 #: Samples of a block, and calls whose variants make up a block.
 SAMPLES, CALLS = 256, 1 << 20
@@ -70,11 +71,22 @@ def carrier_product(a: Planes, b: Planes) -> np.ndarray:
 
 def packed(calls: DataFrame, bits: Callable[..., Bits], samples: DataFrame) -> DataFrame:
     """calls: sample, variant, part, call (not null). samples: sample, number (from 1). Returns part, variants (a block of
-    variants), own (a block of samples), rows (which of its samples), planes. Of repeated calls the smallest counts."""
+    variants), own (a block of samples), all_own (the blocks of samples with calls there), rows (which of its samples),
+    planes. Of repeated calls the smallest counts.
+
+    A block's variants follow each other in their order, so that where neighbouring variants are called in few samples,
+    few blocks of samples meet in it."""
     part_type = dict(calls.dtypes)["part"]
-    schema = f"part {part_type}, variants bigint, own bigint, rows binary, n_planes int, planes binary"
-    blocks = max(1, -(-calls.count() // CALLS))
-    joined = calls.join(samples, "sample").select("part", F.pmod(F.xxhash64("variant"), F.lit(blocks)).alias("variants"), "variant", F.col("number") - 1, "call").toDF("part", "variants", "variant", "number", "call")
+    schema = f"part {part_type}, variants bigint, own bigint, all_own array<bigint>, rows binary, n_planes int, planes binary"
+    counts = calls.groupBy("part", "variant").agg(F.count("*").alias("n"))
+    # A block has about CALLS calls; its parts are groups of their own.
+    before = F.sum("n").over(W.partitionBy("_part").orderBy("variant", "part")) - F.col("n")
+    dealt = in_ranges(counts, [F.col("variant"), F.col("part")]).withColumn("before", before)
+    sizes = dealt.groupBy("_part").agg(F.sum("n").alias("s"))
+    start = sizes.select("_part", F.coalesce(F.sum("s").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("start"))
+    placed = stored(dealt.join(F.broadcast(start), "_part").select("part", "variant", F.floor((F.col("start") + F.col("before")) / CALLS).alias("variants")))
+    known = placed.select(F.col("part").alias("p"), F.col("variant").alias("v"), "variants")
+    joined = calls.join(samples, "sample").join(known, F.col("part").eqNullSafe(F.col("p")) & (F.col("variant") == F.col("v"))).select("part", "variants", "variant", F.col("number") - 1, "call").toDF("part", "variants", "variant", "number", "call")
 
     def pack(group: pa.Table) -> pa.Table:
         group = group.sort_by([("number", "ascending"), ("variant", "ascending"), ("call", "ascending")])
@@ -88,25 +100,26 @@ def packed(calls: DataFrame, bits: Callable[..., Bits], samples: DataFrame) -> D
         order = np.argsort(which, kind="stable")
         plane, which = plane[order], which[order]
         own, out = number // SAMPLES, []
-        for block in np.unique(own):
+        every = np.unique(own).tolist()
+        for block in every:
             a, b = np.searchsorted(own, [block, block + 1])
             rows, row = np.unique(number[a:b] % SAMPLES, return_inverse=True)
             x = np.zeros((n_planes, len(rows), -(-n_at // 64)), np.uint64)
             low, high = np.searchsorted(which, [a, b])
             k = which[low:high]
             np.bitwise_or.at(x, (plane[low:high], row[k - a], at[k] >> 6), np.uint64(1) << (at[k] & 63).astype(np.uint64))
-            out.append((group.column("part")[0].as_py(), group.column("variants")[0].as_py(), int(block), rows.astype(np.int64).tobytes(), n_planes, x.tobytes()))
-        return pa.Table.from_pylist([dict(zip(("part", "variants", "own", "rows", "n_planes", "planes"), r, strict=True)) for r in out], schema=pa.schema([("part", group.schema.field("part").type), ("variants", pa.int64()), ("own", pa.int64()), ("rows", pa.binary()), ("n_planes", pa.int32()), ("planes", pa.binary())]))
+            out.append((group.column("part")[0].as_py(), group.column("variants")[0].as_py(), block, every, rows.astype(np.int64).tobytes(), n_planes, x.tobytes()))
+        return pa.Table.from_pylist([dict(zip(("part", "variants", "own", "all_own", "rows", "n_planes", "planes"), r, strict=True)) for r in out], schema=pa.schema([("part", group.schema.field("part").type), ("variants", pa.int64()), ("own", pa.int64()), ("all_own", pa.list_(pa.int64())), ("rows", pa.binary()), ("n_planes", pa.int32()), ("planes", pa.binary())]))
 
     return stored(joined.groupBy("part", "variants").applyInArrow(pack, schema))
 
 
-def pair_sums(blocks: DataFrame, product: Callable[[Planes, Planes], np.ndarray], names: list[str], n_blocks: int, whole: bool) -> DataFrame:
+def pair_sums(blocks: DataFrame, product: Callable[[Planes, Planes], np.ndarray], names: list[str], whole: bool) -> DataFrame:
     """one, other (numbers from 1, one < other), part and the sums of product for all pairs of samples with a common call.
-    whole: also sums over all parts, with a null part. A task streams the blocks of a pair of blocks of samples and holds
-    its sums only."""
+    whole: also sums over all parts, with a null part. A block goes to the blocks of samples that have calls of the same
+    variants. A task streams the blocks of a pair of blocks of samples and holds its sums only."""
     part_type = dict(blocks.dtypes)["part"]
-    pair = F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_blocks - 1)), lambda x: F.struct(F.least(x, F.col("own")).alias("a"), F.greatest(x, F.col("own")).alias("b"))))
+    pair = F.explode(F.transform("all_own", lambda x: F.struct(F.least(x, F.col("own")).alias("a"), F.greatest(x, F.col("own")).alias("b"))))
     met = blocks.withColumn("x", pair).select("x.a", "x.b", "part", "variants", "own", "rows", "n_planes", "planes")
     schema = f"one bigint, other bigint, part {part_type}, " + ", ".join(f"{c} bigint" for c in names)
     last = len(names) - 1
@@ -151,14 +164,15 @@ def pair_sums(blocks: DataFrame, product: Callable[[Planes, Planes], np.ndarray]
             if whole:
                 yield emitted(pair, pa.scalar(None, part.type), every + sums)
 
-    dealt = met.repartition("a", "b").sortWithinPartitions("a", "b", "part", "variants", "own")
+    # A number is given, since adaptive execution would join small parts whose products are long.
+    parts = max(int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * blocks.sparkSession.sparkContext.defaultParallelism)
+    dealt = met.repartition(parts, "a", "b").sortWithinPartitions("a", "b", "part", "variants", "own")
     return dealt.mapInArrow(multiply, schema)
 
 
 def _all_pairs(calls: DataFrame, bits: Callable[..., Bits], product: Callable, names: list[str], whole: bool) -> tuple[DataFrame, DataFrame]:
     samples = stored(ranked(calls.select("sample").distinct(), [F.col("sample")], "number"))
-    n = samples.count()
-    return pair_sums(packed(calls, bits, samples), product, names, max(1, -(-n // SAMPLES)), whole), samples
+    return pair_sums(packed(calls, bits, samples), product, names, whole), samples
 
 
 def ibs_pairs(genotypes: DataFrame) -> DataFrame:

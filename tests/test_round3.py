@@ -3,8 +3,9 @@
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
-from omicspark.operators import prs, reports
+from omicspark.operators import blocks, prs, reports
 from tests.conftest import rows
 
 
@@ -53,3 +54,25 @@ def test_report_counts_equal_the_report(spark):
                 expected[who, p, "missing" if x is None else "scored"] = (n + 1, dose if d is None else (dose or 0) + d, c + (d or 0) * w, ids if v is None else (ids or 0) + v)
     assert {k: v for k, v in got.items() if k[1] is not None} == {k: v for k, v in expected.items() if k[1] is not None}
     assert "mapInArrow" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_meet_only_where_samples_share_variants(spark, monkeypatch):
+    """agg10_ibs, fn19_relationship: copies of a cohort with variants of their own don't multiply the blocks"""
+    monkeypatch.setattr(blocks, "SAMPLES", 4)
+    monkeypatch.setattr(blocks, "CALLS", 60)
+    rng = np.random.default_rng(6)
+    met = {}
+    for copies in (2, 8):
+        calls = [(c * 100 + s, c * 100 + v, [None, "1", "2"][v % 3], str(rng.choice(["AA", "AG", "GG"]))) for c in range(copies) for s in range(8) for v in range(12) if (s + v) % 5]
+        df = spark.createDataFrame(calls, "sample long, variant long, part string, call string")
+        samples = blocks.ranked(df.select("sample").distinct(), [F.col("sample")], "number")
+        met[copies] = blocks.packed(df, blocks.genotype_bits, samples).agg(F.sum(F.size("all_own"))).first()[0]
+        named = df.toDF("sample_id", "variant_id", "chrom", "genotype")
+        got = {(r[0], r[1]): r[2] for r in blocks.ibs_pairs(named.where("chrom is not null")).where("chrom is null").select("sample_1", "sample_2", "n_overlap").collect()}
+        own = {}
+        for s, v, part, _ in calls:
+            if part:
+                own.setdefault(s, set()).add(v)
+        assert got == {(a, b): len(own[a] & own[b]) for a in own for b in own if a < b and own[a] & own[b]}
+    # Four times the copies; blocks dealt by a hash would meet sixteen times as often.
+    assert met[8] <= 6 * met[2]
