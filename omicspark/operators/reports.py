@@ -314,13 +314,20 @@ def inferred_traits(people: DataFrame, calls: DataFrame, registry: DataFrame) ->
 
 def lead_recovery(found: DataFrame, lead: DataFrame) -> DataFrame:
     """found: run, variant. lead: variant, gene. Per run: n_lead, n_recovered, recovery, recovered and missed genes (in
-    order, comma-joined)."""
-    total = lead.agg(F.countDistinct("variant").alias("n_lead"), F.collect_set("gene").alias("genes"))  # one row of a panel
-    hit = found.select("run", "variant").distinct().join(lead.distinct(), "variant", "left").groupBy("run").agg(F.count_distinct(F.when(F.col("gene").isNotNull(), F.col("variant"))).alias("n_recovered"), F.collect_set("variant").alias("own"), F.collect_set("gene").alias("got"))
-    missed = lead.agg(F.collect_set(F.struct("variant", "gene")).alias("lead"))
-    df = hit.join(F.broadcast(total)).join(F.broadcast(missed))
-    gone = F.array_distinct(F.transform(F.filter("lead", lambda x: ~F.array_contains("own", x["variant"])), lambda x: x["gene"]))
-    return df.select("run", "n_lead", "n_recovered", F.round(F.try_divide("n_recovered", "n_lead"), 4).alias("recovery"), F.array_join(F.array_sort("got"), ",").alias("recovered"), F.array_join(F.array_sort(gone), ",").alias("missed"))
+    order, comma-joined). A gene is missed where fewer of its variants are found than it has, so that only counts by run
+    and gene meet."""
+    led, own = lead.where("variant is not null").select("variant", "gene").distinct(), stored(found.select("run", "variant").distinct())
+    hits = own.join(led, "variant").select(F.col("run").alias("_run"), "variant", F.col("gene").alias("_gene"))
+    total = lead.agg(F.countDistinct("variant").alias("n_lead"))
+    n = hits.where("_gene is not null").groupBy("_run").agg(F.countDistinct("variant").alias("n_recovered"))
+    each = hits.groupBy("_run", "_gene").agg(F.count("*").alias("h"))
+    runs = own.select("run").distinct()
+    grid = runs.crossJoin(led.groupBy("gene").agg(F.count("*").alias("k"))).join(each, F.col("run").eqNullSafe(F.col("_run")) & F.col("gene").eqNullSafe(F.col("_gene")), "left")
+    h = F.coalesce("h", F.lit(0))
+    listed = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(c, F.col("gene")))), ",")
+    genes = grid.groupBy(F.col("run").alias("_of")).agg(listed(h > 0).alias("recovered"), listed(h < F.col("k")).alias("missed"))
+    df = runs.join(n, F.col("run").eqNullSafe(F.col("_run")), "left").join(genes, F.col("run").eqNullSafe(F.col("_of")), "left").crossJoin(F.broadcast(total)).withColumn("n_recovered", F.coalesce("n_recovered", F.lit(0)))
+    return df.select("run", "n_lead", "n_recovered", F.round(F.try_divide("n_recovered", "n_lead"), 4).alias("recovery"), F.coalesce("recovered", F.lit("")).alias("recovered"), F.coalesce("missed", F.lit("")).alias("missed"))
 
 
 def method_scores(results: DataFrame, causal: DataFrame) -> DataFrame:
@@ -367,10 +374,34 @@ def notable_non_flagged(ranked: DataFrame, tiers: list[str], most: int = 5) -> D
 
 
 def composition(seqs: DataFrame, letters: str) -> DataFrame:
-    """seqs: id, seq. id, letter, n, pct of each of the letters in the sequence (a-z count as A-Z), by length differences."""
-    s = F.translate(F.coalesce("seq", F.lit("")), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
-    each = F.array(*[F.struct(F.lit(x).alias("letter"), (F.length(s) - F.length(F.replace(s, F.lit(x), F.lit("")))).cast("bigint").alias("n")) for x in letters])
-    return seqs.select("id", F.length(s).alias("_n"), F.explode(each).alias("x")).select("id", "x.letter", "x.n", F.round(100 * F.try_divide(F.col("x.n"), F.col("_n")), 6).alias("pct"))
+    """seqs: id, seq. id, letter, n, pct of each of the letters in the sequence (a-z count as A-Z). A sequence's bytes are
+    counted once for all letters; where letters aren't all of ASCII, each is found by a difference of lengths."""
+    if not letters.isascii():
+        s = F.translate(F.coalesce("seq", F.lit("")), "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")
+        each = F.array(*[F.struct(F.lit(x).alias("letter"), (F.length(s) - F.length(F.replace(s, F.lit(x), F.lit("")))).cast("bigint").alias("n")) for x in letters])
+        return seqs.select("id", F.length(s).alias("_n"), F.explode(each).alias("x")).select("id", "x.letter", "x.n", F.round(100 * F.try_divide(F.col("x.n"), F.col("_n")), 6).alias("pct"))
+    kind, upper = dict(seqs.dtypes)["id"], np.arange(256)
+    upper[97:123] -= 32
+    code = np.frombuffer(letters.encode(), np.uint8)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                few = batch.slice(at, 1024)
+                n = np.zeros((few.num_rows, 256), np.int64)
+                for i, text in enumerate(few.column("seq").cast(pa.binary())):
+                    data = np.frombuffer(text.as_buffer() or b"", np.uint8)
+                    for start in range(0, len(data), 1 << 20):
+                        n[i] += np.bincount(data[start : start + (1 << 20)], minlength=256)
+                # Bytes 128 to 191 go on with a letter.
+                length = n[:, :128].sum(axis=1) + n[:, 192:].sum(axis=1)
+                folded = np.zeros_like(n)
+                np.add.at(folded.T, upper, n.T)
+                each = np.repeat(np.arange(few.num_rows), len(code))
+                yield pa.RecordBatch.from_arrays([few.column("id").take(pa.array(each)), pa.array(list(letters) * few.num_rows, pa.string()), pa.array(folded[:, code].ravel()), pa.array(length[each])], names=["id", "letter", "n", "_n"])
+
+    counted = seqs.select("id", "seq").mapInArrow(count, f"id {kind}, letter string, n bigint, _n bigint")
+    return counted.select("id", "letter", "n", F.round(100 * F.try_divide(F.col("n"), F.col("_n")), 6).alias("pct"))
 
 
 def nucleotide_stats(seqs: DataFrame) -> DataFrame:

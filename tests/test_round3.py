@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 
-from omicspark.operators import blocks, prs, reports
+from omicspark.operators import blocks, cohort, neighbours, prs, reports
 from tests.conftest import rows
 
 
@@ -76,3 +76,72 @@ def test_blocks_meet_only_where_samples_share_variants(spark, monkeypatch):
         assert got == {(a, b): len(own[a] & own[b]) for a in own for b in own if a < b and own[a] & own[b]}
     # Four times the copies; blocks dealt by a hash would meet sixteen times as often.
     assert met[8] <= 6 * met[2]
+
+
+def test_lead_recovery_equals_loops(spark):
+    """agg48_lead_recovery: no list of variants is searched"""
+    found = [("r1", 1), ("r1", 2), ("r1", 1), ("r1", 99), ("r2", 5), ("r3", None), (None, 3), ("r4", 77)]
+    lead = [(1, "b"), (2, "a"), (3, "b"), (3, "c"), (4, None), (5, "d"), (5, "d"), (None, "x"), (6, "a")]
+    out = reports.lead_recovery(spark.createDataFrame(found, "run string, variant long"), spark.createDataFrame(lead, "variant long, gene string"))
+    expected = []
+    for run in {r for r, _ in found}:
+        own = {v for r, v in found if r == run and v is not None}
+        some = {(v, g) for v, g in lead if v is not None}
+        n = len({v for v, g in some if v in own and g})
+        expected.append((run, 6, n, round(n / 6, 4), ",".join(sorted({g for v, g in some if v in own and g})), ",".join(sorted({g for v, g in some if v not in own and g}))))
+    assert rows(out) == sorted(expected, key=repr)
+    assert "array_contains" not in out._jdf.queryExecution().optimizedPlan().toString()
+    none = reports.lead_recovery(spark.createDataFrame(found[:1], "run string, variant long"), spark.createDataFrame([], "variant long, gene string"))
+    assert rows(none) == [("r1", 0, 0, None, "", "")]
+
+
+def test_composition_counts_bytes_once(spark):
+    """fn16_composition: code points are the length, a null or empty text has no share"""
+    texts = [(1, "aAcxé\U0001f600ſK"), (2, ""), (None, None), (1, "MKV" * 50)]
+    out = reports.composition(spark.createDataFrame(texts, "id long, seq string"), "ACK")
+    expected = []
+    for i, s in texts:
+        up = "".join(c.upper() if "a" <= c <= "z" else c for c in s or "")
+        expected += [(i, x, up.count(x), round(100 * up.count(x) / len(up), 6) if up else None) for x in "ACK"]
+    assert rows(out) == sorted(expected, key=repr)
+    assert "replace(" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_founders_with_cycles_and_unknown_parents(spark):
+    """jon21_founders: against loops; two parents that are one, unknown parents, a cycle and what descends from it"""
+    rng = np.random.default_rng(8)
+    family = [(i, None, None) for i in range(6)] + [(i, int(rng.integers(0, i)), int(rng.integers(0, i)) if i % 4 else None) for i in range(6, 60)]
+    family += [(70, 71, 3), (71, 70, None), (72, 71, 5), (73, 999, 4), (74, 2, 2), (75, 75, 1), (76, 999, None), (77, None, None)]
+    df = spark.createDataFrame(family, "id long, father long, mother long")
+    parents = {i: {x for x in p if x is not None} for i, *p in family}
+    expected = []
+    for i in parents:
+        seen, todo = set(), list(parents[i])
+        while todo:
+            x = todo.pop()
+            if x not in seen:
+                seen.add(x)
+                todo += parents.get(x, ())
+        n = sum(x in parents and not parents[x] for x in seen)
+        if n:
+            expected.append((i, n))
+    assert rows(cohort.founders(df)) == sorted(expected, key=repr)
+    assert cohort.founders(df.where("id < 5")).count() == 0
+
+
+def test_nearest_of_a_row_without_sorting(spark, monkeypatch):
+    """agg29_graph_mixing, num6_graph: the bound keeps every neighbour, ties by id, in one part or several"""
+    rng = np.random.default_rng(9)
+    near = np.round(rng.normal(size=(40, 700)), 1)
+    low = neighbours._least(near, 5)
+    assert (np.sort(near, axis=1)[:, -5] >= low).all() and (near >= low[:, None]).sum() < 40 * 350
+    x = rng.integers(-2, 3, (300, 4)).astype(float)
+    x[np.abs(x).sum(axis=1) == 0] = 1
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    cos = np.round(u @ u.T, 9)
+    np.fill_diagonal(cos, -9)
+    expected = {(i, int(j), r + 1) for i in range(300) for r, j in enumerate(np.lexsort((np.arange(300), -cos[i]))[:5])}
+    for part in (16384, 70):
+        monkeypatch.setattr(neighbours, "WHOLE_PART", part)
+        assert {tuple(r) for r in neighbours.neighbour_graph(df, 5, recall=None).select("vec_id", "neighbour", "rank").collect()} == expected
