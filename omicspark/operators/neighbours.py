@@ -16,6 +16,8 @@ from omicspark.functions.tables import stored
 #: Cells at most, vectors that they are learnt from for each cell, rounds of learning, vectors of a task's part of a cell, and
 #: vectors whose true neighbours tell how many cells to look in.
 MOST_CELLS, FOR_A_CELL, ROUNDS, PART, SAMPLE = 4096, 32, 8, 4096, 256
+#: Vectors of a part where all are compared with all: each travels as often as there are parts.
+WHOLE_PART = 16384
 
 
 def _matrix(column: pa.Array, cosine: bool) -> np.ndarray:
@@ -29,6 +31,18 @@ def _nearness(x: np.ndarray, y: np.ndarray, cosine: bool) -> np.ndarray:
     return x @ y.T if cosine else 2 * x @ y.T - (x * x).sum(axis=1)[:, None] - (y * y).sum(axis=1)[None, :]
 
 
+def _least(near: np.ndarray, k: int) -> np.ndarray:
+    """For each row a bound that its k highest values reach, also after rounding to nine digits: the k-th of the maxima of
+    groups of columns, which is found without sorting the row."""
+    width = max(1, min(64, near.shape[1] // (8 * k)))
+    whole = near.shape[1] // width * width
+    top = near[:, :whole].reshape(len(near), -1, width).max(axis=2)
+    if top.shape[1] < k:
+        return np.full(len(near), -np.inf)
+    bound = np.partition(top, -k, axis=1)[:, -k]
+    return bound - 2e-9 * np.maximum(1, np.where(np.isfinite(bound), np.abs(bound), 1))
+
+
 def learn_cells(vectors: DataFrame, n: int, cosine: bool) -> np.ndarray:
     """Centres of about sqrt(n) k-means cells, from at most FOR_A_CELL vectors a cell (chosen by the hash of their ids)."""
     cells = max(1, min(MOST_CELLS, math.isqrt(n)))
@@ -56,17 +70,17 @@ def _assigned(vectors: DataFrame, sent, probes: int, cosine: bool) -> DataFrame:
             lists = pa.ListArray.from_arrays(pa.array(np.arange(len(order) + 1) * order.shape[1], pa.int32()), pa.array(order.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("v"), lists], names=["id", "v", "cells"])
 
-    return vectors.mapInArrow(assign, f"id {dict(vectors.dtypes)['id']}, v array<double>, cells array<int>")
+    return vectors.mapInArrow(assign, f"id {dict(vectors.dtypes)['id']}, v {dict(vectors.dtypes)['v']}, cells array<int>")
 
 
-def _search(seeking: DataFrame, filed: DataFrame, k: int, cosine: bool) -> DataFrame:
+def _search(seeking: DataFrame, filed: DataFrame, k: int, cosine: bool, most: int | None = None) -> DataFrame:
     """seeking: id, v, cells to look in. filed: id, v, cells, of which the first is the vector's own. id, neighbour,
-    nearness, rank of the k best. Cells of more than PART vectors on either side are cut, and each part of the one side
-    meets each part of the other in a task of its own."""
+    nearness, rank of the k best. Cells of more than `most` (PART) vectors on either side are cut, and each part of the one
+    side meets each part of the other in a task of its own."""
     kind = dict(filed.dtypes)["id"]
     own, seek = filed.select("id", "v", F.col("cells")[0].alias("cell")), seeking.select("id", "v", F.explode("cells").alias("cell"))
     # A row a cell: how many parts its vectors and those that look into it are dealt to.
-    parts = lambda df, c: df.groupBy("cell").agg(F.ceil(F.count("*") / PART).cast("int").alias(c))
+    parts = lambda df, c: df.groupBy("cell").agg(F.ceil(F.count("*") / (most or PART)).cast("int").alias(c))
     sizes = parts(own.select("cell"), "a").join(parts(seek.select("cell"), "b"), "cell")
     part = lambda c: F.pmod(F.xxhash64("id"), F.col(c)).cast("int")
     there = own.join(F.broadcast(sizes), "cell").withColumn("x", part("a")).withColumn("y", F.explode(F.expr("sequence(0, b - 1)"))).select("cell", "x", "y", F.col("id").alias("n"), F.col("v").alias("u"))
@@ -82,15 +96,16 @@ def _search(seeking: DataFrame, filed: DataFrame, k: int, cosine: bool) -> DataF
         y, out = _matrix(there.column("u").combine_chunks(), cosine), []
         for i in range(0, queries.num_rows, 512):
             few = asking.slice(i, 512)
-            near = np.round(_nearness(_matrix(queries.column("v").slice(i, 512).combine_chunks(), cosine), y, cosine), 9)
+            near = _nearness(_matrix(queries.column("v").slice(i, 512).combine_chunks(), cosine), y, cosine)
             for r, x in enumerate(few.to_pylist()):
                 if x in at:
                     near[r, at[x]] = -np.inf
-            order = np.argsort(-near, axis=1, kind="stable")[:, :k]
-            rows = np.repeat(np.arange(len(few)), order.shape[1])
-            value = near[rows, order.ravel()]
-            ok = np.isfinite(value)
-            out.append(pa.table([few.take(pa.array(rows[ok])), names.take(pa.array(order.ravel()[ok])), pa.array(value[ok])], schema=schema))
+            row, col = np.nonzero(near >= _least(near, k)[:, None])
+            value = np.round(near[row, col], 9)
+            order = np.lexsort((col, -value, row))
+            row, col, value = row[order], col[order], value[order]
+            ok = (np.arange(len(row)) - np.searchsorted(row, row) < k) & np.isfinite(value)
+            out.append(pa.table([few.take(pa.array(row[ok])), names.take(pa.array(col[ok])), pa.array(value[ok])], schema=schema))
         return pa.concat_tables(out)
 
     keys = ["cell", "x", "y"]
@@ -114,15 +129,18 @@ def neighbour_graph(vectors: DataFrame, k: int, recall: float | None = 0.95, cos
     every vector, equally near ones by id. Null vectors are left out; vectors must be of one length, ids different.
 
     A vector is filed in its nearest cell and looks for neighbours in as many of its nearest cells as held the share
-    `recall` of the neighbours of a sample (probes_for). None looks in all cells, which is exact."""
+    `recall` of the neighbours of a sample (probes_for). None is exact: there is one cell, of whose parts (WHOLE_PART
+    vectors) each meets each. Vectors of floats travel as floats."""
     spark = vectors.sparkSession
-    all_of = stored(vectors.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("v")))
+    all_of = stored(vectors.where(F.col(vec_col).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), (F.col(vec_col) if dict(vectors.dtypes)[vec_col] == "array<float>" else F.col(vec_col).cast("array<double>")).alias("v")))
     n = all_of.count()
     if not n:
         return all_of.select(F.col("id").alias(id_col), F.col("id").alias("neighbour"), F.lit(0).alias("rank"), F.lit(0.0).alias("nearness"))
+    if recall is None:
+        filed = all_of.withColumn("cells", F.array(F.lit(0)))
+        return _search(filed, filed, k, cosine, WHOLE_PART).select(F.col("id").alias(id_col), "neighbour", "rank", "nearness")
     sent = spark.sparkContext.broadcast(learn_cells(all_of, n, cosine))
-    filed = stored(_assigned(all_of, sent, len(sent.value) if recall is None else 1, cosine))
-    if recall is not None:
-        filed = stored(_assigned(all_of, sent, probes_for(all_of, filed, sent, k, recall, cosine), cosine))
+    filed = stored(_assigned(all_of, sent, 1, cosine))
+    filed = stored(_assigned(all_of, sent, probes_for(all_of, filed, sent, k, recall, cosine), cosine))
     out = _search(filed, filed, k, cosine)
     return out.select(F.col("id").alias(id_col), "neighbour", "rank", "nearness")
