@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -44,9 +46,43 @@ def ancestors(pedigree: DataFrame, rounds: int = 64) -> DataFrame:
 
 
 def founders(pedigree: DataFrame) -> DataFrame:
-    """id, n_founders: how many ancestors without parents each individual has."""
-    first = pedigree.where("father is null and mother is null").select(F.col("id").alias("ancestor"))
-    return ancestors(pedigree).join(first, "ancestor", "left_semi").groupBy("id").agg(F.count("*").alias("n_founders"))
+    """id, n_founders: how many ancestors without parents each individual has.
+
+    Only pairs with founders are made. Individuals are put in generations first (one after the last of their parents'), and
+    each generation's different founders are handed to its children at once, so that a pair is made by its parents and
+    never again. Individuals of a cycle, and their descendants, are in no generation; their pairs grow until none is new."""
+    edges = stored(pedigree.where("id is not null").select("id", F.explode(F.array("father", "mother")).alias("parent")).where("parent is not null").distinct())
+    first = stored(pedigree.where("father is null and mother is null and id is not null").select("id").distinct())
+    # A parent of whom nothing is known is no founder, but it holds nobody up.
+    open_ = edges.join(edges.select(F.col("id").alias("parent")).distinct(), "parent", "left_semi")
+    needs = stored(open_.groupBy("id").agg(F.count("*").alias("needs")))
+    level = stored(edges.select("id").distinct().join(needs, "id", "left_anti"))
+    got, levels = None, []
+    while not level.isEmpty():
+        levels.append(level)
+        told = open_.join(level.select(F.col("id").alias("parent")), "parent").select("id", F.lit(1).cast("bigint").alias("n"))
+        got = stored((told if got is None else told.union(got)).groupBy("id").agg(F.sum("n").alias("n")).join(needs, "id"))
+        level = got.where("n = needs").select("id")
+        got = got.where("n < needs").select("id", "n")
+    known = first.select("id", F.col("id").alias("ancestor"), F.lit(-1).alias("level"))
+    numbered = levels[0].limit(0).withColumn("level", F.lit(0)) if levels else edges.select("id").limit(0).withColumn("level", F.lit(0))
+    for i, x in enumerate(levels):
+        numbered = numbered.union(x.select("id", F.lit(i)))
+    # Edges carry the child's generation; those of no generation come last.
+    own = stored(edges.join(numbered, "id", "left").withColumn("level", F.coalesce("level", F.lit(len(levels)))))
+    handed, found = [stored(known.select("id", "ancestor").join(own.select(F.col("id").alias("child"), F.col("parent").alias("id"), "level"), "id").select(F.col("child").alias("id"), "ancestor", "level"))], []
+    for i in range(len(levels)):
+        now = reduce(DataFrame.union, [x.where(F.col("level") == i) for x in handed]).select("id", "ancestor").distinct()
+        found.append(stored(now))
+        later = own.where(F.col("level") > i).select(F.col("id").alias("child"), F.col("parent").alias("id"), "level")
+        handed.append(stored(found[-1].join(later, "id").select(F.col("child").alias("id"), "ancestor", "level")))
+    rest, new = None, stored(reduce(DataFrame.union, [x.where(F.col("level") == len(levels)) for x in handed]).select("id", "ancestor").distinct())
+    cyclic = own.where(F.col("level") == len(levels)).select(F.col("id").alias("child"), F.col("parent").alias("id"))
+    while not new.isEmpty():
+        rest = new if rest is None else stored(rest.union(new))
+        new = stored(new.join(cyclic, "id").select(F.col("child").alias("id"), "ancestor").distinct().join(rest, ["id", "ancestor"], "left_anti"))
+    pairs = found + ([] if rest is None else [rest])
+    return (reduce(DataFrame.union, pairs) if pairs else known.select("id", "ancestor").limit(0)).groupBy("id").agg(F.count("*").alias("n_founders"))
 
 
 #: Rows of a constant list (gates, diseases) that is put into the plan at most.
