@@ -186,12 +186,34 @@ def ibs_pairs(genotypes: DataFrame) -> DataFrame:
     return named.select("sample_1", "sample_2", F.col("part").alias("chrom"), F.round(F.col("s") / (2 * F.col("n")), 6).alias("ibs"), F.col("n").alias("n_overlap"), F.col("c").alias("n_concordant"))
 
 
+#: Males that are sent to the tasks at once; more are dealt to parts, which each female meets.
+MALES = 500_000
+
+
 def compatibility(calls: DataFrame) -> DataFrame:
     """calls: id, sex, locus, state (0/1/2). For all pairs of a female (0) and a male (1) with common loci: the share of
-    these at which not both carry the allele: female, male, n_loci, compatibility."""
-    known = calls.where("sex in (0, 1) and state is not null")
-    own = known.select(F.struct("sex", "id").alias("sample"), F.col("locus").alias("variant"), F.lit(0).alias("part"), F.col("state").alias("call"))
+    these at which not both carry the allele: female, male, n_loci, compatibility. Of repeated calls the smallest counts.
+
+    Individuals of a sex with the same loci and alleles are a class; blocks are made of the smallest id of each class, and
+    pairs of classes are expanded to their members at last."""
+    known = calls.where("sex in (0, 1) and state is not null and id is not null")
+    seen = known.groupBy("sex", "id", "locus").agg((F.min("state") > 0).cast("int").alias("state"))
+    profiles = stored(seen.groupBy("sex", "id").agg(F.array_sort(F.collect_list(F.struct("locus", "state"))).alias("profile")))
+    classes = stored(profiles.groupBy("sex", "profile").agg(F.min("id").alias("rep")))
+    members = stored(profiles.join(classes, ["sex", "profile"]).select("sex", "id", "rep"))
+    own = classes.select(F.struct("sex", F.col("rep").alias("id")).alias("sample"), F.inline("profile")).select("sample", F.col("locus").alias("variant"), F.lit(0).alias("part"), F.col("state").alias("call"))
     sums, samples = _all_pairs(own, state_bits, carrier_product, ["risky", "n"], False)
     # Females are numbered before males, so that each mixed pair has the female first.
-    f, m = (samples.where(F.col("sample.sex") == sex).select(F.col("number").alias(c), F.col("sample.id").alias(name)) for sex, c, name in ((0, "one", "female"), (1, "other", "male")))
-    return sums.join(f, "one").join(m, "other").select("female", "male", F.col("n").alias("n_loci"), F.round(1 - F.col("risky") / F.col("n"), 6).alias("compatibility"))
+    f, m = (samples.where(F.col("sample.sex") == sex).select(F.col("number").alias(c), F.col("sample.id").alias(name)) for sex, c, name in ((0, "one", "f_rep"), (1, "other", "m_rep")))
+    pairs = stored(sums.join(f, "one").join(m, "other").select("f_rep", "m_rep", F.col("n").alias("n_loci"), F.round(1 - F.col("risky") / F.col("n"), 6).alias("compatibility")))
+    females, males = (members.where(F.col("sex") == sex).select(F.col("id").alias(name), F.col("rep").alias(rep)) for sex, name, rep in ((0, "female", "f_rep"), (1, "male", "m_rep")))
+    n_females, n_males = females.count(), males.count()
+    parts = max(1, -(-n_males // MALES))
+    # A task has about ten million pairs.
+    tasks = max(1, min(20_000, n_females * n_males // 10_000_000, n_females))
+    asking = females.repartition(tasks).join(pairs, "f_rep")
+    if parts == 1:
+        met = asking.join(F.broadcast(males), "m_rep")
+    else:
+        met = asking.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(males.withColumn("part", F.pmod(F.xxhash64("male"), F.lit(parts)).cast("int")), ["m_rep", "part"])
+    return met.select("female", "male", "n_loci", "compatibility")

@@ -1,11 +1,13 @@
 """Queries at larger sizes: what must not grow, and shared ids, against plain loops."""
 
+import re
 from collections import Counter
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from omicspark.operators import blocks, cohort, neighbours, prs, reports
+from omicspark.operators import blocks, cohort, literature, neighbours, prs, reports
 from tests.conftest import rows
 
 
@@ -145,3 +147,39 @@ def test_nearest_of_a_row_without_sorting(spark, monkeypatch):
     for part in (16384, 70):
         monkeypatch.setattr(neighbours, "WHOLE_PART", part)
         assert {tuple(r) for r in neighbours.neighbour_graph(df, 5, recall=None).select("vec_id", "neighbour", "rank").collect()} == expected
+
+
+@pytest.mark.parametrize("most", [200_000, 3])
+def test_keyword_ranking_equals_loops(spark, monkeypatch, most):
+    """num7_keyword_ranking: a task keeps k documents a query; shared and null ids, repeated queries, ties"""
+    monkeypatch.setattr(literature, "MOST_ASKED", most)
+    rng = np.random.default_rng(10)
+    words = ["alpha", "beta", "gamma", "delta", "of", "x1y", "Beta"]
+    docs = [(int(i), " ".join(rng.choice(words, rng.integers(0, 12)))) for i in range(700)] + [(5, "alpha alpha"), (5, None), (None, "gamma, gamma"), (None, "gamma"), (9000, None)]
+    queries = [("q1", "alpha beta"), ("q1", "beta of"), ("q2", "GAMMA gamma delta?"), ("q3", "unheard"), ("q4", None), (None, "x1y")]
+    out = literature.keyword_ranking(spark.createDataFrame(queries, "query_id string, text string"), spark.createDataFrame(docs, "doc_id long, text string"), 4)
+    tok = lambda t: [w for w in re.split("[^a-z0-9]+", (t or "").lower()) if len(w) > 2]
+    counts = {}
+    for i, t in docs:
+        counts.setdefault(i, Counter()).update(tok(t))
+    expected = []
+    for who in {q for q, _ in queries}:
+        asked = [w for q, t in queries if q == who for w in set(tok(t))]
+        score = {i: s for i, c in counts.items() if (s := sum(min(c[w], 3) for w in asked))}
+        order = sorted(score, key=lambda i: (-score[i], i is not None, i or 0))[:4]
+        expected += [(who, i, score[i], r + 1) for r, i in enumerate(order)]
+    assert rows(out.select("query_id", "doc_id", "score", "rank")) == sorted(expected, key=repr)
+
+
+@pytest.mark.parametrize("males", [500_000, 30])
+def test_pairs_of_classes_are_expanded(spark, monkeypatch, males):
+    """jon14_compatibility: products are of classes, whatever the number of their members"""
+    monkeypatch.setattr(blocks, "MALES", males)
+    met = []
+    plain = blocks._all_pairs
+    monkeypatch.setattr(blocks, "_all_pairs", lambda calls, *x: met.append(calls.select("sample").distinct().count()) or plain(calls, *x))
+    calls = [(i, i % 2, v, (i // 2 * v) % 3) for i in range(160) for v in range(1, 5)] + [(0, 0, 1, 2), (500, 0, 9, 1)]
+    got = {tuple(r) for r in blocks.compatibility(spark.createDataFrame(calls, "id long, sex int, locus long, state int")).collect()}
+    has = lambda i, v: (i // 2 * v) % 3 > 0
+    assert got == {(f, m, 4, 1 - sum(has(f, v) and has(m, v) for v in range(1, 5)) / 4) for f in range(0, 160, 2) for m in range(1, 160, 2)}
+    assert met[0] <= 7
