@@ -6,6 +6,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -125,14 +127,76 @@ def tokens_of(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda x: F.length(x) > 2)
 
 
+#: Pairs of a query and a word that are sent to the tasks at most; with more, documents and queries are joined by word.
+MOST_ASKED = 200_000
+
+
 def keyword_ranking(queries: DataFrame, docs: DataFrame, k: int, cap: int = 3) -> DataFrame:
     """queries: query_id, text, docs: doc_id, text. Documents by the sum over the query's words of their counts, each at
-    most cap; the k best of each query. An inverted index of only the words that queries have, joined by word."""
-    q = queries.select("query_id", F.explode(F.array_distinct(tokens_of(F.col("text")))).alias("word"))
-    words = q.select("word").distinct()
-    index = docs.select("doc_id", F.explode(tokens_of(F.col("text"))).alias("word")).join(F.broadcast(words), "word", "left_semi").groupBy("doc_id", "word").agg(F.least(F.count("*"), F.lit(cap)).alias("c"))
-    score = index.join(q, "word").groupBy("query_id", "doc_id").agg(F.sum("c").alias("score"))
-    return score.withColumn("rank", F.row_number().over(W.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id"))).where(F.col("rank") <= k)
+    most cap; the k best of each query. Rows that share a doc_id are one document's.
+
+    The queries' words are sent to the tasks, which score each document where it lies and keep each query's best so far,
+    so that a task holds k documents a query. Documents of several rows (found by the ids alone), and all, if there are
+    more than MOST_ASKED words of queries, are scored by an inverted index of the words that queries have."""
+    q = stored(queries.select("query_id", F.explode(F.array_distinct(tokens_of(F.col("text")))).alias("word")))
+    best = W.partitionBy("query_id").orderBy(F.col("score").desc(), "doc_id")
+
+    def joined(some: DataFrame) -> DataFrame:
+        words = q.select("word").distinct()
+        index = some.select("doc_id", F.explode(tokens_of(F.col("text"))).alias("word")).join(F.broadcast(words), "word", "left_semi").groupBy("doc_id", "word").agg(F.least(F.count("*"), F.lit(cap)).alias("c"))
+        return index.join(q, "word").groupBy("query_id", "doc_id").agg(F.sum("c").alias("score"))
+
+    def firsts(score: DataFrame) -> DataFrame:
+        return score.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
+
+    if q.count() > MOST_ASKED:
+        return firsts(joined(docs))
+    asked = q.groupBy("query_id", "word").agg(F.count("*").alias("k")).toArrow()
+    if not asked.num_rows:
+        return firsts(joined(docs))
+    ids = asked.column("query_id").combine_chunks().dictionary_encode("encode")
+    words = asked.column("word").combine_chunks().dictionary_encode()
+    weights = asked.column("k").to_numpy()
+    known, names = words.dictionary, ids.dictionary
+    # The queries of each word: numbers first[w] to first[w + 1] of `of`.
+    order = np.argsort(words.indices.to_numpy(), kind="stable")
+    of, weight = ids.indices.to_numpy()[order].astype(np.int64), weights[order]
+    first = np.searchsorted(words.indices.to_numpy()[order], np.arange(len(known) + 1))
+    sent = docs.sparkSession.sparkContext.broadcast((known, first, of, weight))
+    kind = dict(docs.dtypes)["doc_id"]
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, first, of, weight = sent.value
+        held, fields = None, [("query", "ascending"), ("score", "descending"), ("doc_id", "ascending")]
+
+        def cut(rows: pa.Table) -> pa.Table:
+            rows = rows.sort_by(fields)
+            own = rows.column("query").to_numpy()
+            return rows.filter(pa.array(np.arange(len(own)) - np.searchsorted(own, own) < k))
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                few = batch.slice(at, 256)
+                lists = few.column("words")
+                doc = np.repeat(np.arange(len(few)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+                word = pc.fill_null(pc.index_in(lists.flatten(), known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+                key, n = np.unique(doc[word >= 0] * len(known) + word[word >= 0], return_counts=True)
+                doc, word, n = key // len(known), key % len(known), np.minimum(n, cap)
+                size = first[word + 1] - first[word]
+                entry = np.arange(size.sum()) + np.repeat(first[word] - np.append(0, np.cumsum(size)[:-1]), size)
+                pair, where = np.unique(np.repeat(doc, size) << 32 | of[entry], return_inverse=True)
+                total = np.bincount(where, np.repeat(n, size) * weight[entry], len(pair)).astype(np.int64)
+                rows = pa.table({"query": pair & 0xFFFFFFFF, "score": total, "doc_id": few.column("doc_id").take(pa.array(pair >> 32))})
+                held = cut(rows if held is None else pa.concat_tables([held, rows]))
+        if held is not None:
+            yield from held.select(["query", "doc_id", "score"]).to_batches()
+
+    shared = stored(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null").select(F.col("doc_id").alias("_id")))
+    alone = docs.join(shared, F.col("doc_id").eqNullSafe(F.col("_id")), "left_anti").select("doc_id", tokens_of(F.col("text")).alias("words"))
+    several = docs.join(shared, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    listed = docs.sparkSession.createDataFrame(pa.table({"query": np.arange(len(names)), "query_id": names}))
+    near = alone.mapInArrow(score, f"query bigint, doc_id {kind}, score bigint").join(F.broadcast(listed), "query").select(F.col("query_id").cast(dict(queries.dtypes)["query_id"]).alias("query_id"), "doc_id", "score")
+    return firsts(near.unionByName(joined(several)))
 
 
 #: Words of a question that tell nothing, and the points for an equal name, for the phrase, and for each word
