@@ -27,6 +27,8 @@ from omicspark.llm.common import dropped, pieces, saved, saved_sorted
 
 #: Bytes of a blob (or one longer line), and bytes of text whose fingerprints one slice takes.
 BLOB, SLICE = 1 << 20, 4 << 20
+#: Bytes of a fingerprint: 2 ** 40 of them leave few collisions, which are told apart by the text in any case.
+PRINT = 5
 #: What stands between words and between pieces of a text, after normalising.
 SPACE, BREAK = 32, 10
 _MAP = tokens.LOWER.copy()
@@ -107,7 +109,7 @@ class Runs:
         return np.flatnonzero(ok)
 
     def fingerprints(self, at: np.ndarray, k: int) -> np.ndarray:
-        return tokens.mixed(tokens.span_hashes(self.data, self.start[at], self.end[at + k - 1]) ^ self.lang)
+        return tokens.mixed(tokens.span_hashes(self.data, self.start[at], self.end[at + k - 1]) ^ self.lang) & np.uint64((1 << 8 * PRINT) - 1)
 
     def texts(self, at: np.ndarray, k: int) -> pa.Array:
         start, size = self.start[at], self.end[at + k - 1] - self.start[at]
@@ -135,6 +137,21 @@ def frequent_runs(own: Runs, known: np.ndarray, most: int) -> dict[int, np.ndarr
     return out
 
 
+def _packed(prints: np.ndarray) -> bytes:
+    return np.ascontiguousarray(prints, "<u8").view(np.uint8).reshape(-1, 8)[:, :PRINT].tobytes()
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // PRINT, 8), np.uint8)
+    out[:, :PRINT] = np.frombuffer(data, np.uint8).reshape(-1, PRINT)
+    return out.view("<u8").ravel()
+
+
+def _counts(n: np.ndarray) -> bytes:
+    """A byte a count, or four where one needs more."""
+    return n.astype(np.uint8 if n.max(initial=0) < 256 else np.uint32).tobytes()
+
+
 def _dealt(found: np.ndarray, piece: int, slices: int) -> pa.RecordBatch:
     """A blob's fingerprints with their counts, by slices."""
     own, n = np.unique(found, return_counts=True)
@@ -143,7 +160,7 @@ def _dealt(found: np.ndarray, piece: int, slices: int) -> pa.RecordBatch:
     own, n, part = own[order], n[order], part[order]
     first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
     to = np.append(first, len(part))[1:]
-    packed = [pa.array([x[a:b].tobytes() for a, b in zip(first, to, strict=True)], pa.binary()) for x in (own, n.astype(np.uint32))]
+    packed = [pa.array([f(x[a:b]) for a, b in zip(first, to, strict=True)], pa.binary()) for x, f in ((own, _packed), (n, _counts))]
     return pa.RecordBatch.from_arrays([pa.array(part[first], pa.int64()), pa.array(np.full(len(first), piece)), *packed], names=["slice", "piece", "prints", "counts"])
 
 
@@ -154,9 +171,9 @@ def frequent(dealt: DataFrame, least: int) -> DataFrame:
     """piece, prints: the fingerprints of at least `least` occurrences in all, with each blob that has some; one row a slice."""
 
     def add(slice_: pa.Table) -> pa.Table:
-        lists = [np.frombuffer(x.as_py(), np.uint64) for x in slice_.column("prints")]
+        lists = [_unpacked(x.as_py()) for x in slice_.column("prints")]
         prints = np.concatenate(lists)
-        counts = np.concatenate([np.frombuffer(x.as_py(), np.uint32) for x in slice_.column("counts")]).astype(np.int64)
+        counts = np.concatenate([np.frombuffer(x.as_py(), np.uint8 if len(x.as_py()) == len(own) else np.uint32).astype(np.int64) for x, own in zip(slice_.column("counts"), lists, strict=True)])
         row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
         order = np.argsort(prints, kind="stable")
         own = prints[order]
@@ -167,13 +184,13 @@ def frequent(dealt: DataFrame, least: int) -> DataFrame:
         prints, row = prints[keep], row[keep]
         has, begin = np.unique(row, return_index=True)
         to = np.append(begin, len(row))[1:]
-        return pa.table({"piece": slice_.column("piece").take(pa.array(has)), "prints": pa.array([prints[a:b].tobytes() for a, b in zip(begin, to, strict=True)], pa.binary())})
+        return pa.table({"piece": slice_.column("piece").take(pa.array(has)), "prints": pa.array([_packed(prints[a:b]) for a, b in zip(begin, to, strict=True)], pa.binary())})
 
     return dealt.groupBy("slice").applyInArrow(add, "piece bigint, prints binary")
 
 
 def _known(lists: pa.Scalar) -> np.ndarray:
-    own = [np.frombuffer(x, np.uint64) for x in lists.as_py()]
+    own = [_unpacked(x) for x in lists.as_py()]
     return np.sort(np.concatenate(own)) if own else np.zeros(0, np.uint64)
 
 

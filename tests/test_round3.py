@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from omicspark.llm import collocations
 from omicspark.operators import blocks, cohort, literature, neighbours, prs, reports, solvers
 from tests.conftest import rows
 
@@ -194,3 +195,12 @@ def test_ld_sums_over_parts_of_samples(spark, monkeypatch):
     whole = rows(solvers.linked_variants(df, 10, 0.3, 5))
     monkeypatch.setattr(solvers, "LD_SAMPLES", 7)
     assert rows(solvers.linked_variants(df, 10, 0.3, 5)) == whole and whole
+
+
+def test_fingerprints_travel_in_five_bytes():
+    """op13_collocations: what is shuffled and written"""
+    rng = np.random.default_rng(12)
+    own = np.append(rng.integers(0, 1 << 40, 1000).astype(np.uint64), np.uint64((1 << 40) - 1))
+    assert len(collocations._packed(own)) == 5 * len(own) and (collocations._unpacked(collocations._packed(own)) == own).all()
+    assert len(collocations._unpacked(b"")) == 0
+    assert len(collocations._counts(np.array([1, 255]))) == 2 and len(collocations._counts(np.array([1, 256]))) == 8
