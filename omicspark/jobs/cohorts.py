@@ -161,4 +161,4 @@ query("num8_chunks", "papers", lambda p: L.chunks(p).groupBy("doc_id").agg(F.cou
 query("num9_term_counts", "papers", lambda p: L.term_counts(p, ["the", "license", "token", "stupid"]), "WITH t AS (SELECT unnest(['the', 'license', 'token', 'stupid']) AS term) SELECT term, count(*) FILTER (contains(lower(text), term)) AS n_docs, sum(len(string_split(lower(text), term)) - 1)::BIGINT AS n FROM papers, t GROUP BY term")
 query("agg42_composition", "papers", lambda p: p.select("doc_id", *[F.round(100 * (F.length("text") - F.length(F.replace(F.lower("text"), F.lit(b), F.lit("")))) / F.length("text"), 4).alias(f"pct_{b}") for b in "acgt"]), "SELECT doc_id, " + ", ".join(f"round(100 * (length(text) - length(replace(lower(text), '{b}', ''))) / length(text), 4) AS pct_{b}" for b in "acgt") + " FROM papers")
 query("agg42_dinucleotides", "papers", lambda p: p.select(F.regexp_replace(F.lower("text"), "[^acgt]", "").alias("s")).select(F.explode(F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length("s") - 1, F.lit(1))), lambda i: F.substr("s", i, F.lit(2))), lambda x: F.length(x) == 2)).alias("pair")).groupBy("pair").agg(F.count("*").alias("n")).orderBy(F.col("n").desc(), "pair").limit(5), "WITH s AS (SELECT regexp_replace(lower(text), '[^acgt]', '', 'g') AS s FROM papers), p AS (SELECT s[i:i + 1] AS pair FROM (SELECT s, unnest(range(1, length(s))) AS i FROM s)) SELECT pair, count(*) AS n FROM p GROUP BY pair ORDER BY n DESC, pair LIMIT 5")
-query("set5_disjoint_pairs", "breeders", lambda p: C.disjoint_pairs(B.compatibility(_carriers(p)).select("female", "male", "compatibility")))
+query("set5_disjoint_pairs", "breeders", lambda p: C.disjoint_members(*B.compatible_classes(_carriers(p))))

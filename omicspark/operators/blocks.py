@@ -190,12 +190,11 @@ def ibs_pairs(genotypes: DataFrame) -> DataFrame:
 MALES = 500_000
 
 
-def compatibility(calls: DataFrame) -> DataFrame:
-    """calls: id, sex, locus, state (0/1/2). For all pairs of a female (0) and a male (1) with common loci: the share of
-    these at which not both carry the allele: female, male, n_loci, compatibility. Of repeated calls the smallest counts.
-
-    Individuals of a sex with the same loci and alleles are a class; blocks are made of the smallest id of each class, and
-    pairs of classes are expanded to their members at last."""
+def compatible_classes(calls: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """calls: id, sex, locus, state (0/1/2). Individuals of a sex with the same loci and alleles are a class, named by its
+    smallest id. Returns f_rep, m_rep, n_loci, compatibility for all pairs of a class of females (0) and one of males (1) with
+    common loci (the share of these at which not both carry the allele); female, f_rep; male, m_rep. Of repeated calls the
+    smallest counts."""
     known = calls.where("sex in (0, 1) and state is not null and id is not null")
     seen = known.groupBy("sex", "id", "locus").agg((F.min("state") > 0).cast("int").alias("state"))
     profiles = stored(seen.groupBy("sex", "id").agg(F.array_sort(F.collect_list(F.struct("locus", "state"))).alias("profile")))
@@ -207,6 +206,11 @@ def compatibility(calls: DataFrame) -> DataFrame:
     f, m = (samples.where(F.col("sample.sex") == sex).select(F.col("number").alias(c), F.col("sample.id").alias(name)) for sex, c, name in ((0, "one", "f_rep"), (1, "other", "m_rep")))
     pairs = stored(sums.join(f, "one").join(m, "other").select("f_rep", "m_rep", F.col("n").alias("n_loci"), F.round(1 - F.col("risky") / F.col("n"), 6).alias("compatibility")))
     females, males = (members.where(F.col("sex") == sex).select(F.col("id").alias(name), F.col("rep").alias(rep)) for sex, name, rep in ((0, "female", "f_rep"), (1, "male", "m_rep")))
+    return pairs, females, males
+
+
+def expanded(pairs: DataFrame, females: DataFrame, males: DataFrame) -> DataFrame:
+    """The pairs of classes as pairs of their members: female, male and the other columns of pairs."""
     n_females, n_males = females.count(), males.count()
     parts = max(1, -(-n_males // MALES))
     # A task has about ten million pairs.
@@ -216,4 +220,12 @@ def compatibility(calls: DataFrame) -> DataFrame:
         met = asking.join(F.broadcast(males), "m_rep")
     else:
         met = asking.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(males.withColumn("part", F.pmod(F.xxhash64("male"), F.lit(parts)).cast("int")), ["m_rep", "part"])
-    return met.select("female", "male", "n_loci", "compatibility")
+    return met.select("female", "male", *[c for c in pairs.columns if c not in ("f_rep", "m_rep")])
+
+
+def compatibility(calls: DataFrame) -> DataFrame:
+    """calls: id, sex, locus, state (0/1/2). For all pairs of a female (0) and a male (1) with common loci: the share of
+    these at which not both carry the allele: female, male, n_loci, compatibility. Of repeated calls the smallest counts.
+
+    Pairs of classes are multiplied and expanded to their members at last."""
+    return expanded(*compatible_classes(calls))

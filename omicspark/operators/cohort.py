@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from omicspark.functions.tables import stored
+from omicspark.operators.blocks import expanded
+from omicspark.operators.gwas import ranked
 
 
 def co_occurrence(df: DataFrame, entity: str, item: str, least: int = 2) -> DataFrame:
@@ -122,23 +128,152 @@ def disease_status(calls: DataFrame, needs: DataFrame, samples: DataFrame | None
     return every.join(affected, ["sample_id", "disease"], "left").select("sample_id", "disease", F.coalesce("affected", F.lit(False)).alias("affected"))
 
 
+#: Females that a round of disjoint_pairs() settles within a tie at most.
+TIED = 1000
+
+
 def disjoint_pairs(pairs: DataFrame, most: int | None = None) -> DataFrame:
     """female, male, compatibility of the pairs that a greedy walk takes by falling score (then female, male) with no
     individual twice; the first `most` of them, or all.
 
     In rounds: a pair that is the best left of both its individuals is taken, since no walk can take anything else for
-    them, and all pairs of either go. Rounds follow the longest chain of falling scores, not the number of pairs."""
+    them, and all pairs of either go. So that ties don't take a round for each pair, the first TIED females of the highest
+    score left are walked in one task, each with her first TIED males (the other females can't take more than these).
+    Rounds follow the longest chain of falling scores and the females of a tie, not the number of pairs."""
     key = F.struct((-F.col("compatibility")).alias("s"), "female", "male")
     left = stored(pairs.where("female is not null and male is not null and compatibility is not null").select("female", "male", "compatibility").distinct())
     taken = left.limit(0)
-    while not left.isEmpty():
+
+    def walk(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by([("female", "ascending"), ("male", "ascending")])
+        females, males, keep = set(), set(), []
+        for i, (female, male) in enumerate(zip(rows.column("female").to_pylist(), rows.column("male").to_pylist(), strict=True)):
+            if female not in females and male not in males:
+                females.add(female)
+                males.add(male)
+                keep.append(i)
+        return rows.take(pa.array(keep, pa.int64())).select(["female", "male", "compatibility"])
+
+    while (top := left.agg(F.max("compatibility")).first()[0]) is not None:
         best = [left.groupBy(c).agg(F.min(key).alias("k")) for c in ("female", "male")]
-        new = stored(best[0].select("k").join(best[1].select("k"), "k").select("k.female", "k.male", (-F.col("k.s")).alias("compatibility")))
+        mutual = best[0].select("k").join(best[1].select("k"), "k").select("k.female", "k.male", (-F.col("k.s")).alias("compatibility"))
+        tied = left.where(F.col("compatibility") == F.lit(top))
+        first = tied.join(tied.select("female").distinct().orderBy("female").limit(TIED), "female")
+        asked = first.withColumn("n", F.row_number().over(W.partitionBy("female").orderBy("male"))).where(F.col("n") <= TIED).drop("n")
+        new = stored(mutual.union(asked.withColumn("task", F.lit(0)).groupBy("task").applyInArrow(walk, left.schema)).distinct())
         taken = taken.union(new)
         left = stored(left.join(new.select("female"), "female", "left_anti").join(new.select("male"), "male", "left_anti").select("female", "male", "compatibility"))
     return taken if most is None else taken.orderBy(F.desc("compatibility"), "female", "male").limit(most)
 
 
+#: Pairs of classes that a task of disjoint_members() knows at most, and members of a sex that it sees at once.
+CLASS_PAIRS, WINDOW = 250_000, 2_000_000
+
+
+def _by_class(members: DataFrame, name: str, rep: str) -> DataFrame:
+    """id, rep, num (its place among all), pos (its place by class), c and last (its class's first and last pos)."""
+    own = members.select(F.col(name).alias("id"), F.col(rep).alias("rep"))
+    placed = stored(ranked(ranked(own, [F.col("id")], "num"), [F.col("rep"), F.col("id")], "pos"))
+    return stored(placed.join(placed.groupBy("rep").agg(F.min("pos").alias("c"), F.max("pos").alias("last")), "rep"))
+
+
+def _walked(rows: pa.Table) -> pa.Table:
+    """The greedy walk over pairs of classes (kind 0: a, b, s) by their members in windows (kind 1 females, 2 males: a the
+    class, b its pos, num, last): f_class, f_pos, m_class, m_pos, s of the pairs taken. A walk that needs a member beyond a
+    window stops with a row of nulls.
+
+    The members of a class that are taken are its first ones at any time, so that a class stands at its next member."""
+    kind, a, b, num, last, s = (rows.column(c).to_numpy() for c in ("kind", "a", "b", "num", "last", "s"))
+    queue: tuple[dict, dict] = ({}, {})
+    for sex in (0, 1):
+        own = np.flatnonzero(kind == sex + 1)
+        own = own[np.argsort(b[own])]
+        for part in np.split(own, np.flatnonzero(np.diff(a[own])) + 1) if len(own) else []:
+            queue[sex][int(a[part[0]])] = (b[part].tolist(), num[part].tolist(), int(last[part[0]]))
+    at, out = (dict.fromkeys(queue[0], 0), dict.fromkeys(queue[1], 0)), []
+
+    def head(sex: int, c: int) -> int | None:
+        """num of a class's next member; None: there is none, -1: it is beyond the window."""
+        if c not in queue[sex]:
+            return None
+        pos, nums, end = queue[sex][c]
+        return nums[at[sex][c]] if at[sex][c] < len(nums) else None if pos[-1] == end else -1
+
+    def level(edges: np.ndarray) -> bool:
+        """Walks the pairs of one score; False: it stopped."""
+        males = defaultdict(list)
+        for f, m in zip(a[edges].tolist(), b[edges].tolist(), strict=True):
+            if (x := head(1, m)) is not None:
+                males[f].append((x, m))
+        waiting = [(x, f) for f in males if (x := head(0, f)) is not None]
+        for heap in (*males.values(), waiting):
+            heapq.heapify(heap)
+        while waiting:
+            x, f = waiting[0]
+            own = males[f]
+            # A male class only moves on, so that an old entry comes before its class's next member, never after it.
+            while own and (y := head(1, own[0][1])) != own[0][0]:
+                _, m = heapq.heappop(own)
+                if y is not None:
+                    heapq.heappush(own, (y, m))
+            if not own:
+                heapq.heappop(waiting)
+                continue
+            if x < 0 or own[0][0] < 0:
+                return False
+            m = own[0][1]
+            out.append((f, queue[0][f][0][at[0][f]], m, queue[1][m][0][at[1][m]], score))
+            at[0][f] += 1
+            at[1][m] += 1
+            heapq.heappop(waiting)
+            if (x := head(0, f)) is not None:
+                heapq.heappush(waiting, (x, f))
+        return True
+
+    edges = np.flatnonzero(kind == 0)
+    edges = edges[np.argsort(-s[edges], kind="stable")]
+    for part in np.split(edges, np.flatnonzero(np.diff(s[edges])) + 1) if len(edges) else []:
+        score = float(s[part[0]])
+        if not level(part):
+            out.append((None,) * 5)
+            break
+    names, types = ("f_class", "f_pos", "m_class", "m_pos", "s"), (pa.int64(),) * 4 + (pa.float64(),)
+    columns = list(zip(*out, strict=True)) or [()] * 5
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
+
+def disjoint_members(pairs: DataFrame, females: DataFrame, males: DataFrame) -> DataFrame:
+    """disjoint_pairs() of the members of classes: pairs has f_rep, m_rep, compatibility of classes; females: female, f_rep;
+    males: male, m_rep. The pairs of members are not made.
+
+    The walk goes from one female to the next, so it is one task at a time; it knows the pairs of classes and sees WINDOW
+    members of a sex, each class's next ones, and the next task goes on where it needs one beyond. Ranks, windows and the
+    result are distributed. More than CLASS_PAIRS pairs of classes are expanded and go to disjoint_pairs()."""
+    pairs = stored(pairs.where("compatibility is not null").select("f_rep", "m_rep", "compatibility"))
+    if pairs.count() > CLASS_PAIRS:
+        return disjoint_pairs(expanded(pairs, females, males))
+    sexes = [_by_class(females, "female", "f_rep"), _by_class(males, "male", "m_rep")]
+    one, other = (x.where("pos = c").select(F.col("rep").alias(rep), F.col("c").alias(c)) for x, rep, c in zip(sexes, ("f_rep", "m_rep"), "ab", strict=True))
+    zero = F.lit(0).cast("bigint")
+    edges = stored(pairs.join(one, "f_rep").join(other, "m_rep").select(F.lit(0).alias("kind"), "a", "b", zero.alias("num"), zero.alias("last"), F.col("compatibility").alias("s")))
+    sizes = [max(1, WINDOW // max(1, x.where("pos = c").count())) for x in sexes]
+    taken = None
+    while True:
+        rows = edges
+        for sex, (x, size) in enumerate(zip(sexes, sizes, strict=True)):
+            following = F.col("c")
+            if taken is not None:
+                done = taken.groupBy(F.col(("f_class", "m_class")[sex]).alias("c")).agg(F.max(("f_pos", "m_pos")[sex]).alias("done"))
+                x, following = x.join(done, "c", "left"), F.coalesce(F.col("done") + 1, F.col("c"))
+            rows = rows.union(x.where((F.col("pos") >= following) & (F.col("pos") < following + size)).select(F.lit(sex + 1), "c", "pos", "num", "last", F.lit(0.0)))
+        new = stored(rows.withColumn("task", F.lit(0)).groupBy("task").applyInArrow(_walked, "f_class bigint, f_pos bigint, m_class bigint, m_pos bigint, s double"))
+        taken = new.where("f_pos is not null") if taken is None else taken.union(new.where("f_pos is not null"))
+        if new.where("f_pos is null").isEmpty():
+            break
+    female, male = (x.select(F.col("pos").alias(pos), F.col("id").alias(name)) for x, pos, name in zip(sexes, ("f_pos", "m_pos"), ("female", "male"), strict=True))
+    return taken.join(female, "f_pos").join(male, "m_pos").select("female", "male", F.col("s").alias("compatibility"))
+
+
 def target_score(ev: DataFrame) -> DataFrame:
     """Five sub-scores of at most 20, their sum less the penalty, and the decision. The limits and points below are fixed
     values."""
