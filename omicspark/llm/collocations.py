@@ -2,8 +2,8 @@
 
 Texts are normalised into blobs of one language, in which words are a byte apart, so that prefix polynomials over a
 blob's bytes give the fingerprint of every run of words. A shuffle by slices of the fingerprints adds up their counts;
-each count comes with a pointer to the blob that has the occurrences, by which the frequent fingerprints go back to their
-blobs. There the next longer runs are looked up (all of whose pairs of words must be frequent), and last, the runs
+each count comes with a pointer to the unit of a few blobs that has the occurrences, by which the frequent fingerprints go
+back to its blobs. There the next longer runs are looked up (all of whose pairs of words must be frequent), and last, the runs
 themselves are read from the text: equal fingerprints of different texts are told apart there, and only frequent phrases
 ever become strings.
 """
@@ -13,10 +13,12 @@ from __future__ import annotations
 import math
 from collections import defaultdict
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +27,8 @@ from pyspark.sql.window import Window
 from omicspark.llm import tokens
 from omicspark.llm.common import dropped, pieces, saved, saved_sorted
 
-#: Bytes of a blob (or one longer line), and bytes of text whose fingerprints one slice takes.
-BLOB, SLICE = 1 << 20, 4 << 20
+#: Bytes of a blob (or one longer line), blobs of a unit, and bytes of text whose fingerprints one slice takes.
+BLOB, UNIT, SLICE = 1 << 20, 8, 8 << 20
 #: Bytes of a fingerprint: 2 ** 40 of them leave few collisions, which are told apart by the text in any case.
 PRINT = 5
 #: What stands between words and between pieces of a text, after normalising.
@@ -34,7 +36,7 @@ SPACE, BREAK = 32, 10
 _MAP = tokens.LOWER.copy()
 _MAP[list(b".,;:!?\n\x0b\x0c\r")] = BREAK
 _MAP[9] = SPACE
-_MEANS = "lang string, piece bigint, n_words bigint, blob binary"
+_MEANS = "lang string, unit bigint, n_words bigint, blob binary"
 
 
 def normalised(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -52,7 +54,8 @@ def normalised(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
 
 
 def blobs(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
-    """lang, piece (a number), n_words, blob: the normalised texts of each task by language, cut between pieces of texts."""
+    """lang, unit (a number), n_words, blob: the normalised texts of each task by language, cut between pieces of texts and
+    compressed. UNIT blobs that follow each other are a unit."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list[np.ndarray]] = defaultdict(list)
@@ -69,7 +72,7 @@ def blobs(docs: DataFrame, text_col: str, lang_col: str) -> DataFrame:
                     to = int(ends[max(np.searchsorted(ends, at + 1), np.searchsorted(ends, at + BLOB, "right") - 1)])
                     part = blob[at:to]
                     n = int(np.count_nonzero((part == SPACE) | (part == BREAK)))
-                    yield pa.RecordBatch.from_pydict({"lang": [lang], "piece": [piece], "n_words": [n], "blob": [part.tobytes()]})
+                    yield pa.RecordBatch.from_pydict({"lang": [lang], "unit": [piece // UNIT], "n_words": [n], "blob": [_compressed(part.tobytes())]})
                     piece, at = piece + 1, to
                 held[lang], size[lang] = [blob[at:]], len(blob) - at
 
@@ -152,45 +155,78 @@ def _counts(n: np.ndarray) -> bytes:
     return n.astype(np.uint8 if n.max(initial=0) < 256 else np.uint32).tobytes()
 
 
-def _dealt(found: np.ndarray, piece: int, slices: int) -> pa.RecordBatch:
-    """A blob's fingerprints with their counts, by slices."""
-    own, n = np.unique(found, return_counts=True)
-    part = (own % np.uint64(slices)).astype(np.int64)
-    order = np.argsort(part, kind="stable")
-    own, n, part = own[order], n[order], part[order]
+def _compressed(data: bytes) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(data)
+
+
+def _expanded(data: bytes) -> bytes:
+    return zstandard.ZstdDecompressor().decompress(data)
+
+
+def _shrunk(prints: np.ndarray) -> bytes:
+    """Sorted fingerprints as their differences: first the lowest bytes of all, last the highest ones, which are mostly 0."""
+    packed = np.frombuffer(_packed(np.diff(prints, prepend=np.uint64(0))), np.uint8)
+    return _compressed(packed.reshape(-1, PRINT).T.tobytes())
+
+
+def _grown(data: bytes) -> np.ndarray:
+    packed = np.frombuffer(_expanded(data), np.uint8)
+    return np.cumsum(_unpacked(packed.reshape(PRINT, -1).T.tobytes()), dtype=np.uint64)
+
+
+def _summed(prints: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different fingerprints, sorted, and the sums of their counts."""
+    order = np.argsort(prints, kind="stable")
+    own = prints[order]
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, np.int64)
+    return own[first], np.add.reduceat(counts[order], first) if len(own) else counts
+
+
+def _dealt(own: np.ndarray, n: np.ndarray, unit: int, slices: int) -> pa.RecordBatch:
+    """A unit's fingerprints (different and sorted) with their counts, by slices: ranges of fingerprints."""
+    part = (own * np.uint64(slices) >> np.uint64(8 * PRINT)).astype(np.int64)
     first = np.flatnonzero(np.append(True, part[1:] != part[:-1])) if len(part) else np.zeros(0, np.int64)
     to = np.append(first, len(part))[1:]
-    packed = [pa.array([f(x[a:b]) for a, b in zip(first, to, strict=True)], pa.binary()) for x, f in ((own, _packed), (n, _counts))]
-    return pa.RecordBatch.from_arrays([pa.array(part[first], pa.int64()), pa.array(np.full(len(first), piece)), *packed], names=["slice", "piece", "prints", "counts"])
+    coded = [pa.array([f(x[a:b]) for a, b in zip(first, to, strict=True)], pa.binary()) for x, f in ((own, _shrunk), (n, lambda x: _compressed(_counts(x))))]
+    return pa.RecordBatch.from_arrays([pa.array(part[first], pa.int64()), pa.array(np.full(len(first), unit)), *coded], names=["slice", "unit", "prints", "counts"])
 
 
-_DEALT = "slice bigint, piece bigint, prints binary, counts binary"
+_DEALT = "slice bigint, unit bigint, prints binary, counts binary"
+
+
+def _units(blobs: Iterator[tuple[int, np.ndarray]], slices: int) -> Iterator[pa.RecordBatch]:
+    """_dealt() of each unit. blobs: unit and fingerprints of blob by blob; a unit in two parts is dealt twice, which does no
+    harm."""
+    unit, held = None, []
+    for u, found in chain(blobs, [(None, np.zeros(0, np.uint64))]):
+        if u != unit and held:
+            yield _dealt(*_summed(*(np.concatenate(x) for x in zip(*held, strict=True))), unit, slices)
+            held = []
+        unit = u
+        held.append(np.unique(found, return_counts=True))
 
 
 def frequent(dealt: DataFrame, least: int) -> DataFrame:
-    """piece, prints: the fingerprints of at least `least` occurrences in all, with each blob that has some; one row a slice."""
+    """unit, prints: the fingerprints of at least `least` occurrences in all, with each unit that has some; one row a slice."""
 
     def add(slice_: pa.Table) -> pa.Table:
-        lists = [_unpacked(x.as_py()) for x in slice_.column("prints")]
+        lists = [_grown(x.as_py()) for x in slice_.column("prints")]
         prints = np.concatenate(lists)
-        counts = np.concatenate([np.frombuffer(x.as_py(), np.uint8 if len(x.as_py()) == len(own) else np.uint32).astype(np.int64) for x, own in zip(slice_.column("counts"), lists, strict=True)])
-        row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
-        order = np.argsort(prints, kind="stable")
-        own = prints[order]
-        first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
-        many = np.add.reduceat(counts[order], first) >= least
-        keep = np.zeros(len(prints), bool)
-        keep[order] = np.repeat(many, np.diff(np.append(first, len(own))))
-        prints, row = prints[keep], row[keep]
+        coded = [_expanded(x.as_py()) for x in slice_.column("counts")]
+        counts = np.concatenate([np.frombuffer(x, np.uint8 if len(x) == len(own) else np.uint32).astype(np.int64) for x, own in zip(coded, lists, strict=True)])
+        own, n = _summed(prints, counts)
+        keep = _among(prints, own[n >= least])
+        row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])[keep]
+        prints = prints[keep]
         has, begin = np.unique(row, return_index=True)
         to = np.append(begin, len(row))[1:]
-        return pa.table({"piece": slice_.column("piece").take(pa.array(has)), "prints": pa.array([_packed(prints[a:b]) for a, b in zip(begin, to, strict=True)], pa.binary())})
+        return pa.table({"unit": slice_.column("unit").take(pa.array(has)), "prints": pa.array([_shrunk(prints[a:b]) for a, b in zip(begin, to, strict=True)], pa.binary())})
 
-    return dealt.groupBy("slice").applyInArrow(add, "piece bigint, prints binary")
+    return dealt.groupBy("slice").applyInArrow(add, "unit bigint, prints binary")
 
 
 def _known(lists: pa.Scalar) -> np.ndarray:
-    own = [_unpacked(x) for x in lists.as_py()]
+    own = [_grown(x) for x in lists.as_py()]
     return np.sort(np.concatenate(own)) if own else np.zeros(0, np.uint64)
 
 
@@ -201,41 +237,53 @@ def phrase_counts(docs: DataFrame, least: int = 30, most: int = 4, text_col: str
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     total = docs.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     buckets, slices = max(buckets, math.ceil(total / (256 * BLOB))), max(8, math.ceil(total / SLICE))
-    cut = saved_sorted(blobs(docs, text_col, lang_col).repartition(buckets, "piece"), ["piece"], buckets, [])
+    cut = saved_sorted(blobs(docs, text_col, lang_col).repartition(buckets, "unit"), ["unit"], buckets, [])
 
-    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def rows(batches: Iterator[pa.RecordBatch], *columns: str) -> Iterator[list[pa.Scalar]]:
         for batch in batches:
-            for piece, lang, blob in zip(*[batch.column(c) for c in ("piece", "lang", "blob")], strict=True):
-                own = Runs(blob.as_py(), lang.as_py())
-                yield _dealt(np.concatenate([own.fingerprints(own.inside(k), k) for k in (1, 2) if k <= most]), piece.as_py(), slices)
+            yield from zip(*[batch.column(c) for c in columns], strict=True)
+
+    def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def found() -> Iterator[tuple[int, np.ndarray]]:
+            for unit, lang, blob in rows(batches, "unit", "lang", "blob"):
+                own = Runs(_expanded(blob.as_py()), lang.as_py())
+                yield unit.as_py(), np.concatenate([own.fingerprints(own.inside(k), k) for k in (1, 2) if k <= most])
+
+        return _units(found(), slices)
+
+    def known_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, str, Runs, np.ndarray]]:
+        unit, prints = None, None
+        for u, lang, blob, known in rows(batches, "unit", "lang", "blob", "known"):
+            if u.as_py() != unit:
+                unit, prints = u.as_py(), _known(known)
+            yield unit, lang.as_py(), Runs(_expanded(blob.as_py()), lang.as_py()), prints
 
     def longer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for piece, lang, blob, known in zip(*[batch.column(c) for c in ("piece", "lang", "blob", "known")], strict=True):
-                own = Runs(blob.as_py(), lang.as_py())
-                runs = frequent_runs(own, _known(known), most)
-                yield _dealt(np.concatenate([np.zeros(0, np.uint64), *[own.fingerprints(runs[k], k) for k in range(3, most + 1)]]), piece.as_py(), slices)
+        def found() -> Iterator[tuple[int, np.ndarray]]:
+            for unit, _, own, prints in known_runs(batches):
+                runs = frequent_runs(own, prints, most)
+                yield unit, np.concatenate([np.zeros(0, np.uint64), *[own.fingerprints(runs[k], k) for k in range(3, most + 1)]])
+
+        return _units(found(), slices)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for lang, blob, known in zip(*[batch.column(c) for c in ("lang", "blob", "known")], strict=True):
-                own, prints = Runs(blob.as_py(), lang.as_py()), _known(known)
-                for k, at in frequent_runs(own, prints, most).items():
-                    at = at[_among(own.fingerprints(at, k), prints)] if k > 2 else at
-                    found = own.texts(at, k).value_counts()
-                    phrase = found.field(0).cast(pa.large_string()).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array([lang.as_py()] * len(found), pa.string()), pa.array(np.full(len(found), k, np.int32)), phrase, found.field(1)], names=["lang", "k", "phrase", "n"])
+        for _, lang, own, prints in known_runs(batches):
+            for k, at in frequent_runs(own, prints, most).items():
+                at = at[_among(own.fingerprints(at, k), prints)] if k > 2 else at
+                found = own.texts(at, k).value_counts()
+                phrase = found.field(0).cast(pa.large_string()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(found), pa.string()), pa.array(np.full(len(found), k, np.int32)), phrase, found.field(1)], names=["lang", "k", "phrase", "n"])
 
     def asked(rows: DataFrame) -> DataFrame:
-        return cut.join(rows.groupBy("piece").agg(F.collect_list("prints").alias("known")).hint("merge"), "piece")
+        return cut.join(rows.groupBy("unit").agg(F.collect_list("prints").alias("known")).hint("merge"), "unit").select("unit", "lang", "blob", "known")
 
-    own = saved(frequent(cut.select("piece", "lang", "blob").mapInArrow(short, _DEALT), least))
+    own = saved(frequent(cut.select("unit", "lang", "blob").mapInArrow(short, _DEALT), least))
     if most > 2:
-        longest = saved(frequent(asked(own).select("piece", "lang", "blob", "known").mapInArrow(longer, _DEALT), least))
+        longest = saved(frequent(asked(own).mapInArrow(longer, _DEALT), least))
         both = own.union(longest)
     else:
         longest, both = None, own
-    counted = asked(both).select("lang", "blob", "known").mapInArrow(read, "lang string, k int, phrase string, n bigint")
+    counted = asked(both).mapInArrow(read, "lang string, k int, phrase string, n bigint")
     found = saved(counted.groupBy("lang", "k", "phrase").agg(F.sum("n").alias("f")).where(F.col("f") >= least))
     words = saved(cut.groupBy("lang").agg(F.sum("n_words").alias("n")))
     for x in (cut, own, longest):

@@ -239,3 +239,18 @@ def test_ties_of_pairs_take_few_rounds(spark, monkeypatch):
     df = spark.range(40).select(F.col("id").alias("female")).crossJoin(spark.range(40).select(F.col("id").alias("male"))).withColumn("compatibility", F.lit(0.5))
     assert rows(cohort.disjoint_pairs(df)) == sorted([(i, i, 0.5) for i in range(40)], key=repr)
     assert len(steps) < 6
+
+
+def test_fingerprints_of_a_unit_travel_once():
+    """op13_collocations: sorted fingerprints take little more than their differences, and one of a unit's blobs is dealt once"""
+    rng = np.random.default_rng(14)
+    blob = np.unique(rng.integers(0, 1 << 40, 150_000).astype(np.uint64))
+    assert (collocations._grown(collocations._shrunk(blob)) == blob).all() and len(collocations._shrunk(blob)) < 4 * len(blob)
+    assert len(collocations._grown(collocations._shrunk(blob[:0]))) == 0
+    other = np.append(blob[::2], np.uint64((1 << 40) - 1))
+    dealt = list(collocations._units(iter([(7, blob), (7, np.repeat(other, 300)), (8, blob[:0])]), 5))
+    assert [x.num_rows for x in dealt] == [5, 0] and dealt[0].column("unit").to_pylist() == [7] * 5
+    prints = np.concatenate([collocations._grown(x) for x in dealt[0].column("prints").to_pylist()])
+    assert (prints == np.union1d(blob, other)).all() and dealt[0].column("slice").to_pylist() == list(range(5))
+    counts = [np.frombuffer(collocations._expanded(x), np.uint32) for x in dealt[0].column("counts").to_pylist()]
+    assert sum(map(len, counts)) == len(prints) and sum(int(x.sum()) for x in counts) == len(blob) + 300 * len(other)
