@@ -370,8 +370,10 @@ def ibs_pairs(genotypes: DataFrame, by_chrom: bool = True) -> DataFrame:
     return _all_pairs(calls, IBS, by_chrom, True).withColumnRenamed("part", "chrom")
 
 
-#: Males that are sent to the tasks at once; more are dealt to parts, which each female meets.
-MALES = 500_000
+#: Individuals of a sex and pairs of classes that are sent to the tasks at once; more are dealt to parts, which each female meets.
+MALES, CLASS_PAIRS = 500_000, 250_000
+#: Males that follow each other for a female, and females whose pairs with them are a task's rows.
+TILE = 256, 40_000
 
 
 def compatible_classes(calls: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -393,8 +395,23 @@ def compatible_classes(calls: DataFrame) -> tuple[DataFrame, DataFrame, DataFram
 
 
 def expanded(pairs: DataFrame, females: DataFrame, males: DataFrame) -> DataFrame:
-    """The pairs of classes as pairs of their members: female, male and the other columns of pairs."""
+    """The pairs of classes as pairs of their members: female, male and the other columns of pairs.
+
+    A task has the pairs of a few males with many females, and the same males come again and again for one female after the
+    other, so that a file's dictionaries stay small and its columns repeat: written rows take a tenth of a byte or two each."""
     n_females, n_males = females.count(), males.count()
+    columns = ["female", "male", *[c for c in pairs.columns if c not in ("f_rep", "m_rep")]]
+    if max(n_females, n_males) <= MALES and pairs.count() <= CLASS_PAIRS:
+        of_part, n_tile = TILE
+        m_parts = -(-n_males // of_part)
+        one = stored(ranked(females, [F.col("f_rep"), F.col("female")], "at"))
+        other = ranked(males, [F.col("m_rep"), F.col("male")], "at").withColumn("m_part", F.floor((F.col("at") - 1) / of_part))
+        other = stored(other.groupBy("m_part", "m_rep").agg(F.sort_array(F.collect_list("male")).alias("males")))
+        # A row for each female and part of the males, so that a task makes few rows from each at once.
+        asked = n_females * m_parts
+        tiles = pairs.sparkSession.range(0, asked, 1, max(1, min(20_000, -(-asked // n_tile)))).select((F.col("id") % max(1, n_females) + 1).alias("at"), F.expr(f"id div {max(1, n_females)}").alias("m_part"))
+        met = tiles.join(F.broadcast(one), "at").join(F.broadcast(pairs), "f_rep").join(F.broadcast(other), ["m_part", "m_rep"])
+        return met.withColumn("male", F.explode("males")).select(*columns)
     parts = max(1, -(-n_males // MALES))
     # A task has about ten million pairs.
     tasks = max(1, min(20_000, n_females * n_males // 10_000_000, n_females))
@@ -403,7 +420,7 @@ def expanded(pairs: DataFrame, females: DataFrame, males: DataFrame) -> DataFram
         met = asking.join(F.broadcast(males), "m_rep")
     else:
         met = asking.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).join(males.withColumn("part", F.pmod(F.xxhash64("male"), F.lit(parts)).cast("int")), ["m_rep", "part"])
-    return met.select("female", "male", *[c for c in pairs.columns if c not in ("f_rep", "m_rep")])
+    return met.select(*columns)
 
 
 def compatibility(calls: DataFrame) -> DataFrame:
