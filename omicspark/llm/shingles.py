@@ -2,8 +2,9 @@
 
 A text's fingerprint here is the parity of its shingles in four times as many bits as it has shingles (a power of two; a
 longer fingerprint folds to a shorter one by XOR of its halves), because two such fingerprints never differ in more bits than
-the sets differ in shingles. Sets with a similarity of at least 4/5 share one of the smallest fifth (and one) of their
-shingle hashes, so that the pair meets in the bucket of that hash. There it must pass the sizes and the pigeonring of the
+the sets differ in shingles. Sets with a similarity of at least 4/5 share one of the first fifth (and one) of their shingle
+hashes in any order that holds for all texts, so that the pair meets in the bucket of that hash. The order here is from rare
+to common, by counts of all texts' shingles in SLOTS, so that unrelated texts meet in few buckets. There it must pass the sizes and the pigeonring of the
 fingerprints' segments, then the full Hamming check; only the sets of pairs that pass are fetched and compared.
 
 Buckets are settled in rounds. First every member is checked against its bucket's smallest one; what these links join
@@ -38,6 +39,8 @@ BITS, LEAST_BITS, MOST_BITS, SEGMENTS = 4, 256, 16_384, 4
 HEAD = 8
 #: Shingles of a block's members in all, and shingles of pairs that are compared at once.
 BLOCK_SHINGLES, AT_ONCE = 1 << 21, 1 << 20
+#: Counters of shingles by their hashes, parts in which these are added up, and steps of their order for each doubling.
+SLOTS, SLOT_PARTS, STEPS = 1 << 22, 64, 8
 #: Texts to fetch that are broadcast as ids at most.
 BROADCAST_IDS = 1_000_000
 
@@ -65,7 +68,7 @@ def sets(data: np.ndarray, offsets: np.ndarray, words: int = WORDS) -> tuple[np.
 
 
 def prefix_size(size: np.ndarray) -> np.ndarray:
-    """How many of the smallest hashes of a set any set with similarity >= 4/5 has one of."""
+    """How many of the first hashes of a set (in any order of all hashes) any set with similarity >= 4/5 has one of."""
     return np.where(size > 0, size - (4 * size + 4) // 5 + 1, 0)
 
 
@@ -90,8 +93,38 @@ def _parities(found: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return np.packbits((np.bincount(bit, minlength=to[-1] * 64) & 1).astype(bool), bitorder="little").view(np.uint64), to
 
 
-def with_prefixes(docs: DataFrame) -> DataFrame:
-    """docs: doc_id, th, text. Returns doc_id, th, node (a hash of the text's set), size, prefix (as keys), bits."""
+def commonness(docs: DataFrame) -> np.ndarray:
+    """docs: text. How common shingles are, from 0, by the slot of their hash. Every text is counted; a task counts up to 255
+    in a slot. Whatever the numbers are, they put hashes in one order, so that they make pairs meet sooner or later, but lose
+    none."""
+
+    def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = np.zeros(SLOTS, np.uint32)
+        for _, data, offsets in pieces(rows, "text"):
+            _, _, text, hashes = tokens.words(tokens.LOWER[data], offsets, tokens.NON_SPACE)
+            g = tokens.grams(hashes, WORDS)
+            g = g[text[: len(g)] == text[WORDS - 1 :]] if len(g) else g
+            np.add.at(n, ((g + np.uint64(WORDS)) & np.uint64(SLOTS - 1)).astype(np.int64), np.uint32(1))
+        if n.any():
+            parts = np.minimum(n, 255).astype(np.uint8).reshape(SLOT_PARTS, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(SLOT_PARTS)), pa.array([x.tobytes() for x in parts], pa.binary())], names=["part", "n"])
+
+    def add(group: pa.Table) -> pa.Table:
+        total = np.zeros(SLOTS // SLOT_PARTS, np.int64)
+        for x in group.column("n"):
+            total += np.frombuffer(x.as_buffer(), np.uint8)
+        level = np.minimum(STEPS * np.log2(total + 1.0), 255).astype(np.uint8)
+        return pa.table({"part": group.column("part")[:1], "level": pa.array([level.tobytes()], pa.binary())})
+
+    out = np.zeros((SLOT_PARTS, SLOTS // SLOT_PARTS), np.uint8)
+    for part, level in docs.select("text").mapInArrow(count, "part bigint, n binary").groupBy("part").applyInArrow(add, "part bigint, level binary").collect():
+        out[part] = np.frombuffer(level, np.uint8)
+    return out.reshape(-1)
+
+
+def with_prefixes(docs: DataFrame, level: np.ndarray | None = None) -> DataFrame:
+    """docs: doc_id, th, text. Returns doc_id, th, node (a hash of the text's set), size, prefix (as keys), bits. level: of
+    commonness(), by which the hashes are put in order; without it they are by size."""
 
     def add(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, data, offsets in pieces(rows, "text"):
@@ -99,7 +132,10 @@ def with_prefixes(docs: DataFrame) -> DataFrame:
             size = np.diff(at)
             many = prefix_size(size)
             to = np.concatenate([[0], np.cumsum(many)])
-            own = (found[np.arange(to[-1]) + np.repeat(at[:-1] - to[:-1], many)] & np.uint64((1 << KEY) - 1)).view(np.int64)
+            ordered = found
+            if level is not None:
+                ordered = found[np.lexsort((found, level[(found & np.uint64(len(level) - 1)).astype(np.int64)], np.repeat(np.arange(len(size)), size)))]
+            own = (ordered[np.arange(to[-1]) + np.repeat(at[:-1] - to[:-1], many)] & np.uint64((1 << KEY) - 1)).view(np.int64)
             prefix = pa.ListArray.from_arrays(pa.array(to, pa.int32()), pa.array(own))
             parity, ends = _parities(found, at)
             bits = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(parity.view(np.int64)))
@@ -347,7 +383,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     null ids."""
     th = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
     rows = docs.select(F.col(id_col).alias("doc_id"), th.alias("th"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    wide = saved(with_prefixes(rows))
+    wide = saved(with_prefixes(rows, commonness(rows)))
     prints = saved(wide.select("doc_id", "th", "node"))
     repeated = bool(prints.groupBy("doc_id", "th").count().where("count > 1").limit(1).count())
     known = saved(wide.groupBy("node").agg(F.first("size").alias("size"), F.first("bits").alias("bits"), F.first(F.slice("prefix", 1, HEAD)).alias("head")))
